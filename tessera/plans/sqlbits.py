@@ -44,3 +44,25 @@ bm_post AS (
 def bm25_query_terms(source: str, id_col: str, text_col: str) -> str:
     return (f"SELECT {id_col} AS query_id, term, count(*) AS qtf FROM "
             f"(SELECT {id_col}, unnest({tok(text_col)}) AS term FROM {source}) GROUP BY 1, 2")
+
+
+def hash_vectors(source: str, id_col: str, text_col: str, dim: int = 64) -> str:
+    """Sparse cells (id, b, v) of the L2-normalised signed hashing vector."""
+    toks = tok(f"trim(replace(coalesce({text_col}, ''), chr(10), ' '))")
+    return f"""(
+  WITH ht AS (SELECT {id_col} AS id, unnest({toks}) AS t FROM {source}),
+  hc AS (SELECT id, (('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})::INT AS b,
+                sum(CASE WHEN ('0x' || substr(md5(t), 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v
+         FROM ht GROUP BY 1, 2),
+  hn AS (SELECT id, sqrt(sum(v * v)) AS n FROM hc GROUP BY 1)
+  SELECT hc.id, hc.b, hc.v / hn.n AS v FROM hc JOIN hn USING (id) WHERE hn.n > 0
+)"""
+
+
+def dense_dot(queries: str, points: str, dim: int = 64) -> str:
+    """(query_id, point_id, score) for two tables of FLOAT[] vectors."""
+    return f"""(
+  SELECT q.qid AS query_id, p.pid AS point_id,
+         list_sum(list_transform(range(1, {dim} + 1), lambda i: q.vec[i]::DOUBLE * p.vec[i]::DOUBLE)) AS score
+  FROM {queries} q, {points} p
+)"""
