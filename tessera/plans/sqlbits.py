@@ -2,6 +2,11 @@
 definitions as the Spark column functions, written independently)."""
 
 
+def lit(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
 def tok(x: str) -> str:
     """Lower-cased word tokens of ``x`` (letters, marks, digits)."""
     return (f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), "
