@@ -93,7 +93,8 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int = FV.BM25_TOP_K,
                 text_col: str = "query") -> DataFrame:
     """TK2: top-k BM25 hits per query, tie-break on doc_id."""
     scored = bm25_scores(index, queries, text_col)
-    hits = top_k(scored, "query_id", [F.col("bm25_score").desc(), F.col("doc_id")], k)
+    # scores are compared at 9 decimals so duplicate documents tie exactly
+    hits = top_k(scored, "query_id", [F.round("bm25_score", 9).desc(), F.col("doc_id")], k)
     return hits.join(index.docs, "doc_id")
 
 
