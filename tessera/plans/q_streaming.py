@@ -1,3 +1,161 @@
-"""Registered queries."""
+"""Streaming queries: each runs a Structured Streaming job over a driver
+table (file stream, ``availableNow``) into the shared checkpoint folder and
+returns the sink table, so the result can be checked like any batch query."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import metrics
+from tessera.plans.catalog import register
+from tessera.plans.q_chat import SESS_SQL
+from tessera.plans.q_chunk import CH_SQL
+from tessera.sources import tables as T
+from tessera.streaming import jobs
+
+TS_FMT_SPARK = "yyyy-MM-dd HH:mm:ss"
+TS_FMT_SQL = "%Y-%m-%d %H:%M:%S"
+ALERT_THRESHOLD = 5.0
+HISTORY_EPOCH = 1_704_067_200  # event time of turn t: 2024-01-01 + t seconds
+
+
+def _events_stream(spark, sf):
+    s = jobs.table_stream(spark, sf, "events")
+    return s.select("event_id", F.col("event_type").alias("bot_id"), F.col("user_id").cast("string").alias("user_id"),
+                    F.col("event_type").alias("series"), "value",
+                    # watermarks need TIMESTAMP; the session time zone is UTC, so wall-clock values are kept
+                    F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("content"))
+
+
+@register("stream_sessions", sql=SESS_SQL + """
+SELECT event_id, bot_id, user_id, session_start,
+       substr(sha256(bot_id || '.' || user_id || '.' || session_start), 1, 33) AS conversation_id FROM o
+""")
+def stream_sessions(spark, sf):
+    """ST1: every access gets its 360 s sliding-TTL session id as it streams in."""
+    s = jobs.stream_session_ids(_events_stream(spark, sf), ["bot_id", "user_id"])
+    return spark.read.parquet(jobs.drain(s, "sessions", "append"))
+
+
+@register("stream_history", sql="""
+WITH c AS (SELECT conv_id, turn, role FROM conversations)
+SELECT c.conv_id, c.turn, count(p.turn)::INT AS n_prior,
+       coalesce(string_agg(p.role, '|' ORDER BY p.turn), '') AS prior_roles
+FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn < c.turn AND p.turn >= c.turn - 6
+GROUP BY c.conv_id, c.turn
+""")
+def stream_history(spark, sf):
+    """ST2: stateful history (last 6 messages) per conversation; event time = turn seconds."""
+    s = jobs.table_stream(spark, sf, "conversations")
+    s = s.withColumn("ts", F.timestamp_seconds(F.col("turn") + HISTORY_EPOCH))
+    h = jobs.stream_history(s, 6)
+    out = jobs.drain(h, "history", "append")
+    return spark.read.parquet(out)
+
+
+@register("stream_ingest_documents", sql=CH_SQL + """
+SELECT doc_id * 1000 + chunk_idx AS point_id, doc_id, chunk_idx::INT AS chunk_idx, least(512, n - chunk_idx * 462) AS n_tokens
+FROM c
+""")
+def stream_ingest_documents(spark, sf):
+    """ST3: streamed documents chunked, embedded and written as points per batch."""
+    s = jobs.table_stream(spark, sf, "documents")
+    sdf, foreach = jobs.stream_ingest_documents(s)
+    out = jobs.drain(sdf, "ingest", "append", foreach)
+    r = jobs.read_latest(spark, out, ["point_id"])
+    return r.select("point_id", "doc_id", "chunk_idx", "n_tokens")
+
+
+@register("stream_dedup_content", sql="SELECT DISTINCT props AS content FROM events")
+def stream_dedup_content(spark, sf):
+    """ST4: each distinct content once."""
+    d = jobs.stream_dedup_content(_events_stream(spark, sf).select("content"), "content")
+    out = jobs.drain(d, "dedup", "append")
+    return spark.read.parquet(out)
+
+
+ALERT_SQL = f"""
+WITH e AS (SELECT event_type AS series, value, ts FROM events),
+w AS (SELECT series, value, date_trunc('minute', ts) - to_minutes(k) AS ws FROM e, (SELECT unnest(range(0, 5)) AS k))
+SELECT series, strftime(ws, '{TS_FMT_SQL}') AS window_start, count(*) AS n_samples, round(min(value), 6) AS min_value,
+       count(*) > 0 AND min(value) > {ALERT_THRESHOLD} AS firing
+FROM w GROUP BY series, ws
+"""
+
+
+@register("sustained_alert", sql=ALERT_SQL)
+def sustained_alert(spark, sf):
+    """ST5: value > 5 for every sample of a 5-minute window, evaluated every minute."""
+    a = jobs.sustained_alert(_events_stream(spark, sf), "series", "value", ALERT_THRESHOLD)
+    out = jobs.drain(a, "alerts", "update", jobs._batch_writer)
+    r = jobs.read_latest(spark, out, ["series", "window_start"])
+    return r.select("series", F.date_format("window_start", TS_FMT_SPARK).alias("window_start"), "n_samples",
+                    F.round("min_value", 6).alias("min_value"), "firing")
+
+
+@register("sustained_alert_batch", sql=ALERT_SQL)
+def sustained_alert_batch(spark, sf):
+    """ST5 batch twin over the events table."""
+    a = metrics.sustained_alert_batch(T.metric_samples(T.table(spark, sf, "events")), "series", "value",
+                                      ALERT_THRESHOLD)
+    return a.select("series", F.date_format("window_start", TS_FMT_SPARK).alias("window_start"), "n_samples",
+                    F.round("min_value", 6).alias("min_value"), "firing")
+
+
+@register("metric_rate", sql=f"""
+WITH e AS (SELECT event_id, event_type AS series, value, ts,
+                  lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pv,
+                  lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pt FROM events),
+i AS (SELECT *, CASE WHEN pv IS NULL THEN NULL WHEN value < pv THEN value ELSE value - pv END AS inc,
+             (epoch_us(ts) - epoch_us(pt)) / 1e6 AS dt FROM e),
+r AS (SELECT *, CASE WHEN dt > 0 THEN inc / dt END AS irate FROM i),
+w AS (SELECT r.*, date_trunc('minute', ts) - to_minutes(k) AS ws FROM r, (SELECT unnest(range(0, 5)) AS k))
+SELECT series, strftime(ws, '{TS_FMT_SQL}') AS window_start, count(*) AS n_samples, round(sum(inc) / 300, 6) AS rate,
+       round(arg_max(irate, (ts, event_id)), 6) AS irate
+FROM w GROUP BY series, ws
+""")
+def metric_rate(spark, sf):
+    """ST6: reset-aware rate over 5 minutes and irate of the last two samples, every minute."""
+    r = metrics.metric_rate(T.metric_samples(T.table(spark, sf, "events")))
+    return r.select("series", F.date_format("window_start", TS_FMT_SPARK).alias("window_start"), "n_samples",
+                    F.round("rate", 6).alias("rate"), F.round("irate", 6).alias("irate"))
+
+
+@register("metric_ratio", sql=f"""
+WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS ws,
+                  sum(CASE WHEN event_type = 'view' THEN value END) AS num,
+                  sum(CASE WHEN event_type = 'click' THEN value END) AS den FROM events GROUP BY 1)
+SELECT strftime(ws, '{TS_FMT_SQL}') AS window_start, round(num, 6) AS num, round(den, 6) AS den,
+       round((1 - num / den) * 100, 6) AS ratio_pct FROM w
+""")
+def metric_ratio(spark, sf):
+    """ST7: (1 - view / click) * 100 per 5-minute window, streamed."""
+    m = jobs.metric_ratio(_events_stream(spark, sf), "series", "value", "view", "click")
+    out = jobs.drain(m, "ratio", "update", jobs._batch_writer)
+    r = jobs.read_latest(spark, out, ["window_start"])
+    return r.select(F.date_format("window_start", TS_FMT_SPARK).alias("window_start"),
+                    F.round("num", 6).alias("num"), F.round("den", 6).alias("den"),
+                    F.round("ratio_pct", 6).alias("ratio_pct"))
+
+
+@register("stream_import_progress")
+def stream_import_progress(spark, sf):
+    """ST8: QA lines (some cut short) streamed file by file; processed and
+    error counts per batch."""
+    from tessera.operators import prep
+    from tessera.plans.q_chunk import QA_SCHEMA, _defective_lines
+    from tessera.sources import jsonl
+    kept = prep.quality_filter(T.qa_pairs(T.table(spark, sf, "conversations")), "B")
+    src = jsonl.scratch_path(spark, "import-src")
+    _defective_lines(kept, ["question", "answer"]).repartition(4).write.mode("overwrite").text(src)
+    schema = spark.createDataFrame([], QA_SCHEMA).schema
+    from pyspark.sql import types as Ty
+    st = Ty.StructType(schema.fields + [Ty.StructField(jsonl.BAD, Ty.StringType())])
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(src)
+    parsed = lines.select(F.from_json("value", st, {"mode": "PERMISSIVE",
+                                                    "columnNameOfCorruptRecord": jsonl.BAD}).alias("r")).select("r.*")
+    out = jobs.drain(parsed, "import", "append", jobs.import_progress_writer(["question", "answer"]))
+    p = spark.read.parquet(out).drop("batch")
+    from pyspark.sql import Window
+    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    return p.withColumn("total_processed", F.sum("processed").over(w)).withColumn("total_errors", F.sum("errors").over(w))
