@@ -26,11 +26,15 @@ def chunk_tokens(df: DataFrame, text_col: str = "text", size: int = FV.CHUNK_TOK
     toks = whitespace_tokens(text_col)
     t = df.select(*keys, toks.alias("_t")).withColumn("_n", F.size("_t"))
     n_win = F.when(F.col("_n") <= size, 1).otherwise(F.ceil((F.col("_n") - size) / step) + 1)
-    t = t.filter(F.col("_n") > 0).withColumn("_starts", F.sequence(F.lit(0), (n_win - 1) * step, F.lit(step)))
-    out = t.select(*keys, "_t", "_n", F.posexplode("_starts").alias("chunk_idx", "_s"))
+    starts = F.sequence(F.lit(0), (n_win - 1) * step, F.lit(step))
+    # the chunks are built inside the row, so the token array is not copied
+    # into every exploded chunk row
+    chunks = F.transform(starts, lambda s: F.struct(
+        F.least(F.lit(size), F.col("_n") - s).alias("n_tokens"),
+        F.array_join(F.slice(F.col("_t"), s + 1, size), " ").alias("content")))
+    out = t.filter(F.col("_n") > 0).select(*keys, F.posexplode(chunks).alias("chunk_idx", "_c"))
     return out.select(*keys, F.col("chunk_idx").cast("int").alias("chunk_idx"),
-                      F.least(F.lit(size), F.col("_n") - F.col("_s")).alias("n_tokens"),
-                      F.array_join(F.slice("_t", F.col("_s") + 1, size), " ").alias("content"))
+                      F.col("_c.n_tokens").alias("n_tokens"), F.col("_c.content").alias("content"))
 
 
 SENTENCE_SPLIT = r"(?<=[.!?])[\s\p{Z}]+"

@@ -69,14 +69,23 @@ def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, threshold: float |
     return run
 
 
-def _query_blocks(queries: DataFrame, block_rows: int) -> list[DataFrame]:
+def _query_blocks(queries: DataFrame, block_rows: int, qvec_col: str) -> list[list]:
+    """Query rows cut into blocks of at most ~``block_rows``: the common small
+    case is one bounded collect; larger query tables are split by a stable
+    hash so that every block stays within the bound."""
+    head = queries.limit(block_rows + 1).collect()
+    if len(head) <= block_rows:
+        return [head]
     n = queries.count()
-    n_blocks = max(1, math.ceil(n / block_rows))
-    if n_blocks == 1:
-        return [queries]
-    # stable hash split: each block has about n / n_blocks rows
+    n_blocks = max(1, math.ceil(2 * n / block_rows))  # ~block_rows / 2 expected per block
     h = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    return [queries.filter(h == b) for b in range(n_blocks)]
+    blocks = []
+    for b in range(n_blocks):
+        part = queries.filter(h == b).limit(2 * block_rows + 1).collect()
+        if len(part) > 2 * block_rows:
+            raise ValueError("query block exceeds its size bound; lower block_rows")
+        blocks.append(part)
+    return blocks
 
 
 def dense_candidates(queries: DataFrame, points: DataFrame, k: int, threshold: float | None,
@@ -86,8 +95,7 @@ def dense_candidates(queries: DataFrame, points: DataFrame, k: int, threshold: f
     spark = points.sparkSession
     pts = points.select(id_col, vec_col)
     parts = []
-    for block in _query_blocks(queries.select("query_id", qvec_col), block_rows):
-        rows = block.collect()  # bounded by block_rows (checked above)
+    for rows in _query_blocks(queries.select("query_id", qvec_col), block_rows, qvec_col):
         if not rows:
             continue
         q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)

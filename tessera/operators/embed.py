@@ -53,21 +53,49 @@ def prepare_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), "\n", " "))
 
 
-def _hashing_embed(df: DataFrame, id_col: str, text_col: str, dim: int, out_col: str) -> DataFrame:
-    toks = df.select(id_col, F.explode_outer(tokens(prepare_text(text_col))).alias("tok"))
-    h = F.md5(F.col("tok"))
+def _bucket_sign(term: Column, dim: int) -> tuple[Column, Column]:
+    h = F.md5(term)
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    cells = (toks.filter(F.col("tok").isNotNull())
-                 .groupBy(id_col, bucket.alias("b")).agg(F.sum(sign).alias("v")))
-    # one group per document holding at most ``dim`` cells
-    per_doc = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    vec = per_doc.select(id_col, dense.alias("raw"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x * x))
-    vec = vec.select(id_col, F.when(norm > 0, F.transform("raw", lambda x: x / norm))
-                     .otherwise(F.col("raw")).alias(out_col))
+    return bucket, sign
+
+
+def hashing_vectors_from_terms(terms: DataFrame, id_col: str = "doc_id", dim: int = 64,
+                               out_col: str = "embedding", term_col: str = "term", tf_col: str = "tf") -> DataFrame:
+    """Hashing vectors from an existing (id, term, tf) table (e.g. the BM25
+    corpus terms): the same vectors as ``embed`` without tokenising again.
+    Ids without any term get no row."""
+    bucket, sign = _bucket_sign(F.col(term_col), dim)
+    cells = terms.groupBy(id_col, bucket.alias("b")).agg(F.sum(sign * F.col(tf_col)).alias("v"))
+    return _dense_from_cells(cells, id_col, dim, out_col)
+
+
+def _densify(dim: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def densify(buckets: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros((len(buckets), dim), dtype=np.float64)
+        for i, (b, v) in enumerate(zip(buckets, values)):
+            out[i, np.asarray(b, dtype=np.int64)] = np.asarray(v, dtype=np.float64)
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        np.divide(out, norms, out=out, where=norms > 0)
+        return pd.Series(list(out))
+    return densify
+
+
+def _dense_from_cells(cells: DataFrame, id_col: str, dim: int, out_col: str) -> DataFrame:
+    """(id, b, v) cells -> L2-normalised dense vectors.  One group per
+    document holding at most ``dim`` cells; the dense array is filled by a
+    small Arrow UDF (numpy per batch) instead of per-element map lookups."""
+    per_doc = cells.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("c"))
+    return per_doc.select(id_col, _densify(dim)(F.col("c.b"), F.col("c.v")).alias(out_col))
+
+
+def _hashing_embed(df: DataFrame, id_col: str, text_col: str, dim: int, out_col: str) -> DataFrame:
+    toks = df.select(id_col, F.explode(tokens(prepare_text(text_col))).alias("tok"))
+    bucket, sign = _bucket_sign(F.col("tok"), dim)
+    # partial aggregation collapses a document's tokens to <= dim cells map-side
+    cells = toks.groupBy(id_col, bucket.alias("b")).agg(F.sum(sign).alias("v"))
+    vec = _dense_from_cells(cells, id_col, dim, out_col)
     # documents without any token keep a zero vector
     zeros = F.array_repeat(F.lit(0.0), dim)
     return df.join(vec, id_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), zeros))

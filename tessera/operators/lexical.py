@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +23,11 @@ from tessera.session import broadcast_if_small
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame      # term, doc_id, tf, weight
+    postings: DataFrame      # term, doc_id, tf, dl, df, weight
     n_docs: int
     avgdl: float
     docs: DataFrame          # doc_id + payload columns (question, content, source ...)
+    terms: DataFrame         # doc_id, dl, term, tf (persisted; also feeds hashing vectors)
 
 
 def require_any(docs: DataFrame) -> DataFrame:
@@ -46,13 +48,19 @@ def corpus_terms(docs: DataFrame, text_col: str = "search_text") -> DataFrame:
 
 
 def build_bm25_index(docs: DataFrame, k1: float = FV.BM25_K1, b: float = FV.BM25_B) -> Bm25Index:
-    """docs: doc_id, question, content (+ payload).  Text = question + ' ' + content."""
+    """docs: doc_id, question, content (+ payload).  Text = question + ' ' + content.
+
+    The corpus is tokenised once: the (doc, term, tf) table is persisted
+    (memory and disk; lineage kept, so a lost executor recomputes only its
+    blocks) and serves the statistics, the postings and - for the hashing
+    encoder - the document vectors.
+    """
     docs = require_any(docs).withColumn("search_text", search_text("question", "content"))
-    tf = corpus_terms(docs)
-    # corpus statistics are one aggregate row: N and average document length
-    stats = docs.select(F.size(tokens("search_text")).alias("dl")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+    tf = corpus_terms(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    # corpus statistics are two aggregates read as scalars: N and total length
+    n_docs = docs.count()
+    total = tf.agg(F.sum("tf")).first()[0] or 0
+    avgdl = float(total) / n_docs if n_docs else 0.0
     df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
@@ -60,7 +68,7 @@ def build_bm25_index(docs: DataFrame, k1: float = FV.BM25_K1, b: float = FV.BM25
         "term", "doc_id", "tf", "dl", "df",
         (idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("weight"))
     return Bm25Index(postings=postings, n_docs=n_docs, avgdl=avgdl,
-                     docs=docs.drop("search_text"))
+                     docs=docs.drop("search_text"), terms=tf)
 
 
 def write_index(index: Bm25Index, path: str, buckets: int = 512) -> None:

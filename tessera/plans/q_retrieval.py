@@ -138,10 +138,15 @@ def _bench_vectors(spark, sf):
     return embed.embed(b, "query_id", "query", out_col="query_vec").select("query_id", "query_vec")
 
 
+def _index_vectors(idx):
+    """Document vectors from the index's term table (no second tokenisation)."""
+    return embed.hashing_vectors_from_terms(idx.terms, "doc_id")
+
+
 def _hybrid(spark, sf):
     idx = _index(spark, sf)
     q = T.bench_queries(T.table(spark, sf, "benchmark"))
-    return hybrid.hybrid_search(q, idx, _doc_vectors(spark, sf), _bench_vectors(spark, sf), limit=10)
+    return hybrid.hybrid_search(q, idx, _index_vectors(idx), _bench_vectors(spark, sf), limit=10)
 
 
 HYBRID_CTES = f"""
@@ -242,7 +247,7 @@ def multi_query_hybrid(spark, sf):
     """TK5 + WN2: three variants per request (item_id // 3), hybrid top-4 each,
     first-seen dedup by content across the variants."""
     idx = _index(spark, sf)
-    out = hybrid.multi_query_retrieve(_variants(spark, sf), idx, _doc_vectors(spark, sf),
+    out = hybrid.multi_query_retrieve(_variants(spark, sf), idx, _index_vectors(idx),
                                       _variant_vectors(spark, sf), top_k_=4)
     return out.select("request_id", "position", "doc_id", F.col("variant_idx").cast("bigint").alias("variant_idx"),
                       "retrieval_query", F.round("hybrid_score", 6).alias("hybrid_score"), "search_method")
@@ -285,7 +290,7 @@ def rerank_top5(spark, sf):
     """TK7 + JN6: rerank the multi-query hits with a score table derived from
     ``labels`` (quality + 0.5 * non-toxic); unscored requests keep retrieval order."""
     idx = _index(spark, sf)
-    hits = hybrid.multi_query_retrieve(_variants(spark, sf), idx, _doc_vectors(spark, sf),
+    hits = hybrid.multi_query_retrieve(_variants(spark, sf), idx, _index_vectors(idx),
                                        _variant_vectors(spark, sf), top_k_=4)
     lab = T.table(spark, sf, "labels")
     scores = hits.select("request_id", "doc_id").join(lab, "doc_id").select(

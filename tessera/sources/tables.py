@@ -14,7 +14,17 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Parallelism floor for scans: a scan with fewer partitions than the
+    cluster has cores (a single large row group, a few big files) is spread
+    round-robin right after the scan.  Many-file inputs are left alone, so on
+    a large cluster this adds no shuffle; filters and column pruning still
+    reach the scan through the round-robin repartition."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def qa_pairs(conversations: DataFrame) -> DataFrame:
