@@ -81,7 +81,7 @@ def normalise_route(model_output: Column, message: Column, labels: list[str] | N
     keyword -> agent_tools; else legal_rag.  Returns (route, how)."""
     labels = FV.ROUTE_LABELS if labels is None else labels
     keywords = FV.CALC_KEYWORDS if keywords is None else keywords
-    out = F.lower(F.trim(F.coalesce(model_output, F.lit(""))))
+    out = F.lower(py_strip(F.coalesce(model_output, F.lit(""))))
     low_msg = F.lower(F.coalesce(message, F.lit("")))
     exact = out.isin(*labels)
     contained = None

@@ -104,7 +104,7 @@ def _route_sql():
     contained = "CASE " + " ".join(f"WHEN contains(o, {lit(x)}) THEN {lit(x)}" for x in FV.ROUTE_LABELS) + " END"
     kw = " OR ".join(f"contains(lower(coalesce(text, '')), {lit(k)})" for k in FIXTURE_CALC)
     return f"""
-WITH l AS (SELECT conv_id, turn, text, lower(trim(coalesce({mo}, ''))) AS o FROM conversations WHERE role = 'user')
+WITH l AS (SELECT conv_id, turn, text, lower({strip_sql(f"coalesce({mo}, '')")}) AS o FROM conversations WHERE role = 'user')
 SELECT conv_id, turn,
   CASE WHEN o IN ({labels}) THEN o WHEN {contained} IS NOT NULL THEN {contained}
        WHEN {kw} THEN {lit(FV.ROUTE_KEYWORD)} ELSE {lit(FV.ROUTE_DEFAULT)} END AS route,

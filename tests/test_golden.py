@@ -140,8 +140,10 @@ def test_quality_thresholds(spark):
     rows = [(q10, a50), (q10[1:], a50), (q10, "a" * 49), (q10, "a" * 5000), (q10, "a" * 5001), (None, a50),
             ("Câu hỏi không dấu hỏi", a50)]
     df = spark.createDataFrame(rows, "question string, answer string")
-    assert prep.quality_filter(df, "A").count() == 3
-    assert prep.quality_filter(df, "B").count() == 5
+    # A: 10-char question with '?', answers of 50 and 5000 chars
+    assert prep.quality_filter(df, "A").count() == 2
+    # B: no '?' rule and answers up to 8000 chars
+    assert prep.quality_filter(df, "B").count() == 4
 
 
 def test_clean_text_unicode_whitespace(spark):
