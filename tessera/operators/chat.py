@@ -162,8 +162,7 @@ def token_usage(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn", role:
     label = F.when(F.col(role) == "system", "System: ").when(F.col(role) == "user", "Human: ") \
              .when(F.col(role) == "assistant", "Assistant: ")
     m = msgs.withColumn("_tok", F.when(label.isNull(), 0).otherwise(_ws_count(F.concat(label, F.col(content)))))
-    w = Window.partitionBy(conv).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("_before", F.coalesce(F.sum("_tok").over(w), F.lit(0)))
+    m = exclusive_running_sum(m, conv, idx, "_tok", "_before")
     a = m.filter(F.col(role) == "assistant").select(
         conv, (F.col("_before") + 1).alias("prompt_tokens"), _ws_count(F.col(content)).alias("completion_tokens"))
     return a.groupBy(conv).agg(F.count(F.lit(1)).alias("n_completions"),
@@ -172,6 +171,22 @@ def token_usage(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn", role:
             .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 
 
+def exclusive_running_sum(df: DataFrame, part: str, idx: str, value: str, out: str,
+                          block: int = 1000) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same ``part`` (dense
+    ordinal ``idx``).  Windows run per (part, block of ``block`` ordinals);
+    the totals of earlier blocks come from a one-row-per-block table, so a
+    very long group is spread over many tasks."""
+    d = df.withColumn("_blk", F.floor(F.col(idx) / block))
+    w_in = Window.partitionBy(part, "_blk").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
+    tot = d.groupBy(part, "_blk").agg(F.sum(value).alias("_t"))
+    tot = tot.withColumn("_prev", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.join(tot.select(part, "_blk", "_prev"), [part, "_blk"])
+    return d.withColumn(out, F.col("_prev") + F.col("_in")).drop("_blk", "_in", "_prev")
+
+
 def doc_prompt(hits: DataFrame, part: str = "request_id", order: str = "rerank_rank",
                question: str = "question", content: str = "content") -> DataFrame:
     """AG16: header + 'Câu hỏi: q \\n Câu trả lời: c \\n\\n' per hit in rank order."""

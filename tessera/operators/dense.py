@@ -154,14 +154,15 @@ def multi_vector_search(vectors: DataFrame, points: DataFrame, limit: int = FV.D
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def similarity_matrix(a: DataFrame, b: DataFrame, a_id: str = "a_id", b_id: str = "b_id",
-                      a_vec: str = "a_vec", b_vec: str = "b_vec", block_rows: int = 4096) -> DataFrame:
-    """EM2: cosine similarity of every (a, b) pair (the caller's sets are the
-    product by definition; use ``dense_candidates`` for top-k instead)."""
+def similarity_top_k(a: DataFrame, b: DataFrame, k: int, a_id: str = "a_id", b_id: str = "b_id",
+                     a_vec: str = "a_vec", b_vec: str = "b_vec", block_rows: int = 4096) -> DataFrame:
+    """EM2 (re-aimed): cosine similarity between two tables, keeping the ``k``
+    most similar b-rows of every a-row (exact).  The full a x b matrix of the
+    original API is never materialised: scores are reduced to a running
+    top-k inside each task."""
     from tessera.operators.embed import normalise_vectors
     an = normalise_vectors(a.select(F.col(a_id).alias("query_id"), F.col(a_vec).alias("query_vec")), "query_vec")
     bn = normalise_vectors(b.select(F.col(b_id).alias("point_id"), F.col(b_vec).alias("embedding")), "embedding")
-    n_b = bn.count()
-    out = dense_candidates(an, bn, max(1, n_b), None, block_rows=block_rows)
-    return out.select(F.col("query_id").alias(a_id), F.col("point_id").alias(b_id),
-                      F.round("score", 6).alias("cosine"))
+    out = dense_candidates(an, bn, k, None, block_rows=block_rows)
+    return out.select(F.col("query_id").alias(a_id), F.col("point_id").alias(b_id), F.col("score").alias("cosine"),
+                      F.col("search_rank").cast("bigint").alias("rank"))

@@ -298,3 +298,18 @@ def rerank_top5(spark, sf):
     r = hybrid.rerank(hits, scores, top_n=5)
     return r.select("request_id", "doc_id", "position", "relevance_score",
                     F.col("rerank_rank").cast("bigint").alias("rerank_rank"))
+
+
+@register("similarity_top3", sql=f"""
+WITH dvec AS {hash_vectors('documents', 'doc_id', 'text')},
+qvec AS {hash_vectors('benchmark', 'item_id', 'text')},
+vs AS (SELECT q.id AS item_id, d.id AS doc_id, sum(q.v * d.v) AS cosine FROM qvec q JOIN dvec d USING (b) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, doc_id) AS rank FROM vs)
+SELECT item_id, doc_id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 3
+""")
+def similarity_top3(spark, sf):
+    """EM2 (re-aimed to top-k): the 3 documents most similar to every benchmark text."""
+    idx_vecs = _doc_vectors(spark, sf)
+    b = _bench_vectors(spark, sf)
+    s = dense.similarity_top_k(b, idx_vecs, 3, a_id="query_id", b_id="doc_id", a_vec="query_vec", b_vec="embedding")
+    return s.select(F.col("query_id").alias("item_id"), "doc_id", F.round("cosine", 6).alias("cosine"), "rank")
