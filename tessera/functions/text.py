@@ -73,3 +73,13 @@ def detect_content_type(c: Column | str, rules=None, default: str = FV.CONTENT_T
 def format_thousands(c: Column | str, decimals: int = 0) -> Column:
     """Python ``f'{x:,.Nf}'`` (HALF_EVEN rounding like Python)."""
     return F.format_number(_c(c), decimals)
+
+
+def once(expr: Column) -> Column:
+    """Generator wrapper that evaluates ``expr`` exactly once per row.
+
+    Use as ``df.select(keys, once(tokens(...)).alias("t"))`` before lambdas
+    that index into the array (``transform(seq, i -> slice(t, i, n))``):
+    without it the optimizer may inline the tokenizer into the lambda and
+    run it once per element."""
+    return F.explode(F.array(expr))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
-from tessera.functions.text import whitespace_tokens
+from tessera.functions.text import once, whitespace_tokens
 from tessera.operators import embed as E
 
 
@@ -24,7 +24,7 @@ def chunk_tokens(df: DataFrame, text_col: str = "text", size: int = FV.CHUNK_TOK
     keys = keys or ["doc_id"]
     step = size - overlap
     toks = whitespace_tokens(text_col)
-    t = df.select(*keys, toks.alias("_t")).withColumn("_n", F.size("_t"))
+    t = df.select(*keys, once(toks).alias("_t")).withColumn("_n", F.size("_t"))
     n_win = F.when(F.col("_n") <= size, 1).otherwise(F.ceil((F.col("_n") - size) / step) + 1)
     starts = F.sequence(F.lit(0), (n_win - 1) * step, F.lit(step))
     # the chunks are built inside the row, so the token array is not copied

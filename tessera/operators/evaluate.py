@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import fixed_values as FV
-from tessera.functions.text import tokens
+from tessera.functions.text import once, tokens
 
 ASCII_SPLIT = r"[^a-z0-9]+"
 
@@ -40,7 +40,7 @@ def ngrams(toks: Column, n: int) -> Column:
 
 
 def _ngram_counts(df: DataFrame, id_col: str, text_col: str, n: int, token_class: str, side: str) -> DataFrame:
-    t = df.select(id_col, rouge_tokens(text_col, token_class).alias("_t"))
+    t = df.select(id_col, once(rouge_tokens(text_col, token_class)).alias("_t"))
     g = t.select(id_col, F.when(F.size("_t") >= n, ngrams(F.col("_t"), n)).alias("_g"))
     return g.select(id_col, F.explode("_g").alias("gram")).groupBy(id_col, "gram").agg(
         F.count(F.lit(1)).alias(side))
