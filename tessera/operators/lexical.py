@@ -1,11 +1,11 @@
 """BM25 index build (AG10) and lexical search (JN1, TK2), lexical rank (TK8).
 
-Index layout: ``postings(term, doc_id, tf, dl, weight)`` where ``weight`` is
-the per-(term, doc) BM25 contribution for a query term occurring once.  A
-search is then a single equi-join of query terms with postings on ``term``,
-a ``sum`` per (query, doc) and a per-query top-k.  Persist ``postings``
-bucketed by ``term`` (``write_index``) so the search join needs no shuffle of
-the big side.
+Index: the persisted term table ``(doc_id, dl, term, tf)`` plus the corpus
+statistics N and avgdl.  A search touches only the postings of its query
+terms: semi-join with the distinct query terms, document frequencies for
+those terms, weights, an equi-join with the per-query term counts, a ``sum``
+per (query, doc) and a per-query top-k.  ``write_index`` persists the full
+weighted postings repartitioned and sorted by term for repeated searches.
 """
 
 from __future__ import annotations
@@ -13,21 +13,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
-from tessera.functions.text import search_text, tokens
+from tessera.functions.text import once, search_text, tokens
 from tessera.session import broadcast_if_small
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame      # term, doc_id, tf, dl, df, weight
+    terms: DataFrame         # doc_id, dl, term, tf (persisted; also feeds hashing vectors)
     n_docs: int
     avgdl: float
     docs: DataFrame          # doc_id + payload columns (question, content, source ...)
-    terms: DataFrame         # doc_id, dl, term, tf (persisted; also feeds hashing vectors)
+    k1: float = FV.BM25_K1
+    b: float = FV.BM25_B
+
+    def weight(self) -> Column:
+        """Per-(term, doc) BM25 weight from columns tf, dl, df."""
+        idf = F.log(F.lit(1.0) + (F.lit(float(self.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        avgdl = self.avgdl if self.avgdl > 0 else 1.0
+        norm = F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("dl") / F.lit(avgdl))
+        return idf * F.col("tf") * F.lit(self.k1 + 1.0) / (F.col("tf") + norm)
+
+    @property
+    def postings(self) -> DataFrame:
+        """Full postings (every term of the vocabulary) with weights: what
+        ``write_index`` persists and the term statistics read."""
+        df_t = self.terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.terms.join(df_t, "term").select("term", "doc_id", "tf", "dl", "df",
+                                                    self.weight().alias("weight"))
 
 
 def require_any(docs: DataFrame) -> DataFrame:
@@ -41,7 +57,7 @@ def require_any(docs: DataFrame) -> DataFrame:
 
 def corpus_terms(docs: DataFrame, text_col: str = "search_text") -> DataFrame:
     """(doc_id, dl, term, tf): one row per distinct term of a document."""
-    toks = docs.select("doc_id", tokens(text_col).alias("toks"))
+    toks = docs.select("doc_id", once(tokens(text_col)).alias("toks"))
     exploded = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     # partial aggregation runs map-side, so a frequent term costs no extra shuffle
     return exploded.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -52,7 +68,7 @@ def build_bm25_index(docs: DataFrame, k1: float = FV.BM25_K1, b: float = FV.BM25
 
     The corpus is tokenised once: the (doc, term, tf) table is persisted
     (memory and disk; lineage kept, so a lost executor recomputes only its
-    blocks) and serves the statistics, the postings and - for the hashing
+    blocks) and serves the statistics, the searches and - for the hashing
     encoder - the document vectors.
     """
     docs = require_any(docs).withColumn("search_text", search_text("question", "content"))
@@ -61,14 +77,7 @@ def build_bm25_index(docs: DataFrame, k1: float = FV.BM25_K1, b: float = FV.BM25
     n_docs = docs.count()
     total = tf.agg(F.sum("tf")).first()[0] or 0
     avgdl = float(total) / n_docs if n_docs else 0.0
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    postings = tf.join(df_t, "term").select(
-        "term", "doc_id", "tf", "dl", "df",
-        (idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("weight"))
-    return Bm25Index(postings=postings, n_docs=n_docs, avgdl=avgdl,
-                     docs=docs.drop("search_text"), terms=tf)
+    return Bm25Index(terms=tf, n_docs=n_docs, avgdl=avgdl, docs=docs.drop("search_text"), k1=k1, b=b)
 
 
 def write_index(index: Bm25Index, path: str, buckets: int = 512) -> None:
@@ -84,9 +93,21 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "query") -> DataFrame:
-    """Exact BM25 score of every (query, doc) sharing at least one term."""
-    qt = broadcast_if_small(query_terms(queries, text_col))
-    joined = index.postings.join(qt, "term")
+    """Exact BM25 score of every (query, doc) sharing at least one term.
+
+    Only the postings of query terms are touched: the term table is
+    semi-joined with the distinct query terms (broadcast when their count is
+    proven small, a shuffle join otherwise), document frequencies are counted
+    for those terms only (partial aggregation, so a very frequent term is
+    collapsed map-side), and the weighted postings are joined with the
+    per-query term counts and summed per (query, doc).
+    """
+    qt = query_terms(queries, text_col)
+    vocab = broadcast_if_small(qt.select("term").distinct())
+    tf_q = index.terms.join(vocab, "term", "left_semi")
+    df_q = broadcast_if_small(tf_q.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    post = tf_q.join(df_q, "term").select("term", "doc_id", index.weight().alias("weight"))
+    joined = post.join(broadcast_if_small(qt), "term")
     return joined.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("qtf") * F.col("weight")).alias("bm25_score"))
 
@@ -108,7 +129,7 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int = FV.BM25_TOP_K,
 
 def corpus_stats(index: Bm25Index) -> DataFrame:
     """AG10 summary: N, avgdl, vocabulary size, postings count, total tokens."""
-    agg = index.postings.agg(
+    agg = index.terms.agg(
         F.countDistinct("term").alias("n_terms"),
         F.count(F.lit(1)).alias("n_postings"),
         F.sum("tf").alias("n_tokens"))
@@ -120,7 +141,7 @@ def corpus_stats(index: Bm25Index) -> DataFrame:
 
 def term_stats(index: Bm25Index) -> DataFrame:
     """AG10 per-term table: df and collection frequency."""
-    return index.postings.groupBy("term").agg(
+    return index.terms.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,11 @@ def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven to be small.
 
-    Beyond the bound the frame is returned unchanged and Spark plans a
-    shuffle join (AQE may still convert it using runtime statistics).
+    The frame is persisted (memory and disk, lineage kept) before the bounded
+    count, so the probe and the join read the same rows instead of computing
+    an expensive input (a scored hit list, say) twice.  Beyond the bound the
+    persisted frame is returned as is and Spark plans a shuffle join (AQE may
+    still convert it from runtime statistics).
     """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
