@@ -10,6 +10,7 @@ reason for the window.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +43,18 @@ def hybrid_search(queries: DataFrame, index: lexical.Bm25Index, doc_vectors: Dat
     both lists hold the key, else 0.6*b or 0.6*v; top ``limit`` per query.
     """
     docs = index.docs
+    keep = StorageLevel.MEMORY_AND_DISK  # hit lists: at most k rows per query
     bm = lexical.top_k(lexical.bm25_scores(index, queries), "query_id",
-                       [F.round("bm25_score", 9).desc(), F.col("doc_id")], bm25_k, "bm_rank")
-    bm = _attach(bm, docs, [key])
-    bm = last_wins_by_content(bm, "query_id", key, "bm_rank", ["doc_id", "bm25_score"])
-
+                       [F.round("bm25_score", 9).desc(), F.col("doc_id")], bm25_k, "bm_rank").persist(keep)
     vec = dense.dense_candidates(query_vectors, doc_vectors.withColumnRenamed("doc_id", "point_id"),
                                  limit, threshold)
     vec = vec.select("query_id", F.col("point_id").alias("doc_id"), F.col("score").alias("vector_score"),
-                     F.col("search_rank").alias("vec_rank"))
-    vec = _attach(vec, docs, [key])
-    vec = last_wins_by_content(vec, "query_id", key, "vec_rank", ["doc_id", "vector_score"])
+                     F.col("search_rank").alias("vec_rank")).persist(keep)
+    # one pass over the documents fetches the fusion key of every hit document
+    hit_ids = bm.select("doc_id").unionByName(vec.select("doc_id")).distinct()
+    keys = broadcast_if_small(_attach(hit_ids, docs, [key]))
+    bm = last_wins_by_content(bm.join(keys, "doc_id"), "query_id", key, "bm_rank", ["doc_id", "bm25_score"])
+    vec = last_wins_by_content(vec.join(keys, "doc_id"), "query_id", key, "vec_rank", ["doc_id", "vector_score"])
 
     b, v = bm.alias("b"), vec.alias("v")
     fused = b.join(v, (F.col("b.query_id") == F.col("v.query_id")) & (F.col(f"b.{key}") == F.col(f"v.{key}")),
@@ -62,6 +64,7 @@ def hybrid_search(queries: DataFrame, index: lexical.Bm25Index, doc_vectors: Dat
     fused = fused.select(
         F.coalesce("b.query_id", "v.query_id").alias("query_id"),
         F.coalesce("b.doc_id", "v.doc_id").alias("doc_id"),
+        F.coalesce(f"b.{key}", f"v.{key}").alias(key),
         F.col("b.bm25_score").alias("bm25_score"), F.col("v.vector_score").alias("vector_score"),
         method.alias("search_method"))
     hs = (F.when(F.col("search_method") == "hybrid",
@@ -95,19 +98,10 @@ def multi_query_retrieve(variants: DataFrame, index: lexical.Bm25Index | None, d
     qid = F.xxhash64("request_id", "variant_idx")
     q = variants.select(qid.alias("query_id"), "request_id", "variant_idx", "query")
     qv = variant_vectors.select(qid.alias("query_id"), "query_vec")
-    if index is not None:
-        hits = hybrid_search(q.select("query_id", "query"), index, doc_vectors, qv, limit=top_k_)
-        hits = hits.select("query_id", "doc_id", "rank", "hybrid_score", "search_method")
-    else:
-        hits = dense.dense_candidates(qv, doc_vectors.withColumnRenamed("doc_id", "point_id"), top_k_,
-                                      FV.DENSE_THRESHOLD)
-        hits = hits.select("query_id", F.col("point_id").alias("doc_id"), F.col("search_rank").alias("rank"),
-                           F.col("score").alias("hybrid_score"), F.lit("vector_fallback").alias("search_method"))
-    docs = index.docs if index is not None else None
-    if docs is not None:
-        hits = _attach(hits, docs, [key])
-    else:
+    if index is None:
         raise ValueError("vector-only retrieval needs the documents: use multi_query_vector")
+    hits = hybrid_search(q.select("query_id", "query"), index, doc_vectors, qv, limit=top_k_, key=key)
+    hits = hits.select("query_id", "doc_id", key, "rank", "hybrid_score", "search_method")
     hits = hits.join(q.select("query_id", "request_id", "variant_idx", F.col("query").alias("retrieval_query")),
                      "query_id")
     return first_seen_dedup(hits, "request_id", "variant_idx", "rank", key,
