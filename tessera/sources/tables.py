@@ -13,18 +13,27 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Unique keys: when a scan has to be spread anyway, hashing on the unique key
+# is as even as round-robin and lets later per-document aggregations
+# (term counts, hashing vectors) run without another exchange.
+UNIQUE_KEYS = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), UNIQUE_KEYS.get(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
     """Parallelism floor for scans: a scan with fewer partitions than the
     cluster has cores (a single large row group, a few big files) is spread
-    round-robin right after the scan.  Many-file inputs are left alone, so on
-    a large cluster this adds no shuffle; filters and column pruning still
-    reach the scan through the round-robin repartition."""
+    right after the scan - by the hash of a unique key when there is one,
+    else round-robin; both are skew-free.  Many-file inputs are left alone,
+    so on a large cluster this adds no shuffle; filters and column pruning
+    still reach the scan through the repartition."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, unique_key) if unique_key else df.repartition(target)
 
 
 def qa_pairs(conversations: DataFrame) -> DataFrame:
