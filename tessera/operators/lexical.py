@@ -80,10 +80,23 @@ def build_bm25_index(docs: DataFrame, k1: float = FV.BM25_K1, b: float = FV.BM25
     return Bm25Index(terms=tf, n_docs=n_docs, avgdl=avgdl, docs=docs.drop("search_text"), k1=k1, b=b)
 
 
-def write_index(index: Bm25Index, path: str, buckets: int = 512) -> None:
-    """Persist postings bucketed by term so search joins read co-partitioned data."""
-    (index.postings.repartition(buckets, "term").sortWithinPartitions("term")
-         .write.mode("overwrite").partitionBy().parquet(f"{path}/postings"))
+def write_index(index: Bm25Index, path: str, files: int = 512) -> None:
+    """Write the index to ``path`` (a shared folder): the term table
+    clustered and sorted by term (parquet min/max statistics per row group
+    then cover narrow term ranges) and a one-row statistics table."""
+    (index.terms.repartition(files, "term").sortWithinPartitions("term", "doc_id")
+         .write.mode("overwrite").parquet(f"{path}/terms"))
+    spark = index.terms.sparkSession
+    spark.createDataFrame([(index.n_docs, index.avgdl, index.k1, index.b)],
+                          "n_docs long, avgdl double, k1 double, b double") \
+         .write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_index(spark, path: str, docs: DataFrame) -> Bm25Index:
+    """Read an index written by ``write_index``; ``docs`` supplies the payload."""
+    st = spark.read.parquet(f"{path}/stats").first()
+    return Bm25Index(terms=spark.read.parquet(f"{path}/terms"), n_docs=int(st["n_docs"]),
+                     avgdl=float(st["avgdl"]), docs=require_any(docs), k1=float(st["k1"]), b=float(st["b"]))
 
 
 def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:

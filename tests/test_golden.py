@@ -242,3 +242,19 @@ def test_multi_query_first_seen(spark):
     out = hybrid.first_seen_dedup(hits, "request_id", "variant_idx", "rank", "content", ["doc_id"]) \
         .orderBy("position").collect()
     assert [(r["content"], r["variant_idx"], r["position"]) for r in out] == [("x", 0, 1), ("y", 0, 2), ("z", 1, 3)]
+
+
+def test_index_roundtrip(spark):
+    from tessera.sources import tables as T
+    from tessera.sources.jsonl import scratch_path
+    sf = "/root/testdata/sf0.001"
+    docs = T.search_documents(T.table(spark, sf, "documents"))
+    q = T.bench_queries(T.table(spark, sf, "benchmark"))
+    idx = lexical.build_bm25_index(docs)
+    path = scratch_path(spark, "index")
+    lexical.write_index(idx, path, files=4)
+    back = lexical.load_index(spark, path, docs)
+    assert back.n_docs == idx.n_docs and abs(back.avgdl - idx.avgdl) < 1e-12
+    a = {(r["query_id"], r["doc_id"]) for r in lexical.bm25_search(idx, q, 5).collect()}
+    b = {(r["query_id"], r["doc_id"]) for r in lexical.bm25_search(back, q, 5).collect()}
+    assert a == b and len(a) > 0
