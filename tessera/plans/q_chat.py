@@ -219,3 +219,19 @@ def chat_rows_with_defaults(spark, sf):
     """SNK7 frame: completed = not is_request."""
     c = T.chat_log(T.table(spark, sf, "conversations"))
     return chat.with_chat_defaults(c).select("conversation_id", "turn", "message", "is_request", "completed")
+
+
+@register("append_chat_log", sql="""
+SELECT conv_id::VARCHAR AS conversation_id, turn, role = 'user' AS is_request, NOT (role = 'user') AS completed
+FROM conversations
+""")
+def append_chat_log(spark, sf):
+    """SNK7: requests and replies appended to one parquet chat table in two
+    separate appends, then read back."""
+    from tessera.sources.jsonl import scratch_path
+    rows = chat.with_chat_defaults(T.chat_log(T.table(spark, sf, "conversations")))
+    rows = rows.select("conversation_id", "turn", "message", "is_request", "completed")
+    path = scratch_path(spark, "chat-log")
+    chat.append_rows(rows.filter(F.col("is_request")), path)
+    chat.append_rows(rows.filter(~F.col("is_request")), path)
+    return spark.read.parquet(path).select("conversation_id", "turn", "is_request", "completed")

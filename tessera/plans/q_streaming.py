@@ -159,3 +159,12 @@ def stream_import_progress(spark, sf):
     from pyspark.sql import Window
     w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
     return p.withColumn("total_processed", F.sum("processed").over(w)).withColumn("total_errors", F.sum("errors").over(w))
+
+
+@register("stream_closed_sessions")
+def stream_closed_sessions(spark, sf):
+    """ST1 (session-window form): sessions emitted in append mode once the
+    watermark has passed their end; sessions still open when the input ends
+    stay in state (rows-only check)."""
+    s = jobs.stream_sessions(_events_stream(spark, sf), ["bot_id", "user_id"])
+    return spark.read.parquet(jobs.drain(s, "closed-sessions", "append"))
