@@ -38,7 +38,7 @@ def is_blank(c: Column | str) -> Column:
 def tokens(c: Column | str) -> Column:
     """Lower-cased word tokens (letters, marks, digits); empties dropped."""
     parts = F.split(F.lower(F.coalesce(_c(c), F.lit(""))), TOKEN_SPLIT)
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(parts, "")
 
 
 def whitespace_tokens(c: Column | str) -> Column:

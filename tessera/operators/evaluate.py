@@ -28,7 +28,7 @@ def rouge_tokens(c: Column | str, token_class: str = "unicode") -> Column:
     runs of the lower-cased text (the common scorer's default)."""
     if token_class == "ascii":
         col = F.col(c) if isinstance(c, str) else c
-        return F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), ASCII_SPLIT), lambda t: t != "")
+        return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), ASCII_SPLIT), "")
     return tokens(c)
 
 
