@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
 from tessera.functions.text import once, search_text, tokens
-from tessera.session import broadcast_if_small
+from tessera.session import bounded_rows
 
 
 @dataclass
@@ -105,7 +105,8 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
                    .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "query") -> DataFrame:
+def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "query",
+                max_rows: int = 200_000) -> DataFrame:
     """Exact BM25 score of every (query, doc) sharing at least one term.
 
     Only the postings of query terms are touched: the term table is
@@ -115,12 +116,16 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "query") -
     collapsed map-side), and the weighted postings are joined with the
     per-query term counts and summed per (query, doc).
     """
-    qt = query_terms(queries, text_col)
-    vocab = broadcast_if_small(qt.select("term").distinct())
+    qt = query_terms(queries, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    # one bound covers all three small sides: the distinct query terms and
+    # their document frequencies never have more rows than (query, term)
+    small = bounded_rows(qt, max_rows) is not None
+    bc = F.broadcast if small else (lambda d: d)
+    vocab = bc(qt.select("term").distinct())
     tf_q = index.terms.join(vocab, "term", "left_semi")
-    df_q = broadcast_if_small(tf_q.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    df_q = bc(tf_q.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     post = tf_q.join(df_q, "term").select("term", "doc_id", index.weight().alias("weight"))
-    joined = post.join(broadcast_if_small(qt), "term")
+    joined = post.join(bc(qt), "term")
     return joined.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("qtf") * F.col("weight")).alias("bm25_score"))
 
