@@ -6,6 +6,9 @@ grows with them; nothing is generated.
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 # is as even as round-robin and lets later per-document aggregations
 # (term counts, hashing vectors) run without another exchange.
 UNIQUE_KEYS = {"documents": "doc_id"}
+# below this much input per core a scan is not worth spreading
+MIN_BYTES_PER_TASK = 64 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +36,22 @@ def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
     so on a large cluster this adds no shuffle; filters and column pruning
     still reach the scan through the repartition."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if df.rdd.getNumPartitions() >= target or _input_bytes(df) < target * MIN_BYTES_PER_TASK:
         return df
     return df.repartition(target, unique_key) if unique_key else df.repartition(target)
 
 
+def _input_bytes(df: DataFrame) -> float:
+    """Bytes of the scanned files when they are local; unknown sizes count as large."""
+    total = 0
+    for f in df.inputFiles():
+        p = urlparse(f)
+        if p.scheme not in ("", "file") or not os.path.exists(p.path):
+            return float("inf")
+        total += os.path.getsize(p.path)
+    return total
+
+
 def qa_pairs(conversations: DataFrame) -> DataFrame:
     """Each user turn with the next assistant turn of the same conversation.
 
