@@ -48,19 +48,30 @@ def _ngram_counts(df: DataFrame, id_col: str, text_col: str, n: int, token_class
 
 def rouge_n(df: DataFrame, n: int, id_col: str = "id", reference: str = "reference",
             prediction: str = "prediction", token_class: str = "unicode") -> DataFrame:
-    """EV2: (id, rouge{n}_p, rouge{n}_r, rouge{n}_f1) for every row."""
-    r = _ngram_counts(df, id_col, reference, n, token_class, "r")
-    p = _ngram_counts(df, id_col, prediction, n, token_class, "p")
-    overlap = r.join(p, [id_col, "gram"]).groupBy(id_col).agg(
-        F.sum(F.least("r", "p")).alias("overlap"))
-    tot_r = r.groupBy(id_col).agg(F.sum("r").alias("n_ref"))
-    tot_p = p.groupBy(id_col).agg(F.sum("p").alias("n_pred"))
-    out = df.select(id_col).join(tot_r, id_col, "left").join(tot_p, id_col, "left").join(overlap, id_col, "left")
-    ov = F.coalesce("overlap", F.lit(0)).cast("double")
+    """EV2: (id, rouge{n}_p, rouge{n}_r, rouge{n}_f1) for every row.
+
+    One pass over ``df``: the reference and prediction n-grams of a row are
+    exploded together with a side tag, counted per (id, n-gram) and reduced
+    per id (clipped overlap = sum of min counts).  A row without n-grams
+    keeps one empty entry, so every input row has an output row."""
+    t = df.select(id_col, once(F.struct(rouge_tokens(reference, token_class).alias("r"),
+                                        rouge_tokens(prediction, token_class).alias("p"))).alias("_t"))
+
+    def tagged(col, r, p):
+        grams = F.when(F.size(col) >= n, ngrams(col, n)).otherwise(F.array().cast("array<string>"))
+        return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(r).alias("r"), F.lit(p).alias("p")))
+
+    both = F.concat(tagged(F.col("_t.r"), 1, 0), tagged(F.col("_t.p"), 0, 1))
+    g = t.select(id_col, F.explode_outer(both).alias("_g"))
+    per_gram = g.groupBy(id_col, F.col("_g.gram").alias("gram")).agg(
+        F.coalesce(F.sum("_g.r"), F.lit(0)).alias("r"), F.coalesce(F.sum("_g.p"), F.lit(0)).alias("p"))
+    per_row = per_gram.groupBy(id_col).agg(F.sum(F.least("r", "p")).alias("overlap"),
+                                           F.sum("r").alias("n_ref"), F.sum("p").alias("n_pred"))
+    ov = F.col("overlap").cast("double")
     prec = F.when(F.col("n_pred") > 0, ov / F.col("n_pred")).otherwise(0.0)
     rec = F.when(F.col("n_ref") > 0, ov / F.col("n_ref")).otherwise(0.0)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
-    return out.select(id_col, prec.alias(f"rouge{n}_p"), rec.alias(f"rouge{n}_r"), f1.alias(f"rouge{n}_f1"))
+    return per_row.select(id_col, prec.alias(f"rouge{n}_p"), rec.alias(f"rouge{n}_r"), f1.alias(f"rouge{n}_f1"))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

@@ -11,6 +11,7 @@ point are ranked inside; every other row's split follows from its bucket.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +36,20 @@ def split_exact(df: DataFrame, id_cols: list[str], ratios=FV.SPLIT_RATIOS, seed:
                 strata: str | None = None) -> DataFrame:
     """Add ``split`` in {'train','valid','test'}; per stratum when ``strata`` is set."""
     gkey = [strata] if strata else []
+    # the keyed input feeds the bucket counts and both halves of the result:
+    # keep it (memory and disk, lineage intact) instead of deriving it three times
     keyed = (df.withColumn("_k", shuffle_key(id_cols, seed))
                .withColumn("_id", F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols]))
-               .withColumn("_b", F.conv(F.substring("_k", 1, _PREFIX), 16, 10).cast("int")))
+               .withColumn("_b", F.conv(F.substring("_k", 1, _PREFIX), 16, 10).cast("int"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
     # one row per (stratum, bucket): at most 65,536 rows per stratum
     counts = keyed.groupBy(*gkey, "_b").agg(F.count(F.lit(1)).alias("c")).collect()
     per_stratum: dict = {}
     for r in counts:
         per_stratum.setdefault(r[strata] if strata else None, []).append((r["_b"], r["c"]))
     # bucket ranges -> split, and the cut buckets with their rank offsets
-    rules = []          # (stratum, lo_bucket, hi_bucket, split)  hi exclusive
-    cut_rows = []       # (stratum, bucket, prefix_before, cut1, cut2)
+    rules = []          # (stratum, bucket, split) for buckets wholly inside one split
+    cut_rows = []       # (stratum, bucket, rows before it, cut1, cut2) for buckets holding a cut
     for s, buckets in per_stratum.items():
         buckets.sort()
         n = sum(c for _, c in buckets)
