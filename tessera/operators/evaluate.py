@@ -116,6 +116,51 @@ def rouge_l(df: DataFrame, id_col: str = "id", reference: str = "reference",
                                          rouge_tokens(prediction, token_class)).alias("rougeL_f1"))
 
 
+def row_metrics(df: DataFrame, ns=(1, 2), with_l: bool = True, id_col: str = "id",
+                reference: str = "reference", prediction: str = "prediction", loss: str | None = "loss",
+                token_class: str = "unicode") -> DataFrame:
+    """EV1-EV3 in one pass over ``df``: loss, perplexity, ROUGE-n F1 for
+    every n in ``ns`` and ROUGE-L F1 per row.  Tokens are built once per row;
+    the n-grams of every n and both sides are exploded together with tags,
+    counted per (id, n, n-gram) and reduced per id."""
+    tok = F.struct(rouge_tokens(reference, token_class).alias("r"), rouge_tokens(prediction, token_class).alias("p"))
+    carried = [F.col(loss).cast("double").alias("_loss")] if loss else []
+    t = df.select(id_col, *carried, once(tok).alias("_t"))
+    if with_l:
+        t = t.withColumn("_rl", rouge_l_udf(F.col("_t.r"), F.col("_t.p")))
+    def tag(n: int, is_ref: bool):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"),
+                                  F.lit(1 if is_ref else 0).alias("r"), F.lit(0 if is_ref else 1).alias("p"))
+
+    parts = []
+    for n in ns:
+        for is_ref, col in ((True, F.col("_t.r")), (False, F.col("_t.p"))):
+            grams = F.when(F.size(col) >= n, ngrams(col, n)).otherwise(F.array().cast("array<string>"))
+            parts.append(F.transform(grams, tag(n, is_ref)))
+    keep = [c for c in ("_loss", "_rl") if c in t.columns]
+    g = t.select(id_col, *keep, F.explode_outer(F.concat(*parts)).alias("_g"))
+    per_gram = g.groupBy(id_col, *keep, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
+        F.coalesce(F.sum("_g.r"), F.lit(0)).alias("r"), F.coalesce(F.sum("_g.p"), F.lit(0)).alias("p"))
+    aggs = []
+    for n in ns:
+        on = F.col("n") == n
+        aggs += [F.sum(F.when(on, F.least("r", "p")).otherwise(0)).alias(f"_ov{n}"),
+                 F.sum(F.when(on, F.col("r")).otherwise(0)).alias(f"_nr{n}"),
+                 F.sum(F.when(on, F.col("p")).otherwise(0)).alias(f"_np{n}")]
+    per_row = per_gram.groupBy(id_col, *keep).agg(*aggs)
+    out = [id_col]
+    if loss:
+        out += [F.col("_loss").alias("loss"), F.exp("_loss").alias("perplexity")]
+    for n in ns:
+        ov = F.col(f"_ov{n}").cast("double")
+        prec = F.when(F.col(f"_np{n}") > 0, ov / F.col(f"_np{n}")).otherwise(0.0)
+        rec = F.when(F.col(f"_nr{n}") > 0, ov / F.col(f"_nr{n}")).otherwise(0.0)
+        out.append(F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias(f"rouge{n}_f1"))
+    if with_l:
+        out.append(F.col("_rl").alias("rougeL_f1"))
+    return per_row.select(*out)
+
+
 def perplexity(df: DataFrame, loss: str = "loss") -> DataFrame:
     """EV1: per-row exp(loss)."""
     return df.withColumn("perplexity", F.exp(F.col(loss)))

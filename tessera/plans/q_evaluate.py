@@ -70,19 +70,13 @@ def rouge2(spark, sf):
 
 @register("rouge_scores")
 def rouge_scores(spark, sf):
-    """EV2 + EV3: ROUGE-1/2/L F1 per row (L through the Arrow LCS UDF)."""
-    p = _preds(spark, sf)
-    r1 = ev.rouge_n(p, 1).select("id", "rouge1_f1")
-    r2 = ev.rouge_n(p, 2).select("id", "rouge2_f1")
-    rl = ev.rouge_l(p)
-    return r1.join(r2, "id").join(rl, "id")
+    """EV2 + EV3: ROUGE-1/2/L F1 per row in one pass (L through the Arrow LCS UDF)."""
+    return ev.row_metrics(_preds(spark, sf), loss=None)
 
 
-def _metrics(spark, sf, df):
-    p = ev.perplexity(df)
-    r1 = ev.rouge_n(df, 1).select("id", "rouge1_f1")
-    r2 = ev.rouge_n(df, 2).select("id", "rouge2_f1")
-    return p.select("id", "loss", "perplexity").join(r1, "id").join(r2, "id")
+def _metrics(spark, sf, df, with_l=False):
+    """EV1 + EV2 (+ EV3) per row in one pass over the prediction table."""
+    return ev.row_metrics(df, with_l=with_l)
 
 
 def _summary_sql(source, a):
@@ -111,9 +105,7 @@ def eval_summary(spark, sf):
 @register("eval_summary_full")
 def eval_summary_full(spark, sf):
     """AG12 including ROUGE-L."""
-    p = _preds(spark, sf)
-    m = _metrics(spark, sf, p).join(ev.rouge_l(p), "id")
-    return ev.eval_summary(m)
+    return ev.eval_summary(_metrics(spark, sf, _preds(spark, sf), with_l=True))
 
 
 @register("eval_details", sql=f"""

@@ -258,3 +258,16 @@ def test_index_roundtrip(spark):
     a = {(r["query_id"], r["doc_id"]) for r in lexical.bm25_search(idx, q, 5).collect()}
     b = {(r["query_id"], r["doc_id"]) for r in lexical.bm25_search(back, q, 5).collect()}
     assert a == b and len(a) > 0
+
+
+def test_row_metrics_match_separate_operators(spark):
+    from tessera.sources import tables as T
+    p = T.predictions(T.table(spark, "/root/testdata/sf0.001", "conversations"))
+    one = {r["id"]: r for r in evaluate.row_metrics(p).collect()}
+    r1 = {r["id"]: r["rouge1_f1"] for r in evaluate.rouge_n(p, 1).collect()}
+    r2 = {r["id"]: r["rouge2_f1"] for r in evaluate.rouge_n(p, 2).collect()}
+    rl = {r["id"]: r["rougeL_f1"] for r in evaluate.rouge_l(p).collect()}
+    assert set(one) == set(r1) == set(rl) and len(one) > 0
+    for i, r in one.items():
+        assert abs(r["rouge1_f1"] - r1[i]) < 1e-12 and abs(r["rouge2_f1"] - r2[i]) < 1e-12
+        assert abs(r["rougeL_f1"] - rl[i]) < 1e-12 and abs(r["perplexity"] - np.exp(r["loss"])) < 1e-9
