@@ -3,8 +3,9 @@
 Plan for ``dense_search(queries, points)``:
 
 1. payload filters are applied to ``points`` first (pushed into the scan);
-2. queries are cut into blocks of at most ``block_rows`` rows - the row count
-   is probed with a bounded count, so each broadcast has a proven size;
+2. queries are cut into blocks of at most ``block_rows`` rows - each block is
+   collected with a row limit, so every broadcast has a proven size (with
+   several blocks the pruned point table is persisted and re-read per block);
 3. for every block, ``mapInPandas`` over the points computes the scores with
    one matrix product per Arrow batch and keeps a running per-query top-k
    (score >= threshold) for the whole task - at most ``k`` rows per query
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +96,12 @@ def dense_candidates(queries: DataFrame, points: DataFrame, k: int, threshold: f
     """(query_id, point_id, score) for the top-k points of every query."""
     spark = points.sparkSession
     pts = points.select(id_col, vec_col)
+    blocks = _query_blocks(queries.select("query_id", qvec_col), block_rows, qvec_col)
+    if len(blocks) > 1:
+        # every block streams all points: read them from storage once
+        pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
-    for rows in _query_blocks(queries.select("query_id", qvec_col), block_rows, qvec_col):
+    for rows in blocks:
         if not rows:
             continue
         q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
