@@ -87,7 +87,7 @@ FROM w GROUP BY series, ws
 def sustained_alert(spark, sf):
     """ST5: value > 5 for every sample of a 5-minute window, evaluated every minute."""
     a = jobs.sustained_alert(_events_stream(spark, sf), "series", "value", ALERT_THRESHOLD)
-    out = jobs.drain(a, "alerts", "update", jobs._batch_writer)
+    out = jobs.drain(a, "alerts", "update", jobs.write_batch)
     r = jobs.read_latest(spark, out, ["series", "window_start"])
     return r.select("series", F.date_format("window_start", TS_FMT_SPARK).alias("window_start"), "n_samples",
                     F.round("min_value", 6).alias("min_value"), "firing")
@@ -131,7 +131,7 @@ SELECT strftime(ws, '{TS_FMT_SQL}') AS window_start, round(num, 6) AS num, round
 def metric_ratio(spark, sf):
     """ST7: (1 - view / click) * 100 per 5-minute window, streamed."""
     m = jobs.metric_ratio(_events_stream(spark, sf), "series", "value", "view", "click")
-    out = jobs.drain(m, "ratio", "update", jobs._batch_writer)
+    out = jobs.drain(m, "ratio", "update", jobs.write_batch)
     r = jobs.read_latest(spark, out, ["window_start"])
     return r.select(F.date_format("window_start", TS_FMT_SPARK).alias("window_start"),
                     F.round("num", 6).alias("num"), F.round("den", 6).alias("den"),

@@ -28,7 +28,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     """SRC1: line-wise JSON with the given schema; a malformed line keeps its
     text in ``_bad`` (fields NULL); blank lines are skipped.  Lines are parsed
     with ``from_json`` so the corrupt-record column can be used on its own."""
-    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     if BAD not in st.fieldNames():
         st = T.StructType(st.fields + [T.StructField(BAD, T.StringType())])
     lines = spark.read.text(path).filter(F.trim(F.col("value")) != "")

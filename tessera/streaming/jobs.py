@@ -45,7 +45,7 @@ def drain(sdf: DataFrame, name: str, output_mode: str = "append",
     return out
 
 
-def _batch_writer(df: DataFrame, batch_id: int, out: str) -> None:
+def write_batch(df: DataFrame, batch_id: int, out: str) -> None:
     df.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite") \
       .parquet(f"{out}/batch={batch_id}")
 
@@ -160,7 +160,7 @@ def stream_ingest_documents(sdf: DataFrame, size: int = FV.CHUNK_TOKENS, overlap
     def foreach(df: DataFrame, batch_id: int, out: str) -> None:
         ch = chunk.point_ids(chunk.chunk_tokens(df, "text", size, overlap))
         pts = embed.embed(ch, "point_id", "content", encoder)
-        _batch_writer(pts.select("point_id", "doc_id", "chunk_idx", "n_tokens", "embedding"), batch_id, out)
+        write_batch(pts.select("point_id", "doc_id", "chunk_idx", "n_tokens", "embedding"), batch_id, out)
 
     return sdf.select("doc_id", "text"), foreach
 
