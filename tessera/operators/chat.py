@@ -132,6 +132,32 @@ def render_chat_history(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn
     return out.select(conv, F.concat(head, F.col("_body"), F.lit(f"{FV.LLAMA_ASSISTANT_HEADER}\n\n")).alias("prompt"))
 
 
+def render_chat_lines(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn", role: str = "role",
+                      content: str = "text", default_system: str = FV.SERVING_DEFAULT_SYSTEM) -> DataFrame:
+    """PF11 as rows (conv, line_no, line): concatenating a conversation's
+    lines by ``line_no`` gives ``render_chat_history``'s prompt.  No task
+    gathers a conversation, so arbitrarily long conversations stay
+    distributed; a writer sorted by (conv, line_no) produces the texts.
+    Line 0 is the system block, message lines are numbered ``turn + 1``, the
+    open assistant header is the last line."""
+    first_sys = msgs.filter(F.col(role) == "system").groupBy(conv).agg(
+        F.min_by(F.col(content), F.col(idx)).alias("_sys"))
+    convs = msgs.groupBy(conv).agg(F.max(idx).alias("_last"))
+    head = convs.join(first_sys, conv, "left").select(
+        conv, F.lit(0).cast("bigint").alias("line_no"),
+        F.concat(F.lit(f"{FV.LLAMA_SYSTEM_HEADER}\n\n"),
+                 F.coalesce(F.nullif(F.col("_sys"), F.lit("")), F.lit(default_system)),
+                 F.lit(f"{FV.LLAMA_EOT}\n")).alias("line"))
+    body = msgs.filter(F.col(role).isin("user", "assistant")).select(
+        conv, (F.col(idx) + 1).cast("bigint").alias("line_no"),
+        F.concat(F.when(F.col(role) == "user", F.lit(f"{FV.LLAMA_USER_HEADER}\n\n"))
+                 .otherwise(F.lit(f"{FV.LLAMA_ASSISTANT_HEADER}\n\n")), F.col(content),
+                 F.lit(f"{FV.LLAMA_EOT}\n")).alias("line"))
+    tail = convs.select(conv, (F.col("_last") + 2).cast("bigint").alias("line_no"),
+                        F.lit(f"{FV.LLAMA_ASSISTANT_HEADER}\n\n").alias("line"))
+    return head.unionByName(body).unionByName(tail)
+
+
 def render_plain_history(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn", role: str = "role",
                          content: str = "text") -> DataFrame:
     """PF12: 'System: / Human: / Assistant:' lines then 'Assistant:'."""

@@ -131,6 +131,22 @@ def chat_prompt(spark, sf):
     return chat.render_chat_history(T.table(spark, sf, "conversations"))
 
 
+@register("chat_prompt_lines", sql=f"""
+WITH s AS (SELECT conv_id, arg_min(text, turn) AS sys FROM conversations WHERE role = 'system' GROUP BY 1),
+c AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1)
+SELECT c.conv_id, 0::BIGINT AS line_no, '{_SYS_H}' || coalesce(nullif(s.sys, ''), '{FV.SERVING_DEFAULT_SYSTEM}') || '{_EOT}' AS line
+FROM c LEFT JOIN s USING (conv_id)
+UNION ALL
+SELECT conv_id, turn + 1, CASE WHEN role = 'user' THEN '{_USR_H}' ELSE '{_AST_H}' END || text || '{_EOT}'
+FROM conversations WHERE role IN ('user', 'assistant')
+UNION ALL
+SELECT conv_id, last + 2, '{_AST_H}' FROM c
+""")
+def chat_prompt_lines(spark, sf):
+    """PF11 as ordered lines (the distributed form of ``chat_prompt``)."""
+    return chat.render_chat_lines(T.table(spark, sf, "conversations"))
+
+
 @register("plain_prompt", sql="""
 SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN 'System: ' || text || chr(10)
                                 WHEN role = 'user' THEN 'Human: ' || text || chr(10)

@@ -57,3 +57,14 @@ def test_chunks_cover_every_token(spark):
     n = d.select("doc_id", F.size(whitespace_tokens("text")).alias("n"))
     bad = got.join(n, "doc_id").filter(F.col("s") - (F.col("k") - 1) * 8 != F.col("n"))
     assert bad.count() == 0
+
+
+def test_prompt_lines_concatenate_to_prompt(spark):
+    lines = Q["chat_prompt_lines"](spark, SF).collect()
+    by_conv: dict = {}
+    for r in lines:
+        by_conv.setdefault(r["conv_id"], []).append((r["line_no"], r["line"]))
+    prompts = {r["conv_id"]: r["prompt"] for r in Q["chat_prompt"](spark, SF).collect()}
+    assert set(by_conv) == set(prompts)
+    for c, ls in by_conv.items():
+        assert "".join(x for _, x in sorted(ls)) == prompts[c]
