@@ -155,7 +155,7 @@ def stream_import_progress(spark, sf):
     parsed = lines.select(F.from_json("value", st, {"mode": "PERMISSIVE",
                                                     "columnNameOfCorruptRecord": jsonl.BAD}).alias("r")).select("r.*")
     out = jobs.drain(parsed, "import", "append", jobs.import_progress_writer(["question", "answer"]))
-    p = spark.read.parquet(out).drop("batch")
+    p = spark.read.parquet(f"{out}/progress").drop("batch")
     from pyspark.sql import Window
     w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
     return p.withColumn("total_processed", F.sum("processed").over(w)).withColumn("total_errors", F.sum("errors").over(w))

@@ -201,13 +201,21 @@ def metric_ratio(sdf: DataFrame, series: str, value: str, num: str, den: str, wi
 
 
 # --------------------------------------------------------------------------- ST8
-def import_progress_writer(schema_fields: list[str]):
-    """ST8: per batch, processed and error counts (one aggregate pass over
-    the batch), written under the batch id so a replay replaces it."""
+def import_progress_writer(data_cols: list[str]):
+    """ST8: each batch appends its valid rows to ``<out>/rows`` and, in the
+    same pass (``observe``), counts processed and malformed lines; the counts
+    go to ``<out>/progress`` under the batch id, so a replay replaces them."""
     def foreach(df: DataFrame, batch_id: int, out: str) -> None:
+        from pyspark.sql import Observation
+
         from tessera.sources.jsonl import BAD
-        obs = df.groupBy().agg(F.count(F.lit(1)).alias("lines"), F.count(BAD).alias("errors"))
-        obs.select(F.lit(batch_id).cast("bigint").alias("batch_id"),
-                   (F.col("lines") - F.col("errors")).alias("processed"), "errors") \
-           .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        obs = Observation(f"import-{batch_id}")
+        seen = df.observe(obs, F.count(F.lit(1)).alias("lines"), F.count(BAD).alias("errors"))
+        seen.filter(F.col(BAD).isNull()).select(*data_cols) \
+            .write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        m = obs.get
+        df.sparkSession.createDataFrame(
+            [(batch_id, int(m["lines"]) - int(m["errors"]), int(m["errors"]))],
+            "batch_id long, processed long, errors long").write.mode("overwrite") \
+            .parquet(f"{out}/progress/batch={batch_id}")
     return foreach

@@ -68,3 +68,9 @@ def test_prompt_lines_concatenate_to_prompt(spark):
     assert set(by_conv) == set(prompts)
     for c, ls in by_conv.items():
         assert "".join(x for _, x in sorted(ls)) == prompts[c]
+
+
+def test_import_progress_totals_match_batch_read(spark):
+    prog = Q["stream_import_progress"](spark, SF).agg(F.sum("processed").alias("p"), F.sum("errors").alias("e")).first()
+    batch = Q["jsonl_roundtrip"](spark, SF).first()
+    assert (prog["p"], prog["e"]) == (batch["n_valid"], batch["n_bad"])
