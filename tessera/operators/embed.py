@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import tokens
+from tessera.functions.text import once, tokens
 
 
 @dataclass(frozen=True)
@@ -90,15 +90,27 @@ def _dense_from_cells(cells: DataFrame, id_col: str, dim: int, out_col: str) ->
     return per_doc.select(id_col, _densify(dim)(F.col("c.b"), F.col("c.v")).alias(out_col))
 
 
+def _densify_sum(dim: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def densify_sum(buckets: pd.Series, signs: pd.Series) -> pd.Series:
+        out = np.zeros((len(buckets), dim), dtype=np.float64)
+        for i, (b, v) in enumerate(zip(buckets, signs)):
+            if len(b):
+                np.add.at(out[i], np.asarray(b, dtype=np.int64), np.asarray(v, dtype=np.float64))
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        np.divide(out, norms, out=out, where=norms > 0)
+        return pd.Series(list(out))
+    return densify_sum
+
+
 def _hashing_embed(df: DataFrame, id_col: str, text_col: str, dim: int, out_col: str) -> DataFrame:
-    toks = df.select(id_col, F.explode(tokens(prepare_text(text_col))).alias("tok"))
-    bucket, sign = _bucket_sign(F.col("tok"), dim)
-    # partial aggregation collapses a document's tokens to <= dim cells map-side
-    cells = toks.groupBy(id_col, bucket.alias("b")).agg(F.sum(sign).alias("v"))
-    vec = _dense_from_cells(cells, id_col, dim, out_col)
-    # documents without any token keep a zero vector
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return df.join(vec, id_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), zeros))
+    """Per row, no shuffle: tokens are hashed to (bucket, sign) in place and
+    summed into the L2-normalised vector by a small Arrow UDF; rows keep
+    their partitioning and no join back is needed."""
+    t = df.select("*", once(tokens(prepare_text(text_col))).alias("_tk"))
+    buckets = F.transform("_tk", lambda w: _bucket_sign(w, dim)[0])
+    signs = F.transform("_tk", lambda w: _bucket_sign(w, dim)[1])
+    return t.withColumn(out_col, _densify_sum(dim)(buckets, signs)).drop("_tk")
 
 
 def embed(df: DataFrame, id_col: str, text_col: str, encoder=None, out_col: str = "embedding",
