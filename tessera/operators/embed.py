@@ -2,10 +2,12 @@
 
 Two encoder paths:
 
-* ``HashingEncoder`` - signed feature hashing of word tokens.  It is computed
-  with built-in Spark functions (tokens -> md5 -> bucket/sign -> per-document
-  sum -> dense array -> L2 normalise); every group is one document and at
-  most ``dim`` buckets, so nothing large is collected.
+* ``HashingEncoder`` - signed feature hashing of word tokens.  Tokens and
+  their md5 bucket/sign are built-in expressions evaluated per row; a small
+  Arrow UDF sums them into the L2-normalised dense vector (numpy per batch).
+  No shuffle and no join: rows keep their partitioning.  For a corpus that
+  already has a (doc, term, tf) table, ``hashing_vectors_from_terms`` builds
+  the same vectors from it without tokenising again.
 * any other encoder object with ``encode(list[str]) -> np.ndarray`` runs in
   ``mapInPandas``: one encoder per task, Arrow batches of ``batch_size`` rows.
 """
