@@ -184,7 +184,7 @@ def token_usage(spark, sf):
 
 @register("export_conversations", sql="""
 SELECT conv_id::VARCHAR AS conversation_id, count(*) AS total_messages,
-       to_json(list({'index': turn + 1, 'role': role, 'content': text, 'timestamp': 'Unknown'} ORDER BY turn)) AS messages_json
+       to_json(list({'index': turn + 1, 'role': role, 'content': text, 'timestamp': 'Unknown'} ORDER BY turn))::VARCHAR AS messages_json
 FROM conversations GROUP BY conv_id
 """)
 def export_conversations(spark, sf):
@@ -217,7 +217,7 @@ def doc_prompt(spark, sf):
 
 @register("rag_messages", sql=DOCP_SQL + f"""
 SELECT dp.query_id, to_json([{{'role': 'system', 'content': '{FV.RAG_SYSTEM_PROMPT}'}},
-                             {{'role': 'user', 'content': dp.doc_prompt || '{FV.RAG_USER_QUESTION}' || b.text || '{FV.RAG_USER_TAIL}'}}]) AS messages
+                             {{'role': 'user', 'content': dp.doc_prompt || '{FV.RAG_USER_QUESTION}' || b.text || '{FV.RAG_USER_TAIL}'}}])::VARCHAR AS messages
 FROM dp JOIN benchmark b ON b.item_id = dp.query_id
 """)
 def rag_messages(spark, sf):

@@ -109,7 +109,7 @@ def instruction_format(spark, sf):
 
 
 @register("conversation_format", sql=f"""
-SELECT conv_id, turn, to_json([{{'role': 'user', 'content': question}}, {{'role': 'assistant', 'content': answer}}]) AS conversations
+SELECT conv_id, turn, to_json([{{'role': 'user', 'content': question}}, {{'role': 'assistant', 'content': answer}}])::VARCHAR AS conversations
 FROM {KEPT_B}
 """)
 def conversation_format(spark, sf):

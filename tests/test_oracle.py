@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import digest
+from tools.oracle_check import digest, type_mismatches
 from tessera.sources.tables import TABLES
 
 SF = os.environ.get("TESSERA_TEST_SF", "/root/testdata/sf0.001")
@@ -43,6 +43,7 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(cols) == sorted(dcols)
+    assert type_mismatches(df.dtypes, con, ORACLE[name]) == []
     assert len(rows) == len(drows)
     assert digest(cols, rows)[0] == digest(dcols, drows)[0]
 
