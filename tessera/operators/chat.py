@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
+from tessera.functions.time import epoch_micros, from_epoch_micros
 
 
 # --------------------------------------------------------------------------- sessions
@@ -30,9 +31,8 @@ def sessionize(df: DataFrame, keys: list[str], ts: str = "ts", ttl: int = FV.SES
     access, last session start) comes from one row per (key, bucket),
     ordered per key over a table whose size is the number of buckets.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" \
-        else F.unix_micros(F.col(ts))
-    e = df.withColumn("_t", us).withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)))
+    ts_type = dict(df.dtypes)[ts]
+    e = df.withColumn("_t", epoch_micros(F.col(ts), ts_type)).withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)))
     w_in = Window.partitionBy(*keys, "_bk").orderBy("_t", tie)
     per_bucket = e.groupBy(*keys, "_bk").agg(F.max("_t").alias("_bmax"))
     w_b = Window.partitionBy(*keys).orderBy("_bk")
@@ -47,9 +47,7 @@ def sessionize(df: DataFrame, keys: list[str], ts: str = "ts", ttl: int = FV.SES
         w_b.rowsBetween(Window.unboundedPreceding, -1)))
     e = e.join(last_start.select(*keys, "_bk", "_carry"), [*keys, "_bk"])
     start_us = F.coalesce(F.col("_start_in"), F.col("_carry"))
-    start_ts = F.timestamp_micros(start_us)
-    if dict(df.dtypes)[ts] == "timestamp_ntz":
-        start_ts = start_ts.cast("timestamp_ntz")
+    start_ts = from_epoch_micros(start_us, ts_type)
     start_txt = F.date_format(start_ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     sid = F.substring(F.sha2(F.concat_ws(".", *[F.col(k).cast("string") for k in keys], start_txt), 256), 1, 33)
     return e.withColumn("session_start", start_txt).withColumn("conversation_id", sid) \

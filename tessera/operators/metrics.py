@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.time import epoch_micros
+
 
 def previous_row(df: DataFrame, keys: list[str], ts: str, cols: list[str], tie: str,
                  bucket_seconds: int = 3600) -> DataFrame:
     """Adds ``prev_<c>`` for ``ts`` and every column in ``cols``."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = df.withColumn("_t", t).withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)))
+    e = df.withColumn("_t", epoch_micros(F.col(ts), dict(df.dtypes)[ts])).withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)))
     carried = [ts, *cols]
     last = e.groupBy(*keys, "_bk").agg(F.max(F.struct("_t", tie, *carried)).alias("_last"))
     last = last.withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bk")))
@@ -37,7 +38,8 @@ def counter_increase(df: DataFrame, series: str = "series", ts: str = "ts", valu
     inc = F.when(F.col(f"prev_{value}").isNull(), F.lit(None)) \
            .when(F.col(value) < F.col(f"prev_{value}"), F.col(value)) \
            .otherwise(F.col(value) - F.col(f"prev_{value}"))
-    dt = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"prev_{ts}").cast("timestamp"))) / 1e6
+    ts_type = dict(df.dtypes)[ts]
+    dt = (epoch_micros(F.col(ts), ts_type) - epoch_micros(F.col(f"prev_{ts}"), ts_type)) / 1e6
     return p.withColumn("increase", inc).withColumn("irate", F.when(dt > 0, inc / dt))
 
 

@@ -271,3 +271,17 @@ def test_row_metrics_match_separate_operators(spark):
     for i, r in one.items():
         assert abs(r["rouge1_f1"] - r1[i]) < 1e-12 and abs(r["rouge2_f1"] - r2[i]) < 1e-12
         assert abs(r["rougeL_f1"] - rl[i]) < 1e-12 and abs(r["perplexity"] - np.exp(r["loss"])) < 1e-9
+
+
+def test_sessionize_wall_clock_across_dst(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("""SELECT * FROM VALUES (1L, 'b', 'u', timestamp_ntz'2024-03-10 01:59:00'),
+                                        (2L, 'b', 'u', timestamp_ntz'2024-03-10 03:01:00') AS t(event_id, bot_id, user_id, ts)""")
+        s = chat.sessionize(df, ["bot_id", "user_id"]).orderBy("event_id").collect()
+        # 62 minutes of wall clock apart: a new session although the instants are 2 minutes apart
+        assert s[0]["conversation_id"] != s[1]["conversation_id"]
+        assert s[1]["session_start"] == "2024-03-10 03:01:00.000000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
