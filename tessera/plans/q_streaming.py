@@ -24,7 +24,8 @@ def _events_stream(spark, sf):
     return s.select("event_id", F.col("event_type").alias("bot_id"), F.col("user_id").cast("string").alias("user_id"),
                     F.col("event_type").alias("series"), "value",
                     # watermarks need TIMESTAMP; the session time zone is UTC, so wall-clock values are kept
-                    F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("content"))
+                    F.col("ts").cast("timestamp").alias("ts"), F.col("ts").alias("wall_ts"),
+                    F.col("props").alias("content"))
 
 
 @register("stream_sessions", sql=SESS_SQL + """
@@ -33,7 +34,7 @@ SELECT event_id, bot_id, user_id, session_start,
 """)
 def stream_sessions(spark, sf):
     """ST1: every access gets its 360 s sliding-TTL session id as it streams in."""
-    s = jobs.stream_session_ids(_events_stream(spark, sf), ["bot_id", "user_id"])
+    s = jobs.stream_session_ids(_events_stream(spark, sf), ["bot_id", "user_id"], wall_clock="wall_ts")
     return spark.read.parquet(jobs.drain(s, "sessions", "append"))
 
 

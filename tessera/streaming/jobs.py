@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera import fixed_values as FV
+from tessera.functions.time import epoch_micros, from_epoch_micros
 from tessera.sources.jsonl import scratch_path
 
 WATERMARK = "10 minutes"
@@ -96,15 +97,19 @@ def _session_fn(ttl_us: int):
 
 
 def stream_session_ids(sdf: DataFrame, keys: list[str], ts: str = "ts", ttl: int = FV.SESSION_TTL_SECONDS,
-                       watermark: str = WATERMARK) -> DataFrame:
+                       watermark: str = WATERMARK, wall_clock: str | None = None) -> DataFrame:
     """ST1 (per access): every access gets its (bot, user) session at once,
     like a key refreshed on each access that expires ``ttl`` seconds after
     the last one (a gap of exactly ``ttl`` starts a new session).  State per
-    key is two numbers and is dropped once the key has expired in event time."""
-    s = sdf.withWatermark(ts, watermark).select("event_id", *keys, ts, F.unix_micros(ts).alias("t_us"))
+    key is two numbers and is dropped once the key has expired in event time.
+    ``wall_clock`` names a ``timestamp_ntz`` column whose wall-clock time
+    measures the gaps (the watermark itself needs the TIMESTAMP ``ts``)."""
+    t_us = epoch_micros(F.col(wall_clock), "timestamp_ntz") if wall_clock else F.unix_micros(ts)
+    s = sdf.withWatermark(ts, watermark).select("event_id", *keys, ts, t_us.alias("t_us"))
     out = s.groupBy(*keys).applyInPandasWithState(
         _session_fn(ttl * 1_000_000), SESSION_SCHEMA, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    start_txt = F.date_format(F.timestamp_micros("start_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    start = from_epoch_micros(F.col("start_us"), "timestamp_ntz" if wall_clock else "timestamp")
+    start_txt = F.date_format(start, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return out.select("event_id", *keys, start_txt.alias("session_start"),
                       F.substring(F.sha2(F.concat_ws(".", *keys, start_txt), 256), 1, 33).alias("conversation_id"))
 
