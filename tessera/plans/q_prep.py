@@ -297,7 +297,12 @@ def padding_efficiency(spark, sf):
     return prep.padding_efficiency(t, "n", 8192)
 
 
-@register("corpus_overview")
+@register("corpus_overview", sql="""
+SELECT count(*) AS n_rows, 5::BIGINT AS n_columns,
+       'doc_id:bigint,text:string,lang:string,source:string,n_chars:bigint' AS dtypes,
+       substr(arg_min(text, doc_id), 1, 100) AS sample
+FROM documents
+""")
 def corpus_overview(spark, sf):
     """AG21: rows, columns, dtypes, first sample cut to 100 chars."""
     return prep.corpus_overview(T.table(spark, sf, "documents"), "doc_id", "text")
