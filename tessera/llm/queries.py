@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, piece_codec
-from tessera.llm.common import read_table
+from tessera.llm import chat_format, piece_codec, warc
+from tessera.llm.common import read_table, scratch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,29 @@ def piece_model() -> str:
 @register("op5_piece_round_trip")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip_digests(read_table(spark, sf_dir, "documents"), piece_model())
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+top AS (SELECT payload, max(page_id) AS top_id FROM p GROUP BY payload),
+hexed AS (SELECT p.page_id, strlen(p.payload) AS payload_bytes, sha1(p.payload) AS h, top_id
+          FROM p JOIN top ON p.payload = top.payload),
+parts AS (SELECT page_id, g, ('0x' || substr(h, 5 * g + 1, 5))::BIGINT AS v FROM hexed, range(8) t(g)),
+digests AS (SELECT page_id, string_agg(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31)::INT + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31)::INT + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31)::INT + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31)::INT + 1, 1), '' ORDER BY g) AS payload_digest
+  FROM parts GROUP BY page_id)
+SELECT hexed.page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN hexed.page_id = top_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN hexed.page_id = top_id THEN NULL ELSE top_id END AS refers_to
+FROM hexed JOIN digests ON hexed.page_id = digests.page_id
+"""
+
+
+@register("op4_warc_chain", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc-archive")
+    warc.write_archive(read_table(spark, sf_dir, "pages"), path, min_dedup_bytes=0)
+    return warc.resolve(warc.read_records(spark, path)).drop("verified")
