@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, piece_codec, warc
-from tessera.llm.common import read_table, scratch
+from tessera.llm import chat_format, language_id, piece_codec, quality, warc
+from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc-archive")
     warc.write_archive(read_table(spark, sf_dir, "pages"), path, min_dedup_bytes=0)
     return warc.resolve(warc.read_records(spark, path)).drop("verified")
+
+
+QUALITY_THRESHOLD = 0.7
+
+
+def quality_model(statistics: DataFrame, labels: DataFrame) -> quality.Model:
+    """Fit on the labelled rows outside the held-out fold."""
+    train = labels.filter(crc_mod("doc_id", 4) != 2).select("doc_id", "quality").dropDuplicates()
+    return quality.fit(statistics.join(train, "doc_id"), "quality")
+
+
+@register("op8_quality_qda")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialise(quality.with_statistics(read_table(spark, sf_dir, "documents")), "quality-statistics")
+    model = quality_model(stats, read_table(spark, sf_dir, "labels"))
+    return stats.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+                        quality.score_statistics(model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
+@register("op9_language_filters")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(F.coalesce(crc_mod("doc_id", 5) != 0, F.lit(True))))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+                      "lang_pred", "score")
