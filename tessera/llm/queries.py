@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, language_id, piece_codec, quality, warc
+from tessera.llm import chat_format, language_id, piece_codec, quality, vector_dedup, warc
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -94,3 +94,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.predict(docs, model)
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
                       "lang_pred", "score")
+
+
+@register("op10_vector_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
