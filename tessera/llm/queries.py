@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, language_id, piece_codec, quality, vector_dedup, warc
+from tessera.llm import chat_format, language_id, ngram_join, piece_codec, quality, vector_dedup, warc
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -99,3 +99,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_vector_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@register("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_texts(read_table(spark, sf_dir, "documents"), threshold=0.8, n=5)
