@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, language_id, ngram_join, piece_codec, quality, vector_dedup, warc
+from tessera.llm import chat_format, html_text, language_id, ngram_join, piece_codec, quality, vector_dedup, warc
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -104,3 +104,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_ngram_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_texts(read_table(spark, sf_dir, "documents"), threshold=0.8, n=5)
+
+
+@register("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
