@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, html_text, language_id, ngram_join, piece_codec, quality, vector_dedup, warc
+from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, vector_dedup, warc
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -110,3 +110,54 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _marked_sql(text: str) -> str:
+    units = "|".join(decontaminate.UNITS.split())
+    t = f"translate(coalesce({text}, ''), chr(1), ' ')"
+    t = f"regexp_replace({t}, '([\\p{{Ll}}\\p{{N}},;:][\\t\\n\\v\\f\\r ]+)(\\p{{Lu}})', '\\1' || chr(1) || 'p\\2', 'g')"
+    t = f"lower({t})"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([0-9])[.,:/]([0-9])', '\\1_\\2', 'g')"
+    t = f"regexp_replace({t}, '([0-9][0-9_]*)', ' ' || chr(1) || 'n\\1 ', 'g')"
+    t = (f"regexp_replace({t}, '(\\x01n[0-9_]+)[\\t\\n\\v\\f\\r ]+({units})([^\\p{{L}}]|$)', "
+         f"'\\1 ' || chr(1) || 'u\\2\\3', 'g')")
+    return f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\x01]+', ' ', 'g'))"
+
+
+OP6_SQL = f"""
+WITH i AS (SELECT DISTINCT item_id, string_split({_marked_sql('text')}, ' ') AS words FROM benchmark),
+iw AS (SELECT item_id, len(words) AS n, least({decontaminate.WINDOW}, len(words)) AS k, words,
+              unnest(range(1, len(words) - least({decontaminate.WINDOW}, len(words)) + 2)) AS ipos
+       FROM i WHERE len(words) >= {decontaminate.MIN_ITEM_WORDS}),
+w AS (SELECT item_id, ipos, k, list_slice(words, ipos, ipos + k - 1) AS win FROM iw),
+lit AS (SELECT item_id, ipos, k, win,
+               array_to_string(list_transform(win, lambda x: regexp_replace(x, '\x01([npu]).*', chr(1) || '\1')), ' ') AS tpl
+        FROM w WHERE len(list_filter(win, lambda x: NOT starts_with(x, chr(1)))) * 2 >= k),
+cnt AS (SELECT item_id, count(DISTINCT ipos) AS item_windows FROM lit GROUP BY item_id),
+d AS (SELECT doc_id, string_split({_marked_sql('text')}, ' ') AS words FROM documents WHERE doc_id IS NOT NULL),
+dp AS (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS dpos
+       FROM d, (SELECT DISTINCT k FROM lit) ks WHERE len(words) >= k),
+dw AS (SELECT doc_id, dpos, k, list_slice(words, dpos, dpos + k - 1) AS win FROM dp),
+dt AS (SELECT *, array_to_string(list_transform(win, lambda x: regexp_replace(x, '\x01([npu]).*', chr(1) || '\1')), ' ') AS tpl
+       FROM dw),
+m AS (SELECT dt.doc_id, lit.item_id, ipos, dpos - ipos AS shift, lit.win AS iwin, dt.win AS dwin
+      FROM dt JOIN lit ON dt.tpl = lit.tpl AND dt.k = lit.k),
+s AS (SELECT doc_id, item_id, shift, ipos, iwin[j] AS a, dwin[j] AS b
+      FROM m, range(1, {decontaminate.WINDOW} + 1) t(j) WHERE starts_with(iwin[j], chr(1))),
+bad AS (SELECT DISTINCT doc_id, item_id, shift FROM
+        (SELECT doc_id, item_id, shift, a FROM s GROUP BY ALL HAVING count(DISTINCT b) > 1)),
+chg AS (SELECT doc_id, item_id, shift, bool_or(a <> b) AS changed FROM s GROUP BY ALL),
+ok AS (SELECT m.doc_id, m.item_id, m.shift, m.ipos, coalesce(chg.changed, false) AS changed
+       FROM m ANTI JOIN bad USING (doc_id, item_id, shift) LEFT JOIN chg USING (doc_id, item_id, shift))
+SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, max(item_windows) AS item_windows,
+       count(DISTINCT ipos) / max(item_windows) AS share,
+       CASE WHEN bool_and(changed) THEN 'reparameterised' ELSE 'verbatim' END AS kind
+FROM ok JOIN cnt USING (item_id) GROUP BY doc_id, item_id
+HAVING count(DISTINCT ipos) >= least({decontaminate.MIN_WINDOWS}, max(item_windows))
+"""
+
+
+@register("op6_template_windows", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.match(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
