@@ -1,13 +1,85 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator."""
+"""The corpus pipeline: ``documents`` through five operators.
+
+quality -> near duplicates -> benchmark passages -> secrets -> token ids.
+Each stage works on all rows that its predecessor kept and is written as
+Parquet, which the next stage reads.  A stage that filters reads its own input
+only: statistics, classes and matches are computed over the rows it is given.
+
+Empty and null texts: the quality stage scores them like any text, the join,
+the benchmark match and the secret scan find nothing in them, and their ids
+are the end id alone.  Columns beyond those of ``documents`` pass through
+every stage but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, ngram_join, piece_codec, quality, secrets
+from tessera.llm.common import materialise, read_table, scratch
+from tessera.llm.queries import QUALITY_THRESHOLD, piece_model, quality_model
+from tessera.llm.warc import small_or_shuffled
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids``; null ids stay."""
+    return docs.join(small_or_shuffled(materialise(ids.distinct(), "dropped-ids")), "doc_id", "left_anti").select(
+        *docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    stats = materialise(quality.with_statistics(docs), "quality-statistics")
+    model = quality_model(stats, read_table(spark, sf_dir, "labels"))
+    return docs.filter(quality.score_text(model, "text") >= QUALITY_THRESHOLD)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near duplicates the document with the smallest id;
+    of repeated rows with one id and text, one."""
+    linked = ngram_join.link_texts(docs)
+    kept = _without(docs, linked.filter("doc_id <> class_id").select("doc_id"))
+    repeated = kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(
+        kept.filter("doc_id is null"))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    found = decontaminate.match(docs, read_table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("doc_id"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked, ``n_chars`` brought up to date."""
+    out = secrets.redact(docs, secrets.scan(docs, path_col="source"))
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens) of every document."""
+    return piece_codec.encode_texts(docs, piece_model()).withColumn("n_tokens", F.size("ids").cast("long"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each),
+    ("benchmark", drop_benchmark),
+    ("secrets", mask_secrets),
+    ("token_ids", encode),
+]
+# A fitted discriminant, a random forest and a piece model are not SQL; the
+# stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

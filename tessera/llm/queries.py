@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, vector_dedup, warc
+from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, secrets, vector_dedup, warc
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -161,3 +161,10 @@ HAVING count(DISTINCT ipos) >= least({decontaminate.MIN_WINDOWS}, max(item_windo
 @register("op6_template_windows", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.match(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_secret_forest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"), path_col="source")
+    return found.select("doc_id", "no", "start", "n_chars", F.sha2("candidate", 256).alias("secret_sha256"),
+                        F.round("score", 6).alias("score"))
