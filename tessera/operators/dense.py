@@ -3,13 +3,14 @@
 Plan for ``dense_search(queries, points)``:
 
 1. payload filters are applied to ``points`` first (pushed into the scan);
-2. queries are cut into blocks of at most ``block_rows`` rows - each block is
-   collected with a row limit, so every broadcast has a proven size (with
-   several blocks the pruned point table is persisted and re-read per block);
-3. for every block, ``mapInPandas`` over the points computes the scores with
-   one matrix product per Arrow batch and keeps a running per-query top-k
-   (score >= threshold) for the whole task - at most ``k`` rows per query
-   leave each task, no pair table is ever materialised;
+   NULL vectors on either side are left out;
+2. both sides are cut into blocks of about ``query_block`` and ``point_block``
+   rows by a hash of their keys, and a block is one row; every query block is
+   joined with every point block, by an equi-join on the point block number.
+   Query vectors never visit the driver, and the plan is the same for one
+   query and for millions;
+3. one ``mapInArrow`` scores a pair of blocks with a matrix product and keeps
+   ``k`` points per query (score >= threshold): no pair table is materialised;
 4. a per-query ``row_number() <= k`` (planned as WindowGroupLimit, partial
    before the shuffle) picks the global top-k.
 
@@ -20,110 +21,96 @@ total order.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import fixed_values as FV
 from tessera.operators.lexical import top_k
 from tessera.operators.prep import payload_filter
 
 _SCORE_DECIMALS = 9
-_NO_ID = np.iinfo(np.int64).max
-
-
-def _local_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, threshold: float | None,
-                id_col: str, vec_col: str):
-    nq = len(q_ids)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((nq, k), -np.inf)
-        best_i = np.full((nq, k), _NO_ID, dtype=np.int64)
-        seen = False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            seen = True
-            p_ids = pdf[id_col].to_numpy(dtype=np.int64)
-            p_mat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            s = np.round(q_mat @ p_mat.T, _SCORE_DECIMALS)          # (nq, nb)
-            ids = np.broadcast_to(p_ids, s.shape)
-            if threshold is not None:
-                keep = s >= threshold
-                s = np.where(keep, s, -np.inf)
-                ids = np.where(keep, ids, _NO_ID)
-            cand_s = np.concatenate([best_s, s], axis=1)
-            cand_i = np.concatenate([best_i, ids], axis=1)
-            order = np.lexsort((cand_i, -cand_s), axis=-1)[:, :k]
-            best_s = np.take_along_axis(cand_s, order, axis=1)
-            best_i = np.take_along_axis(cand_i, order, axis=1)
-        if not seen:
-            return
-        rows, cols = np.nonzero(np.isfinite(best_s))
-        yield pd.DataFrame({"query_id": q_ids[rows], "point_id": best_i[rows, cols],
-                            "score": best_s[rows, cols]})
-
-    return run
-
-
-def _query_blocks(queries: DataFrame, block_rows: int, qvec_col: str) -> list[list]:
-    """Query rows cut into blocks of at most ~``block_rows``: the common small
-    case is one bounded collect; larger query tables are split by a stable
-    hash so that every block stays within the bound."""
-    head = queries.limit(block_rows + 1).collect()
-    if len(head) <= block_rows:
-        return [head]
-    n = queries.count()
-    n_blocks = max(1, math.ceil(2 * n / block_rows))  # ~block_rows / 2 expected per block
-    h = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    blocks = []
-    for b in range(n_blocks):
-        part = queries.filter(h == b).limit(2 * block_rows + 1).collect()
-        if len(part) > 2 * block_rows:
-            raise ValueError("query block exceeds its size bound; lower block_rows")
-        blocks.append(part)
-    return blocks
+# rows of a block; the score matrix of a pair is query_block x point_block doubles
+QUERY_BLOCK, POINT_BLOCK = 512, 4096
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equal-length vectors of one block as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the first ``k`` of every row by score, then id."""
+    keep = np.ones(scores.shape, dtype=bool) if threshold is None else scores >= threshold
+    if scores.shape[1] > k:
+        # nothing below a row's k-th largest score can be chosen; ties at it can
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        keep &= scores >= kth[:, None]
+    rows, cols = np.nonzero(keep)
+    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(scores.shape[0]))
+    chosen = np.arange(len(rows)) - first[rows] < k
+    return rows[chosen], cols[chosen]
+
+
+def _blocks(df: DataFrame, keys: list[str], rows: int, name: str, members: F.Column) -> tuple[DataFrame, int]:
+    """``df`` as (block number, members) rows of about ``rows`` members each."""
+    n = max(1, -(-df.count() // rows))
+    number = F.pmod(F.xxhash64(*keys, F.lit(name)), F.lit(n)).cast("int").alias(name)
+    return df.select(number, members.alias(f"{name}_rows")).groupBy(name).agg(
+        F.collect_list(f"{name}_rows").alias(f"{name}_rows")), n
 
 
 def dense_candidates(queries: DataFrame, points: DataFrame, k: int, threshold: float | None,
                      id_col: str = "point_id", vec_col: str = "embedding", qvec_col: str = "query_vec",
-                     block_rows: int = 4096) -> DataFrame:
-    """(query_id, point_id, score) for the top-k points of every query."""
-    spark = points.sparkSession
-    pts = points.select(id_col, vec_col)
-    blocks = _query_blocks(queries.select("query_id", qvec_col), block_rows, qvec_col)
-    if len(blocks) > 1:
-        # every block streams all points: read them from storage once
-        pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for rows in blocks:
-        if not rows:
-            continue
-        q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        q_mat = np.vstack([np.asarray(r[qvec_col], dtype=np.float64) for r in rows])
-        fn = _local_topk(q_ids, q_mat, k, threshold, id_col, vec_col)
-        parts.append(pts.mapInPandas(fn, "query_id long, point_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, point_id long, score double")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return top_k(cands, "query_id", [F.col("score").desc(), F.col("point_id")], k, "search_rank")
+                     keys: list[str] | None = None, query_block: int = QUERY_BLOCK,
+                     point_block: int = POINT_BLOCK) -> DataFrame:
+    """(keys, point_id, score, search_rank) for the top-k points of every
+    query; ``keys`` name the query and are carried as they are."""
+    keys = keys or ["query_id"]
+    q = queries.filter(F.col(qvec_col).isNotNull()).select(*keys, qvec_col)
+    p = points.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("point_id"), vec_col)
+    q_blocks, _ = _blocks(q, keys, query_block, "q_block", F.struct(*keys, F.col(qvec_col).alias("vec")))
+    p_blocks, n_points = _blocks(p, ["point_id"], point_block, "p_block",
+                                 F.struct("point_id", F.col(vec_col).alias("vec")))
+    pairs = q_blocks.withColumn("p_block", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1)))).join(
+        p_blocks, "p_block")
+    schema = T.StructType([*q.select(*keys).schema.fields, T.StructField("point_id", T.LongType()),
+                           T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs = batch.column("q_block_rows").slice(i, 1).flatten()
+                ps = batch.column("p_block_rows").slice(i, 1).flatten()
+                q_col = {f.name: j for j, f in enumerate(qs.type)}
+                q_part, p_part = qs.flatten(), ps.flatten()
+                ids = p_part[0].to_numpy(zero_copy_only=False)
+                scores = np.round(_matrix(q_part[q_col["vec"]]) @ _matrix(p_part[1]).T, _SCORE_DECIMALS)
+                rows, cols = _best(scores, ids, k, threshold)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(q_part[q_col[c]].take(at) for c in keys), pa.array(ids[cols]), pa.array(scores[rows, cols])],
+                    names=[*keys, "point_id", "score"])
+
+    found = pairs.select("q_block_rows", "p_block_rows").mapInArrow(run, schema)
+    return top_k(found, keys, [F.col("score").desc(), F.col("point_id")], k, "search_rank")
 
 
 def dense_search(queries: DataFrame, points: DataFrame, limit: int = FV.DENSE_LIMIT,
                  filters: dict | None = None, threshold: float | None = FV.DENSE_THRESHOLD,
                  payload: list[str] | None = None, id_col: str = "point_id",
-                 vec_col: str = "embedding") -> DataFrame:
+                 vec_col: str = "embedding", keys: list[str] | None = None) -> DataFrame:
     """TK1: top ``limit`` points per query with score >= threshold, payload
     attached (vectors not returned), ``similarity_score`` and ``search_rank``."""
     pts = payload_filter(points, filters)
-    hits = dense_candidates(queries, pts, limit, threshold, id_col, vec_col)
+    hits = dense_candidates(queries, pts, limit, threshold, id_col, vec_col, keys=keys)
     hits = hits.withColumnRenamed("score", "similarity_score").withColumnRenamed("point_id", id_col)
     if payload:
         # hits are at most limit x |queries| rows; the point side is column-pruned
@@ -147,10 +134,7 @@ def multi_vector_search(vectors: DataFrame, points: DataFrame, limit: int = FV.D
     of the *first* vector that found it; then the request's hits are sorted by
     that score and cut to ``limit``.
     """
-    q = vectors.select(F.xxhash64("request_id", "vector_idx").alias("query_id"),
-                       "request_id", "vector_idx", "query_vec")
-    hits = dense_search(q.select("query_id", "query_vec"), points, limit, filters)
-    hits = hits.join(q.select("query_id", "request_id", "vector_idx"), "query_id")
+    hits = dense_search(vectors, points, limit, filters, keys=["request_id", "vector_idx"])
     # first vector wins: min over (vector_idx, rank) per (request, point); partial aggregation, no window
     first = hits.groupBy("request_id", dedup_key).agg(
         F.min(F.struct("vector_idx", "search_rank", "similarity_score")).alias("f"))
@@ -161,14 +145,14 @@ def multi_vector_search(vectors: DataFrame, points: DataFrame, limit: int = FV.D
 
 
 def similarity_top_k(a: DataFrame, b: DataFrame, k: int, a_id: str = "a_id", b_id: str = "b_id",
-                     a_vec: str = "a_vec", b_vec: str = "b_vec", block_rows: int = 4096) -> DataFrame:
+                     a_vec: str = "a_vec", b_vec: str = "b_vec") -> DataFrame:
     """EM2 (re-aimed): cosine similarity between two tables, keeping the ``k``
     most similar b-rows of every a-row (exact).  The full a x b matrix of the
-    original API is never materialised: scores are reduced to a running
+    original API is never materialised: scores are reduced to a
     top-k inside each task."""
     from tessera.operators.embed import normalise_vectors
     an = normalise_vectors(a.select(F.col(a_id).alias("query_id"), F.col(a_vec).alias("query_vec")), "query_vec")
     bn = normalise_vectors(b.select(F.col(b_id).alias("point_id"), F.col(b_vec).alias("embedding")), "embedding")
-    out = dense_candidates(an, bn, k, None, block_rows=block_rows)
+    out = dense_candidates(an, bn, k, None)
     return out.select(F.col("query_id").alias(a_id), F.col("point_id").alias(b_id), F.col("score").alias("cosine"),
                       F.col("search_rank").cast("bigint").alias("rank"))

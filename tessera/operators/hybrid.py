@@ -6,74 +6,84 @@ of a whole query table, so every step is a grouped DataFrame operation keyed
 by the query; "first"/"last" row picks use ``min``/``max`` over structs
 (partial aggregation) instead of windows wherever the order is the only
 reason for the window.
+
+Equal contents are one result.  The hit documents get a canonical id, the
+smallest hit id with the same content (compared by SHA-256, computed where the
+document is read), and every later step uses that id: no text is a join or
+group key, and none is broadcast.  Texts are fetched once, for the final hits.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
 from tessera.operators import dense, lexical
-from tessera.operators.lexical import top_k
+from tessera.operators.lexical import attach_documents, top_k
 from tessera.session import broadcast_if_small
 
 
-def last_wins_by_content(hits: DataFrame, part: str, key: str, rank_col: str, cols: list[str]) -> DataFrame:
-    """WN9: inside one hit list a repeated ``key`` keeps its last (highest
-    rank number, i.e. lowest score) occurrence."""
-    last = hits.groupBy(part, key).agg(F.max(F.struct(rank_col, *cols)).alias("_l"))
-    return last.select(part, key, *[F.col(f"_l.{c}").alias(c) for c in [rank_col, *cols]])
+def canonical_ids(hit_ids: DataFrame, docs: DataFrame, key: str = "content") -> DataFrame:
+    """(doc_id, canon): the smallest of the hit ids whose ``key`` is equal."""
+    found = attach_documents(hit_ids.select("doc_id").distinct(), docs, [key]).select(
+        "doc_id", F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256).alias("digest"))
+    canon = found.groupBy("digest").agg(F.collect_list("doc_id").alias("ids"), F.min("doc_id").alias("canon"))
+    return canon.select(F.explode("ids").alias("doc_id"), "canon")
 
 
-def _attach(hits: DataFrame, docs: DataFrame, cols: list[str]) -> DataFrame:
-    # hits hold at most k rows per query: broadcast them (size-checked) and
-    # stream the column-pruned document table past them
-    return docs.select("doc_id", *cols).join(broadcast_if_small(hits), "doc_id")
+def last_wins(hits: DataFrame, part: list[str], key: str, rank_col: str, cols: list[str]) -> DataFrame:
+    """WN9: inside one hit list a repeated ``key`` keeps its last (highest
+    rank number, i.e. lowest score) occurrence."""
+    last = hits.groupBy(*part, key).agg(F.max(F.struct(rank_col, *cols)).alias("_l"))
+    return last.select(*part, key, *[F.col(f"_l.{c}").alias(c) for c in [rank_col, *cols]])
+
+
+def fuse(bm: DataFrame, vec: DataFrame, limit: int, keys: list[str] | None = None) -> DataFrame:
+    """TK3 on two hit lists (keys, canon, doc_id, score): 0.5*b + 0.5*v + 0.1
+    when both hold the canonical id, else 0.6*b or 0.6*v; top ``limit``."""
+    keys = keys or ["query_id"]
+    b = bm.select(*keys, "canon", F.col("doc_id").alias("b_doc"), "bm25_score")
+    v = vec.select(*keys, "canon", F.col("doc_id").alias("v_doc"), "vector_score")
+    both, one = FV.HYBRID_BOTH_WEIGHT, FV.HYBRID_SINGLE_WEIGHT
+    in_b, in_v = F.col("b_doc").isNotNull(), F.col("v_doc").isNotNull()
+    fused = b.join(v, [*keys, "canon"], "full_outer").select(
+        *keys, "canon", F.coalesce("b_doc", "v_doc").alias("doc_id"), "bm25_score", "vector_score",
+        F.when(in_b & in_v, "hybrid").when(in_b, "bm25").otherwise("vector").alias("search_method"),
+        F.when(in_b & in_v, F.col("bm25_score") * both + F.col("vector_score") * both + FV.HYBRID_BOTH_BONUS)
+         .when(in_b, F.col("bm25_score") * one).otherwise(F.col("vector_score") * one).alias("hybrid_score"))
+    return top_k(fused, keys, [F.round("hybrid_score", 9).desc(), F.col("doc_id")], limit)
 
 
 def hybrid_search(queries: DataFrame, index: lexical.Bm25Index, doc_vectors: DataFrame,
                   query_vectors: DataFrame, limit: int = FV.HYBRID_LIMIT, bm25_k: int = FV.BM25_TOP_K,
-                  key: str = "content", threshold: float = FV.DENSE_THRESHOLD) -> DataFrame:
+                  key: str = "content", threshold: float = FV.DENSE_THRESHOLD,
+                  keys: list[str] | None = None) -> DataFrame:
     """TK3: fuse BM25 top-``bm25_k`` and dense top-``limit`` per query.
 
-    queries: (query_id, query); doc_vectors: (doc_id, embedding);
-    query_vectors: (query_id, query_vec).  Scores: 0.5*b + 0.5*v + 0.1 when
-    both lists hold the key, else 0.6*b or 0.6*v; top ``limit`` per query.
+    queries: (keys, query); doc_vectors: (doc_id, embedding); query_vectors:
+    (keys, query_vec); ``keys`` name a query (``query_id`` by default).
+    Returns (keys, canon, doc_id, scores, search_method, rank) without texts.
     """
-    docs = index.docs
-    keep = StorageLevel.MEMORY_AND_DISK  # hit lists: at most k rows per query
-    bm = lexical.top_k(lexical.bm25_scores(index, queries), "query_id",
-                       [F.round("bm25_score", 9).desc(), F.col("doc_id")], bm25_k, "bm_rank").persist(keep)
-    vec = dense.dense_candidates(query_vectors, doc_vectors.withColumnRenamed("doc_id", "point_id"),
-                                 limit, threshold)
-    vec = vec.select("query_id", F.col("point_id").alias("doc_id"), F.col("score").alias("vector_score"),
-                     F.col("search_rank").alias("vec_rank")).persist(keep)
-    # one pass over the documents fetches the fusion key of every hit document
-    hit_ids = bm.select("doc_id").unionByName(vec.select("doc_id")).distinct()
-    keys = broadcast_if_small(_attach(hit_ids, docs, [key]))
-    bm = last_wins_by_content(bm.join(keys, "doc_id"), "query_id", key, "bm_rank", ["doc_id", "bm25_score"])
-    vec = last_wins_by_content(vec.join(keys, "doc_id"), "query_id", key, "vec_rank", ["doc_id", "vector_score"])
-
-    b, v = bm.alias("b"), vec.alias("v")
-    fused = b.join(v, (F.col("b.query_id") == F.col("v.query_id")) & (F.col(f"b.{key}") == F.col(f"v.{key}")),
-                   "full_outer")
-    in_b, in_v = F.col("b.query_id").isNotNull(), F.col("v.query_id").isNotNull()
-    method = F.when(in_b & in_v, "hybrid").when(in_b, "bm25").otherwise("vector")
-    fused = fused.select(
-        F.coalesce("b.query_id", "v.query_id").alias("query_id"),
-        F.coalesce("b.doc_id", "v.doc_id").alias("doc_id"),
-        F.coalesce(f"b.{key}", f"v.{key}").alias(key),
-        F.col("b.bm25_score").alias("bm25_score"), F.col("v.vector_score").alias("vector_score"),
-        method.alias("search_method"))
-    hs = (F.when(F.col("search_method") == "hybrid",
-                 F.col("bm25_score") * FV.HYBRID_BOTH_WEIGHT + F.col("vector_score") * FV.HYBRID_BOTH_WEIGHT
-                 + FV.HYBRID_BOTH_BONUS)
-          .when(F.col("search_method") == "bm25", F.col("bm25_score") * FV.HYBRID_SINGLE_WEIGHT)
-          .otherwise(F.col("vector_score") * FV.HYBRID_SINGLE_WEIGHT))
-    fused = fused.withColumn("hybrid_score", hs)
-    return top_k(fused, "query_id", [F.round("hybrid_score", 9).desc(), F.col("doc_id")], limit)
+    from tessera.sources.jsonl import scratch_path
+    keys = keys or ["query_id"]
+    spark = index.terms.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)    # a hit list: at most k rows per query
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    bm = kept(lexical.top_k(lexical.bm25_scores(index, queries, keys=keys), keys,
+                            [F.round("bm25_score", 9).desc(), F.col("doc_id")], bm25_k, "bm_rank"), "bm25-hits")
+    vec = dense.dense_candidates(query_vectors, doc_vectors.withColumnRenamed("doc_id", "point_id"), limit,
+                                 threshold, keys=keys)
+    vec = kept(vec.select(*keys, F.col("point_id").alias("doc_id"), F.col("score").alias("vector_score"),
+                          F.col("search_rank").alias("vec_rank")), "vector-hits")
+    canon = broadcast_if_small(canonical_ids(bm.select("doc_id").unionByName(vec.select("doc_id")), index.docs, key))
+    bm = last_wins(bm.join(canon, "doc_id"), keys, "canon", "bm_rank", ["doc_id", "bm25_score"])
+    vec = last_wins(vec.join(canon, "doc_id"), keys, "canon", "vec_rank", ["doc_id", "vector_score"])
+    return fuse(bm, vec, limit, keys)
 
 
 def first_seen_dedup(hits: DataFrame, request: str, variant: str, rank: str, key: str,
@@ -87,41 +97,59 @@ def first_seen_dedup(hits: DataFrame, request: str, variant: str, rank: str, key
 
 
 def multi_query_retrieve(variants: DataFrame, index: lexical.Bm25Index | None, doc_vectors: DataFrame,
-                         variant_vectors: DataFrame, top_k_: int = 5, key: str = "content") -> DataFrame:
+                         variant_vectors: DataFrame, top_k_: int = 5, key: str = "content",
+                         docs: DataFrame | None = None) -> DataFrame:
     """TK5: every variant is searched (hybrid, or vector-only when ``index`` is
-    None) with ``top_k_`` hits; across a request's variants a content is kept
-    once (first variant, best rank) and tagged with ``retrieval_query``.
+    None; ``docs`` then supplies the texts) with ``top_k_`` hits; across a
+    request's variants a content is kept once (first variant, best rank) and
+    tagged with ``retrieval_query``.
 
     variants: (request_id, variant_idx, query); variant_vectors:
     (request_id, variant_idx, query_vec).
     """
-    qid = F.xxhash64("request_id", "variant_idx")
-    q = variants.select(qid.alias("query_id"), "request_id", "variant_idx", "query")
-    qv = variant_vectors.select(qid.alias("query_id"), "query_vec")
+    keys = ["request_id", "variant_idx"]
     if index is None:
-        raise ValueError("vector-only retrieval needs the documents: use multi_query_vector")
-    hits = hybrid_search(q.select("query_id", "query"), index, doc_vectors, qv, limit=top_k_, key=key)
-    hits = hits.select("query_id", "doc_id", key, "rank", "hybrid_score", "search_method")
-    hits = hits.join(q.select("query_id", "request_id", "variant_idx", F.col("query").alias("retrieval_query")),
-                     "query_id")
-    return first_seen_dedup(hits, "request_id", "variant_idx", "rank", key,
-                            ["doc_id", "hybrid_score", "search_method", "retrieval_query"])
+        return multi_query_vector(variants, docs, doc_vectors, variant_vectors, top_k_, key)
+    hits = hybrid_search(variants.select(*keys, "query"), index, doc_vectors, variant_vectors.select(*keys, "query_vec"),
+                         limit=top_k_, key=key, keys=keys)
+    out = first_seen_dedup(hits, "request_id", "variant_idx", "rank", "canon",
+                           ["doc_id", "hybrid_score", "search_method"])
+    return _with_texts(out, index.docs, variants, key)
 
 
 def multi_query_vector(variants: DataFrame, docs: DataFrame, doc_vectors: DataFrame,
                        variant_vectors: DataFrame, top_k_: int = 5, key: str = "content") -> DataFrame:
     """TK5 fallback: vector-only retrieval per variant with first-seen dedup."""
-    qid = F.xxhash64("request_id", "variant_idx")
-    q = variants.select(qid.alias("query_id"), "request_id", "variant_idx", F.col("query").alias("retrieval_query"))
-    qv = variant_vectors.select(qid.alias("query_id"), "query_vec")
-    hits = dense.dense_candidates(qv, doc_vectors.withColumnRenamed("doc_id", "point_id"), top_k_,
-                                  FV.DENSE_THRESHOLD)
-    hits = hits.select("query_id", F.col("point_id").alias("doc_id"), F.col("search_rank").alias("rank"),
+    keys = ["request_id", "variant_idx"]
+    hits = dense.dense_candidates(variant_vectors.select(*keys, "query_vec"),
+                                  doc_vectors.withColumnRenamed("doc_id", "point_id"), top_k_,
+                                  FV.DENSE_THRESHOLD, keys=keys)
+    hits = hits.select(*keys, F.col("point_id").alias("doc_id"), F.col("search_rank").alias("rank"),
                        F.col("score").alias("similarity_score"))
-    hits = _attach(hits, docs, [key]).join(q, "query_id")
-    out = first_seen_dedup(hits, "request_id", "variant_idx", "rank", key,
-                           ["doc_id", "similarity_score", "retrieval_query"])
-    return out.withColumn("search_method", F.lit("vector_fallback"))
+    canon = broadcast_if_small(canonical_ids(hits, docs, key))
+    out = first_seen_dedup(hits.join(canon, "doc_id"), "request_id", "variant_idx", "rank", "canon",
+                           ["doc_id", "similarity_score"])
+    out = out.withColumn("search_method", F.lit("vector_fallback"))
+    return _with_texts(out, docs, variants, key)
+
+
+def _with_texts(hits: DataFrame, docs: DataFrame, variants: DataFrame, key: str) -> DataFrame:
+    """The final hits with their document's ``key`` and the variant's query."""
+    full = attach_documents(hits.withColumn("search_method", _code("search_method")), docs, [key])
+    full = full.withColumn("search_method", _name("search_method"))
+    return full.join(variants.select("request_id", "variant_idx", F.col("query").alias("retrieval_query")),
+                     ["request_id", "variant_idx"])
+
+
+_METHODS = ["hybrid", "bm25", "vector", "vector_fallback"]
+
+
+def _code(col: str) -> F.Column:
+    return F.array_position(F.array(*map(F.lit, _METHODS)), F.col(col)).cast("int")
+
+
+def _name(col: str) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, _METHODS)), F.col(col))
 
 
 def method_breakdown(hits: DataFrame, part: str = "query_id") -> DataFrame:

@@ -1,11 +1,14 @@
 """BM25 index build (AG10) and lexical search (JN1, TK2), lexical rank (TK8).
 
-Index: the persisted term table ``(doc_id, dl, term, tf)`` plus the corpus
-statistics N and avgdl.  A search touches only the postings of its query
-terms: semi-join with the distinct query terms, document frequencies for
-those terms, weights, an equi-join with the per-query term counts, a ``sum``
-per (query, doc) and a per-query top-k.  ``write_index`` persists the full
-weighted postings repartitioned and sorted by term for repeated searches.
+Index: the term table ``(doc_id, dl, term, tf)``, hashed by ``doc_id``, plus
+the corpus statistics N and avgdl.  The partitioning is stated, so the plan is
+the same for one input file and for thousands.  A search touches only the
+postings of its query terms: semi-join with the distinct query terms, document
+frequencies for those terms, weights, a join with the per-query term counts
+and a sum per (query, doc).  That sum needs no exchange, because all postings
+of a document are in one partition; only each task's best ``k`` documents per
+query are shuffled.  ``write_index`` stores the raw term table, ``load_index``
+reads it for repeated searches.
 """
 
 from __future__ import annotations
@@ -18,17 +21,22 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
 from tessera.functions.text import once, search_text, tokens
-from tessera.session import bounded_rows
+from tessera.session import broadcast_if_small
 
 
 @dataclass
 class Bm25Index:
-    terms: DataFrame         # doc_id, dl, term, tf (persisted; also feeds hashing vectors)
+    terms: DataFrame         # doc_id, dl, term, tf (also feeds hashing vectors)
     n_docs: int
     avgdl: float
     docs: DataFrame          # doc_id + payload columns (question, content, source ...)
     k1: float = FV.BM25_K1
     b: float = FV.BM25_B
+    hashed: bool = False     # the term table is known to be hashed by doc_id
+
+    def release(self) -> None:
+        """Free the memory that a freshly built term table holds."""
+        self.terms.unpersist()
 
     def weight(self) -> Column:
         """Per-(term, doc) BM25 weight from columns tf, dl, df."""
@@ -56,10 +64,11 @@ def require_any(docs: DataFrame) -> DataFrame:
 
 
 def corpus_terms(docs: DataFrame, text_col: str = "search_text") -> DataFrame:
-    """(doc_id, dl, term, tf): one row per distinct term of a document."""
-    toks = docs.select("doc_id", once(tokens(text_col)).alias("toks"))
+    """(doc_id, dl, term, tf): one row per distinct term of a document, hashed
+    by ``doc_id``.  The exchange stands before the tokenising: a text is about
+    as large as its term rows, and the counts then need no further one."""
+    toks = docs.repartition("doc_id").select("doc_id", once(tokens(text_col)).alias("toks"))
     exploded = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    # partial aggregation runs map-side, so a frequent term costs no extra shuffle
     return exploded.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -77,15 +86,17 @@ def build_bm25_index(docs: DataFrame, k1: float = FV.BM25_K1, b: float = FV.BM25
     n_docs = docs.count()
     total = tf.agg(F.sum("tf")).first()[0] or 0
     avgdl = float(total) / n_docs if n_docs else 0.0
-    return Bm25Index(terms=tf, n_docs=n_docs, avgdl=avgdl, docs=docs.drop("search_text"), k1=k1, b=b)
+    return Bm25Index(terms=tf, n_docs=n_docs, avgdl=avgdl, docs=docs.drop("search_text"), k1=k1, b=b, hashed=True)
 
 
-def write_index(index: Bm25Index, path: str, files: int = 512) -> None:
-    """Write the index to ``path`` (a shared folder): the term table
+def write_index(index: Bm25Index, path: str, max_records_per_file: int = 20_000_000) -> None:
+    """Write the index to ``path`` (a shared folder): the raw term table,
     clustered and sorted by term (parquet min/max statistics per row group
-    then cover narrow term ranges) and a one-row statistics table."""
-    (index.terms.repartition(files, "term").sortWithinPartitions("term", "doc_id")
-         .write.mode("overwrite").parquet(f"{path}/terms"))
+    then cover narrow term ranges) in files of bounded size, and a one-row
+    statistics table.  The number of files follows the table: as many
+    partitions as the shuffle has, each cut at ``max_records_per_file``."""
+    (index.terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+         .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/terms"))
     spark = index.terms.sparkSession
     spark.createDataFrame([(index.n_docs, index.avgdl, index.k1, index.b)],
                           "n_docs long, avgdl double, k1 double, b double") \
@@ -99,34 +110,42 @@ def load_index(spark, path: str, docs: DataFrame) -> Bm25Index:
                      avgdl=float(st["avgdl"]), docs=require_any(docs), k1=float(st["k1"]), b=float(st["b"]))
 
 
-def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
-    """(query_id, term, qtf): query term multiplicity counts."""
-    return (queries.select("query_id", F.explode(tokens(text_col)).alias("term"))
-                   .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+def query_terms(queries: DataFrame, text_col: str = "query", keys: list[str] | None = None) -> DataFrame:
+    """(keys, term, qtf): query term multiplicity counts."""
+    keys = keys or ["query_id"]
+    return (queries.select(*keys, F.explode(tokens(text_col)).alias("term"))
+                   .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf")))
+
+
+# Bounds of the broadcast query side: (query, term) rows, each a short key, a
+# term of at most MAX_TERM_CHARS and a count.
+MAX_QUERY_TERMS = 200_000
+MAX_TERM_CHARS = 100
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "query",
-                max_rows: int = 200_000) -> DataFrame:
+                max_rows: int = MAX_QUERY_TERMS, keys: list[str] | None = None) -> DataFrame:
     """Exact BM25 score of every (query, doc) sharing at least one term.
 
     Only the postings of query terms are touched: the term table is
-    semi-joined with the distinct query terms (broadcast when their count is
-    proven small, a shuffle join otherwise), document frequencies are counted
-    for those terms only (partial aggregation, so a very frequent term is
-    collapsed map-side), and the weighted postings are joined with the
-    per-query term counts and summed per (query, doc).
+    semi-joined with the distinct query terms, document frequencies are
+    counted for those terms only (a very frequent term is collapsed map-side),
+    the weighted postings are hashed by ``doc_id`` unless the table is already,
+    joined with the per-query term counts and summed per (query, doc) in place.
+    The query side is broadcast while its rows and its term length are proven
+    bounded; beyond that the joins are shuffle joins.
     """
-    qt = query_terms(queries, text_col).persist(StorageLevel.MEMORY_AND_DISK)
-    # one bound covers all three small sides: the distinct query terms and
-    # their document frequencies never have more rows than (query, term)
-    small = bounded_rows(qt, max_rows) is not None
+    keys = keys or ["query_id"]
+    qt = query_terms(queries, text_col, keys)
+    probe = qt.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("term")).alias("chars")).first()
+    small = probe["n"] <= max_rows and (probe["chars"] or 0) <= MAX_TERM_CHARS
     bc = F.broadcast if small else (lambda d: d)
-    vocab = bc(qt.select("term").distinct())
-    tf_q = index.terms.join(vocab, "term", "left_semi")
+    tf_q = index.terms.join(bc(qt.select("term").distinct()), "term", "left_semi")
     df_q = bc(tf_q.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     post = tf_q.join(df_q, "term").select("term", "doc_id", index.weight().alias("weight"))
-    joined = post.join(bc(qt), "term")
-    return joined.groupBy("query_id", "doc_id").agg(
+    if small and not index.hashed:
+        post = post.repartition("doc_id")
+    return post.join(bc(qt), "term").groupBy(*keys, "doc_id").agg(
         F.sum(F.col("qtf") * F.col("weight")).alias("bm25_score"))
 
 
@@ -142,7 +161,15 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int = FV.BM25_TOP_K,
     scored = bm25_scores(index, queries, text_col)
     # scores are compared at 9 decimals so duplicate documents tie exactly
     hits = top_k(scored, "query_id", [F.round("bm25_score", 9).desc(), F.col("doc_id")], k)
-    return hits.join(index.docs, "doc_id")
+    return attach_documents(hits, index.docs)
+
+
+def attach_documents(hits: DataFrame, docs: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Columns of the hit documents: the narrow hit list is broadcast when its
+    size is proven, and the document table streams past it, so texts move only
+    when the hits are too many for that."""
+    side = docs.select("doc_id", *cols) if cols else docs
+    return side.join(broadcast_if_small(hits), "doc_id")
 
 
 def corpus_stats(index: Bm25Index) -> DataFrame:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,42 +46,41 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a private folder is created
-    and registered; on a cluster the configured shared path is always used.
+    Where that is unset, the warehouse - the other shared folder a session
+    names - holds the scratch tables.  Never a folder of one machine's own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# A row of ids, scores and short strings takes well under this many bytes.
+NARROW_ROW_BYTES = 200
+BROADCAST_BYTES = 40 << 20
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows`` else None.
-
-    Only counts up to ``max_rows + 1`` rows, so the probe stays cheap even when
-    the frame is large.  Used as the size proof before any broadcast.
-    """
+    """Row count if it is at most ``max_rows`` else None; reads no further."""
     n = df.limit(max_rows + 1).count()
     return n if n <= max_rows else None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be small.
+def broadcast_if_small(df: DataFrame, row_bytes: int = NARROW_ROW_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when rows times ``row_bytes`` is proven to stay
+    under ``BROADCAST_BYTES``; it must hold narrow columns only, never texts.
 
-    The frame is persisted (memory and disk, lineage kept) before the bounded
-    count, so the probe and the join read the same rows instead of computing
-    an expensive input (a scored hit list, say) twice.  Beyond the bound the
-    persisted frame is returned as is and Spark plans a shuffle join (AQE may
-    still convert it from runtime statistics).
+    The frame is written to the shared folder first, so the probe and the join
+    read the same rows, nothing is left in executor memory, and a lost
+    executor does not compute it again.  Beyond the bound Spark plans a
+    shuffle join (AQE may still convert it from run-time sizes).
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
+    from tessera.sources.jsonl import scratch_path
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map")]
+    if wide:
+        raise ValueError(f"only narrow columns may be broadcast, not {wide}")
+    path = scratch_path(df.sparkSession, "narrow")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(df) if bounded_rows(df, BROADCAST_BYTES // row_bytes) is not None else df

@@ -6,9 +6,6 @@ grows with them; nothing is generated.
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,40 +13,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-# Unique keys: when a scan has to be spread anyway, hashing on the unique key
-# is as even as round-robin and lets later per-document aggregations
-# (term counts, hashing vectors) run without another exchange.
-UNIQUE_KEYS = {"documents": "doc_id"}
-# below this much input per core a scan is not worth spreading
-MIN_BYTES_PER_TASK = 64 << 10
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), UNIQUE_KEYS.get(name))
-
-
-def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
-    """Parallelism floor for scans: a scan with fewer partitions than the
-    cluster has cores (a single large row group, a few big files) is spread
-    right after the scan - by the hash of a unique key when there is one,
-    else round-robin; both are skew-free.  Many-file inputs are left alone,
-    so on a large cluster this adds no shuffle; filters and column pruning
-    still reach the scan through the repartition."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target or _input_bytes(df) < target * MIN_BYTES_PER_TASK:
-        return df
-    return df.repartition(target, unique_key) if unique_key else df.repartition(target)
-
-
-def _input_bytes(df: DataFrame) -> float:
-    """Bytes of the scanned files when they are local; unknown sizes count as large."""
-    total = 0
-    for f in df.inputFiles():
-        p = urlparse(f)
-        if p.scheme not in ("", "file") or not os.path.exists(p.path):
-            return float("inf")
-        total += os.path.getsize(p.path)
-    return total
+    """A driver table as Spark reads it; jobs that need a partitioning state it."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def qa_pairs(conversations: DataFrame) -> DataFrame:

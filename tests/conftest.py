@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,6 +18,7 @@ def spark():
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tessera-test-"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from tessera.session import checkpoint_dir
