@@ -2,12 +2,13 @@
 (PF11, PF12), statistics (AG15, AG20), prompts (AG16, AG17), export (SNK12)
 and appends with defaults (SNK7).
 
-Ordering inside a conversation uses the dense turn ordinal, so "previous"
-and "last n" are equi-joins on (conversation, turn + j) rather than windows
-over a whole conversation: a very long conversation is spread over tasks by
-the hash of both columns.  Only the renderings that are by definition one
-value per conversation (full prompt text, export document) gather a
-conversation into one row.
+Order inside a conversation is by position, whatever numbers the ordinals
+have.  "Last n" is a per-task top-n before the exchange; positions and running
+sums are computed per block of ordinals with one row per block carried over,
+so a very long conversation is spread over tasks.  A key with NULL in it is a
+key like any other: tables are joined back on a struct of the keys, in which
+NULL equals NULL.  Renderings that are one value per conversation by
+definition have a line form (one row per line) for unbounded conversations.
 """
 
 from __future__ import annotations
@@ -32,26 +33,29 @@ def sessionize(df: DataFrame, keys: list[str], ts: str = "ts", ttl: int = FV.SES
     ordered per key over a table whose size is the number of buckets.
     """
     ts_type = dict(df.dtypes)[ts]
-    e = df.withColumn("_t", epoch_micros(F.col(ts), ts_type)).withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)))
-    w_in = Window.partitionBy(*keys, "_bk").orderBy("_t", tie)
-    per_bucket = e.groupBy(*keys, "_bk").agg(F.max("_t").alias("_bmax"))
-    w_b = Window.partitionBy(*keys).orderBy("_bk")
-    per_bucket = per_bucket.withColumn("_prev_max", F.lag("_bmax").over(w_b))
-    e = e.join(per_bucket.select(*keys, "_bk", "_prev_max"), [*keys, "_bk"])
+    e = df.withColumn("_t", epoch_micros(F.col(ts), ts_type)).withColumn("_key", F.struct(*keys)).withColumn(
+        "_bk", F.coalesce(F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)), F.lit(-1)))
+    # the one exchange of the accesses: summaries, windows and joins below reuse it
+    e = e.repartition("_key", "_bk")
+    w_in = Window.partitionBy("_key", "_bk").orderBy("_t", tie)
+    w_b = Window.partitionBy("_key").orderBy("_bk")
+    per_bucket = e.groupBy("_key", "_bk").agg(F.max("_t").alias("_bmax")).select(
+        "_key", "_bk", F.lag("_bmax").over(w_b).alias("_prev_max"))
+    e = e.join(per_bucket, ["_key", "_bk"])
     prev = F.coalesce(F.lag("_t").over(w_in), F.col("_prev_max"))
     e = e.withColumn("_start", prev.isNull() | (F.col("_t") - prev >= F.lit(ttl * 1_000_000)))
     e = e.withColumn("_start_in", F.max(F.when(F.col("_start"), F.col("_t"))).over(
         w_in.rowsBetween(Window.unboundedPreceding, 0)))
-    last_start = e.groupBy(*keys, "_bk").agg(F.max(F.when(F.col("_start"), F.col("_t"))).alias("_ls"))
-    last_start = last_start.withColumn("_carry", F.last("_ls", ignorenulls=True).over(
-        w_b.rowsBetween(Window.unboundedPreceding, -1)))
-    e = e.join(last_start.select(*keys, "_bk", "_carry"), [*keys, "_bk"])
+    last_start = e.groupBy("_key", "_bk").agg(F.max(F.when(F.col("_start"), F.col("_t"))).alias("_ls")).select(
+        "_key", "_bk", F.last("_ls", ignorenulls=True).over(
+            w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    e = e.join(last_start, ["_key", "_bk"])
     start_us = F.coalesce(F.col("_start_in"), F.col("_carry"))
     start_ts = from_epoch_micros(start_us, ts_type)
     start_txt = F.date_format(start_ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     sid = F.substring(F.sha2(F.concat_ws(".", *[F.col(k).cast("string") for k in keys], start_txt), 256), 1, 33)
     return e.withColumn("session_start", start_txt).withColumn("conversation_id", sid) \
-            .drop("_t", "_bk", "_prev_max", "_start", "_start_in", "_carry")
+            .drop("_t", "_key", "_bk", "_prev_max", "_start", "_start_in", "_carry")
 
 
 def session_summary(sessions: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,21 +80,26 @@ def history_rows(chat: DataFrame, conv: str = "conv_id", order: str = "turn",
 def last_n_turns(rows: DataFrame, n: int, conv: str = "conv_id", idx: str = "msg_idx",
                  drop_system: bool = True, min_history: int = 2) -> DataFrame:
     """WN4: the last ``n`` messages of every conversation whose history has
-    more than one message; the system row is not a turn."""
+    more than one message; the system row is not a turn.  "Last" is by
+    position: the ordinals may have gaps.  The rank filter is planned as a
+    partial top-n, so ``n`` rows of a conversation leave a task."""
     r = rows.filter(F.col("role") != "system") if drop_system else rows
-    size = rows.groupBy(conv).agg(F.count(F.lit(1)).alias("_hist"), F.max(idx).alias("_last"))
-    out = r.join(size, conv).filter((F.col("_hist") >= min_history) & (F.col(idx) > F.col("_last") - n))
-    return out.drop("_hist", "_last")
+    w = Window.partitionBy(conv).orderBy(F.col(idx).desc(), F.col("role").desc(), F.col("content").desc())
+    last = r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).withColumn("_key", F.struct(conv))
+    size = rows.groupBy(F.struct(conv).alias("_key")).agg(F.count(F.lit(1)).alias("_hist"))
+    return last.join(size, "_key").filter(F.col("_hist") >= min_history).drop("_hist", "_rn", "_key")
 
 
 def prior_window(rows: DataFrame, n: int, conv: str = "conv_id", idx: str = "msg_idx") -> DataFrame:
     """WN5 (bounded): for every message, the up-to-``n`` messages before it,
-    as rows (conv, msg_idx, prior_idx, role, content).  Each message is
-    paired with the next ``n`` ordinals by an equi-join, never a whole-group frame."""
-    slots = rows.select(conv, F.col(idx).alias("prior_idx"), "role", "content",
-                        F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_j"))
-    slots = slots.withColumn(idx, F.col("prior_idx") + F.col("_j")).drop("_j")
-    return rows.select(conv, idx).join(slots, [conv, idx])
+    as rows (conv, msg_idx, prior_idx, role, content).  Each message is paired
+    with the next ``n`` positions by an equi-join, never a whole-group frame."""
+    placed = exclusive_running_sum(rows.withColumn("_one", F.lit(1)), conv, idx, "_one", "_pos", ties=["role", "content"])
+    placed = placed.withColumn("_key", F.struct(conv))
+    slots = placed.select("_key", F.col(idx).alias("prior_idx"), "role", "content", "_pos",
+                          F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_j"))
+    slots = slots.withColumn("_pos", F.col("_pos") + F.col("_j")).drop("_j")
+    return placed.select("_key", conv, idx, "_pos").join(slots, ["_key", "_pos"]).drop("_key", "_pos")
 
 
 def labelled_history_text(rows: DataFrame, conv: str = "conv_id", idx: str = "msg_idx") -> DataFrame:
@@ -167,6 +176,38 @@ def render_plain_history(msgs: DataFrame, conv: str = "conv_id", idx: str = "tur
     return body.select(conv, F.concat("_body", F.lit("Assistant:")).alias("prompt"))
 
 
+def render_plain_lines(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn", role: str = "role",
+                       content: str = "text") -> DataFrame:
+    """PF12 as rows (conv, line_no, line): joined by ``line_no`` they are
+    ``render_plain_history``'s prompt; no task gathers a conversation."""
+    label = F.when(F.col(role) == "system", "System: ").when(F.col(role) == "user", "Human: ") \
+             .when(F.col(role) == "assistant", "Assistant: ")
+    body = msgs.filter(label.isNotNull()).select(conv, F.col(idx).cast("bigint").alias("line_no"),
+                                                 F.concat(label, F.col(content), F.lit("\n")).alias("line"))
+    tail = msgs.groupBy(conv).agg((F.max(idx) + 1).cast("bigint").alias("line_no")).withColumn(
+        "line", F.lit("Assistant:"))
+    return body.unionByName(tail)
+
+
+def history_lines(rows: DataFrame, conv: str = "conv_id", idx: str = "msg_idx") -> DataFrame:
+    """AG8 as rows (conv, line_no, line), the distributed form of ``history_text``."""
+    return rows.select(conv, F.col(idx).alias("line_no"),
+                       F.concat(F.col("role"), F.lit(": "), F.col("content"), F.lit("\n")).alias("line"))
+
+
+def export_messages(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn", role: str = "role",
+                    content: str = "text", ts: str | None = None) -> DataFrame:
+    """SNK12 as one row per message (conversation_id, index, message_json) with
+    the 1-based position as index, for conversations beyond one task."""
+    stamp = F.coalesce(F.col(ts).cast("string"), F.lit("Unknown")) if ts else F.lit("Unknown")
+    placed = exclusive_running_sum(msgs.withColumn("_one", F.lit(1)), conv, idx, "_one", "_pos", ties=[role, content])
+    index = (F.col("_pos") + 1).cast("bigint")
+    return placed.select(F.col(conv).cast("string").alias("conversation_id"), index.alias("index"),
+                         F.to_json(F.struct(index.alias("index"), F.col(role).alias("role"),
+                                            F.col(content).alias("content"), stamp.alias("timestamp")))
+                         .alias("message_json"))
+
+
 def conversation_stats(msgs: DataFrame, conv: str = "conv_id", role: str = "role") -> DataFrame:
     """AG15: messages and user questions per conversation."""
     return msgs.groupBy(conv).agg(F.count(F.lit(1)).alias("n_messages"),
@@ -196,19 +237,19 @@ def token_usage(msgs: DataFrame, conv: str = "conv_id", idx: str = "turn", role:
 
 
 def exclusive_running_sum(df: DataFrame, part: str, idx: str, value: str, out: str,
-                          block: int = 1000) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the same ``part`` (dense
-    ordinal ``idx``).  Windows run per (part, block of ``block`` ordinals);
-    the totals of earlier blocks come from a one-row-per-block table, so a
-    very long group is spread over many tasks."""
-    d = df.withColumn("_blk", F.floor(F.col(idx) / block))
-    w_in = Window.partitionBy(part, "_blk").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
-    tot = d.groupBy(part, "_blk").agg(F.sum(value).alias("_t"))
-    tot = tot.withColumn("_prev", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(tot.select(part, "_blk", "_prev"), [part, "_blk"])
-    return d.withColumn(out, F.col("_prev") + F.col("_in")).drop("_blk", "_in", "_prev")
+                          block: int = 1000, ties: list[str] | None = None) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same ``part``, ordered by
+    ``idx`` (gaps and NULLs allowed; NULL values count 0, a NULL ``idx`` comes
+    first).  Windows run per (part, block of ``block`` ordinals); the totals
+    of earlier blocks come from a one-row-per-block table, so a very long
+    group is spread over many tasks."""
+    d = df.withColumn("_key", F.struct(part)).withColumn("_blk", F.coalesce(F.floor(F.col(idx) / block), F.lit(-(1 << 62))))
+    d = d.repartition("_key", "_blk")
+    w_in = Window.partitionBy("_key", "_blk").orderBy(idx, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
+    tot = d.groupBy("_key", "_blk").agg(F.sum(value).alias("_t")).select("_key", "_blk", F.coalesce(F.sum("_t").over(
+        Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_prev"))
+    d = d.withColumn("_in", F.coalesce(F.sum(value).over(w_in), F.lit(0))).join(tot, ["_key", "_blk"])
+    return d.withColumn(out, F.col("_prev") + F.col("_in")).drop("_key", "_blk", "_in", "_prev")
 
 
 def doc_prompt(hits: DataFrame, part: str = "request_id", order: str = "rerank_rank",
@@ -260,3 +301,11 @@ def with_chat_defaults(df: DataFrame) -> DataFrame:
 def append_rows(df: DataFrame, path: str) -> None:
     """SNK7: append to a parquet table (each batch is one atomic job commit)."""
     df.write.mode("append").parquet(path)
+
+
+def append_documents(df: DataFrame, path: str) -> None:
+    """SNK7: append (question, content) documents with their creation and
+    update times; other columns are not stored."""
+    df.select(F.col("question").cast("string"), F.col("content").cast("string"),
+              F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at")) \
+      .write.mode("append").parquet(path)

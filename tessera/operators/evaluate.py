@@ -178,14 +178,19 @@ def eval_details(preds: DataFrame, metrics: DataFrame, id_col: str = "id",
 SUMMARY_METRICS = ["loss", "perplexity", "rouge1_f1", "rouge2_f1", "rougeL_f1"]
 
 
-def eval_summary(metrics: DataFrame, total_rows: DataFrame | None = None,
-                 cols: list[str] | None = None) -> DataFrame:
-    """AG12: mean and population std of each metric; evaluated rows per metric
-    (non-null) and total rows."""
+def eval_summary(metrics: DataFrame, total_rows: int | None = None, cols: list[str] | None = None) -> DataFrame:
+    """AG12: mean and population std of each metric, the rows that have a
+    value for it (``evaluated_<metric>``), the rows with every metric
+    (``num_samples_evaluated``) and all rows of the test set
+    (``total_samples``, the rows of ``metrics`` unless given)."""
     cols = [c for c in (cols or SUMMARY_METRICS) if c in metrics.columns]
-    aggs = [F.count(F.lit(1)).alias("num_samples_evaluated")]
+    whole = None
     for c in cols:
-        aggs += [F.avg(c).alias(f"avg_{c}"), F.stddev_pop(c).alias(f"std_{c}")]
+        whole = F.col(c).isNotNull() if whole is None else whole & F.col(c).isNotNull()
+    aggs = [F.count_if(whole).alias("num_samples_evaluated"),
+            (F.count(F.lit(1)) if total_rows is None else F.max(F.lit(total_rows))).cast("bigint").alias("total_samples")]
+    for c in cols:
+        aggs += [F.avg(c).alias(f"avg_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.count(c).alias(f"evaluated_{c}")]
     return metrics.agg(*aggs)
 
 

@@ -19,15 +19,17 @@ from tessera.functions.time import epoch_micros
 def previous_row(df: DataFrame, keys: list[str], ts: str, cols: list[str], tie: str,
                  bucket_seconds: int = 3600) -> DataFrame:
     """Adds ``prev_<c>`` for ``ts`` and every column in ``cols``."""
-    e = df.withColumn("_t", epoch_micros(F.col(ts), dict(df.dtypes)[ts])).withColumn("_bk", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)))
+    # a struct of the keys: NULL equals NULL, so a NULL series keeps its rows
+    e = df.withColumn("_t", epoch_micros(F.col(ts), dict(df.dtypes)[ts])).withColumn("_key", F.struct(*keys)).withColumn(
+        "_bk", F.coalesce(F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000)), F.lit(-1))).repartition("_key", "_bk")
     carried = [ts, *cols]
-    last = e.groupBy(*keys, "_bk").agg(F.max(F.struct("_t", tie, *carried)).alias("_last"))
-    last = last.withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bk")))
-    e = e.join(last.select(*keys, "_bk", "_prev_last"), [*keys, "_bk"])
-    w = Window.partitionBy(*keys, "_bk").orderBy("_t", tie)
+    last = e.groupBy("_key", "_bk").agg(F.max(F.struct("_t", tie, *carried)).alias("_last")).select(
+        "_key", "_bk", F.lag("_last").over(Window.partitionBy("_key").orderBy("_bk")).alias("_prev_last"))
+    e = e.join(last, ["_key", "_bk"])
+    w = Window.partitionBy("_key", "_bk").orderBy("_t", tie)
     for c in carried:
         e = e.withColumn(f"prev_{c}", F.coalesce(F.lag(c).over(w), F.col(f"_prev_last.{c}")))
-    return e.drop("_t", "_bk", "_prev_last")
+    return e.drop("_t", "_key", "_bk", "_prev_last")
 
 
 def counter_increase(df: DataFrame, series: str = "series", ts: str = "ts", value: str = "value",

@@ -159,6 +159,32 @@ def plain_prompt(spark, sf):
     return chat.render_plain_history(T.table(spark, sf, "conversations"))
 
 
+@register("plain_prompt_lines", sql="""
+SELECT conv_id, turn AS line_no, CASE role WHEN 'system' THEN 'System: ' WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END
+       || text || chr(10) AS line FROM conversations WHERE role IN ('system', 'user', 'assistant')
+UNION ALL SELECT conv_id, max(turn) + 1, 'Assistant:' FROM conversations GROUP BY conv_id
+""")
+def plain_prompt_lines(spark, sf):
+    """PF12 as ordered lines."""
+    return chat.render_plain_lines(T.table(spark, sf, "conversations"))
+
+
+@register("history_text_lines", sql=HIST_SQL + "SELECT conv_id, msg_idx AS line_no, role || ': ' || content || chr(10) AS line FROM rows")
+def history_text_lines(spark, sf):
+    """AG8 as ordered lines."""
+    return chat.history_lines(_rows(spark, sf))
+
+
+@register("export_messages", sql="""
+SELECT conv_id::VARCHAR AS conversation_id, turn + 1 AS index,
+       to_json({'index': turn + 1, 'role': role, 'content': text, 'timestamp': 'Unknown'})::VARCHAR AS message_json
+FROM conversations
+""")
+def export_messages(spark, sf):
+    """SNK12 as one row per message."""
+    return chat.export_messages(T.table(spark, sf, "conversations"))
+
+
 _WS = "'[\\s\\p{Z}\\x{0b}\\x{1c}-\\x{1f}\\x{85}]+'"
 
 

@@ -94,12 +94,18 @@ SUMMARY_COLS = ["avg_loss", "std_loss", "avg_perplexity", "std_perplexity", "avg
                 "avg_rouge2_f1", "std_rouge2_f1"]
 
 
+EVALUATED = ["loss", "perplexity", "rouge1_f1", "rouge2_f1"]
+
+
 @register("eval_summary", sql=f"WITH {_summary_sql(PRED_SQL, 'b')} SELECT num_samples_evaluated, "
-                              + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_COLS) + " FROM b_s")
+                              + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_COLS)
+                              + ", (SELECT count(*) FROM b_m) AS total_samples, "
+                              + ", ".join(f"(SELECT count({c}) FROM b_m) AS evaluated_{c}" for c in EVALUATED) + " FROM b_s")
 def eval_summary(spark, sf):
     """AG12 + EV1: means and population stds (perplexity = mean of exp(loss))."""
     s = ev.eval_summary(_metrics(spark, sf, _preds(spark, sf)))
-    return s.select("num_samples_evaluated", *[F.round(c, 6).alias(c) for c in SUMMARY_COLS])
+    return s.select("num_samples_evaluated", "total_samples", *[F.round(c, 6).alias(c) for c in SUMMARY_COLS],
+                    *[f"evaluated_{c}" for c in EVALUATED])
 
 
 @register("eval_summary_full")
