@@ -111,11 +111,13 @@ def chunk_semantic(df: DataFrame, text_col: str = "text", buffer: int = 1, pct:
 
 def point_ids(df: DataFrame, doc_col: str = "doc_id", idx_col: str = "chunk_idx",
               stride: int = FV.POINT_ID_STRIDE) -> DataFrame:
-    """CH4: doc_id * 1000 + chunk_idx; a chunk index >= 1000 would collide, so it fails."""
-    pid = F.when(F.col(idx_col) >= stride,
-                 F.raise_error(F.lit(f"chunk index >= {stride} would collide point ids"))) \
-           .otherwise(F.col(doc_col) * stride + F.col(idx_col))
-    return df.withColumn("point_id", pid.cast("bigint"))
+    """CH4: ``chunk_key`` (document, chunk) is the identity of a point;
+    ``point_id`` = doc_id * 1000 + chunk_idx is the number derived from it, for
+    stores that want one.  Beyond ``stride`` chunks the number would collide
+    with the next document's, so it is NULL there; the key still holds."""
+    pid = F.when(F.col(idx_col) < stride, F.col(doc_col) * stride + F.col(idx_col))
+    return df.withColumn("point_id", pid.cast("bigint")).withColumn(
+        "chunk_key", F.concat_ws(":", F.col(doc_col).cast("string"), F.col(idx_col).cast("string")))
 
 
 def latest_per_id(batch: DataFrame, id_col: str = "point_id", seq_col: str = "seq") -> DataFrame:

@@ -58,10 +58,26 @@ def metric_rate(df: DataFrame, series: str = "series", ts: str = "ts", value: st
     return g.select(series, F.col("w.start").alias("window_start"), "n_samples", "rate", "irate")
 
 
-def sustained_alert_batch(df: DataFrame, series: str, value: str, threshold: float, ts: str = "ts",
-                          for_: str = "5 minutes", step: str = "1 minute") -> DataFrame:
-    """ST5 batch twin: same sliding windows as the streaming job."""
-    g = df.groupBy(series, F.window(ts, for_, step).alias("w")).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.min(value).alias("min_value"))
-    return g.select(series, F.col("w.start").alias("window_start"), "n_samples", "min_value",
-                    ((F.col("n_samples") > 0) & (F.col("min_value") > threshold)).alias("firing"))
+def sustained_windows(df: DataFrame, series: str, condition: F.Column, for_minutes: int, ts: str = "ts") -> DataFrame:
+    """ST5, batch and streaming: one row per series and minute-aligned window
+    of ``for_minutes`` minutes.  A bit per minute says that it has samples."""
+    w = df.select(F.col(series).alias("series"), F.coalesce(condition, F.lit(False)).alias("_ok"), F.col(ts).alias("_ts"),
+                  F.window(ts, f"{for_minutes} minutes", "1 minute").alias("w"))
+    ntz = dict(df.dtypes)[ts] == "timestamp_ntz"
+    kind = "timestamp_ntz" if ntz else "timestamp"
+    offset = (epoch_micros(F.col("_ts"), kind) - epoch_micros(F.col("w.start"), kind)) / F.lit(60_000_000)
+    minute = F.pow(F.lit(2.0), F.floor(offset)).cast("long")
+    g = w.withColumn("_minute", minute).groupBy("series", "w").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.bit_count(F.bit_or("_minute")).alias("n_minutes"),
+        F.min(F.col("_ok").cast("int")).alias("_all"))
+    return g.select("series", F.col("w.start").alias("window_start"), "n_samples", "n_minutes",
+                    ((F.col("n_minutes") == for_minutes) & (F.col("_all") == 1)).alias("firing"))
+
+
+def busy_percent(df: DataFrame, idle: str, series: str = "series", ts: str = "ts", value: str = "value",
+                 tie: str = "event_id", window: str = "5 minutes") -> DataFrame:
+    """ST7, CPU form: 100 - 100 * average instant rate of the idle counter, per
+    tumbling window."""
+    r = counter_increase(df.filter(F.col(series) == idle), series, ts, value, tie)
+    g = r.groupBy(F.window(ts, window).alias("w")).agg(F.count("irate").alias("n_rates"), F.avg("irate").alias("_idle"))
+    return g.select(F.col("w.start").alias("window_start"), "n_rates", (F.lit(100.0) - F.col("_idle") * 100).alias("busy_pct"))

@@ -25,11 +25,30 @@ from tessera.sources.jsonl import scratch_path
 WATERMARK = "10 minutes"
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A file stream over one driver table (schema taken from the files)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+def table_stream(spark: SparkSession, sf_dir: str, name: str, order: str, slices: int = 3,
+                 files_per_slice: int = 1) -> DataFrame:
+    """A driver table replayed as a file stream of ``slices`` micro-batches in
+    the order of ``order`` (a numeric or timestamp column; NULLs come first).
+
+    The table is written once as slices of equal ranges, one after the other,
+    and read ``files_per_slice`` files at a time, so state and watermark pass
+    from batch to batch as in a live stream.
+    """
+    return replay(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), order, slices, files_per_slice)
+
+
+def replay(df: DataFrame, order: str, slices: int = 3, files_per_slice: int = 1) -> DataFrame:
+    """``df`` as a file stream of ``slices`` micro-batches (see ``table_stream``)."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[order]
+    key = epoch_micros(F.col(order), kind) if kind.startswith("timestamp") else F.col(order).cast("long")
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // slices))
+    part = F.coalesce(F.floor((key - F.lit(lo)) / F.lit(width)), F.lit(0)) if lo is not None else F.lit(0)
+    path = scratch_path(spark, "replay")
+    for i in range(slices):
+        # one job per slice: the file source takes files by their time
+        df.filter(part == i).repartition(files_per_slice).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_slice).parquet(path)
 
 
 def drain(sdf: DataFrame, name: str, output_mode: str = "append",
@@ -69,8 +88,23 @@ def stream_sessions(sdf: DataFrame, keys: list[str], ts: str = "ts", ttl: int =
     return s.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
+def all_sessions(closed: DataFrame, events: DataFrame, keys: list[str], ts: str = "ts",
+                 ttl: int = FV.SESSION_TTL_SECONDS, watermark: str = WATERMARK) -> DataFrame:
+    """The emitted sessions (``closed`` true) and those still open when the
+    input has ended (``closed`` false): sessions that end after the final
+    watermark, built from the events of the keys that have one."""
+    last = events.agg(F.max(ts).alias("last")).select((F.col("last") - F.expr(f"INTERVAL {watermark}")).alias("mark"))
+    tail = events.join(F.broadcast(last)).filter(F.col(ts) + F.expr(f"INTERVAL {ttl} seconds") > F.col("mark"))
+    keyed = events.withColumn("_key", F.struct(*keys)).join(
+        tail.select(F.struct(*keys).alias("_key")).distinct(), "_key", "left_semi")
+    rest = keyed.groupBy(*keys, F.session_window(ts, f"{ttl} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
+    rest = rest.join(F.broadcast(last)).filter(F.col("w.end") > F.col("mark")).select(
+        *keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+    return closed.withColumn("closed", F.lit(True)).unionByName(rest.withColumn("closed", F.lit(False)))
+
+
 SESSION_SCHEMA = "event_id long, bot_id string, user_id string, t_us long, start_us long"
-SESSION_STATE = "last_us long, start_us long"
+SESSION_STATE = "last_us long, start_us long, event_ms long"
 
 
 def _session_fn(ttl_us: int):
@@ -78,7 +112,7 @@ def _session_fn(ttl_us: int):
         if state.hasTimedOut:
             state.remove()
             return
-        last, start = state.get if state.exists else (None, None)
+        last, start, event_ms = state.get if state.exists else (None, None, 0)
         chunks = list(pdfs)  # this key's accesses in one micro-batch
         if not chunks:
             return
@@ -89,8 +123,11 @@ def _session_fn(ttl_us: int):
                 start = t
             last = max(last, t) if last is not None else t
             starts.append(start)
-        state.update((last, start))
-        state.setTimeoutTimestamp(last // 1000 + ttl_us // 1000)
+        # the watermark runs on the event-time column, so the timeout does too:
+        # the gaps may be measured on a wall clock of another zone
+        event_ms = max(event_ms, int(pdf["event_ms"].max()))
+        state.update((last, start, event_ms))
+        state.setTimeoutTimestamp(max(event_ms + ttl_us // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "bot_id": key[0], "user_id": key[1],
                             "t_us": pdf["t_us"].to_numpy(), "start_us": starts})
     return fn
@@ -105,7 +142,8 @@ def stream_session_ids(sdf: DataFrame, keys: list[str], ts: str = "ts", ttl: int
     ``wall_clock`` names a ``timestamp_ntz`` column whose wall-clock time
     measures the gaps (the watermark itself needs the TIMESTAMP ``ts``)."""
     t_us = epoch_micros(F.col(wall_clock), "timestamp_ntz") if wall_clock else F.unix_micros(ts)
-    s = sdf.withWatermark(ts, watermark).select("event_id", *keys, ts, t_us.alias("t_us"))
+    s = sdf.withWatermark(ts, watermark).select("event_id", *keys, ts, t_us.alias("t_us"),
+                                                F.unix_millis(ts).alias("event_ms"))
     out = s.groupBy(*keys).applyInPandasWithState(
         _session_fn(ttl * 1_000_000), SESSION_SCHEMA, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     start = from_epoch_micros(F.col("start_us"), "timestamp_ntz" if wall_clock else "timestamp")
@@ -115,94 +153,107 @@ def stream_session_ids(sdf: DataFrame, keys: list[str], ts: str = "ts", ttl: int
 
 
 # --------------------------------------------------------------------------- ST2
-HISTORY_SCHEMA = "conv_id long, turn long, n_prior int, prior_roles string"
-HISTORY_STATE = "roles array<string>, turns array<long>, texts array<string>"
+HISTORY_SCHEMA = ("conv_id long, turn long, n_prior int, prior_roles string, "
+                  "prior array<struct<turn:long,role:string,content:string>>")
+HISTORY_STATE = "roles array<string>, turns array<long>, texts array<string>, event_ms long"
 
 
-def _history_fn(max_messages: int, ttl_ms: int):
+def _history_fn(max_messages: int, retention_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        roles, turns, texts = (list(x) for x in state.get) if state.exists else ([], [], [])
+        roles, turns, texts, max_ms = state.get if state.exists else ([], [], [], None)
+        roles, turns, texts = list(roles), list(turns), list(texts)
         rows = []
-        max_ts = None
         chunks = list(pdfs)  # one conversation's new rows: bounded by that micro-batch
         if chunks:
             for r in pd.concat(chunks).sort_values("turn").itertuples(index=False):
-                rows.append((key[0], int(r.turn), len(turns), "|".join(roles)))
+                if retention_ms is not None and max_ms is not None and r.event_ms - max_ms > retention_ms:
+                    roles, turns, texts = [], [], []    # idle for too long, whenever the state is cleaned up
+                prior = [{"turn": t, "role": a, "content": x} for t, a, x in zip(turns, roles, texts)]
+                rows.append((key[0], int(r.turn), len(turns), "|".join(x or "" for x in roles), prior))
                 roles.append(r.role)
                 turns.append(int(r.turn))
                 texts.append(r.text)
                 roles, turns, texts = roles[-max_messages:], turns[-max_messages:], texts[-max_messages:]
-                t = pd.Timestamp(r.ts).value // 1_000_000
-                max_ts = t if max_ts is None else max(max_ts, t)
-        state.update((roles, turns, texts))
-        if max_ts is not None:
-            state.setTimeoutTimestamp(max_ts + ttl_ms)
+                max_ms = int(r.event_ms) if max_ms is None else max(max_ms, int(r.event_ms))
+        state.update((roles, turns, texts, max_ms))
+        if max_ms is not None and retention_ms is not None:
+            state.setTimeoutTimestamp(max(max_ms + retention_ms, state.getCurrentWatermarkMs() + 1))
         if rows:
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "n_prior", "prior_roles"])
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "n_prior", "prior_roles", "prior"])
     return fn
 
 
 def stream_history(sdf: DataFrame, max_messages: int = 6, ts: str = "ts", watermark: str = WATERMARK,
-                   idle_ms: int = 3_600_000) -> DataFrame:
+                   retention_ms: int | None = None) -> DataFrame:
     """ST2: per conversation, every new message is emitted with the (at most
-    ``max_messages``) messages before it; state holds only those messages and
-    expires after ``idle_ms`` of event time without new messages."""
-    return sdf.withWatermark(ts, watermark).groupBy("conv_id").applyInPandasWithState(
-        _history_fn(max_messages, idle_ms), HISTORY_SCHEMA, HISTORY_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    ``max_messages``) messages before it: their turns, roles and texts.  State
+    holds only those messages.  By default a conversation's history is never
+    forgotten, like the batch twin; ``retention_ms`` of event time without a
+    new message drops it, which bounds the number of conversations held."""
+    rows = sdf.withColumn("event_ms", F.unix_millis(ts))
+    how = GroupStateTimeout.NoTimeout if retention_ms is None else GroupStateTimeout.EventTimeTimeout
+    return rows.withWatermark(ts, watermark).groupBy("conv_id").applyInPandasWithState(
+        _history_fn(max_messages, retention_ms), HISTORY_SCHEMA, HISTORY_STATE, "append", how)
 
 
 # --------------------------------------------------------------------------- ST3
 def stream_ingest_documents(sdf: DataFrame, size: int = FV.CHUNK_TOKENS, overlap: int = FV.CHUNK_OVERLAP,
                             encoder=None) -> tuple[DataFrame, Callable]:
-    """ST3: new document -> token chunks -> embedding -> point ids; the
-    returned ``foreach`` writes each batch's points under its batch id."""
+    """ST3: new document -> token chunks -> embedding -> upsert.  The returned
+    ``foreach`` writes each batch's points under ``points`` and its document
+    ids under ``docs``; ``live_points`` merges them on read, so a document that
+    comes again replaces all its earlier chunks, also when it has fewer."""
     from tessera.operators import chunk, embed
 
     def foreach(df: DataFrame, batch_id: int, out: str) -> None:
-        ch = chunk.point_ids(chunk.chunk_tokens(df, "text", size, overlap))
-        pts = embed.embed(ch, "point_id", "content", encoder)
-        write_batch(pts.select("point_id", "doc_id", "chunk_idx", "n_tokens", "embedding"), batch_id, out)
+        # a document twice in one batch: the larger text stands, on every replay
+        docs = df.groupBy("doc_id").agg(F.max("text").alias("text"))
+        points = embed.embed(chunk.point_ids(chunk.chunk_tokens(docs, "text", size, overlap)), "chunk_key", "content", encoder)
+        write_batch(points.select("point_id", "doc_id", "chunk_idx", "n_tokens", "content", "embedding"),
+                    batch_id, f"{out}/points")
+        write_batch(docs.select("doc_id"), batch_id, f"{out}/docs")
 
     return sdf.select("doc_id", "text"), foreach
 
 
+def live_points(spark: SparkSession, out: str) -> DataFrame:
+    """The points of every document's last ingestion."""
+    last = spark.read.parquet(f"{out}/docs").groupBy("doc_id").agg(F.max("_batch").alias("_batch"))
+    return spark.read.parquet(f"{out}/points").join(last, ["doc_id", "_batch"]).drop("_batch", "batch")
+
+
 # --------------------------------------------------------------------------- ST4
-def stream_dedup_content(sdf: DataFrame, content: str = "content", ts: str | None = None,
-                         within: str | None = None) -> DataFrame:
-    """ST4: drop repeated contents.  With ``within`` (and an event-time
-    column) duplicates are only dropped inside that delay, which bounds the
-    state; without it every content is emitted once (state = distinct contents)."""
-    if within and ts:
-        return sdf.withWatermark(ts, within).dropDuplicatesWithinWatermark([content])
-    return sdf.dropDuplicates([content])
+def stream_dedup_content(sdf: DataFrame, content: str = "content", ts: str = "ts",
+                         within: str = "30 days") -> DataFrame:
+    """ST4: a content is emitted once; repetitions within ``within`` of event
+    time are dropped, and state is held no longer than that."""
+    return sdf.withWatermark(ts, within).dropDuplicatesWithinWatermark([content])
 
 
 # --------------------------------------------------------------------------- ST5
-def sustained_alert(sdf: DataFrame, series: str, value: str, threshold: float, for_: str = "5 minutes",
-                    step: str = "1 minute", ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """ST5: in every sliding window of length ``for_`` the condition held for
-    all samples and at least one sample exists (no data is not firing)."""
-    w = sdf.withWatermark(ts, watermark).groupBy(series, F.window(ts, for_, step).alias("w")).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.min(value).alias("min_value"))
-    return w.select(series, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "n_samples", "min_value", ((F.col("n_samples") > 0) & (F.col("min_value") > threshold))
-                    .alias("firing"))
+def sustained_alert(sdf: DataFrame, series: str, condition: F.Column, for_minutes: int = 5, ts: str = "ts",
+                    watermark: str = WATERMARK) -> DataFrame:
+    """ST5: evaluated every minute, the alert fires if each of the last
+    ``for_minutes`` minutes has samples and the condition held for all of
+    them.  ``condition`` is a boolean column (NULL counts as false)."""
+    from tessera.operators.metrics import sustained_windows
+    return sustained_windows(sdf.withWatermark(ts, watermark), series, condition, for_minutes, ts)
 
 
 # --------------------------------------------------------------------------- ST7
 def metric_ratio(sdf: DataFrame, series: str, value: str, num: str, den: str, window: str = "5 minutes",
                  ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """ST7: (1 - sum(num) / sum(den)) * 100 per tumbling window (conditional
-    aggregation is the pivot)."""
+    """ST7: (1 - num / den) * 100 per tumbling window.  Both are gauges: each
+    is its average over the window, so the ratio does not depend on how many
+    samples either series has (conditional aggregation is the pivot)."""
     g = sdf.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w")).agg(
-        F.sum(F.when(F.col(series) == num, F.col(value))).alias("num"),
-        F.sum(F.when(F.col(series) == den, F.col(value))).alias("den"))
+        F.avg(F.when(F.col(series) == num, F.col(value))).alias("num"),
+        F.avg(F.when(F.col(series) == den, F.col(value))).alias("den"))
     return g.select(F.col("w.start").alias("window_start"), "num", "den",
-                    ((F.lit(1.0) - F.col("num") / F.col("den")) * 100).alias("ratio_pct"))
+                    F.when(F.col("den") != 0, (F.lit(1.0) - F.col("num") / F.col("den")) * 100).alias("ratio_pct"))
 
 
 # --------------------------------------------------------------------------- ST8
@@ -224,3 +275,8 @@ def import_progress_writer(data_cols: list[str]):
             "batch_id long, processed long, errors long").write.mode("overwrite") \
             .parquet(f"{out}/progress/batch={batch_id}")
     return foreach
+
+
+def import_totals(progress: DataFrame) -> DataFrame:
+    """Processed and malformed lines over all batches, however they were cut."""
+    return progress.agg(F.sum("processed").alias("total_processed"), F.sum("errors").alias("total_errors"))

@@ -56,7 +56,7 @@ def test_line_forms_give_the_same_texts(spark):
                                  "conv_id long, turn long, role string, text string")
     lines = sorted((r.line_no, r.line) for r in chat.render_plain_lines(msgs).collect())
     assert "".join(x for _, x in lines) == chat.render_plain_history(msgs).first().prompt
-    assert [r.index for r in chat.export_messages(msgs).orderBy("index").collect()] == [1, 2, 3]
+    assert [r["index"] for r in chat.export_messages(msgs).orderBy("index").collect()] == [1, 2, 3]
 
 
 def test_evaluated_and_total_counts(spark):
