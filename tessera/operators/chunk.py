@@ -7,8 +7,13 @@ of one document, which is bounded by that document's length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import fixed_values as FV
 from tessera.functions.text import once, whitespace_tokens
@@ -49,64 +54,84 @@ def sentences(df: DataFrame, text_col: str = "text", keys: list[str] | None = No
     return s.withColumn("n_tokens", F.size(whitespace_tokens("sentence")))
 
 
+def _sentence_array(text_col: str) -> F.Column:
+    parts = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), SENTENCE_SPLIT)
+    return F.filter(parts, lambda x: x != "")
+
+
+def _assemble(df: DataFrame, keys: list[str], sizes: bool) -> DataFrame:
+    """Chunks from the columns ``_s`` (sentences) and ``_starts`` (index of the
+    first sentence of every chunk): each sentence is copied once."""
+    n = F.size("_s")
+    end = lambda i: F.coalesce(F.get("_starts", i + 1), n)
+    part = lambda a, i, s: F.slice(a, s + 1, end(i) - s)
+    chunk = lambda s, i: F.struct(
+        *([F.aggregate(part(F.col("_n"), i, s), F.lit(0), lambda a, x: a + x).alias("n_tokens")] if sizes else []),
+        F.array_join(part(F.col("_s"), i, s), " ").alias("content"))
+    out = df.filter(n > 0).select(*keys, F.posexplode(F.transform("_starts", chunk)).alias("chunk_idx", "_c"))
+    return out.select(*keys, F.col("chunk_idx").cast("int").alias("chunk_idx"),
+                      *([F.col("_c.n_tokens").alias("n_tokens")] if sizes else []), F.col("_c.content").alias("content"))
+
+
 def chunk_sentences(df: DataFrame, text_col: str = "text", size: int = FV.SENTENCE_CHUNK_TOKENS,
                     keys: list[str] | None = None) -> DataFrame:
     """CH2: pack whole sentences greedily up to ``size`` tokens (a longer
-    sentence is a chunk of its own).  The packing is sequential inside a
-    document: an array ``aggregate`` with a struct state, run per row."""
+    sentence is a chunk of its own).  Packing is sequential: a small Arrow
+    function walks the sentence lengths of a document once and returns where
+    chunks start; the texts stay in the JVM."""
     keys = keys or ["doc_id"]
-    parts = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), SENTENCE_SPLIT)
-    sents = F.filter(F.transform(parts, lambda x: F.struct(x.alias("s"), F.size(whitespace_tokens(x)).alias("n"))),
-                     lambda x: x["s"] != "")
-    init = F.struct(F.array().cast("array<struct<text:string,n:int>>").alias("done"),
-                    F.lit("").alias("cur"), F.lit(0).alias("cur_n"))
-
-    def step(acc, x):
-        fits = (acc["cur_n"] == 0) | (acc["cur_n"] + x["n"] <= size)
-        flushed = F.concat(acc["done"], F.array(F.struct(acc["cur"].alias("text"), acc["cur_n"].alias("n"))))
-        return F.when(fits, F.struct(acc["done"].alias("done"),
-                                     F.when(acc["cur_n"] == 0, x["s"]).otherwise(F.concat(acc["cur"], F.lit(" "), x["s"]))
-                                     .alias("cur"), (acc["cur_n"] + x["n"]).alias("cur_n"))) \
-                .otherwise(F.struct(flushed.alias("done"), x["s"].alias("cur"), x["n"].alias("cur_n")))
-
-    def finish(acc):
-        return F.when(acc["cur"] != "", F.concat(acc["done"], F.array(F.struct(acc["cur"].alias("text"),
-                                                                                 acc["cur_n"].alias("n"))))) \
-                .otherwise(acc["done"])
-
-    packed = F.aggregate(sents, init, step, finish)
-    out = df.select(*keys, F.posexplode(packed).alias("chunk_idx", "_c"))
-    return out.select(*keys, F.col("chunk_idx").cast("int").alias("chunk_idx"),
-                      F.col("_c.n").alias("n_tokens"), F.col("_c.text").alias("content"))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def starts(lengths: pd.Series) -> pd.Series:
+        out = []
+        for row in lengths:
+            at, held = [], 0
+            for i, n in enumerate(row):
+                if i == 0 or (held and held + n > size):
+                    at.append(i)
+                    held = 0
+                held += n
+            out.append(at)
+        return pd.Series(out)
+
+    s = df.select(*keys, once(_sentence_array(text_col)).alias("_s"))
+    s = s.withColumn("_n", F.transform("_s", lambda x: F.size(whitespace_tokens(x))))
+    return _assemble(s.withColumn("_starts", starts("_n")), keys, True)
 
 
 def chunk_semantic(df: DataFrame, text_col: str = "text", buffer: int = 1, pct: float = 95.0,
                    encoder=None, keys: list[str] | None = None) -> DataFrame:
     """CH3: embed each sentence with its +-``buffer`` neighbours, measure the
     cosine distance between consecutive groups and cut where it exceeds the
-    document's ``pct`` percentile (exact, interpolated)."""
+    document's ``pct`` percentile (exact, interpolated; distances are compared
+    at 9 decimals).  Everything about a document happens in its own row: one
+    Python node encodes every group once, and nothing is shuffled.
+    ``encoder`` is a ``HashingEncoder`` or an encoder factory."""
     keys = keys or ["doc_id"]
-    s = sentences(df, text_col, keys)
-    # neighbours by equi-join on (doc, sent_idx + j): no whole-document frame
-    nb = s.select(*keys, F.col("sent_idx").alias("_src"), "sentence",
-                  F.explode(F.sequence(F.lit(-buffer), F.lit(buffer))).alias("_j"))
-    nb = nb.withColumn("sent_idx", F.col("_src") - F.col("_j"))
-    grp = nb.groupBy(*keys, "sent_idx").agg(F.sort_array(F.collect_list(F.struct("_src", "sentence"))).alias("_g"))
-    grp = grp.join(s.select(*keys, "sent_idx"), [*keys, "sent_idx"])
-    grp = grp.select(*keys, "sent_idx", F.array_join(F.transform("_g", lambda x: x["sentence"]), " ").alias("_ctx"))
-    grp = grp.withColumn("_key", F.xxhash64(*keys, "sent_idx"))
-    vec = E.embed(grp, "_key", "_ctx", encoder, out_col="_v").drop("_ctx")
-    prev = vec.select(*keys, (F.col("sent_idx") + 1).alias("sent_idx"), F.col("_v").alias("_pv"))
-    d = vec.join(prev, [*keys, "sent_idx"], "left")
-    cos = E.dot(F.col("_v"), F.col("_pv")) / (E.vector_norm(F.col("_v")) * E.vector_norm(F.col("_pv")))
-    d = d.withColumn("_dist", F.when(F.col("_pv").isNotNull(), F.lit(1.0) - F.coalesce(cos, F.lit(0.0))))
-    thr = d.groupBy(*keys).agg(F.percentile(F.col("_dist"), pct / 100.0).alias("_thr"))
-    d = d.join(thr, keys, "left").withColumn("_cut", F.when(F.col("_dist") > F.col("_thr"), 1).otherwise(0))
-    w = Window.partitionBy(*keys).orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("chunk_idx", F.sum("_cut").over(w).cast("int"))
-    d = d.join(s.select(*keys, "sent_idx", "sentence"), [*keys, "sent_idx"])
-    out = d.groupBy(*keys, "chunk_idx").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))).alias("_s"))
-    return out.select(*keys, "chunk_idx", F.array_join(F.transform("_s", lambda x: x["sentence"]), " ").alias("content"))
+    factory = E.encoder_factory(encoder)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = factory()
+        for docs in batches:
+            out = []
+            for sentences in docs:
+                n = len(sentences)
+                groups = [" ".join(sentences[max(0, i - buffer):i + buffer + 1]) for i in range(n)]
+                if n < 2:
+                    out.append([0] * n)
+                    continue
+                v = np.asarray(enc.encode([g.replace("\n", " ").strip(" ") for g in groups]), dtype=np.float64)
+                norm = np.sqrt((v * v).sum(axis=1))
+                both = norm[1:] * norm[:-1]
+                cos = np.divide((v[1:] * v[:-1]).sum(axis=1), both, out=np.zeros(n - 1), where=both > 0)
+                dist = np.round(1.0 - cos, 9)
+                cut = dist > np.round(np.percentile(dist, pct), 9)
+                out.append([0, *(np.flatnonzero(cut) + 1).tolist()])
+            yield pd.Series(out)
+
+    s = df.select(*keys, once(_sentence_array(text_col)).alias("_s"))
+    return _assemble(s.withColumn("_starts", starts("_s")), keys, False)
 
 
 def point_ids(df: DataFrame, doc_col: str = "doc_id", idx_col: str = "chunk_idx",

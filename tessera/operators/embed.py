@@ -8,14 +8,18 @@ Two encoder paths:
   No shuffle and no join: rows keep their partitioning.  For a corpus that
   already has a (doc, term, tf) table, ``hashing_vectors_from_terms`` builds
   the same vectors from it without tokenising again.
-* any other encoder object with ``encode(list[str]) -> np.ndarray`` runs in
-  ``mapInPandas``: one encoder per task, Arrow batches of ``batch_size`` rows.
+* any other encoder is given as a factory: a function without arguments that
+  returns an object with ``encode(list[str]) -> np.ndarray``.  It is called
+  inside the task, once, so a model is loaded where it runs and never
+  pickled with the plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,23 +30,26 @@ from pyspark.sql import types as T
 from tessera.functions.text import once, tokens
 
 
+@lru_cache(1 << 17)
+def _token_cell(token: str, dim: int) -> tuple[int, float]:
+    h = hashlib.md5(token.encode("utf-8")).hexdigest()
+    return int(h[:8], 16) % dim, 1.0 if int(h[8:10], 16) % 2 == 0 else -1.0
+
+
 @dataclass(frozen=True)
 class HashingEncoder:
     dim: int = 64
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        """Reference implementation in numpy (used by tests as brute force)."""
-        import hashlib
-
+        """The same vectors in numpy, for texts that are already in Python."""
         import regex
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
         pat = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
         for i, t in enumerate(texts):
             for tok in pat.split((t or "").lower()):
-                if not tok:
-                    continue
-                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                out[i, int(h[:8], 16) % self.dim] += 1.0 if int(h[8:10], 16) % 2 == 0 else -1.0
+                if tok:
+                    bucket, sign = _token_cell(tok, self.dim)
+                    out[i, bucket] += sign
             n = np.linalg.norm(out[i])
             if n > 0:
                 out[i] /= n
@@ -115,16 +122,18 @@ def _hashing_embed(df: DataFrame, id_col: str, text_col: str, dim: int, out_col:
     return t.withColumn(out_col, _densify_sum(dim)(buckets, signs)).drop("_tk")
 
 
-def embed(df: DataFrame, id_col: str, text_col: str, encoder=None, out_col: str = "embedding",
-          batch_size: int = 32) -> DataFrame:
-    """EM1: add ``out_col`` ARRAY<DOUBLE> for ``text_col``."""
+def embed(df: DataFrame, id_col: str, text_col: str, encoder: HashingEncoder | Callable | None = None,
+          out_col: str = "embedding", batch_size: int = 32) -> DataFrame:
+    """EM1: add ``out_col`` ARRAY<DOUBLE> for ``text_col``; ``encoder`` is a
+    ``HashingEncoder`` (the default) or an encoder factory."""
     encoder = encoder or HashingEncoder()
     if isinstance(encoder, HashingEncoder):
         return _hashing_embed(df, id_col, text_col, encoder.dim, out_col)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-    enc = encoder
+    factory = encoder_factory(encoder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = factory()
         for pdf in batches:
             texts = pdf[text_col].fillna("").str.replace("\n", " ").str.strip().tolist()
             vecs = []
@@ -135,6 +144,17 @@ def embed(df: DataFrame, id_col: str, text_col: str, encoder=None, out_col: str
     return df.mapInPandas(run, schema)
 
 
+def encoder_factory(encoder: HashingEncoder | Callable | None) -> Callable:
+    """``encoder`` as a factory; an encoder object itself is refused, because
+    it would travel with the plan."""
+    if encoder is None or isinstance(encoder, HashingEncoder):
+        spec = encoder or HashingEncoder()
+        return lambda: spec
+    if not callable(encoder) or hasattr(encoder, "encode") and not isinstance(encoder, type):
+        raise TypeError("give a function that makes the encoder, not the encoder")
+    return encoder
+
+
 def normalise_vectors(df: DataFrame, col: str = "embedding", out_col: str | None = None) -> DataFrame:
     """EM3: divide by the L2 norm (zero vectors stay zero)."""
     out_col = out_col or col

@@ -4,6 +4,9 @@ content typing (PF6) and payload filters (PF8)."""
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,23 +135,16 @@ def enrich_payload(df: DataFrame, content: str = "content", question: str = "que
     })
 
 
+_COMPARE = {"eq": operator.eq, "gte": operator.ge, "lte": operator.le, "gt": operator.gt, "lt": operator.lt}
+
+
 def payload_filter(df: DataFrame, filters: dict | None) -> DataFrame:
     """PF8: AND of equality and range conditions.  A dict value with range
     keys adds range bounds; a dict without them adds nothing."""
-    if not filters:
-        return df
-    cond = F.lit(True)
-    ops = {"gte": lambda c, v: c >= v, "lte": lambda c, v: c <= v,
-           "gt": lambda c, v: c > v, "lt": lambda c, v: c < v}
-    for field, value in filters.items():
-        c = F.col(field)
-        if isinstance(value, dict):
-            for op, fn in ops.items():
-                if op in value:
-                    cond = cond & fn(c, F.lit(value[op]))
-        else:
-            cond = cond & (c == F.lit(value))
-    return df.filter(cond)
+    triples = [(field, op, bound) for field, value in (filters or {}).items()
+               for op, bound in (value.items() if isinstance(value, dict) else [("eq", value)])]
+    tests = [_COMPARE[op](F.col(field), F.lit(bound)) for field, op, bound in triples if op in _COMPARE]
+    return df.filter(reduce(operator.and_, tests)) if tests else df
 
 
 def padding_efficiency(df: DataFrame, tokens_col: str, max_len: int) -> DataFrame:

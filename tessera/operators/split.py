@@ -11,76 +11,56 @@ point are ranked inside; every other row's split follows from its bucket.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
+from tessera.session import bounded_rows
+from tessera.sources.jsonl import share_of_total
 
 _PREFIX = 4  # hex digits -> 65,536 buckets
+MAX_BUCKET_ROWS = 500_000  # of the broadcast bucket table: four numbers and a stratum a row
 
 
 def shuffle_key(id_cols: list[str], seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])))
 
 
-def _cuts(n: int, ratios) -> tuple[int, int]:
-    r_train, r_valid, r_test = ratios
-    if abs(r_train + r_valid + r_test - 1.0) > 0.001:
-        raise ValueError("Train, valid, and test ratios must sum to 1.0")
-    n_train, n_valid = int(n * r_train), int(n * r_valid)
-    return n_train, n_train + n_valid
-
-
 def split_exact(df: DataFrame, id_cols: list[str], ratios=FV.SPLIT_RATIOS, seed: int = FV.SPLIT_SEED,
                 strata: str | None = None) -> DataFrame:
-    """Add ``split`` in {'train','valid','test'}; per stratum when ``strata`` is set."""
-    gkey = [strata] if strata else []
-    # the keyed input feeds the bucket counts and both halves of the result:
-    # keep it (memory and disk, lineage intact) instead of deriving it three times
+    """Add ``split`` in {'train','valid','test'}; per stratum when ``strata`` is set.
+
+    The bucket table (at most 65,536 rows per stratum) is summed up in Spark:
+    with it every bucket knows how many rows come before it.  It is broadcast
+    while its row count is proven small; many strata make it a shuffle join.
+    """
+    if abs(sum(ratios) - 1.0) > 0.001:
+        raise ValueError(f"split ratios {tuple(ratios)} do not add up to 1")
+    group = F.struct(F.col(strata)) if strata else F.struct(F.lit(0).alias("all"))
     keyed = (df.withColumn("_k", shuffle_key(id_cols, seed))
                .withColumn("_id", F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols]))
                .withColumn("_b", F.conv(F.substring("_k", 1, _PREFIX), 16, 10).cast("int"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    # one row per (stratum, bucket): at most 65,536 rows per stratum
-    counts = keyed.groupBy(*gkey, "_b").agg(F.count(F.lit(1)).alias("c")).collect()
-    per_stratum: dict = {}
-    for r in counts:
-        per_stratum.setdefault(r[strata] if strata else None, []).append((r["_b"], r["c"]))
-    # bucket ranges -> split, and the cut buckets with their rank offsets
-    rules = []          # (stratum, bucket, split) for buckets wholly inside one split
-    cut_rows = []       # (stratum, bucket, rows before it, cut1, cut2) for buckets holding a cut
-    for s, buckets in per_stratum.items():
-        buckets.sort()
-        n = sum(c for _, c in buckets)
-        c1, c2 = _cuts(n, ratios)
-        before = 0
-        for b, c in buckets:
-            lo, hi = before, before + c
-            if hi <= c1:
-                rules.append((s, b, "train"))
-            elif lo >= c1 and hi <= c2:
-                rules.append((s, b, "valid"))
-            elif lo >= c2:
-                rules.append((s, b, "test"))
-            else:
-                cut_rows.append((s, b, lo, c1, c2))
-            before = hi
-    spark = df.sparkSession
-    bucket_split = spark.createDataFrame(rules, f"{'_s ' + dict(df.dtypes)[strata] if strata else '_s string'}, _b int, split string")
-    cut_df = spark.createDataFrame(cut_rows, f"{'_s ' + dict(df.dtypes)[strata] if strata else '_s string'}, _b int, _before long, _c1 long, _c2 long")
-    skey = [F.col(strata)] if strata else []
-    join_on = ([keyed[strata].eqNullSafe(F.col("_s"))] if strata else []) + [keyed["_b"] == F.col("_b2")]
-    # both lookup tables hold at most one row per bucket: proven small
-    plain = keyed.join(F.broadcast(bucket_split.withColumnRenamed("_b", "_b2")), join_on, "inner") \
-                 .drop("_s", "_b2")
-    cut = keyed.join(F.broadcast(cut_df.withColumnRenamed("_b", "_b2")), join_on, "inner").drop("_s", "_b2")
-    w = Window.partitionBy(*skey, "_b").orderBy("_k", "_id")
-    pos = F.col("_before") + F.row_number().over(w) - 1
-    cut = cut.withColumn("split", F.when(pos < F.col("_c1"), "train")
-                         .when(pos < F.col("_c2"), "valid").otherwise("test")) \
-             .drop("_before", "_c1", "_c2")
-    return plain.unionByName(cut).drop("_k", "_b", "_id")
+               .withColumn("_g", group))
+    w_all = Window.partitionBy("_g")
+    w_before = w_all.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    table = (keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))
+             .withColumn("_lo", F.coalesce(F.sum("_c").over(w_before), F.lit(0)))
+             .withColumn("_n", F.sum("_c").over(w_all))
+             .withColumn("_cut1", F.floor(F.col("_n") * F.lit(float(ratios[0]))))
+             .withColumn("_cut2", F.col("_cut1") + F.floor(F.col("_n") * F.lit(float(ratios[1]))))
+             .withColumn("_hi", F.col("_lo") + F.col("_c"))
+             .withColumn("_whole", F.when(F.col("_hi") <= F.col("_cut1"), "train")
+                         .when((F.col("_lo") >= F.col("_cut1")) & (F.col("_hi") <= F.col("_cut2")), "valid")
+                         .when(F.col("_lo") >= F.col("_cut2"), "test")))
+    table = table.select("_g", "_b", "_lo", "_cut1", "_cut2", "_whole")
+    small = not strata or bounded_rows(table, MAX_BUCKET_ROWS) is not None
+    placed = keyed.join(F.broadcast(table) if small else table, ["_g", "_b"])
+    plain = placed.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
+    w = Window.partitionBy("_g", "_b").orderBy("_k", "_id")
+    pos = F.col("_lo") + F.row_number().over(w) - 1
+    cut = placed.filter(F.col("_whole").isNull()).withColumn(
+        "split", F.when(pos < F.col("_cut1"), "train").when(pos < F.col("_cut2"), "valid").otherwise("test"))
+    return plain.unionByName(cut).drop("_k", "_b", "_id", "_g", "_lo", "_cut1", "_cut2", "_whole")
 
 
 def length_stratum(c: Column) -> Column:
@@ -89,7 +69,6 @@ def length_stratum(c: Column) -> Column:
 
 
 def split_sizes(df: DataFrame) -> DataFrame:
-    """AG6: rows and percent per split (share from a one-row total)."""
+    """AG6: rows and percent per split (share of the one-row total)."""
     per = df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    w = Window.partitionBy()  # over the <=3 aggregated rows only
-    return per.withColumn("pct", F.round(F.col("n_rows") * 100.0 / F.sum("n_rows").over(w), 6))
+    return share_of_total(per, "n_rows", 6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera import fixed_values as FV
 from tessera.operators import chunk, prep, split
 from tessera.plans.catalog import register
-from tessera.plans.sqlbits import clean, lit
+from tessera.plans.sqlbits import clean, hash_vectors, lit
 from tessera.plans.q_prep import KEPT_B, SPLIT_ORDER
 from tessera.sources import jsonl
 from tessera.sources import tables as T
@@ -42,13 +42,44 @@ def chunk_point_ids(spark, sf):
     return chunk.point_ids(c).select("point_id", "doc_id", "chunk_idx")
 
 
-@register("chunk_sentences")
+SENTENCES_SQL = f"""
+st AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])[\\s\\p{{Z}}\\x{{0b}}]+',
+             '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS sent FROM st)
+"""
+
+
+@register("chunk_sentences", sql=f"""
+WITH RECURSIVE {SENTENCES_SQL},
+n AS (SELECT *, CASE WHEN {clean('sent')} = '' THEN 0 ELSE len(string_split({clean('sent')}, ' ')) END AS n FROM s),
+p AS (SELECT doc_id, i, 0 AS chunk_idx, n AS held FROM n WHERE i = 1
+      UNION ALL
+      SELECT n.doc_id, n.i, CASE WHEN p.held > 0 AND p.held + n.n > 2048 THEN p.chunk_idx + 1 ELSE p.chunk_idx END,
+             CASE WHEN p.held > 0 AND p.held + n.n > 2048 THEN n.n ELSE p.held + n.n END
+      FROM p JOIN n ON n.doc_id = p.doc_id AND n.i = p.i + 1)
+SELECT doc_id, chunk_idx, sum(n)::INT AS n_tokens, string_agg(sent, ' ' ORDER BY i) AS content
+FROM p JOIN n USING (doc_id, i) GROUP BY doc_id, chunk_idx
+""")
 def chunk_sentences(spark, sf):
     """CH2: whole sentences packed up to 2048 tokens."""
     return chunk.chunk_sentences(T.table(spark, sf, "documents"), "text", 2048)
 
 
-@register("chunk_semantic")
+@register("chunk_semantic", sql=f"""
+WITH {SENTENCES_SQL},
+g AS (SELECT a.doc_id, a.i, string_agg(b.sent, ' ' ORDER BY b.i) AS ctx
+      FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - 1 AND a.i + 1 GROUP BY 1, 2),
+k AS (SELECT doc_id * 100000 + i AS gid, ctx FROM g),
+v AS {hash_vectors('k', 'gid', 'ctx')},
+dots AS (SELECT x.id, sum(x.v * y.v) AS cos FROM v x JOIN v y ON y.id = x.id - 1 AND y.b = x.b GROUP BY 1),
+d AS (SELECT s.doc_id, s.i, round(1.0 - coalesce(cos, 0.0), 9) AS dist FROM s LEFT JOIN dots ON dots.id = s.doc_id * 100000 + s.i
+      WHERE s.i > 1),
+t AS (SELECT doc_id, round(quantile_cont(dist, 0.95), 9) AS thr FROM d GROUP BY 1),
+c AS (SELECT s.doc_id, s.i, s.sent, sum(CASE WHEN dist > thr THEN 1 ELSE 0 END)
+             OVER (PARTITION BY s.doc_id ORDER BY s.i) AS chunk_idx
+      FROM s LEFT JOIN d ON d.doc_id = s.doc_id AND d.i = s.i LEFT JOIN t ON t.doc_id = s.doc_id)
+SELECT doc_id, chunk_idx::INT AS chunk_idx, string_agg(sent, ' ' ORDER BY i) AS content FROM c GROUP BY doc_id, chunk_idx
+""")
 def chunk_semantic(spark, sf):
     """CH3: semantic cuts (hashing encoder, buffer 1, 95th percentile)."""
     return chunk.chunk_semantic(T.table(spark, sf, "documents"), "text", 1, 95.0)

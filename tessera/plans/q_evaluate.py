@@ -68,10 +68,28 @@ def rouge2(spark, sf):
     return _rn(spark, sf, 2)
 
 
-@register("rouge_scores")
+# LCS row by row: row[j] is the LCS of the first i reference and j prediction tokens
+LCS_SQL = f"""
+lt AS (SELECT id, {tok('reference')} AS r, {tok('prediction')} AS p FROM {PRED_SQL}),
+lr AS (SELECT id, 0 AS i, list_transform(p, lambda x: 0) AS row FROM lt
+       UNION ALL
+       SELECT id, i + 1, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[1:j])) FROM (
+         SELECT lr.id, i, list_transform(range(1, len(p) + 1), lambda k: greatest(row[k],
+                CASE WHEN p[k] = r[i + 1] THEN 1 + CASE WHEN k = 1 THEN 0 ELSE row[k - 1] END ELSE 0 END)) AS cand
+         FROM lr JOIN lt ON lt.id = lr.id WHERE i < len(r))),
+ll AS (SELECT lt.id, coalesce(row[len(p)], 0)::DOUBLE AS l, len(r) AS nr, len(p) AS np FROM lr JOIN lt ON lt.id = lr.id
+       WHERE i = len(r)),
+lf AS (SELECT id, CASE WHEN l = 0 THEN 0.0 ELSE 2 * (l / np) * (l / nr) / (l / np + l / nr) END AS rougel_f1 FROM ll)
+"""
+
+
+@register("rouge_scores", sql=f"WITH RECURSIVE {_rouge_sql(PRED_SQL, 1, 'r1').strip()}, {_rouge_sql(PRED_SQL, 2, 'r2').strip()}, {LCS_SQL} "
+                              'SELECT r1_f.id, round(r1_f.f1, 6) AS rouge1_f1, round(r2_f.f1, 6) AS rouge2_f1, '
+                              'round(rougel_f1, 6) AS "rougeL_f1" FROM r1_f JOIN r2_f ON r2_f.id = r1_f.id JOIN lf ON lf.id = r1_f.id')
 def rouge_scores(spark, sf):
     """EV2 + EV3: ROUGE-1/2/L F1 per row in one pass (L through the Arrow LCS UDF)."""
-    return ev.row_metrics(_preds(spark, sf), loss=None)
+    m = ev.row_metrics(_preds(spark, sf), loss=None)
+    return m.select("id", *[F.round(c, 6).alias(c) for c in m.columns if c != "id"])
 
 
 def _metrics(spark, sf, df, with_l=False):
@@ -108,10 +126,16 @@ def eval_summary(spark, sf):
                     *[f"evaluated_{c}" for c in EVALUATED])
 
 
-@register("eval_summary_full")
+@register("eval_summary_full", sql=f"WITH RECURSIVE {_summary_sql(PRED_SQL, 'b')}, {LCS_SQL} SELECT num_samples_evaluated, "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_COLS) + ", (SELECT count(*) FROM b_m) AS total_samples, "
+          + ", ".join(f"(SELECT count({c}) FROM b_m) AS evaluated_{c}" for c in EVALUATED)
+          + ', (SELECT round(avg(rougel_f1), 6) FROM lf) AS "avg_rougeL_f1"'
+          + ', (SELECT round(stddev_pop(rougel_f1), 6) FROM lf) AS "std_rougeL_f1"'
+          + ', (SELECT count(rougel_f1) FROM lf) AS "evaluated_rougeL_f1" FROM b_s')
 def eval_summary_full(spark, sf):
     """AG12 including ROUGE-L."""
-    return ev.eval_summary(_metrics(spark, sf, _preds(spark, sf), with_l=True))
+    s = ev.eval_summary(_metrics(spark, sf, _preds(spark, sf), with_l=True))
+    return s.select(*[F.round(c, 6).alias(c) if c.startswith(("avg_", "std_")) else c for c in s.columns])
 
 
 @register("eval_details", sql=f"""

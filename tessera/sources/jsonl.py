@@ -70,9 +70,16 @@ def keep_valid_instruction_rows(lines: DataFrame, keys=("instruction", "input",
 
 def per_file_stats(valid: DataFrame, file_col: str = "file") -> DataFrame:
     """AG5: valid lines per file and share of all valid lines."""
-    from pyspark.sql import Window
     per = valid.groupBy(file_col).agg(F.count(F.lit(1)).alias("n_lines"))
-    return per.withColumn("pct", F.round(F.col("n_lines") * 100.0 / F.sum("n_lines").over(Window.partitionBy()), 1))
+    return share_of_total(per, "n_lines", 1)
+
+
+def share_of_total(per: DataFrame, count: str, decimals: int) -> DataFrame:
+    """``pct``: the share of each row in the total, which is one row joined
+    on a constant, so the rows stay where they are."""
+    total = per.agg(F.sum(count).alias("_total")).withColumn("_one", F.lit(1))
+    out = per.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    return out.withColumn("pct", F.round(F.col(count) * 100.0 / F.col("_total"), decimals)).drop("_one", "_total")
 
 
 def concat_splits(*dfs: DataFrame, columns=("question", "answer")) -> DataFrame:
