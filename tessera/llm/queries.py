@@ -3,6 +3,8 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,25 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op1_prefix_targets")
+OP1_CONTROL = "|".join(sorted((re.escape(c[1:]) for c in chat_format.CONTROL), key=len, reverse=True))
+OP1_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n AS (SELECT *, row_number() OVER w AS k,
+             length('{chat_format.TURN}') + length(role) + 1 + length(text) + length('{chat_format.END}') + 1
+             + len(regexp_extract_all(text, '[<\\[]\\\\*({OP1_CONTROL})')) AS size FROM c
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS prefix, max(k) OVER (PARTITION BY conv_id) AS last FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       coalesce(sum(prefix) FILTER (WHERE role = 'assistant' OR k = last), 0)::BIGINT AS formatted_chars,
+       count(*) FILTER (WHERE role = 'assistant' OR k = last) AS n_examples
+FROM p GROUP BY conv_id
+"""
+
+
+@register("op1_prefix_targets", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -96,12 +116,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "lang_pred", "score")
 
 
-@register("op10_vector_dedup")
+REACH_SQL = """
+two AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, two.y FROM reach JOIN two ON two.x = reach.r),
+least_id AS (SELECT id, min(r) AS least_id FROM reach GROUP BY id),
+degree AS (SELECT x AS id, count(*) AS n FROM two GROUP BY x)
+"""
+OP10_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+nodes AS (SELECT id FROM v),
+links AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.label = b.label AND a.id < b.id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+{REACH_SQL}
+SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, least_id AS component_id, v.id = least_id AS kept
+FROM v JOIN least_id ON least_id.id = v.id LEFT JOIN degree ON degree.id = v.id
+"""
+
+
+@register("op10_vector_dedup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-@register("op7_ngram_join")
+OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
+nodes AS (SELECT id FROM w),
+g AS (SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + least(5, len(ws)) - 1), ' ') AS gram
+      FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+size AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+shared AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN size sx ON sx.id = x JOIN size sy ON sy.id = y WHERE c >= 0.8 * (sx.n + sy.n - c)),
+{REACH_SQL},
+copies AS (SELECT ws, count(*) AS copies FROM w WHERE len(ws) > 0 GROUP BY ws)
+SELECT w.id AS doc_id, least_id AS class_id, coalesce(n, 0) AS n_links, coalesce(copies, 1) AS copies
+FROM w JOIN least_id ON least_id.id = w.id LEFT JOIN degree ON degree.id = w.id LEFT JOIN copies ON copies.ws = w.ws
+"""
+
+
+@register("op7_ngram_join", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_texts(read_table(spark, sf_dir, "documents"), threshold=0.8, n=5)
 
