@@ -24,8 +24,9 @@ _DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "tessera") -> SparkSession:
-    """Return the active session, or build a local one (tests, bench)."""
+                app_name: str = "tessera", checkpoint: str | None = None) -> SparkSession:
+    """Return the active session, or build a local one (tools, bench), whose
+    scratch tables go to the folder ``checkpoint``."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
@@ -36,6 +37,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     builder = builder.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
