@@ -267,7 +267,8 @@ def link_texts(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     is the smallest id that links reach, ``copies`` the number of texts with
     the same words.  A text without words (null, empty, marks only) or with a
     null id links with nothing and is a class of its own.  Repeated rows count
-    once; other columns are ignored; an empty table gives no rows.
+    once; different texts under one id are one node of the links; other columns
+    are ignored; an empty table gives no rows.
     """
     depth = matched_depth(threshold, recall)
     signed = materialise(_signatures(df, n, depth, id_col, text_col), "ngram-signatures")
@@ -304,8 +305,9 @@ def link_texts(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
             yield pd.DataFrame(rows, columns=["id", "component", "component_size", "copies", "grams"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
-        small_or_shuffled(wanted), "id").dropDuplicates(["id", "key"]) if _has_repeats(signed) else df.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_or_shuffled(wanted), "id")
+        small_or_shuffled(wanted), "id")
+    if _has_repeats(signed):
+        texts = texts.dropDuplicates(["id", "key", "text"])
     grams = texts.select("id", "text", "key", "component", "component_size", "copies").mapInPandas(
         sets, "id long, component long, component_size long, copies long, grams binary")
     checked = _block_pairs(grams, "component_size", SET_BLOCK, ["component"]).select(

@@ -94,6 +94,14 @@ def test_text_links_of_hot_blocks(spark, monkeypatch):
     assert got == brute_texts(docs)
 
 
+def test_one_id_with_two_texts_next_to_repeated_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(f"x{i}" for i in range(60))
+    rows = [(1, near), (1, near), (1, other), (2, near + " end"), (3, other + " end")]
+    got = ngram_join.link_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(1, 1), (2, 1), (3, 1)} and len(got) == 4
+
+
 def test_text_links_of_an_empty_table(spark):
     assert ngram_join.link_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
