@@ -8,6 +8,11 @@ of a document and an item, the slots must be consistent: every value of the
 item stands for one value in the document.  A (document, item) pair is
 reported if its consistent alignments cover enough windows of the item.
 
+Names are told by their capitals, which depend on the case of a copy and on
+the word before it.  So windows are matched by a second rule too, in which
+names are case-folded words, and by a third one in which the first word of
+the item is a name; numbers and units are placeholders in all.
+
 Everything is DataFrame functions: one pass over the texts without an
 exchange, then work on the matched windows only.
 """
@@ -60,22 +65,54 @@ def window_hashes(words: Column, length: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, length))))
 
 
-def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                 window: int = WINDOW) -> DataFrame:
-    """(item_id, at, length, hash, item_window, item_windows): the windows of
-    every item of at least ``MIN_ITEM_WORDS`` words, at least half of whose
-    words are literal.  A shorter item than the window is one window."""
-    w = (items.select(F.col(id_col).alias("item_id"), _split(marked(F.col(text_col))).alias("words"))
-         .filter((F.size("words") >= MIN_ITEM_WORDS) & F.col("item_id").isNotNull()).distinct()
-         .withColumn("length", F.least(F.lit(window), F.size("words"))))
-    w = w.select("item_id", "length", "words", F.explode(F.sequence(
+def folded(words: Column) -> Column:
+    """Marked words that depend neither on case nor on the word before the
+    text: names are plain words, and every unit after a number is marked."""
+    t = F.regexp_replace(words, r"\x01[pu]", "")
+    t = F.replace(F.replace(t, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.regexp_replace(t, rf"(\x01n[0-9_]+) ({'|'.join(UNITS.split())})(?= |$)", rf"$1 {MARK}u$2")
+
+
+def _windows(items: DataFrame, words: str, rule: int, window: int) -> DataFrame:
+    w = items.select("item_id", F.col(words).alias("words")).distinct().withColumn(
+        "length", F.least(F.lit(window), F.size("words")))
+    w = w.select("item_id", F.lit(rule).alias("rule"), "length", "words", F.explode(F.sequence(
         F.lit(1), F.size("words") - F.col("length") + 1)).alias("at"))
-    w = w.withColumn("item_window", F.slice("words", F.col("at"), F.col("length")))
+    w = w.withColumn("item_window", F.slice("words", F.col("at"), F.col("length"))).drop("words")
     literal = F.size(F.filter("item_window", lambda x: ~x.startswith(MARK)))
-    w = w.filter(literal * 2 >= F.col("length"))
-    counts = w.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
+    return w.filter(literal * 2 >= F.col("length"))
+
+
+def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
+                 window: int = WINDOW) -> DataFrame:
+    """(item_id, rule, at, length, hash, item_window, item_windows): the
+    windows of every item of at least ``MIN_ITEM_WORDS`` words, at least half
+    of whose words are literal.  A shorter item than the window is one window.
+    Names are placeholders under rule 0 and folded words under rule 1; rule 2
+    is rule 0 for an item whose first word is a name after other words."""
+    text, after = marked(F.col(text_col)), marked(F.concat(F.lit(", "), F.col(text_col)))
+    w = (items.select(F.col(id_col).alias("item_id"), _split(text).alias("words"), _split(folded(text)).alias("plain"),
+                      _split(after).alias("after"))
+         .filter((F.size("words") >= MIN_ITEM_WORDS) & F.col("item_id").isNotNull()))
+    w = (_windows(w, "words", 0, window).unionByName(_windows(w, "plain", 1, window))
+         .unionByName(_windows(w.filter(F.col("after") != F.col("words")), "after", 2, window)))
+    counts = w.groupBy("item_id", "rule").agg(F.countDistinct("at").alias("item_windows"))
     plain = F.transform("item_window", template)
-    return w.select("item_id", "at", "length", F.xxhash64(plain).alias("hash"), "item_window").join(counts, "item_id")
+    return w.select("item_id", "rule", "at", "length", F.xxhash64(plain).alias("hash"), "item_window").join(
+        counts, ["item_id", "rule"])
+
+
+def doc_hashes(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, length, place, hash) of the windows of (doc_id, text) under
+    all rules; a text whose templates are equal is hashed once."""
+    m = docs.select("doc_id", marked(F.col("text")).alias("m"))
+    m = m.select("doc_id", template(F.col("m")).alias("t"), F.when(
+        F.col("m").contains(f"{MARK}") | F.col("m").rlike("[ßς]"), folded(F.col("m"))).alias("f"))
+    m = m.select("doc_id", "t", template(F.col("f")).alias("f"))
+    m = m.select("doc_id", _split(F.col("t")).alias("t"), F.when(F.col("f") != F.col("t"), _split(F.col("f"))).alias("f"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), window_hashes(F.col(c), n).alias("hashes"))
+                               for n in lengths for c in ("t", "f")])).alias("w")
+    return m.select("doc_id", each).select("doc_id", "w.length", F.posexplode("w.hashes").alias("place", "hash"))
 
 
 def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -90,40 +127,40 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     wanted = materialise(item_windows(items, window=window), "benchmark-windows")
     lengths = [r["length"] for r in wanted.select("length").distinct().collect()]        # at most ``window`` values
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = texts.select("doc_id", _split(template(marked(F.col("text")))).alias("words"))
     keys = small_or_shuffled(wanted.select("length", "hash").distinct())
-    found = None
-    for n in lengths or [window]:
-        hit = (words.select("doc_id", F.lit(n).alias("length"),
-                            F.posexplode(window_hashes(F.col("words"), n)).alias("place", "hash"))
-               .join(keys, ["length", "hash"], "left_semi"))
-        found = hit if found is None else found.unionByName(hit)
+    found = doc_hashes(texts, lengths or [window]).join(keys, ["length", "hash"], "left_semi").distinct()
     found = materialise(found, "benchmark-hits")
-    pairs = found.join(wanted.select("item_id", "at", "length", "hash", "item_windows"), ["length", "hash"])
+    rule = ["doc_id", "item_id", "rule"]
+    pairs = found.join(wanted.select("item_id", "rule", "at", "length", "hash", "item_windows"), ["length", "hash"])
     enough = F.least(F.lit(min_windows), F.col("item_windows"))
-    likely = materialise(pairs.groupBy("doc_id", "item_id").agg(
+    likely = materialise(pairs.groupBy(*rule).agg(
         F.countDistinct("at").alias("n"), F.max("item_windows").alias("item_windows")).filter(F.col("n") >= enough)
-        .select("doc_id", "item_id"), "benchmark-pairs")
+        .select(*rule), "benchmark-pairs")
     # the words of the matched documents, to compare values
     near = texts.join(small_or_shuffled(likely.select("doc_id").distinct()), "doc_id", "left_semi").select(
-        "doc_id", _split(marked(F.col("text"))).alias("doc_words"))
-    full = (found.join(near, "doc_id").join(wanted, ["length", "hash"])
-            .join(likely, ["doc_id", "item_id"], "left_semi")
+        "doc_id", marked(F.col("text")).alias("m")).select(
+        "doc_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _split(w).alias("doc_words")) for r, w in enumerate(
+            [F.col("m"), folded(F.col("m")), F.col("m")])])).alias("w")).select("doc_id", "w.*")
+    full = (found.join(wanted, ["length", "hash"]).join(near, ["doc_id", "rule"])
+            .join(likely, rule, "left_semi")
             .withColumn("doc_window", F.slice("doc_words", F.col("place") + 1, F.col("length")))
             .filter(F.transform("doc_window", template) == F.transform("item_window", template)))
     slots = F.filter(F.arrays_zip(F.col("item_window").alias("item"), F.col("doc_window").alias("doc")),
                      lambda s: s["item"].startswith(MARK))
-    aligned = (full.select("doc_id", "item_id", "item_windows", "at", (F.col("place") - F.col("at")).alias("shift"),
+    aligned = (full.select(*rule, "item_windows", "at", (F.col("place") - F.col("at")).alias("shift"),
                            slots.alias("slots"))
-               .groupBy("doc_id", "item_id", "shift").agg(
+               .groupBy(*rule, "shift").agg(
                    F.max("item_windows").alias("item_windows"), F.collect_set("at").alias("ats"),
                    F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
     one_to_one = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) == F.size("slots")
     changed = F.exists("slots", lambda s: s["item"] != s["doc"])
-    return (aligned.filter(one_to_one).withColumn("changed", changed).groupBy("doc_id", "item_id").agg(
-                F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"),
-                F.max("item_windows").alias("item_windows"), F.bool_and("changed").alias("changed"))
-            .filter(F.col("n_windows") >= enough)
-            .select("doc_id", "item_id", "n_windows", "item_windows",
-                    (F.col("n_windows") / F.col("item_windows")).alias("share"),
-                    F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind")))
+    judged = (aligned.filter(one_to_one).withColumn("changed", changed).groupBy(*rule).agg(
+                  F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"),
+                  F.max("item_windows").alias("item_windows"), F.bool_and("changed").alias("changed"))
+              .filter(F.col("n_windows") >= enough))
+    # a pair that several rules report has the counts of the first
+    first = judged.groupBy("doc_id", "item_id").agg(
+        F.min(F.struct("rule", "n_windows", "item_windows", "changed")).alias("r")).select("doc_id", "item_id", "r.*")
+    return first.select("doc_id", "item_id", "n_windows", "item_windows",
+                        (F.col("n_windows") / F.col("item_windows")).alias("share"),
+                        F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"))

@@ -181,6 +181,20 @@ def test_template_matches(spark):
         {(8, 1): got[(8, 1)]} if (8, 1) in got else {})
 
 
+def test_template_matches_in_any_case_and_after_any_word(spark):
+    short, german = "How many legs does a spider have?", "Wie heißt der größte Fluss im Süden der alten Stadt Wien und wie lang ist er?"
+    items = spark.createDataFrame([(1, ITEM), (2, short), (3, german), (5, "Anna buys 3 apples from Paul")], "item_id long, text string")
+    docs = [(8, ITEM.lower(), 1), (9, ITEM.upper(), 1), (10, ITEM.title(), 1), (11, f"Question: {ITEM}", 1),
+            (12, f"and then {ITEM}", 1), (13, ITEM.lower().replace("150", "600").replace("80", "75"), 1),
+            (20, f"Question: {short}", 2), (21, f"and then {short} eight", 2), (22, short.upper(), 2), (23, short, 2),
+            (30, german.lower(), 3), (31, german.upper(), 3), (32, f"Frage: {german}", 3),
+            (24, "Question: How many legs does a spider have?", 2), (50, "Question: Marie buys 7 apples from Otto", 5),
+            (40, "How many legs does the spider have?", None)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.match(df, items).collect()}
+    assert got == {(i, k): "reparameterised" if i in (13, 50) else "verbatim" for i, _, k in docs if k}
+
+
 def test_inconsistent_slots_are_no_match(spark):
     item = "take 5 red apples then add 5 more red apples and give 5 of the red apples away now"
     bad = item.replace("take 5", "take 6").replace("give 5", "give 9")
