@@ -5,8 +5,8 @@ with other numbers or names has the template of the original.  Templates of
 documents and benchmark items are cut into windows of words; windows are
 matched by a hash join and then compared word by word.  Within one alignment
 of a document and an item, the slots must be consistent: every value of the
-item stands for one value in the document.  A (document, item) pair is
-reported if its consistent alignments cover enough windows of the item.
+item stands for one value in the document.  Where that breaks, the windows that
+equal the item's count if they are enough, else the longest consistent run.  A (document, item) pair is reported if its consistent alignments cover enough windows of the item.
 
 Names are told by their capitals, which depend on the case of a copy and on
 the word before it.  So windows are matched by a second rule too, in which
@@ -115,6 +115,31 @@ def doc_hashes(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return m.select("doc_id", each).select("doc_id", "w.length", F.posexplode("w.hashes").alias("place", "hash"))
 
 
+def _consistent(aligned: DataFrame, enough: Column) -> DataFrame:
+    """Alignments with their consistent ``windows`` only: all of them, or where
+    a value of the item stands for two values (``slots`` are sorted by value
+    and position), the windows whose values all equal the item's if these are
+    ``enough``, else these or the longest run without such a pair."""
+    pairs = F.sequence(F.lit(1), F.size("slots") - 1)
+    one, two = lambda i: F.get("slots", i - 1), lambda i: F.get("slots", i)
+    broken = F.filter(pairs, lambda i: (one(i)["item"] == two(i)["item"]) & (one(i)["doc"] != two(i)["doc"]))
+    breaks = F.when(F.size("slots") > 1, F.transform(broken, lambda i: F.struct(
+        one(i)["pos"].alias("a"), two(i)["pos"].alias("b"))))
+    df = aligned.withColumn("breaks", breaks)
+    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("breaks", lambda x: x["a"] + 1)))
+
+    def run(start: Column) -> Column:
+        end = F.array_min(F.transform(F.filter("breaks", lambda x: x["a"] >= start), lambda x: x["b"]))
+        return F.filter("windows", lambda w: (w["at"] >= start) & (end.isNull() | (w["at"] + w["length"] <= end)))
+
+    equal = F.filter("windows", lambda w: w["same"])
+    runs = F.concat(F.array(F.struct((F.size(equal) >= enough).alias("enough"), F.size(equal).alias("n"), equal.alias("w"))),
+                    F.transform(starts, lambda s: F.struct(F.lit(False).alias("enough"), F.size(run(s)).alias("n"),
+                                                           run(s).alias("w"))))
+    return df.withColumn("windows", F.when(F.size("breaks") > 0, F.array_max(runs)["w"]).otherwise(F.col("windows"))
+                         ).filter(F.size("windows") > 0)
+
+
 def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           window: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, share, kind) of every
@@ -145,18 +170,19 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             .join(likely, rule, "left_semi")
             .withColumn("doc_window", F.slice("doc_words", F.col("place") + 1, F.col("length")))
             .filter(F.transform("doc_window", template) == F.transform("item_window", template)))
-    slots = F.filter(F.arrays_zip(F.col("item_window").alias("item"), F.col("doc_window").alias("doc")),
-                     lambda s: s["item"].startswith(MARK))
-    aligned = (full.select(*rule, "item_windows", "at", (F.col("place") - F.col("at")).alias("shift"),
-                           slots.alias("slots"))
+    slots = F.filter(F.transform("item_window", lambda x, i: F.struct(
+        x.alias("item"), (F.col("at") + i).alias("pos"), F.get("doc_window", i).alias("doc"))),
+        lambda s: s["item"].startswith(MARK))
+    aligned = (full.withColumn("slots", slots)
+               .select(*rule, "item_windows", (F.col("place") - F.col("at")).alias("shift"), "slots", F.struct(
+                   "at", "length", F.forall("slots", lambda s: s["item"] == s["doc"]).alias("same")).alias("w"))
                .groupBy(*rule, "shift").agg(
-                   F.max("item_windows").alias("item_windows"), F.collect_set("at").alias("ats"),
-                   F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
-    one_to_one = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) == F.size("slots")
-    changed = F.exists("slots", lambda s: s["item"] != s["doc"])
-    judged = (aligned.filter(one_to_one).withColumn("changed", changed).groupBy(*rule).agg(
-                  F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"),
-                  F.max("item_windows").alias("item_windows"), F.bool_and("changed").alias("changed"))
+                   F.max("item_windows").alias("item_windows"), F.collect_set("w").alias("windows"),
+                   F.array_sort(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("slots")))
+    judged = (_consistent(aligned, enough).groupBy(*rule).agg(
+                  F.size(F.array_distinct(F.flatten(F.collect_list("windows.at")))).cast("long").alias("n_windows"),
+                  F.max("item_windows").alias("item_windows"),
+                  F.bool_and(F.exists("windows", lambda w: ~w["same"])).alias("changed"))
               .filter(F.col("n_windows") >= enough))
     # a pair that several rules report has the counts of the first
     first = judged.groupBy("doc_id", "item_id").agg(

@@ -203,6 +203,18 @@ def test_inconsistent_slots_are_no_match(spark):
     assert {r.doc_id for r in decontaminate.match(docs, items).collect()} == {2}
 
 
+def test_one_changed_slot_leaves_the_rest_of_a_copy(spark):
+    item = ("take 5 red apples from the basket near the door and carry them over to the long table in the hall where the "
+            "other children wait for their lunch and then give 5 of them to the cook who makes a cake for the feast today")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, item.replace("give 5", "give 6")), (2, item.replace("take 5", "take 6")),
+            (3, item.replace("5", "7").replace("give 7", "give 8")), (4, item.replace("5", "7"))]
+    got = {r.doc_id: r for r in decontaminate.match(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {i: r.kind for i, r in got.items()} == {1: "verbatim", 2: "verbatim", 3: "verbatim", 4: "reparameterised"}
+    n = len(item.split()) - 7
+    assert got[4].n_windows == n and all(n - 10 <= got[i].n_windows < n for i in (1, 2, 3))
+
+
 def test_no_items_or_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
