@@ -11,7 +11,9 @@ equal the item's count if they are enough, else the longest consistent run.  A (
 Names are told by their capitals, which depend on the case of a copy and on
 the word before it.  So windows are matched by a second rule too, in which
 names are case-folded words, and by a third one in which the first word of
-the item is a name; numbers and units are placeholders in all.
+the item is a name; numbers and units are placeholders in all.  A template
+of few literal words, or of few words at all, would match anything, so such
+windows match by equal values.
 
 Everything is DataFrame functions: one pass over the texts without an
 exchange, then work on the matched windows only.
@@ -27,7 +29,7 @@ from tessera.llm.warc import small_or_shuffled
 
 WINDOW = 8              # words of a window
 MIN_WINDOWS = 6         # matched windows of an item, or all of a shorter item: 13 words in a row
-MIN_ITEM_WORDS = 4      # items of fewer words are too general to match
+MIN_ITEM_WORDS = 4      # items of fewer words match by equal words only
 MARK = "\u0001"         # starts a marked word: n number, p name, u unit, then the value
 UNITS = ("km cm mm m miles mile feet foot ft inches inch yards yard kg g mg lbs lb pounds pound tons ton liters litres "
          "liter litre l ml gallons gallon hours hour hrs hr h minutes minute mins min seconds second secs sec s days "
@@ -78,40 +80,51 @@ def _windows(items: DataFrame, words: str, rule: int, window: int) -> DataFrame:
         "length", F.least(F.lit(window), F.size("words")))
     w = w.select("item_id", F.lit(rule).alias("rule"), "length", "words", F.explode(F.sequence(
         F.lit(1), F.size("words") - F.col("length") + 1)).alias("at"))
-    w = w.withColumn("item_window", F.slice("words", F.col("at"), F.col("length"))).drop("words")
+    w = w.withColumn("item_window", F.slice("words", F.col("at"), F.col("length")))
     literal = F.size(F.filter("item_window", lambda x: ~x.startswith(MARK)))
-    return w.filter(literal * 2 >= F.col("length"))
+    return w.withColumn("exact", (literal * 2 < F.col("length")) | (F.size("words") < MIN_ITEM_WORDS)).drop("words")
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                  window: int = WINDOW) -> DataFrame:
-    """(item_id, rule, at, length, hash, item_window, item_windows): the
-    windows of every item of at least ``MIN_ITEM_WORDS`` words, at least half
-    of whose words are literal.  A shorter item than the window is one window.
-    Names are placeholders under rule 0 and folded words under rule 1; rule 2
-    is rule 0 for an item whose first word is a name after other words."""
+    """(item_id, rule, at, length, hash, item_window, exact, item_windows): the
+    windows of every item.  A shorter item than the window is one window.
+
+    Rules 0 to 2 have the windows of items of at least ``MIN_ITEM_WORDS``
+    words, at least half of whose words are literal.  Names are placeholders
+    under rule 0 and folded words under rule 1; rule 2 is rule 0 for an item
+    whose first word is a name after other words.  Rule 3 has all windows of
+    the items that those leave out or cut: rule 1's windows, and the windows
+    of too few words or too few literal ones as ``exact`` windows, whose
+    values must be equal."""
     text, after = marked(F.col(text_col)), marked(F.concat(F.lit(", "), F.col(text_col)))
     w = (items.select(F.col(id_col).alias("item_id"), _split(text).alias("words"), _split(folded(text)).alias("plain"),
                       _split(after).alias("after"))
-         .filter((F.size("words") >= MIN_ITEM_WORDS) & F.col("item_id").isNotNull()))
+         .filter((F.size("words") > 0) & F.col("item_id").isNotNull()))
+    every = _windows(w, "plain", 3, window)
+    cut = every.filter("exact").select("item_id").distinct()
     w = (_windows(w, "words", 0, window).unionByName(_windows(w, "plain", 1, window))
-         .unionByName(_windows(w.filter(F.col("after") != F.col("words")), "after", 2, window)))
+         .unionByName(_windows(w.filter(F.col("after") != F.col("words")), "after", 2, window))
+         .filter(~F.col("exact")).unionByName(every.join(cut, "item_id", "left_semi")))
     counts = w.groupBy("item_id", "rule").agg(F.countDistinct("at").alias("item_windows"))
-    plain = F.transform("item_window", template)
-    return w.select("item_id", "rule", "at", "length", F.xxhash64(plain).alias("hash"), "item_window").join(
+    key = F.when(F.col("exact"), F.col("item_window")).otherwise(F.transform("item_window", template))
+    return w.select("item_id", "rule", "at", "length", F.xxhash64(key).alias("hash"), "item_window", "exact").join(
         counts, ["item_id", "rule"])
 
 
-def doc_hashes(docs: DataFrame, lengths: list[int]) -> DataFrame:
+def doc_hashes(docs: DataFrame, lengths: list[int], exact: list[int]) -> DataFrame:
     """(doc_id, length, place, hash) of the windows of (doc_id, text) under
-    all rules; a text whose templates are equal is hashed once."""
+    all rules, with values for the lengths in ``exact``; what equals another
+    form of the text is hashed once."""
     m = docs.select("doc_id", marked(F.col("text")).alias("m"))
     m = m.select("doc_id", template(F.col("m")).alias("t"), F.when(
-        F.col("m").contains(f"{MARK}") | F.col("m").rlike("[ßς]"), folded(F.col("m"))).alias("f"))
-    m = m.select("doc_id", "t", template(F.col("f")).alias("f"))
-    m = m.select("doc_id", _split(F.col("t")).alias("t"), F.when(F.col("f") != F.col("t"), _split(F.col("f"))).alias("f"))
+        F.col("m").contains(f"{MARK}") | F.col("m").rlike("[ßς]"), folded(F.col("m"))).alias("v"))
+    m = m.select("doc_id", "t", template(F.col("v")).alias("f"), "v")
+    m = m.select("doc_id", _split(F.col("t")).alias("t"), F.when(F.col("f") != F.col("t"), _split(F.col("f"))).alias("f"),
+                 F.when(F.col("v") != F.col("f"), _split(F.col("v"))).alias("v"))
+    forms = [(n, c) for n in lengths for c in ("t", "f", "v") if c != "v" or n in exact]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), window_hashes(F.col(c), n).alias("hashes"))
-                               for n in lengths for c in ("t", "f")])).alias("w")
+                               for n, c in forms])).alias("w")
     return m.select("doc_id", each).select("doc_id", "w.length", F.posexplode("w.hashes").alias("place", "hash"))
 
 
@@ -150,10 +163,12 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     item.  Other columns are ignored; empty tables give no rows.
     """
     wanted = materialise(item_windows(items, window=window), "benchmark-windows")
-    lengths = [r["length"] for r in wanted.select("length").distinct().collect()]        # at most ``window`` values
+    valued = F.col("exact") & F.exists("item_window", lambda x: x.startswith(MARK))
+    lengths = {r["length"]: r["valued"] for r in wanted.groupBy("length").agg(
+        F.max(valued).alias("valued")).collect()}                                       # at most ``window`` values
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keys = small_or_shuffled(wanted.select("length", "hash").distinct())
-    found = doc_hashes(texts, lengths or [window]).join(keys, ["length", "hash"], "left_semi").distinct()
+    found = doc_hashes(texts, list(lengths) or [window], [n for n in lengths if lengths[n]]).join(keys, ["length", "hash"], "left_semi").distinct()
     found = materialise(found, "benchmark-hits")
     rule = ["doc_id", "item_id", "rule"]
     pairs = found.join(wanted.select("item_id", "rule", "at", "length", "hash", "item_windows"), ["length", "hash"])
@@ -165,11 +180,12 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     near = texts.join(small_or_shuffled(likely.select("doc_id").distinct()), "doc_id", "left_semi").select(
         "doc_id", marked(F.col("text")).alias("m")).select(
         "doc_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _split(w).alias("doc_words")) for r, w in enumerate(
-            [F.col("m"), folded(F.col("m")), F.col("m")])])).alias("w")).select("doc_id", "w.*")
+            [F.col("m"), folded(F.col("m")), F.col("m"), folded(F.col("m"))])])).alias("w")).select("doc_id", "w.*")
     full = (found.join(wanted, ["length", "hash"]).join(near, ["doc_id", "rule"])
             .join(likely, rule, "left_semi")
             .withColumn("doc_window", F.slice("doc_words", F.col("place") + 1, F.col("length")))
-            .filter(F.transform("doc_window", template) == F.transform("item_window", template)))
+            .filter(F.when(F.col("exact"), F.col("doc_window") == F.col("item_window")).otherwise(
+                F.transform("doc_window", template) == F.transform("item_window", template))))
     slots = F.filter(F.transform("item_window", lambda x, i: F.struct(
         x.alias("item"), (F.col("at") + i).alias("pos"), F.get("doc_window", i).alias("doc"))),
         lambda s: s["item"].startswith(MARK))

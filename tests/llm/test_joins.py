@@ -215,6 +215,20 @@ def test_one_changed_slot_leaves_the_rest_of_a_copy(spark):
     assert got[4].n_windows == n and all(n - 10 <= got[i].n_windows < n for i in (1, 2, 3))
 
 
+def test_slot_heavy_and_short_items_match_by_equal_values(spark):
+    sums = "12 + 30 = 42, 7 + 8 = 15, 9 + 4 = 13, 20 + 6 = 26, 31 + 5 = 36, 2 + 2 = 4"
+    titled, mixed = "A Walk In The Park By The River With Anna And Paul In Old Vienna", f"Add the numbers that are given here in every line: {sums}"
+    items = [(1, sums), (2, titled), (3, "Capital of France?"), (4, "7 + 8"), (5, mixed), (6, "")]
+    docs = [(1, f"Solve {sums} now", {1, 4, 5}), (2, sums.replace("7 + 8", "7 + 9").replace("31", "32").replace("20", "21"), set()),
+            (3, f"read {titled.upper()} today", {2}), (4, "Question: capital of France? Paris", {3}),
+            (5, "Capital of Spain?", set()), (6, "so 7 + 8 is more than 7", {4}), (7, "so 17 + 8, 7 + 18", set()),
+            (8, mixed, {1, 4, 5}), (9, None, set())]
+    got = decontaminate.match(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i, _, ks in docs for k in ks}
+    assert {r.kind for r in got} == {"verbatim"}
+
+
 def test_no_items_or_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
