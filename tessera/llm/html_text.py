@@ -3,7 +3,8 @@
 A page is cut into blocks of text at block-level tags.  Scripts, forms and
 other regions that say what they are (element, role, class or id) are bad.
 First pass, on the other blocks: link density, length and stop-word density
-decide good, bad, or leave the block open (short, or with few stop words).
+decide good, bad, or leave the block open (short, or with few stop words); in
+a language without a list of stop words, link density and length alone.
 Second pass: open blocks inherit from their nearest decided neighbours, inside
 the article element if the page has one.  The good blocks, in page order, are
 the text.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 MIN_LONG = 70           # characters from which a block is not short
 MAX_LINKS = 0.5         # share of link characters from which a block is a menu
 MIN_STOPS, MANY_STOPS = 0.12, 0.25
+FOREIGN_LETTERS = 0.01  # share of letters of other languages from which the stop words say nothing
+WIDE = 3                # characters that a Chinese, Japanese or Korean one counts as
 
 STOP_WORDS = frozenset("""
 a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its
@@ -70,6 +73,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
                     r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _SPACE = re.compile(r"\s+")
+_LETTER = re.compile(r"[^\W\d_]")
+_FOREIGN_LETTER = re.compile(r"[^\W\d_a-zäöüßñáéíóúàâæçèêëîïôœùûÿªº]")     # in none of the listed languages
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -189,20 +195,43 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def text_length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(_WIDE.findall(text))
+
+
+def foreign_letters(text: str) -> bool:
+    """Whether a text has letters that no language with stop words has."""
+    if text.isascii():
+        return False
+    low = text.lower()
+    return len(_FOREIGN_LETTER.findall(low)) > FOREIGN_LETTERS * len(_LETTER.findall(low))
+
+
 def classify(blocks: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     has_article = any(b.article and not b.region for b in blocks)
     label: list[str] = []
-    for b in blocks:
-        n = max(len(b.text), 1)
+    few: list[int] = []         # long blocks of few stop words
+    known = 0                   # characters of the others
+    for i, b in enumerate(blocks):
+        n, length = max(len(b.text), 1), text_length(b.text)
         if b.region or (has_article and not b.article) or b.links / n > MAX_LINKS:
             label.append("bad")
-        elif len(b.text) < MIN_LONG:
+        elif length < MIN_LONG:
             label.append("bad" if b.links and not b.article else "open")
         else:
             stops = stop_density(b.text)
-            label.append("good" if stops >= MANY_STOPS or (stops >= MIN_STOPS and len(b.text) >= 2 * MIN_LONG)
+            label.append("good" if stops >= MANY_STOPS or (stops >= MIN_STOPS and length >= 2 * MIN_LONG)
                          else "open" if b.article or stops >= MIN_STOPS else "bad")
+            if stops < MIN_STOPS:
+                few.append(i)
+            else:
+                known += length
+    # their language has no list if the letters say so, or if few blocks of the page have stop words
+    unlisted = 2 * known < sum(text_length(blocks[i].text) for i in few)
+    for i in few:
+        if unlisted or foreign_letters(blocks[i].text):
+            label[i] = "good" if blocks[i].links <= MAX_LINKS / 2 * len(blocks[i].text) else "open"
     before: list[str] = []
     last = ""
     for b, kind in zip(blocks, label):

@@ -74,6 +74,32 @@ def test_main_text(page, text):
     assert H.main_text(page) == text
 
 
+PROSE = {
+    "ru": "Старый город лежит на берегу широкой реки, и каждое утро рыбаки выходят на воду, чтобы вернуться домой к обеду.",
+    "zh": "这座古老的城市坐落在一条宽阔的河流旁边，每天早晨渔民们都会出海捕鱼，中午时分才回到家里吃饭休息。",
+    "ja": "この古い町は広い川のほとりにあり、毎朝漁師たちが舟を出して、昼ごろになると家に帰ってきて食事をする。",
+    "ar": "تقع المدينة القديمة على ضفة نهر واسع، وفي كل صباح يخرج الصيادون إلى الماء ثم يعودون إلى بيوتهم وقت الغداء.",
+    "pl": "Stare miasto leży nad brzegiem szerokiej rzeki, każdego ranka rybacy wypływają łodziami, żeby wrócić przed obiadem.",
+    "fi": "Vanha kaupunki sijaitsee leveän joen rannalla, joka aamu kalastajat lähtevät vesille palatakseen kotiin lounaalle.",
+    "id": "Kota tua itu terletak di tepi sungai lebar, setiap pagi nelayan berangkat melaut lalu pulang sebelum makan siang.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_main_text_without_article_in_other_languages(lang):
+    p = PROSE[lang]
+    page = (f'<body><div><a href="/a">{p[:9]}</a> <a href="/b">{p[9:20]}</a></div><div><h1>{p[:12]}</h1><p>{p}</p><p>{p} '
+            f'<a href="/c">{p[:9]}</a></p></div><div class="footer">{p}</div></body>')
+    assert H.main_text(page) == " ".join(f"{p[:12]} {p} {p} {p[:9]}".split())
+
+
+def test_long_blocks_of_few_stop_words_next_to_known_text():
+    text = ("This is the text of the page and it has all that one would want in it, which is what the rules are for, as we "
+            "all know, and so it is with the others.")
+    junk = "Phone Fax Email Address Monday Tuesday Wednesday Thursday Friday Price Colour Size Weight Brand Model"
+    assert H.main_text(f"<div><p>{text}</p><div>{junk}</div></div>") == text
+
+
 def test_main_text_is_linear_in_odd_pages():
     for page in ("<" * 50_000, "<a href=\"" * 20_000, "<div>" * 20_000 + "x", "<!--" * 20_000, "&" * 50_000):
         H.main_text(page)
