@@ -69,6 +69,15 @@ teasers trending popular outbrain taboola
 """.split())
 ARTICLE_WORDS = frozenset("article post entry content story title headline main body text".split())
 
+# what may follow the name of a region in a class or id
+PLACE_WORDS = ARTICLE_WORDS | frozenset("""
+area bar block box button column container group holder icon inline inner item items left link links list listing outer
+panel primary region right row secondary section slot top bottom unit view wrap wrapper zone
+""".split())
+# classes that tell the state or layout of an element instead of naming it
+STATE_FIRST = frozenset("no not has have with without hide show layout overflow backface".split())
+STATE_LAST = frozenset("enabled disabled open opened closed expanded collapsed active inactive on off true false".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
                     r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
@@ -88,6 +97,32 @@ class Block:
     article: bool           # inside the page's article
 
 
+def _named(value: str) -> tuple[set[str], bool, bool, bool]:
+    """What the names in a class or id say: all their words, and whether some
+    name is a region with articles of its own, a region, or the article."""
+    words: set[str] = set()
+    foreign = region = article = False
+    for name in value.split():
+        parts = [w.lower() for w in _NAME_PART.findall(name)]
+        words.update(parts)
+        if not parts or parts[-1] in STATE_LAST:
+            continue
+        if parts[-1] == "hidden":
+            region |= len(parts) == 1 and name.lower() == "hidden" or parts[0] in ("visually", "is", "sr")
+            continue
+        if STATE_FIRST.intersection(parts[:-1]):
+            continue
+        foreign |= not FOREIGN_WORDS.isdisjoint(parts)
+        last = len(parts) - 1
+        while last and parts[last] not in REGION_WORDS and parts[last] in PLACE_WORDS:
+            last -= 1
+        if parts[last] in REGION_WORDS:
+            region = True
+        elif parts[-1] in ARTICLE_WORDS:
+            article = True
+    return words, foreign, region, article
+
+
 def _region(tag: str, attributes: str) -> str:
     """'' for content, 'foreign' for regions with articles of their own, else 'region'."""
     if tag in DROPPED:
@@ -95,10 +130,13 @@ def _region(tag: str, attributes: str) -> str:
     if not attributes or tag in ("html", "body"):
         return ""
     words: set[str] = set()
+    foreign = named = content = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words.update(w.lower() for w in _NAME_PART.findall(value))
+            said = _named(value)
+            words |= said[0]
+            foreign, named, content = foreign or said[1], named or said[2], content or said[3]
         elif name == "role" and value.lower() in ROLES:
             return "region"
         elif name == "aria-hidden" and value.lower() == "true":
@@ -107,13 +145,12 @@ def _region(tag: str, attributes: str) -> str:
             return "region"
     if re.search(r"(?:^|\s)hidden(?=[\s/>]|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
         return "region"
-    if words & FOREIGN_WORDS:
+    if foreign:
         return "foreign"
     if tag in ("article", "main"):
         return ""
-    named = words & REGION_WORDS
-    if named <= {"header", "banner"} and words & ARTICLE_WORDS:
-        named = frozenset()
+    if content or (words & REGION_WORDS <= {"header", "banner"} and words & ARTICLE_WORDS):
+        named = False
     return "region" if named else ""
 
 

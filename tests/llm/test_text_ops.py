@@ -93,6 +93,27 @@ def test_main_text_without_article_in_other_languages(lang):
     assert H.main_text(page) == " ".join(f"{p[:12]} {p} {p} {p[:9]}".split())
 
 
+SENTENCE = ("This is the text of the page and it has all that one would want in it, which is what the rules are for, as we all "
+            "know, and so it is with the others.")
+
+
+@pytest.mark.parametrize("name", [
+    "overflow-hidden", "overflow-x-hidden", "md:hidden", "has-sidebar", "content no-sidebar", "post-body share-enabled",
+    "main-with-sidebar", "menu-open", "comments-closed", "entry-content widget", "layout-sidebar-right", "article-header",
+    "sidebarLayout", "header-fixed"])
+def test_layout_classes_are_no_regions(name):
+    assert H.main_text(f'<body><div class="{name}"><p>{SENTENCE}</p></div></body>') == SENTENCE
+    assert H.main_text(f'<article><div class="{name}"><p>{SENTENCE}</p></div></article>') == SENTENCE
+
+
+@pytest.mark.parametrize("name", [
+    "hidden", "is-hidden", "sidebar", "sidebar-left", "cookie-notice", "site-footer", "footer-content", "modal-body", "ad-box",
+    "adBox2", "menu-item", "related-posts", "comment-body", "article-footer", "main-nav", "p-4 newsletter-form"])
+def test_region_classes_are_regions(name):
+    page = f'<body><div><p>{SENTENCE}</p></div><div class="{name}"><p>Now {SENTENCE}</p></div></body>'
+    assert H.main_text(page) == SENTENCE
+
+
 def test_long_blocks_of_few_stop_words_next_to_known_text():
     text = ("This is the text of the page and it has all that one would want in it, which is what the rules are for, as we "
             "all know, and so it is with the others.")
