@@ -63,3 +63,13 @@ def test_odd_rows_pass_through(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
     assert CP.keep_one_of_each(spark, docs, SF).count() == 4
     assert CP.encode(spark, docs, SF).count() == 5
+
+
+def test_texts_of_one_id_are_judged_one_by_one(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, a + " end"), (6, c), (7, c + " end"), (5, b), (None, a), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    kept = CP.keep_one_of_each(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted(
+        [("1", a), ("5", b), ("6", c), ("None", a), ("8", "None"), ("8", "")])
