@@ -1,15 +1,14 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with a MinHash banding and exact verification.
 
 Texts become sets of word n-grams (lower-cased runs of word characters; a
 text of fewer words is one n-gram of all of them).  Equal word sequences are
 one representative with a count of its copies, so copies are never compared.
 
-Forest: each of ``TREES`` trees orders the texts by a signature of ``DEPTH``
-MinHash values; texts that share a prefix are neighbours in the tree's sorted
-trie.  Matching starts at the full depth and the prefix is shortened until a
-pair right at the threshold is met in some tree with the target recall,
-``1 - (1 - threshold ** d) ** TREES``; the longer matches lie inside the
-shorter ones.  Texts of one trie node are compared by the whole signature
+Banding: each of ``TREES`` bands hashes the first MinHash values of its
+signature of ``DEPTH``; texts with an equal hash are a node.  The number of
+values is fixed before the run, the longest that meets a pair right at the
+threshold in some band with the target recall, ``1 - (1 - threshold ** d) **
+TREES``.  No longer prefix is matched, and no trie is built.  Texts of one node are compared by the whole signature
 (eight bits a value) and by set size; what stays well below the threshold is
 no candidate.  Nodes larger than a block are compared block against block.
 
