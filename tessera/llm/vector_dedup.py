@@ -143,7 +143,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
             .agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.countDistinct("id").alias("copies")))
     reps = materialise(reps.select("id", "grp", "key", "copies", "vec", F.size("vec").alias("dim")), "vector-reps")
     found = []
-    for dim in [r["dim"] for r in reps.select("dim").distinct().limit(100).collect()]:
+    for dim in [r["dim"] for r in reps.select("dim").distinct().orderBy("dim").collect()]:
         found.append(_link_dim(reps.filter(F.col("dim") == dim), threshold, cells))
     pairs = None
     for f in found:

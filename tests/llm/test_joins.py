@@ -145,6 +145,14 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in again} == brute_vectors(rows)
 
 
+def test_vectors_of_every_length_are_searched(spark, monkeypatch):
+    seen, empty = [], spark.createDataFrame([], "id long, n long, other long")
+    monkeypatch.setattr(vector_dedup, "_link_dim", lambda reps, *_: seen.append(reps) or empty)
+    rows = [(n, [1.0] * n, 0) for n in range(1, 103)]
+    vector_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert len(seen) == 102
+
+
 def test_vector_links_of_nothing(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vector_dedup.link_vectors(spark.createDataFrame([], schema)).collect() == []
