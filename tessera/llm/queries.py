@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, secrets, vector_dedup, warc
+from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, secrets, vector_dedup, warc, whitening
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -220,3 +220,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"), path_col="source")
     return found.select("doc_id", "no", "start", "n_chars", F.sha2("candidate", 256).alias("secret_sha256"),
                         F.round("score", 6).alias("score"))
+
+
+@register("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(read_table(spark, sf_dir, "embeddings"), components=8)
