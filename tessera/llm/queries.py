@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, secrets, vector_dedup, warc, whitening
+from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, ranked_search, secrets, vector_dedup, warc, whitening
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -225,3 +225,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_whitening")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(read_table(spark, sf_dir, "embeddings"), components=8)
+
+
+def _terms_sql(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_terms_sql('text')} AS ts FROM documents),
+held AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark),
+x AS (SELECT item_id, doc_id, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w, tf,
+             100 - 90 + ((90 * n * n_docs) // n_terms) AS m
+      FROM asked JOIN tf USING (term) JOIN df USING (term), s),
+score AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM x GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@register("op13_ranked_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
