@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, ranked_search, secrets, vector_dedup, warc, whitening
+from tessera.llm import chat_format, decontaminate, html_text, language_id, ngram_join, piece_codec, quality, quality_rules, ranked_search, secrets, vector_dedup, warc, whitening
 from tessera.llm.common import crc_mod, materialise, read_table, scratch
 
 QUERIES: dict = {}
@@ -251,3 +251,8 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
 @register("op13_ranked_search", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+@register("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))[0]
