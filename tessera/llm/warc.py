@@ -74,15 +74,24 @@ def _page_uri(c: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
 
 
+# characters that some reader takes for the end of a line, and other controls
+CONTROLS = r"[\x00-\x1f\x7f-\x9f\u2028\u2029]"
+
+
+def _escaped(url: Column) -> Column:
+    """``url`` with its control characters and line separators percent-encoded."""
+    code = lambda c: F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")
+    chars = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(CONTROLS), code(c)).otherwise(c))
+    return F.when(url.rlike(CONTROLS), F.array_join(chars, "")).otherwise(url)
+
+
 def write_archive(pages: DataFrame, path: str, min_dedup_bytes: int = 0,
                   max_records_per_file: int = MAX_RECORDS_PER_FILE) -> None:
     """One record per page row, in files of at most ``max_records_per_file``
-    records under ``path``.  Control characters of a URL are percent-encoded;
-    a null URL has no target header."""
+    records under ``path``.  Control characters and line separators of a URL
+    are percent-encoded; a null URL has no target header."""
     r = plan_records(pages, min_dedup_bytes)
-    url = F.col("url")
-    for ch, code in (("\r", "%0D"), ("\n", "%0A")):
-        url = F.replace(url, F.lit(ch), F.lit(code))
+    url = _escaped(F.col("url"))
     is_revisit = F.col("record_type") == "revisit"
     record = F.concat(
         F.lit(f"{MAGIC}WARC-Type: "), F.col("record_type"),
@@ -99,7 +108,8 @@ def write_archive(pages: DataFrame, path: str, min_dedup_bytes: int = 0,
 
 
 def _header(name: str) -> Column:
-    return F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1), F.lit(""))
+    """The first header of that name; only CRLF ends a header line."""
+    return F.nullif(F.regexp_extract("head", rf"(?i)(?:\A|\r\n){name}:[ \t]*([^\r\n]*?)[ \t]*(?:\r\n|\z)", 1), F.lit(""))
 
 
 def _cut(spark: SparkSession, path: str) -> DataFrame:

@@ -61,3 +61,37 @@ def test_empty_table_and_foreign_files(spark):
     other = scratch(spark, "warc-test")
     spark.createDataFrame([("no record at the start " + RECORD,)], "value string").write.text(other)
     assert warc.read_records(spark, other).collect() == []
+
+
+SEPARATORS = [*map(chr, range(32)), *map(chr, range(0x7f, 0xa0)), "\u2028", "\u2029"]
+FORGED = "Content-Length: 3\r\nWARC-Type: revisit"
+
+
+def test_no_character_of_a_url_or_text_hides_a_record(spark):
+    """Every control and separator before a header-like string, in URL and html."""
+    pages = [(3 * i + k, f"http://a/{c}{FORGED}{c}b" if k else "http://a", f"x{c}{FORGED}{c}\r\n{c}" if k != 1 else "y" * i)
+             for i, c in enumerate(SEPARATORS) for k in range(3)]
+    path = scratch(spark, "warc-test")
+    warc.write_archive(spark.createDataFrame(pages, SCHEMA).coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        records = warc.read_records(spark, path)
+        urls = {r.record_id: r.url for r in records.select("record_id", "url").collect()}
+        got = warc.resolve(records).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((tuple(r) for r in got), key=str) == expected(pages)
+    for i, u, _ in pages:
+        assert urls[f"<urn:page:{i}>"] == "".join("".join(f"%{b:02X}" for b in c.encode()) if c in SEPARATORS else c for c in u)
+
+
+def test_headers_of_foreign_archives(spark):
+    """Line separators inside a header value, any case, an archive by another hand."""
+    head = "warc-type: response\r\nWARC-Record-ID: <urn:page:5>\r\nWARC-Target-URI: http://a/\u2028content-length: 1\r\ncontent-length:  5 "
+    path = scratch(spark, "warc-test")
+    spark.createDataFrame([(f"{warc.MAGIC}{head}\r\n\r\nhello\r\n\r\n" + RECORD,)], "value string").coalesce(1).write.option(
+        "lineSep", "\r\n").text(path)
+    got = sorted((r.start, r.payload_bytes) for r in warc.read_records(spark, path).collect())
+    assert [g[1] for g in got] == [5, 5]
