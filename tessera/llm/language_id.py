@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-All languages share one Bloom filter whose positions hold a word with one bit
-per language, so the AND of an n-gram's positions is the set of all languages
+All languages share one Bloom filter whose positions hold one bit per language
+(in as many 64-bit words as the languages need), so the AND of an n-gram's positions is the set of all languages
 that hold it.  A text gives one trigram per letter (the letter and its two
 neighbours; anything that is not a letter counts as a word boundary).  Per
 language the trigrams of the text are counted, and the count is corrected for
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 SLICE_CHARS = 1_000_000
 FLUSH_GRAMS = 500_000
-MAX_LANGUAGES = 63
+WORD = 64
 
 
 @lru_cache(1)
@@ -82,11 +82,11 @@ class Model:
     default: str                # the language with most training trigrams
     bits: int
     hashes: int
-    words: np.ndarray           # one word of language bits per position
+    words: np.ndarray           # language bits: a row per 64 languages, a word per position
 
     def rates(self) -> np.ndarray:
         """False-positive rate of each language: its fill to the power of the hashes."""
-        fill = [float((self.words >> np.uint64(k) & np.uint64(1)).mean()) for k in range(len(self.languages))]
+        fill = [float((self.words[k // WORD] >> np.uint64(k % WORD) & np.uint64(1)).mean()) for k in range(len(self.languages))]
         return np.array(fill) ** self.hashes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -97,11 +97,11 @@ class Model:
             keys, n = trigrams(whole[i:j])
             found = None
             for p in positions(keys, self.bits, self.hashes):
-                found = self.words[p] if found is None else found & self.words[p]
+                found = self.words[:, p] if found is None else found & self.words[:, p]
             edges = np.concatenate([[0], np.cumsum(n)])
             corrected = np.zeros((j - i, len(self.languages)))
             for k, p in enumerate(rates):
-                sums = np.concatenate([[0], np.cumsum((found >> np.uint64(k)) & np.uint64(1))])
+                sums = np.concatenate([[0], np.cumsum((found[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1))])
                 count = sums[edges[1:]] - sums[edges[:-1]]
                 corrected[:, k] = np.clip((count - n * p) / max(1 - p, 1e-9), 0, None)
             for r in range(j - i):
@@ -151,33 +151,34 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", min_share
     """Learn the filters from all rows with a text and a language.
 
     Without such rows the model knows no language and every text is
-    undetermined.  At most 63 languages (a word's bits); more raise.
+    undetermined.  Any number of languages: each 64 take a word per position.
     """
     from tessera.llm.common import materialise
     counts = materialise(count_trigrams(df, lang_col, text_col), "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    sizes = {r["lang"]: r["total"] for r in totals.limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["total"] for r in totals.collect()}           # a row per language
     languages = sorted(sizes)
+    slices = -(-len(languages) // WORD)
     if not languages:
-        return Model([], UNDETERMINED, bits, hashes, np.zeros(1 << bits, dtype=np.uint64))
-    bit = F.create_map(*(x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(1 << k))))
-    total = F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(sizes[name]))))
-    shares = counts.withColumn("share", F.col("n") / total[F.col("lang")])
+        return Model([], UNDETERMINED, bits, hashes, np.zeros((0, 1 << bits), dtype=np.uint64))
+    known = df.sparkSession.createDataFrame([(name, k, sizes[name]) for k, name in enumerate(languages)],
+                                            "lang string, k int, total long")
+    shares = counts.join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("total"))
     kept = (shares.withColumn("top", F.max("share").over(Window.partitionBy("gram")))
             .filter((F.col("share") >= min_share) & (F.col("share") >= ratio * F.col("top")))
-            .groupBy("gram").agg(F.bit_or(bit[F.col("lang")].cast("long")).alias("mask")))
+            .groupBy("gram", F.floor(F.col("k") / WORD).cast("int").alias("slice"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, k % {WORD})")).alias("mask")))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             where = positions(b["gram"].to_numpy().astype(np.uint64), bits, hashes)
-            yield pd.DataFrame({"position": np.concatenate(where), "mask": np.tile(b["mask"].to_numpy(), hashes)})
+            yield pd.DataFrame({"slice": np.tile(b["slice"].to_numpy(), hashes), "position": np.concatenate(where),
+                                "mask": np.tile(b["mask"].to_numpy(), hashes)})
 
-    filled = (kept.mapInPandas(place, "position long, mask long").groupBy("position")
-              .agg(F.bit_or("mask").alias("mask"))).toPandas()          # at most 2 ** bits rows
-    words = np.zeros(1 << bits, dtype=np.uint64)
-    words[filled["position"].to_numpy()] = filled["mask"].to_numpy().astype(np.uint64)
+    filled = (kept.mapInPandas(place, "slice int, position long, mask long").groupBy("slice", "position")
+              .agg(F.bit_or("mask").alias("mask"))).toPandas()          # at most 2 ** bits rows a slice
+    words = np.zeros((slices, 1 << bits), dtype=np.uint64)
+    words[filled["slice"].to_numpy(), filled["position"].to_numpy()] = filled["mask"].to_numpy().astype(np.uint64)
     return Model(languages, max(languages, key=lambda x: (sizes[x], x)), bits, hashes, words)
 
 
@@ -186,7 +187,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     a letter is ``und``; a text whose trigrams no language knows gets the
     default language with score 0; ties go to the first language by name."""
     kind = df.select(id_col).schema.simpleString()[7:-1].replace(":", " ")
-    shared = df.sparkSession.sparkContext.broadcast(model)              # 2 ** bits words
+    shared = df.sparkSession.sparkContext.broadcast(model)              # 2 ** bits words a slice
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

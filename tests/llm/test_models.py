@@ -76,6 +76,46 @@ def test_language_of_odd_inputs(spark):
     assert language_id.predict(docs.limit(0), model).collect() == []
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    """150 languages of a script each; exact sets of trigrams give the same answers."""
+    script = lambda k: "".join(chr(0x4E00 + 20 * k + j) for j in range(12))
+    rows = [(k, script(k) * 3, f"l{k:03d}") for k in range(150)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 150 and model.words.shape[0] == 3
+    mixed = [(1000 + k, script(k) + " " + script((k + 64) % 150) * 2, None) for k in range(150)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    held = {name: set(language_id.trigrams([t])[0].tolist()) for _, t, name in rows}
+    for i, t, _ in rows + mixed:
+        grams = language_id.trigrams([t])[0].tolist()
+        assert got[i] == max(sorted(held), key=lambda name: sum(g in held[name] for g in grams))
+
+
+def test_predictions_equal_those_of_exact_sets(spark):
+    """A brute-force twin on the documents: sets in place of the filters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    rows = docs.collect()
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    counts = {}
+    for r in rows:
+        if r.text and r.lang:
+            for g in language_id.trigrams([r.text])[0].tolist():
+                counts.setdefault(r.lang, {}).setdefault(g, 0)
+                counts[r.lang][g] += 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    share = lambda lang, g: counts[lang].get(g, 0) / total[lang]
+    held = {lang: {g for g in counts[lang] if share(lang, g) >= 2e-6 and share(lang, g) >= 0.1 * max(share(x, g) for x in counts)}
+            for lang in counts}
+    same = []
+    for r in rows:
+        grams = language_id.trigrams([r.text or ""])[0].tolist()
+        n = {lang: sum(g in held[lang] for g in grams) for lang in sorted(held)}
+        top = sorted(n.values())[::-1]
+        if grams and (len(top) < 2 or top[0] > top[1]):
+            same.append(got[r.doc_id] == max(n, key=n.get))
+    assert len(same) > 200 and np.mean(same) > 0.995
+
+
 def test_filter_holds_what_it_was_given():
     keys = np.arange(1, 4000, dtype=np.uint64) * np.uint64(977)
     words = np.zeros(1 << 14, dtype=np.uint64)
