@@ -3,7 +3,8 @@
 Plan for ``dense_search(queries, points)``:
 
 1. payload filters are applied to ``points`` first (pushed into the scan);
-   NULL vectors on either side are left out;
+   vectors that are NULL, empty or hold a NULL or non-finite component are left
+   out on either side, and only vectors of equal length are compared;
 2. both sides are cut into blocks of about ``query_block`` and ``point_block``
    rows by a hash of their keys, and a block is one row; every query block is
    joined with every point block, by an equi-join on the point block number.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,12 @@ _SCORE_DECIMALS = 9
 QUERY_BLOCK, POINT_BLOCK = 512, 4096
 
 
+def usable_vector(vec_col: str) -> Column:
+    """Neither null nor empty, every component a finite number."""
+    return F.coalesce(F.size(vec_col) > 0, F.lit(False)) & F.forall(
+        vec_col, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Equal-length vectors of one block as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -60,10 +67,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float | None)
 
 
 def _blocks(df: DataFrame, keys: list[str], rows: int, name: str, members: F.Column) -> tuple[DataFrame, int]:
-    """``df`` as (block number, members) rows of about ``rows`` members each."""
+    """``df`` as (block number, dim, members) rows of about ``rows`` members
+    each, all of one vector length."""
     n = max(1, -(-df.count() // rows))
     number = F.pmod(F.xxhash64(*keys, F.lit(name)), F.lit(n)).cast("int").alias(name)
-    return df.select(number, members.alias(f"{name}_rows")).groupBy(name).agg(
+    return df.select(number, "dim", members.alias(f"{name}_rows")).groupBy(name, "dim").agg(
         F.collect_list(f"{name}_rows").alias(f"{name}_rows")), n
 
 
@@ -74,13 +82,14 @@ def dense_candidates(queries: DataFrame, points: DataFrame, k: int, threshold: f
     """(keys, point_id, score, search_rank) for the top-k points of every
     query; ``keys`` name the query and are carried as they are."""
     keys = keys or ["query_id"]
-    q = queries.filter(F.col(qvec_col).isNotNull()).select(*keys, qvec_col)
-    p = points.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("point_id"), vec_col)
+    q = queries.filter(usable_vector(qvec_col)).select(*keys, qvec_col, F.size(qvec_col).alias("dim"))
+    p = points.filter(usable_vector(vec_col)).select(
+        F.col(id_col).cast("long").alias("point_id"), vec_col, F.size(vec_col).alias("dim"))
     q_blocks, _ = _blocks(q, keys, query_block, "q_block", F.struct(*keys, F.col(qvec_col).alias("vec")))
     p_blocks, n_points = _blocks(p, ["point_id"], point_block, "p_block",
                                  F.struct("point_id", F.col(vec_col).alias("vec")))
     pairs = q_blocks.withColumn("p_block", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1)))).join(
-        p_blocks, "p_block")
+        p_blocks, ["p_block", "dim"])
     schema = T.StructType([*q.select(*keys).schema.fields, T.StructField("point_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
 

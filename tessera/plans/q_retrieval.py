@@ -69,7 +69,7 @@ def bm25_term_stats(spark, sf):
 # dense, hybrid, multi-query, rerank
 # ---------------------------------------------------------------------------
 
-from tessera.operators import dense, embed, hybrid  # noqa: E402
+from tessera.operators import dense, dense_cells, embed, hybrid  # noqa: E402
 from tessera.plans.sqlbits import dense_dot, hash_vectors  # noqa: E402
 
 EMB_Q = "(SELECT vec_id AS qid, embedding AS vec FROM embeddings)"
@@ -102,6 +102,18 @@ def dense_top4(spark, sf):
                     "search_rank", "label")
 
 
+@register("dense_cells_top4", sql=ORACLE["dense_top4"])
+def dense_cells_top4(spark, sf):
+    """TK1 + JN2 over cells: a query is compared with the cells whose bound
+    reaches its fourth best score; the result is that of ``dense_top4``."""
+    points = _points(spark, sf)
+    cells = dense_cells.write_cells(points, scratch_path(spark, "dense-cells"))
+    h = dense_cells.search_cells(cells, _dense_q(spark, sf), 4, 0.3)
+    return h.join(points.select("point_id", "label"), "point_id").select(
+        "query_id", "point_id", F.round("score", 6).alias("similarity_score"),
+        F.col("search_rank").cast("bigint").alias("search_rank"), "label")
+
+
 @register("dense_top4_filtered", sql=_dense_sql(4, "AND e.label >= 2 AND e.label <= 7"))
 def dense_top4_filtered(spark, sf):
     """TK1 + PF8: payload range filter applied before scoring."""
