@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import fixed_values as FV
-from tessera.functions.text import once, whitespace_tokens
+from tessera.functions.text import once, tokens, whitespace_tokens
 from tessera.operators import embed as E
 
 
@@ -104,34 +105,57 @@ def chunk_semantic(df: DataFrame, text_col: str = "text", buffer: int = 1, pct:
     """CH3: embed each sentence with its +-``buffer`` neighbours, measure the
     cosine distance between consecutive groups and cut where it exceeds the
     document's ``pct`` percentile (exact, interpolated; distances are compared
-    at 9 decimals).  Everything about a document happens in its own row: one
-    Python node encodes every group once, and nothing is shuffled.
+    at 9 decimals).  Everything about a document happens in its own row and
+    nothing is shuffled.  With the hashing encoder each sentence is tokenised
+    once, in the JVM, and a group's vector is the sum of its sentences'.
     ``encoder`` is a ``HashingEncoder`` or an encoder factory."""
     keys = keys or ["doc_id"]
+
+    def cuts(v: np.ndarray) -> list[int]:
+        """First sentences of the chunks, from the vectors of the groups."""
+        n = len(v)
+        if n < 2:
+            return [0] * n
+        norm = np.sqrt((v * v).sum(axis=1))
+        both = norm[1:] * norm[:-1]
+        cos = np.divide((v[1:] * v[:-1]).sum(axis=1), both, out=np.zeros(n - 1), where=both > 0)
+        dist = np.round(1.0 - cos, 9)
+        return [0, *(np.flatnonzero(dist > np.round(np.percentile(dist, pct), 9)) + 1).tolist()]
+
+    s = df.select(*keys, once(_sentence_array(text_col)).alias("_s"))
+    if encoder is None or isinstance(encoder, E.HashingEncoder):
+        dim = (encoder or E.HashingEncoder()).dim
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def starts(docs: pa.Array) -> pa.Array:
+            # one vector per sentence; a group is the sum of its sentences
+            single = E.token_vectors(docs.flatten(), dim)
+            ends = np.concatenate([[0], np.cumsum(docs.value_lengths().to_numpy())]).astype(np.int64)
+            out = []
+            for a, b in zip(ends[:-1], ends[1:]):
+                run = np.concatenate([np.zeros((1, dim)), np.cumsum(single[a:b], axis=0)])
+                i = np.arange(b - a)
+                out.append(cuts(E.unit_rows(run[np.minimum(i + buffer + 1, b - a)] - run[np.maximum(i - buffer, 0)])))
+            return pa.array(out, pa.list_(pa.int32()))
+
+        words = F.transform("_s", lambda x: tokens(E.prepare_text(x)))
+        return _assemble(s.withColumn("_starts", starts(words)), keys, False)
+
     factory = E.encoder_factory(encoder)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def starts_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = factory()
         for docs in batches:
             out = []
             for sentences in docs:
                 n = len(sentences)
                 groups = [" ".join(sentences[max(0, i - buffer):i + buffer + 1]) for i in range(n)]
-                if n < 2:
-                    out.append([0] * n)
-                    continue
-                v = np.asarray(enc.encode([g.replace("\n", " ").strip(" ") for g in groups]), dtype=np.float64)
-                norm = np.sqrt((v * v).sum(axis=1))
-                both = norm[1:] * norm[:-1]
-                cos = np.divide((v[1:] * v[:-1]).sum(axis=1), both, out=np.zeros(n - 1), where=both > 0)
-                dist = np.round(1.0 - cos, 9)
-                cut = dist > np.round(np.percentile(dist, pct), 9)
-                out.append([0, *(np.flatnonzero(cut) + 1).tolist()])
+                out.append(cuts(np.asarray(enc.encode([g.replace("\n", " ").strip(" ") for g in groups]), dtype=np.float64))
+                           if n > 1 else [0] * n)
             yield pd.Series(out)
 
-    s = df.select(*keys, once(_sentence_array(text_col)).alias("_s"))
-    return _assemble(s.withColumn("_starts", starts("_s")), keys, False)
+    return _assemble(s.withColumn("_starts", starts_of("_s")), keys, False)
 
 
 def point_ids(df: DataFrame, doc_col: str = "doc_id", idx_col: str = "chunk_idx",

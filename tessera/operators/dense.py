@@ -75,6 +75,15 @@ def _blocks(df: DataFrame, keys: list[str], rows: int, name: str, members: F.Col
         F.collect_list(f"{name}_rows").alias(f"{name}_rows")), n
 
 
+def stored(vectors: DataFrame, name: str) -> DataFrame:
+    """``vectors`` written to the shared folder and read back: derived vectors
+    are computed once, not once per job of a search."""
+    from tessera.sources.jsonl import scratch_path
+    path = scratch_path(vectors.sparkSession, name)
+    vectors.write.parquet(path)
+    return vectors.sparkSession.read.schema(vectors.schema).parquet(path)
+
+
 def dense_candidates(queries: DataFrame, points: DataFrame, k: int, threshold: float | None,
                      id_col: str = "point_id", vec_col: str = "embedding", qvec_col: str = "query_vec",
                      keys: list[str] | None = None, query_block: int = QUERY_BLOCK,
@@ -162,6 +171,7 @@ def similarity_top_k(a: DataFrame, b: DataFrame, k: int, a_id: str = "a_id", b_i
     from tessera.operators.embed import normalise_vectors
     an = normalise_vectors(a.select(F.col(a_id).alias("query_id"), F.col(a_vec).alias("query_vec")), "query_vec")
     bn = normalise_vectors(b.select(F.col(b_id).alias("point_id"), F.col(b_vec).alias("embedding")), "embedding")
-    out = dense_candidates(an, bn, k, None)
+    # blocks are counted before they are built: keep what was derived
+    out = dense_candidates(stored(an, "a-vectors"), stored(bn, "b-vectors"), k, None)
     return out.select(F.col("query_id").alias(a_id), F.col("point_id").alias(b_id), F.col("score").alias("cosine"),
                       F.col("search_rank").cast("bigint").alias("rank"))

@@ -2,9 +2,9 @@
 
 Two encoder paths:
 
-* ``HashingEncoder`` - signed feature hashing of word tokens.  Tokens and
-  their md5 bucket/sign are built-in expressions evaluated per row; a small
-  Arrow UDF sums them into the L2-normalised dense vector (numpy per batch).
+* ``HashingEncoder`` - signed feature hashing of word tokens.  Tokens are made
+  by built-in expressions; an Arrow function hashes the distinct tokens of a
+  batch and sums them into the L2-normalised dense vectors (numpy per batch).
   No shuffle and no join: rows keep their partitioning.  For a corpus that
   already has a (doc, term, tf) table, ``hashing_vectors_from_terms`` builds
   the same vectors from it without tokenising again.
@@ -23,11 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import once, tokens
+from tessera.functions.text import tokens
 
 
 @lru_cache(1 << 17)
@@ -99,27 +100,37 @@ def _dense_from_cells(cells: DataFrame, id_col: str, dim: int, out_col: str) ->
     return per_doc.select(id_col, _densify(dim)(F.col("c.b"), F.col("c.v")).alias(out_col))
 
 
-def _densify_sum(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def densify_sum(buckets: pd.Series, signs: pd.Series) -> pd.Series:
-        out = np.zeros((len(buckets), dim), dtype=np.float64)
-        for i, (b, v) in enumerate(zip(buckets, signs)):
-            if len(b):
-                np.add.at(out[i], np.asarray(b, dtype=np.int64), np.asarray(v, dtype=np.float64))
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        np.divide(out, norms, out=out, where=norms > 0)
-        return pd.Series(list(out))
-    return densify_sum
+def token_vectors(tokens_of_rows: pa.Array, dim: int) -> np.ndarray:
+    """Signed token counts (rows x dim) of lists of tokens: every distinct
+    token of the batch is hashed once, the cells are summed in one pass."""
+    flat = tokens_of_rows.flatten().dictionary_encode()
+    cells = [_token_cell(t, dim) for t in flat.dictionary.to_pylist()]
+    buckets = np.array([c[0] for c in cells], dtype=np.int64)
+    signs = np.array([c[1] for c in cells], dtype=np.float64)
+    at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = tokens_of_rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(tokens_of_rows)), sizes)
+    if not len(at):
+        return np.zeros((len(tokens_of_rows), dim))
+    return np.bincount(rows * dim + buckets[at], weights=signs[at], minlength=len(tokens_of_rows) * dim).reshape(-1, dim)
+
+
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows divided by their length; zero rows stay."""
+    norms = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norms, out=v.copy(), where=norms > 0)
 
 
 def _hashing_embed(df: DataFrame, id_col: str, text_col: str, dim: int, out_col: str) -> DataFrame:
-    """Per row, no shuffle: tokens are hashed to (bucket, sign) in place and
-    summed into the L2-normalised vector by a small Arrow UDF; rows keep
-    their partitioning and no join back is needed."""
-    t = df.select("*", once(tokens(prepare_text(text_col))).alias("_tk"))
-    buckets = F.transform("_tk", lambda w: _bucket_sign(w, dim)[0])
-    signs = F.transform("_tk", lambda w: _bucket_sign(w, dim)[1])
-    return t.withColumn(out_col, _densify_sum(dim)(buckets, signs)).drop("_tk")
+    """Per row, no shuffle: the JVM makes the tokens, an Arrow function sums
+    their cells into the L2-normalised vector; rows keep their partitioning
+    and no join back is needed."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def vectors(toks: pa.Array) -> pa.Array:
+        v = unit_rows(token_vectors(toks, dim))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.ravel()))
+
+    return df.withColumn(out_col, vectors(tokens(prepare_text(text_col))))
 
 
 def embed(df: DataFrame, id_col: str, text_col: str, encoder: HashingEncoder | Callable | None = None,
@@ -156,11 +167,21 @@ def encoder_factory(encoder: HashingEncoder | Callable | None) -> Callable:
 
 
 def normalise_vectors(df: DataFrame, col: str = "embedding", out_col: str | None = None) -> DataFrame:
-    """EM3: divide by the L2 norm (zero vectors stay zero)."""
-    out_col = out_col or col
-    v = F.transform(F.col(col), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return df.withColumn(out_col, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
+    """EM3: divide by the L2 norm.  Zero vectors, and vectors with a null or
+    NaN component, stay as they are; a null vector is null."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unit(vectors: pa.Array) -> pa.Array:
+        flat = vectors.flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(vectors)), sizes)
+        norm = np.sqrt(np.bincount(rows, weights=x * x, minlength=len(vectors)))[rows]
+        x = np.divide(x, norm, out=x, where=norm > 0)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        values = pa.array(x, mask=flat.is_null().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(ends, values, mask=vectors.is_null())
+
+    return df.withColumn(out_col or col, unit(F.col(col).cast("array<double>")))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -76,8 +76,8 @@ def hybrid_search(queries: DataFrame, index: lexical.Bm25Index, doc_vectors: Dat
 
     bm = kept(lexical.top_k(lexical.bm25_scores(index, queries, keys=keys), keys,
                             [F.round("bm25_score", 9).desc(), F.col("doc_id")], bm25_k, "bm_rank"), "bm25-hits")
-    vec = dense.dense_candidates(query_vectors, doc_vectors.withColumnRenamed("doc_id", "point_id"), limit,
-                                 threshold, keys=keys)
+    vec = dense.dense_candidates(query_vectors, dense.stored(doc_vectors, "doc-vectors").withColumnRenamed("doc_id", "point_id"),
+                                 limit, threshold, keys=keys)
     vec = kept(vec.select(*keys, F.col("point_id").alias("doc_id"), F.col("score").alias("vector_score"),
                           F.col("search_rank").alias("vec_rank")), "vector-hits")
     canon = broadcast_if_small(canonical_ids(bm.select("doc_id").unionByName(vec.select("doc_id")), index.docs, key))
@@ -122,7 +122,7 @@ def multi_query_vector(variants: DataFrame, docs: DataFrame, doc_vectors: DataFr
     """TK5 fallback: vector-only retrieval per variant with first-seen dedup."""
     keys = ["request_id", "variant_idx"]
     hits = dense.dense_candidates(variant_vectors.select(*keys, "query_vec"),
-                                  doc_vectors.withColumnRenamed("doc_id", "point_id"), top_k_,
+                                  dense.stored(doc_vectors, "doc-vectors").withColumnRenamed("doc_id", "point_id"), top_k_,
                                   FV.DENSE_THRESHOLD, keys=keys)
     hits = hits.select(*keys, F.col("point_id").alias("doc_id"), F.col("search_rank").alias("rank"),
                        F.col("score").alias("similarity_score"))
