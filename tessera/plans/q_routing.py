@@ -7,9 +7,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
+from tessera.functions.text import tokens
 from tessera.operators import lexical, routing
+from tessera.operators import lexicon as lex
 from tessera.plans.catalog import register
-from tessera.plans.sqlbits import BM25_CTES, bm25_query_terms, clean, lit, qa_pairs
+from tessera.plans.sqlbits import BM25_CTES, bm25_query_terms, clean, lit, qa_pairs, tok
 from tessera.sources import tables as T
 
 WS = "[\\s\\p{Z}\\x{0b}\\x{1c}-\\x{1f}\\x{85}]"
@@ -227,3 +229,50 @@ FROM {WEBQ_SQL} q LEFT JOIN t USING (query_id)
 def first_snippets(spark, sf):
     """AG19."""
     return routing.first_snippets(_results(spark, sf), _web_queries(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# lexicon tables
+# ---------------------------------------------------------------------------
+
+WORDS_SQL = f"""
+words AS (SELECT DISTINCT unnest({tok('text')}) AS base FROM benchmark),
+lex AS (SELECT base, [reverse(base), base || 's', base] AS synonyms FROM words WHERE length(base) >= 5)
+"""
+
+
+def _benchmark_lexicon(spark, sf):
+    """A lexicon table from the words of the benchmark texts."""
+    words = T.table(spark, sf, "benchmark").select(F.explode(tokens("text")).alias("base")).distinct()
+    return words.filter(F.length("base") >= 5).select(
+        "base", F.col("base").alias("ord"), F.array(F.reverse("base"), F.concat("base", F.lit("s")), F.col("base")).alias("synonyms"))
+
+
+@register("lexicon_matches", sql=f"""
+WITH {WORDS_SQL},
+m AS (SELECT doc_id, base FROM documents JOIN lex ON contains(lower(text), base))
+SELECT doc_id, count(*) AS n_terms, min(base) AS first_term, max(base) AS last_term FROM m GROUP BY doc_id
+""")
+def lexicon_matches(spark, sf):
+    """JN4: the terms of a lexicon table that each document contains."""
+    docs = T.table(spark, sf, "documents")
+    found = lex.find_terms(docs, _benchmark_lexicon(spark, sf), "text", keys=["doc_id"])
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"),
+                                       F.max("term").alias("last_term"))
+
+
+@register("expand_queries_lexicon", sql=f"""
+WITH {WORDS_SQL},
+c AS (SELECT item_id, text, base, s.pos, replace(lower(text), base, synonyms[s.pos]) AS cand
+      FROM benchmark JOIN lex ON contains(lower(text), base), (SELECT unnest([1, 2, 3]) AS pos) s
+      WHERE synonyms[s.pos] <> base),
+f AS (SELECT item_id, cand, min(struct_pack(base := base, pos := pos)) AS place FROM c WHERE cand <> text GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) AS rank FROM f),
+k AS (SELECT item_id, string_agg(cand, ' ' ORDER BY rank) AS more FROM r WHERE rank <= 2 GROUP BY item_id)
+SELECT b.item_id, CASE WHEN more IS NULL THEN text ELSE text || ' ' || more END AS expanded
+FROM benchmark b LEFT JOIN k USING (item_id)
+""")
+def expand_queries_lexicon(spark, sf):
+    """SO3 + JN4: expansion from a lexicon table, three variants per query."""
+    b = T.table(spark, sf, "benchmark").select("item_id", "text")
+    return lex.expand_queries(b, _benchmark_lexicon(spark, sf), "text", keys=["item_id"], max_variants=3)
