@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera import fixed_values as FV
 from tessera.operators import chunk, prep, split
+from tessera.operators.point_store import PointStore
 from tessera.plans.catalog import register
 from tessera.plans.sqlbits import clean, hash_vectors, lit
 from tessera.plans.q_prep import KEPT_B, SPLIT_ORDER
 from tessera.sources import jsonl
 from tessera.sources import tables as T
+from tessera.sources.jsonl import scratch_path
 
 CH_SQL = f"""
 WITH t AS (SELECT doc_id, CASE WHEN {clean('text')} = '' THEN []::VARCHAR[] ELSE string_split({clean('text')}, ' ') END AS toks
@@ -114,6 +116,22 @@ def upsert_points(spark, sf):
     return chunk.upsert_points(base, batch).select("point_id", "label", "origin")
 
 
+@register("point_store", sql=UPS_SQL + """
+SELECT point_id, label, origin FROM base WHERE point_id NOT IN (SELECT point_id FROM latest) AND point_id % 7 <> 2
+UNION ALL SELECT point_id, label, origin FROM latest WHERE point_id % 7 <> 2
+""")
+def point_store(spark, sf):
+    """SNK8 + SNK9 in a bucketed store: the base, the batch of ``upsert_points``
+    (twice, under one batch id) and a deletion."""
+    base, batch = _ups(spark, sf)
+    store = PointStore(spark, scratch_path(spark, "points"), "point_id long, label int, origin string", buckets=16)
+    store.upsert(base, "base")
+    store.upsert(batch, "batch", "seq")
+    store.upsert(batch, "batch", "seq")
+    store.delete(base.unionByName(batch).filter("point_id % 7 = 2"), "gone")
+    return store.points()
+
+
 @register("delete_points", sql="""
 SELECT vec_id AS point_id, label FROM embeddings WHERE vec_id NOT IN (SELECT l.doc_id FROM labels l WHERE l.toxic = 1)
 """)

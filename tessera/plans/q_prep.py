@@ -278,11 +278,11 @@ SELECT count(*) AS n_rows,
 FROM {QA}
 """)
 def require_fields_q(spark, sf):
-    """PF3: valid rows and error count in one pass."""
+    """PF3: valid rows and error count."""
     qa = _qa(spark, sf)
-    ok = (F.coalesce(F.col("question"), F.lit("")) != "") & (F.coalesce(F.col("answer"), F.lit("")) != "")
-    return qa.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_valid"),
-                  F.count_if(~ok).alias("n_errors"))
+    valid = prep.require_fields(qa, "question", "answer").agg(F.count(F.lit(1)).alias("n_valid"))
+    return qa.agg(F.count(F.lit(1)).alias("n_rows")).join(valid, F.lit(True)).select(
+        "n_rows", "n_valid", (F.col("n_rows") - F.col("n_valid")).alias("n_errors"))
 
 
 @register("padding_efficiency", sql=f"""

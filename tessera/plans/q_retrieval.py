@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import blockmax, lexical
+from tessera.operators import blockmax, lexical, segments
 from tessera.plans.catalog import ORACLE, register
 from tessera.plans.sqlbits import BM25_CTES, bm25_query_terms
 from tessera.sources import tables as T
@@ -45,6 +45,23 @@ def bm25_block_top5(spark, sf):
                        F.col("rank").cast("bigint").alias("rank"))
 
 
+@register("bm25_segments_top5", sql=ORACLE["bm25_top5"].replace(
+    "FROM documents WHERE coalesce(text, '') <> ''", "FROM documents WHERE coalesce(text, '') <> '' AND doc_id % 11 <> 3"))
+def bm25_segments_top5(spark, sf):
+    """AG10 + TK2: an index grown by segments - half of the documents with
+    other texts, then all with their own, then some deleted - searches like
+    one built at once from what is left."""
+    docs = T.search_documents(T.table(spark, sf, "documents"))
+    idx = segments.SegmentedIndex(spark, scratch_path(spark, "segments"))
+    idx.add(docs.filter("doc_id % 2 = 0").withColumn("content", F.reverse("content")), "half")
+    idx.add(docs, "all")
+    idx.delete(docs.filter("doc_id % 11 = 3"), "gone")
+    idx.add(docs.limit(0), "nothing")
+    hits = lexical.bm25_search(idx.index(), T.bench_queries(T.table(spark, sf, "benchmark")), 5)
+    return hits.select("query_id", "doc_id", F.round("bm25_score", 6).alias("bm25_score"),
+                       F.col("rank").cast("bigint").alias("rank"))
+
+
 @register("bm25_corpus_stats", sql=f"""
 WITH {BM25_CTES}
 SELECT (SELECT n FROM bm_stats)::BIGINT AS n_docs, round((SELECT avgdl FROM bm_stats), 6) AS avgdl,

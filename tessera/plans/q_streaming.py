@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics
-from tessera.plans.catalog import register
+from tessera.plans.catalog import ORACLE, register
 from tessera.plans.q_chat import SESS_SQL
 from tessera.plans.q_chunk import CH_SQL, KEPT_B, QA_SCHEMA, _defective_lines
 from tessera.plans.sqlbits import hash_vectors
@@ -75,6 +75,17 @@ def stream_ingest_documents(spark, sf):
                     (F.round(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x), 5) + F.lit(0.0)).alias("weighted"))
 
 
+@register("stream_ingest_store", sql=ORACLE["stream_ingest_documents"])
+def stream_ingest_store(spark, sf):
+    """ST3 into a bucketed store; the result is that of ``stream_ingest_documents``."""
+    sdf, foreach = jobs.stream_ingest_store(jobs.table_stream(spark, sf, "documents", "doc_id"))
+    r = jobs.ingested(spark, jobs.drain(sdf, "ingest-store", "append", foreach)).points()
+    cells = F.transform("embedding", lambda x, i: x * (i + 1))
+    return r.select("point_id", "doc_id", "chunk_idx", "n_tokens",
+                    F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("n_cells"),
+                    (F.round(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x), 5) + F.lit(0.0)).alias("weighted"))
+
+
 @register("stream_dedup_content", sql="SELECT DISTINCT props AS content FROM events")
 def stream_dedup_content(spark, sf):
     """ST4: each content once within 400 days of event time (the events span a month)."""

@@ -225,12 +225,38 @@ def live_points(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/points").join(last, ["doc_id", "_batch"]).drop("_batch", "batch")
 
 
+POINTS = "point_id long, doc_id long, chunk_idx int, n_tokens long, content string, embedding array<double>"
+
+
+def stream_ingest_store(sdf: DataFrame, size: int = FV.CHUNK_TOKENS, overlap: int = FV.CHUNK_OVERLAP, encoder=None,
+                        buckets: int = 16) -> tuple[DataFrame, Callable]:
+    """ST3 into a bucketed store under ``out``: a batch rewrites the buckets of
+    its documents, whose earlier chunks go; a batch that is replayed changes
+    nothing.  ``ingested(...).points()`` reads one version."""
+    from tessera.operators import chunk, embed
+
+    def foreach(df: DataFrame, batch_id: int, out: str) -> None:
+        docs = df.groupBy("doc_id").agg(F.max("text").alias("text"))
+        points = embed.embed(chunk.point_ids(chunk.chunk_tokens(docs, "text", size, overlap)), "chunk_key", "content", encoder)
+        ingested(df.sparkSession, out, buckets).replace(points, docs, "doc_id", f"batch-{batch_id}")
+
+    return sdf.select("doc_id", "text"), foreach
+
+
+def ingested(spark: SparkSession, out: str, buckets: int = 16):
+    """The store that ``stream_ingest_store`` writes under ``out``."""
+    from tessera.operators.point_store import PointStore
+    return PointStore(spark, f"{out}/store", POINTS, "doc_id", buckets)
+
+
 # --------------------------------------------------------------------------- ST4
 def stream_dedup_content(sdf: DataFrame, content: str = "content", ts: str = "ts",
                          within: str = "30 days") -> DataFrame:
     """ST4: a content is emitted once; repetitions within ``within`` of event
-    time are dropped, and state is held no longer than that."""
-    return sdf.withWatermark(ts, within).dropDuplicatesWithinWatermark([content])
+    time are dropped, and state is held no longer than that.  The state holds
+    a digest per content, whatever its length; null contents are one."""
+    digest = sdf.withColumn("_digest", F.sha2(F.col(content).cast("string"), 256))
+    return digest.withWatermark(ts, within).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
 # --------------------------------------------------------------------------- ST5
