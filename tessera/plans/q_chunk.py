@@ -268,6 +268,26 @@ def limit_lines(spark, sf):
     return jsonl.limit_lines(c, ["conv_id", "turn"], 100)
 
 
+@register("first_lines", sql="""
+WITH l AS (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line_no FROM documents)
+SELECT source, line_no, doc_id, lang, doc_id % 7 = 3 AS bad FROM l WHERE line_no <= 20
+""")
+def first_lines(spark, sf):
+    """SRC6: the first 20 lines of every file, malformed ones included; one
+    file per source, in doc_id order, every seventh line cut short."""
+    d = T.table(spark, sf, "documents").select("doc_id", "lang", "text", "source")
+    line = F.to_json(F.struct("doc_id", "lang", "text"), {"ignoreNullFields": "false"})
+    cut = F.when(F.col("doc_id") % 7 == 3, F.substring(line, 1, 20)).otherwise(line)
+    path = scratch_path(spark, "lines")
+    (d.select("source", "doc_id", cut.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id")
+     .select("source", "value").write.partitionBy("source").text(path))
+    got = jsonl.first_lines(spark, f"{path}/*/*.txt", 20, "doc_id long, lang string")
+    ids = T.table(spark, sf, "documents").select("source", "doc_id", "lang")
+    got = got.select(F.regexp_extract("file", "source=([^/]+)", 1).alias("source"), "line_no", F.col("_bad").alias("bad_line"),
+                     F.coalesce("doc_id", F.regexp_extract("_bad", r"^.{10}([0-9]+)", 1).try_cast("long")).alias("doc_id"))
+    return got.join(ids, ["source", "doc_id"]).select("source", "line_no", "doc_id", "lang", F.col("bad_line").isNotNull().alias("bad"))
+
+
 @register("eval_sample", sql="""
 SELECT u.conv_id * 1000 + u.turn AS id FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant' ORDER BY id LIMIT 500

@@ -202,6 +202,22 @@ def split_stratified(spark, sf):
         "conv_id", "turn", "stratum", "split")
 
 
+@register("split_length_deciles", sql=f"""
+WITH k AS (SELECT conv_id, turn, length(answer) AS n_chars, md5('42:' || conv_id || ':' || turn) AS key, conv_id || ':' || turn AS id
+           FROM {KEPT_B}),
+s AS (SELECT *, ntile(10) OVER (ORDER BY n_chars, key, id)::INT AS stratum FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key, id) - 1 AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM s)
+SELECT conv_id, turn, stratum,
+  CASE WHEN pos < floor(n * 0.8) THEN 'train' WHEN pos < floor(n * 0.8) + floor(n * 0.1) THEN 'valid' ELSE 'test' END AS split
+FROM r
+""")
+def split_length_deciles(spark, sf):
+    """SP2: exact split inside ten equal strata by answer length."""
+    ids = ["conv_id", "turn"]
+    kept = split.equal_strata(_kept(spark, sf, "B"), F.length("answer"), ids, 10)
+    return split.split_exact(kept, ids, strata="stratum").select("conv_id", "turn", "stratum", "split")
+
+
 @register("dataset_metadata", sql=f"""
 WITH raw AS (SELECT count(*) AS n FROM {QA}),
 kept AS (SELECT count(*) AS n, avg(length(question)) AS q, avg(length(answer)) AS a FROM {KEPT_B})

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,46 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return parsed.select("_r.*", *part_cols)
 
 
+# splits whose counts are broadcast: a file name and a few numbers each
+MAX_SPLITS = 100_000
+
+
+def number_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SRC6: (file, line_no, line) of every line, blank ones included, numbered
+    from 1 in each file.
+
+    Lines are counted per file split, the counts are summed up over the splits
+    of a file, and a line's number is its place in its split plus the lines of
+    the splits before; no text is shuffled, however large a file is.  (The two
+    passes plan the same splits, and ids count up inside a split.)"""
+    from tessera.session import bounded_rows
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    counts = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits_path = scratch_path(spark, "line-splits")
+    counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n").write.parquet(splits_path)
+    splits = spark.read.parquet(splits_path)
+    if bounded_rows(splits, MAX_SPLITS) is not None:
+        splits = F.broadcast(splits)
+    return lines.join(splits, ["file", "_block"]).select(
+        "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+
+
+def first_lines(spark: SparkSession, path: str, n: int, schema: T.StructType | str | None = None) -> DataFrame:
+    """SRC6: the first ``n`` lines of every file, bad ones included, with
+    ``file`` and ``line_no``; with a ``schema`` parsed like ``read_jsonl``
+    (a blank line has null fields and no error)."""
+    lines = number_lines(spark, path).filter(F.col("line_no") <= n)
+    if schema is None:
+        return lines
+    st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    st = T.StructType([*[f for f in st.fields if f.name != BAD], T.StructField(BAD, T.StringType())])
+    parsed = F.from_json(F.nullif(F.trim("line"), F.lit("")), st, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    return lines.select("file", "line_no", parsed.alias("_r")).select("file", "line_no", "_r.*")
+
+
 def parse_counts(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """(rows, bad_rows) of a PERMISSIVE read."""
     return df.groupBy(*(group_cols or [])).agg(F.count(F.lit(1)).alias("rows"), F.count(BAD).alias("bad_rows"))
@@ -91,8 +131,8 @@ def concat_splits(*dfs: DataFrame, columns=("question", "answer")) -> DataFrame:
 
 
 def limit_lines(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
-    """SRC6 / TK9: the first ``n`` rows in a total order (bad rows included);
-    planned as TakeOrderedAndProject (per-task top-n, then a final merge)."""
+    """TK9: the first ``n`` rows in a total order (``first_lines`` takes them
+    by their place in a file); planned as TakeOrderedAndProject (per-task top-n, then a final merge)."""
     return df.orderBy(*order_cols).limit(n)
 
 
