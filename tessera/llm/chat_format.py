@@ -83,6 +83,7 @@ def _examples(batches: Iterator[pd.DataFrame], target_role: str) -> Iterator[pd.
             if conv != key:
                 if pending:
                     rows.append(closing())
+                    chars += len(rows[-1][3])
                 key, prefix, n_turns, n_examples, pending = conv, [], 0, 0, False
             role, text = role or "", text or ""
             turn, at = render_turn(role, text)
