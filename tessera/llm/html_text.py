@@ -41,6 +41,7 @@ nos o para pero por que qué se ser si sin sobre son su sus también te tiene to
 mon ne nous on ou où par pas plus pour qu que qui sa sans se ses si son sont sur tu un une vous
 """.split())
 
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "figcaption"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 DROPPED = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "svg", "canvas", "object",
@@ -95,6 +96,7 @@ class Block:
     links: int              # characters inside links
     region: bool            # inside a region around the article
     article: bool           # inside the page's article
+    tag: str = ""           # the heading, paragraph or item that it is
 
 
 def _named(value: str) -> tuple[set[str], bool, bool, bool]:
@@ -112,11 +114,12 @@ def _named(value: str) -> tuple[set[str], bool, bool, bool]:
             continue
         if STATE_FIRST.intersection(parts[:-1]):
             continue
-        foreign |= not FOREIGN_WORDS.isdisjoint(parts)
         last = len(parts) - 1
-        while last and parts[last] not in REGION_WORDS and parts[last] in PLACE_WORDS:
+        while last and parts[last] not in REGION_WORDS | FOREIGN_WORDS and parts[last] in PLACE_WORDS:
             last -= 1
-        if parts[last] in REGION_WORDS:
+        if parts[last] in FOREIGN_WORDS:
+            foreign = True
+        elif parts[last] in REGION_WORDS:
             region = True
         elif parts[-1] in ARTICLE_WORDS:
             article = True
@@ -161,18 +164,18 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     link_parts: list[str] = []
     stack: list[tuple[str, str, bool]] = []     # tag, region, in article
-    region, article, in_link, own = "", False, 0, ""
+    region, article, in_link, own, opened = "", False, 0, "", ""
 
     def flush() -> None:
-        nonlocal own
+        nonlocal own, opened
         if parts:
             text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
                 links = len(_SPACE.sub(" ", _html.unescape("".join(link_parts))).strip())
-                out.append(Block(text, links, bool(region or own), article))
+                out.append(Block(text, links, bool(region or own), article, opened))
             parts.clear()
             link_parts.clear()
-        own = ""
+        own = opened = ""
 
     def add(text: str) -> None:
         if text:
@@ -222,7 +225,7 @@ def blocks_of(page: str) -> list[Block]:
                     region = mine or region
                 stack.append((tag, region, article))
         elif tag in BLOCKS and not closing:
-            own = _region(tag, m[3][:-1])
+            own, opened = _region(tag, m[3][:-1]), tag
     flush()
     return out
 
@@ -244,16 +247,34 @@ def foreign_letters(text: str) -> bool:
     return len(_FOREIGN_LETTER.findall(low)) > FOREIGN_LETTERS * len(_LETTER.findall(low))
 
 
+def _linked(blocks: list[Block]) -> list[bool]:
+    """Whether each block is mostly links and counts as such: inside the
+    article a heading does not, nor a paragraph that stands alone among
+    blocks of text; lists, and runs of linked paragraphs, do."""
+    dense = [b.links > MAX_LINKS * max(len(b.text), 1) for b in blocks]
+
+    def spared(i: int) -> bool:
+        if not blocks[i].article or blocks[i].tag not in HEADINGS | {"p"}:
+            return False
+        return blocks[i].tag in HEADINGS or not any(
+            0 <= j < len(blocks) and dense[j] and blocks[j].article and blocks[j].tag not in HEADINGS for j in (i - 1, i + 1))
+
+    return [d and not spared(i) for i, d in enumerate(dense)]
+
+
 def classify(blocks: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     has_article = any(b.article and not b.region for b in blocks)
+    linked = _linked(blocks)
     label: list[str] = []
     few: list[int] = []         # long blocks of few stop words
     known = 0                   # characters of the others
     for i, b in enumerate(blocks):
-        n, length = max(len(b.text), 1), text_length(b.text)
-        if b.region or (has_article and not b.article) or b.links / n > MAX_LINKS:
+        length = text_length(b.text)
+        if b.region or (has_article and not b.article) or linked[i]:
             label.append("bad")
+        elif b.links > MAX_LINKS * len(b.text):
+            label.append("good")                  # a heading or paragraph of the article
         elif length < MIN_LONG:
             label.append("bad" if b.links and not b.article else "open")
         else:
