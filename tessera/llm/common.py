@@ -31,3 +31,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def crc_mod(col: str, mod: int):
     """crc32 of the id's decimal text, modulo ``mod`` (the held-out folds)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with marks before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

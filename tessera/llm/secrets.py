@@ -4,7 +4,8 @@ Rules mark every candidate of a text in one pass: values assigned to password,
 token or key names, long strings that mix letters and digits, and private-key
 headers.  Each candidate is described by its length, character transitions,
 character shares, known key formats, how much of it dictionary words cover,
-the path of its document, and the neighbouring words.  A random forest trained
+the path of its document, and the neighbouring words (those within ``CONTEXT``
+characters before and after it).  A random forest trained
 on labelled findings scores it.
 
 Everything is DataFrame functions and Spark ML.  Texts are read without an
@@ -22,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import fresh, materialise
 from tessera.llm.warc import small_or_shuffled
 
 OPEN, CLOSE, LOST = "\u0002", "\u0003", "�"
@@ -182,14 +183,24 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found secret of a text replaced by ``mask``; rows
-    without a finding keep their text as it is, and all rows are kept."""
-    nos = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.collect_set("no").alias("_nos"))
-    nos = small_or_shuffled(materialise(nos, "secret-places"))
+    """``docs`` with every found secret of a text replaced by ``mask`` and no
+    other character changed; all rows and columns are kept, whatever their
+    names."""
+    key, digest, places = (fresh(docs, c) for c in ("_id", "_key", "_places"))
+    spots = found.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(digest)).agg(
+        F.collect_set(F.struct("no", F.col("start").cast("int").alias("start"), F.col("n_chars").cast("int").alias("n"))).alias(places))
+    spots = small_or_shuffled(materialise(spots, "secret-places"))
+    text, found_here = F.col(text_col), F.sort_array(places)
     hidden = F.array_join(F.transform(_pieces(text_col), lambda x, i: F.when(
-        F.array_contains("_nos", i), F.concat(F.lit(mask), F.substring_index(x, CLOSE, -1)))
+        F.exists(places, lambda p: p["no"] == i), F.concat(F.lit(mask), F.substring_index(x, CLOSE, -1)))
         .otherwise(F.replace(x, F.lit(CLOSE), F.lit("")))), "")
-    joined = docs.join(nos, F.col(id_col).eqNullSafe(F.col("_id")) & (F.md5(text_col) == F.col("_key")), "left")
-    return joined.select(*(F.when(F.col("_nos").isNotNull(), hidden).otherwise(F.col(c)).alias(c)
-                           if c == text_col else docs[c] for c in docs.columns))
+    # a text that holds a mark itself is cut by offsets
+    end = lambda p: p["start"] + p["n"]
+    before = lambda i: F.when(i == 0, 0).otherwise(end(F.get(found_here, i - 1)))
+    cut = F.array_join(F.transform(found_here, lambda p, i: F.concat(
+        F.substring(text, before(i) + 1, p["start"] - before(i)), F.lit(mask))), "")
+    rest = F.substring(text, end(F.element_at(found_here, -1)) + 1, F.length(text))
+    marked = text.contains(OPEN) | text.contains(CLOSE)
+    joined = docs.join(spots, F.col(id_col).eqNullSafe(F.col(key)) & (F.md5(text_col) == F.col(digest)), "left")
+    clean = F.when(F.col(places).isNull(), text).when(marked, F.concat(cut, rest)).otherwise(hidden)
+    return joined.select(*(clean.alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -150,6 +150,21 @@ def test_secrets_and_look_alikes(spark):
     assert dict(out)[10] == "x [SECRET] y [SECRET] z" and dict(out)[4] == texts[4] and dict(out)[-1] == "use [SECRET] for it"
 
 
+def test_redaction_changes_nothing_else(spark):
+    """Marks inside the text stay; columns may have any name; long texts."""
+    aws = "AKIA" + "QCN5VJTUYMSSXKC6"
+    texts = [f"a\u0002b {aws} c\u0003 é\U0001F600 {aws}\u0002", f"{aws}", "\u0002\u0003 none", None, "word " * 40_000 + aws + " end",
+             f"\u0003password={hexes(18, 'a')}"]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, _nos int, _id int, _KEY int, _places int")
+    out = secrets.redact(docs, secrets.scan(docs))
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    want = [None if t is None else t.replace(aws, "[SECRET]").replace(hexes(18, "a"), "[SECRET]") for t in texts]
+    assert [got[i].text for i in range(len(texts))] == want
+    assert {(r._nos, r._id, r._KEY, r._places) for r in got.values()} == {(1, 2, 3, 4)}
+
+
 def test_secrets_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan(docs).collect() == []

@@ -166,3 +166,46 @@ def test_codec_over_a_table(spark, encoder):
     ids = P.encode_texts(df, piece_model())
     assert {r.doc_id: r.text for r in P.decode_ids(ids, piece_model()).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert P.encode_texts(df.limit(0), piece_model()).collect() == []
+
+
+P1 = "The council met on Tuesday and agreed that the bridge will be closed for repairs until the end of the summer."
+P2 = "Drivers are asked to use the northern road, which is longer but has been widened and will be open at all hours."
+LAYOUTS = {
+    "linked headline and paragraph": (
+        f"<article><h1><a href=/x>Bridge closed</a></h1><p>{P1}</p><p><a href=/y>{P2}</a></p><p>{P1} And more.</p></article>",
+        f"Bridge closed {P1} {P2} {P1} And more."),
+    "run of linked paragraphs": (
+        f"<article><p>{P1}</p><p><a href=1>Other story one</a></p><p><a href=2>Other story two</a></p><p>{P2}</p></article>", f"{P1} {P2}"),
+    "list of links in the article": (
+        f"<main><p>{P1}</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p>{P2}</p></main>", f"{P1} {P2}"),
+    "word of another region inside a name": (
+        f"<div class='post-discussion-of-results'><p>{P1}</p><p>{P2}</p></div>", f"{P1} {P2}"),
+    "comments after the text": (
+        f"<div id=content><p>{P1}</p></div><div class='comments-list'><p>I think that it is the best of all the plans.</p></div>", P1),
+    "reader comments as articles": (
+        f"<article><p>{P1}</p></article><section id=readerComments><article><p>{P2}</p></article></section>", P1),
+    "no article element": (
+        f"<body><div class=nav><a href=/>Home</a></div><div><h2>Bridge closed</h2><p>{P1}</p><p>{P2}</p></div>"
+        "<div class='footer'>All rights reserved.</div></body>", f"Bridge closed {P1} {P2}"),
+    "tables and quotes": (
+        f"<article><table><tr><td>{P1}</td></tr></table><blockquote>{P2}</blockquote></article>", f"{P1} {P2}"),
+    "breaks and bare text": (f"<main>{P1}<br><br>{P2}<script>var a = '<p>no</p>';</script></main>", f"{P1} {P2}"),
+    "sidebar inside the article": (
+        f"<article><p>{P1}</p><div class='sidebar-box'><p>{P2}</p></div><aside>{P2}</aside></article>", P1),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    from tessera.llm import html_text
+    page, text = LAYOUTS[name]
+    assert html_text.main_text(page) == text
+
+
+def test_conversations_without_a_reply_leave_in_time():
+    """Closing examples count towards the rows that are held."""
+    import pandas as pd
+    size, rows = 1000, 5 * C.FLUSH_CHARS // 1000
+    batch = pd.DataFrame({"conv_id": range(rows), "role": "user", "text": "x" * size})
+    sizes = [int(b["text"].str.len().sum()) for b in C._examples(iter([batch]), "assistant")]
+    assert len(sizes) >= 4 and max(sizes) <= C.FLUSH_CHARS + 2 * size
