@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, piece_codec, quality, secrets
-from tessera.llm.common import materialise, read_table, scratch
+from tessera.llm.common import fresh, materialise, read_table, scratch
 from tessera.llm.queries import QUALITY_THRESHOLD, piece_model, quality_model
 from tessera.llm.warc import small_or_shuffled
 
@@ -35,15 +35,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.filter(quality.score_text(model, "text") >= QUALITY_THRESHOLD)
 
 
-def _text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+def _text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, str] | None:
     """If some id has different texts: ``docs`` with an id of its own for each
-    (``_node``; for other ids the id itself), and (_node, id) of these texts."""
+    (a new column; for other ids the id itself), (that column, id) of these
+    texts, and the column's name."""
+    name, key = fresh(docs, "_node"), fresh(docs, "_text_digest")
     known = docs.filter("doc_id is not null")
     repeated = known.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return None
     digest = F.coalesce(F.sha2(F.col("text"), 256), F.lit("null"))
-    texts = materialise(known.select("doc_id", digest.alias("_text_digest")).join(
+    texts = materialise(known.select("doc_id", digest.alias(key)).join(
         small_or_shuffled(repeated), "doc_id", "left_semi").distinct(), "repeated-ids")
     several = texts.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if several.isEmpty():
@@ -51,10 +53,10 @@ def _text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     low, high = known.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     number = F.monotonically_increasing_id()
     node = F.lit(high + 1) + number if high < 2 ** 62 else F.lit(low - 1) - number
-    texts = materialise(texts.join(several, "doc_id", "left_semi").withColumn("_node", node), "text-nodes")
-    nodes = (docs.withColumn("_text_digest", digest).join(small_or_shuffled(texts), ["doc_id", "_text_digest"], "left")
-             .withColumn("_node", F.coalesce("_node", F.col("doc_id").cast("long"))))
-    return nodes.select(*docs.columns, "_node"), texts.select("_node", F.col("doc_id").alias("id"))
+    texts = materialise(texts.join(several, "doc_id", "left_semi").withColumn(name, node), "text-nodes")
+    nodes = (docs.withColumn(key, digest).join(small_or_shuffled(texts), ["doc_id", key], "left")
+             .withColumn(name, F.coalesce(name, F.col("doc_id").cast("long"))))
+    return nodes.select(*docs.columns, name), texts.select(name, F.col("doc_id").alias("id")), name
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +68,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         linked = ngram_join.link_texts(docs)
         kept = _without(docs, linked.filter("doc_id <> class_id").select("doc_id"))
     else:
-        nodes, texts = several
-        linked = materialise(ngram_join.link_texts(nodes, id_col="_node").filter("_node is not null")
-                             .join(small_or_shuffled(texts), "_node", "left")
-                             .select("_node", "class_id", F.coalesce("id", "_node").alias("id")), "text-classes")
-        first = linked.groupBy("class_id").agg(F.min(F.struct("id", "_node"))["_node"].alias("first"))
-        dropped = materialise(linked.join(first, "class_id").filter("_node <> first").select("_node"), "dropped-ids")
-        kept = nodes.join(small_or_shuffled(dropped), "_node", "left_anti").select(*docs.columns)
+        nodes, texts, name = several
+        linked = materialise(ngram_join.link_texts(nodes, id_col=name).filter(F.col(name).isNotNull())
+                             .join(small_or_shuffled(texts), name, "left")
+                             .select(name, "class_id", F.coalesce("id", name).alias("id")), "text-classes")
+        first = linked.groupBy("class_id").agg(F.min(F.struct("id", name))[name].alias("first"))
+        dropped = materialise(linked.join(first, "class_id").filter(F.col(name) != F.col("first")).select(name), "dropped-ids")
+        kept = nodes.join(small_or_shuffled(dropped), name, "left_anti").select(*docs.columns)
     repeated = kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return kept
