@@ -4,7 +4,7 @@ Each round joins every node with the smallest node it knows (large star, then
 small star), so a component shrinks to a star around its smallest id in a
 logarithmic number of rounds.  Every round is written to the shared folder:
 the plan stays short and a lost executor costs one round at most.  No edge,
-node or component reaches the driver.
+node or component reaches the driver, and no task gathers the edges of a hub.
 """
 
 from __future__ import annotations
@@ -16,17 +16,34 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+# at most twice so many nodes are hubs, whose edges are not gathered
+HUB_SHARE, LEAST_HUB = 50_000, 256
+
+
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with the smallest neighbour ``m`` of their node ``a``.  The
+    nodes with more than a fixed share of the edges are few, so their row is
+    broadcast and their edges stay where they are."""
+    hubs = least.filter(F.col("n") > max(LEAST_HUB, total // HUB_SHARE)).select("a", "m")
+    hubs = F.broadcast(materialise(hubs, "hubs"))
+    rest = edges.join(hubs, "a", "left_anti").join(least.select("a", "m"), "a")
+    return edges.join(hubs, "a").unionByName(rest)
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return (both.filter("b > a").join(least, "a")
+    return (_with_least(both.filter("b > a"), _least(both), total)
             .select(F.col("b").alias("x"), F.least("a", "m").alias("b")).withColumnRenamed("x", "a").distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    rest = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionByName(least.withColumnRenamed("m", "b")).distinct()
+def _small_star(e: DataFrame, total: int) -> DataFrame:
+    least = _least(e)
+    rest = _with_least(e, least, total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +57,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         heads = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
         if e.join(roots, "a", "left_semi").select("a").unionByName(heads).isEmpty():
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        e = materialise(_small_star(_large_star(e)), "edges")
+        total = e.count()
+        e = materialise(_small_star(materialise(_large_star(e, total), "edges"), total), "edges")
 
 
 def spanning_links(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

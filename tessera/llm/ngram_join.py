@@ -1,16 +1,20 @@
-"""N-gram Jaccard join with a MinHash banding and exact verification.
+"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 Texts become sets of word n-grams (lower-cased runs of word characters; a
 text of fewer words is one n-gram of all of them).  Equal word sequences are
 one representative with a count of its copies, so copies are never compared.
 
-Banding: each of ``TREES`` bands hashes the first MinHash values of its
-signature of ``DEPTH``; texts with an equal hash are a node.  The number of
-values is fixed before the run, the longest that meets a pair right at the
-threshold in some band with the target recall, ``1 - (1 - threshold ** d) **
-TREES``.  No longer prefix is matched, and no trie is built.  Texts of one node are compared by the whole signature
-(eight bits a value) and by set size; what stays well below the threshold is
-no candidate.  Nodes larger than a block are compared block against block.
+Forest: in each of ``TREES`` trees a text stands at the label of ``DEPTH``
+MinHash values; the labels of a tree, sorted, are its prefix trie.  Texts are
+matched by the whole label first, and the matched prefix is then shortened
+value by value, down to the length ``shortest_prefix`` at which a pair right at
+the threshold is met in some tree with the target recall, ``1 - (1 - threshold
+** d) ** TREES``.  Shortening is adaptive: only texts of a trie node that
+longer prefixes have not joined yet are compared again.  (Spark groups texts by
+tree and shortest prefix, a task holds the subtrie below it in sorted order.)
+A match is a candidate if the whole signatures (eight bits a value) and the set
+sizes come near the threshold.  Nodes larger than a block are compared block
+against block.
 
 Verification: candidate edges are joined to components, and inside a component
 the exact Jaccard similarity of every pair is computed from the full n-gram
@@ -91,9 +95,9 @@ def signature(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def matched_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that still meets a pair at the threshold with the
-    target recall; one component if none does."""
+def shortest_prefix(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
+    """How far prefixes must be shortened: the longest length that still meets
+    a pair at the threshold with the target recall, one value if none does."""
     for d in range(depth, 1, -1):
         if 1 - (1 - threshold ** d) ** trees >= recall:
             return d
@@ -148,13 +152,60 @@ def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _node_edges(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+def _trie_edges(sig: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, depth: int, threshold: float,
+                least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (rows) that connect the candidates of one trie node: along the
+    sorted labels first, then under ever shorter prefixes, between texts that
+    are not connected yet (of a pair of blocks, texts of different sides)."""
+    order = np.lexsort(label.T[::-1])
+    sig, size, label, side = sig[order], size[order], label[order], side[order]
+    both = side.any()
+    joined = ((sig[1:] == sig[:-1]).sum(axis=1) >= least) & (
+        np.minimum(size[1:], size[:-1]) >= threshold * np.maximum(size[1:], size[:-1]))
+    at = np.flatnonzero(joined)
+    yield order[at], order[at + 1]
+    part = np.concatenate([[0], np.cumsum(~joined)])        # the part each text is connected to
+    for length in range(label.shape[1], depth - 1, -1):
+        if not part.any():
+            return
+        cut = np.flatnonzero((label[1:, :length] != label[:-1, :length]).any(axis=1)) + 1
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(order)]):
+            if e - s < 2 or (part[s:e] == part[s]).all():
+                continue
+            one = np.flatnonzero(side[s:e] == 0) + s
+            two = np.flatnonzero(side[s:e] == 1) + s if both else one
+            if not len(one) or not len(two):
+                continue
+            equal = np.zeros((len(one), len(two)), dtype=np.uint16)
+            for c in range(sig.shape[1]):
+                equal += sig[one, c][:, None] == sig[two, c][None, :]
+            a, b = size[one][:, None], size[two][None, :]
+            near = (equal >= least) & (np.minimum(a, b) >= threshold * np.maximum(a, b)) & (
+                part[one][:, None] != part[two][None, :])
+            if not near.any():
+                continue
+            p, q = spanning_links(near)
+            members = np.concatenate([one, two])
+            p, q = members[p], members[q]
+            yield order[p], order[q]
+            names = np.arange(part.max() + 1)
+            while True:                          # the smallest part that the new edges reach
+                to = names.copy()
+                np.minimum.at(to, part[p], names[part[q]])
+                np.minimum.at(to, part[q], names[part[p]])
+                if (to == names).all():
+                    break
+                names = to
+            part = names[part]
+
+
+def _node_edges(batches: Iterator[pd.DataFrame], threshold: float, depth: int) -> Iterator[pd.DataFrame]:
     """Candidate edges inside the trie nodes (or pairs of their blocks)."""
     low = threshold - 4 * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
     least = TREES * DEPTH * (low * 255 / 256 + 1 / 256)
     for rows, starts in _groups(batches, ["tree", "prefix", "x", "y"]):
         sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(len(rows), -1)
-        ids, size, side = rows["id"].to_numpy(), rows["size"].to_numpy(), rows["side"].to_numpy()
+        ids, size, tree, side = (rows[c].to_numpy() for c in ("id", "size", "tree", "side"))
         ends = np.append(starts[1:], len(rows))
         group = np.repeat(np.arange(len(starts)), ends - starts)
         small = np.repeat(ends - starts <= SMALL_GROUP, ends - starts)
@@ -170,18 +221,9 @@ def _node_edges(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[p
         for s, e in zip(starts, ends):
             if e - s <= SMALL_GROUP:
                 continue
-            one, two = np.arange(s, e)[side[s:e] == 0], np.arange(s, e)[side[s:e] == 1]
-            same = not len(two)
-            two = one if same else two
-            equal = np.zeros((len(one), len(two)), dtype=np.uint16)
-            for c in range(sig.shape[1]):
-                equal += sig[one, c][:, None] == sig[two, c][None, :]
-            a, b = size[one][:, None], size[two][None, :]
-            near = (equal >= least) & (np.minimum(a, b) >= threshold * np.maximum(a, b))
-            if near.any():
-                p, q = spanning_links(near)
-                members = np.concatenate([ids[one], ids[two]])
-                found.append((members[p], members[q]))
+            label = sig[s:e, tree[s] * DEPTH:(tree[s] + 1) * DEPTH]
+            found += [(ids[s:e][p], ids[s:e][q]) for p, q in _trie_edges(
+                sig[s:e], size[s:e], label, side[s:e], depth, threshold, least)]
         if found:
             yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]),
                                 "b": np.concatenate([f[1] for f in found])}).query("a != b")
@@ -269,7 +311,7 @@ def link_texts(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     once; different texts under one id are one node of the links; other columns
     are ignored; an empty table gives no rows.
     """
-    depth = matched_depth(threshold, recall)
+    depth = shortest_prefix(threshold, recall)
     signed = materialise(_signatures(df, n, depth, id_col, text_col), "ngram-signatures")
     members = signed.select("id", "key").distinct()
     alive = signed.filter("id is not null and key is not null")
@@ -285,7 +327,7 @@ def link_texts(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     met = light.join(nodes, ["tree", "prefix"]).join(reps.select("id", "size", "sig"), "id")
     pairs = _block_pairs(met, "node_size", NODE_BLOCK, ["tree", "prefix"])
     edges = pairs.select("tree", "prefix", "x", "y", "side", "id", "size", "sig").mapInPandas(
-        lambda it: _node_edges(it, threshold), "a long, b long")
+        lambda it: _node_edges(it, threshold, depth), "a long, b long")
     comps = connected_components(edges)
     comps = materialise(comps.unionByName(comps.select(F.col("component").alias("id"), "component").distinct()),
                         "ngram-candidates")

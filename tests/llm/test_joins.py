@@ -48,6 +48,57 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_edges_of_hubs_stay_in_place(spark, monkeypatch):
+    """Many stars and a chain through their centres, with every centre a hub."""
+    monkeypatch.setattr(components, "LEAST_HUB", 8)
+    edges = [(1000 * k, 1000 * k + x) for k in range(1, 7) for x in range(1, 60)] + [(1000 * k + 5, 1000 * k + 1007) for k in range(1, 6)]
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {1000} and len(got) == 6 * 60 - 1
+
+
+def test_trie_edges_connect_all_candidates():
+    """One node of the forest: the parts of the edges are those of all near pairs."""
+    rng = np.random.default_rng(8)
+    for trial in range(30):
+        groups = rng.integers(0, 256, (4, 96))
+        m = rng.integers(9, 70)
+        sig = groups[rng.integers(0, 4, m)]
+        noise = rng.random((m, 96)) < rng.choice([0.05, 0.15, 0.3])
+        sig = np.where(noise, rng.integers(0, 256, (m, 96)), sig).astype(np.uint8)
+        size = rng.integers(90, 110, m)
+        side = rng.integers(0, 2, m) if trial % 2 else np.zeros(m, dtype=int)
+        label = sig[:, :6].copy()
+        label[:, :4] = 7                                        # all share the shortest prefix
+        equal = (sig[:, None] == sig[None]).sum(axis=2)
+        ok = (equal >= 70) & (np.minimum.outer(size, size) >= 0.8 * np.maximum.outer(size, size))
+        cross = ok & (side[:, None] != side[None]) if side.any() else ok
+        edges = [(int(a), int(b)) for p, q in ngram_join._trie_edges(sig, size, label, side, 4, 0.8, 70) for a, b in zip(p, q)]
+        found = classes(range(m), edges)
+        for a, b in zip(*np.nonzero(np.triu(cross, 1))):
+            assert found[a][1] == found[b][1]
+        allowed = classes(range(m), [(a, b) for a, b in zip(*np.nonzero(np.triu(ok, 1)))])
+        assert all(allowed[a][1] == allowed[b][1] for a, b in edges)
+
+
+def test_recall_of_planted_pairs_at_the_threshold(spark):
+    """Pairs of different texts with a similarity of 0.80 to 0.85."""
+    rng = random.Random(11)
+    rows, planted = [], 0
+    for k in range(1500):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(60, 160))]
+        other = list(words)
+        total = len(words) - 4
+        cut = int(total * rng.uniform(0.0811, 0.11))             # n-grams lost at each end: (t - c) / (t + c) >= 0.8
+        other = [f"x{i}" for i in range(cut)] + other[cut:]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        planted += len(a & b) >= 0.8 * len(a | b)
+    got = ngram_join.link_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = sum(r.n_links for r in got) / 2
+    assert planted > 1000 and planted * 0.998 <= linked <= planted
+    assert all(r.class_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in got)
+
+
 def test_spanning_links_connect_what_the_matrix_connects():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -107,7 +158,7 @@ def test_text_links_of_an_empty_table(spark):
 
 
 def test_depth_meets_the_recall():
-    d = ngram_join.matched_depth(0.8, 0.9995)
+    d = ngram_join.shortest_prefix(0.8, 0.9995)
     assert 1 - (1 - 0.8 ** d) ** ngram_join.TREES >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
