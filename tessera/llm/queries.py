@@ -166,25 +166,38 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _marked_sql(text: str) -> str:
     units = "|".join(decontaminate.UNITS.split())
-    t = f"translate(coalesce({text}, ''), chr(1), ' ')"
-    t = f"regexp_replace({t}, '([\\p{{Ll}}\\p{{N}},;:][\\t\\n\\v\\f\\r ]+)(\\p{{Lu}})', '\\1' || chr(1) || 'p\\2', 'g')"
-    t = f"lower({t})"
+    blanks = "[\\t\\n\\v\\f\\r ]+"
+    t = f"translate(coalesce({text}, ''), chr(1) || chr(2), '  ')"
+    t = f"regexp_replace({t}, '([{decontaminate.UNSPACED}])', ' \\1 ', 'g')"
+    t = f"lower(regexp_replace({t}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(\\p{{Lu}})', '\\1' || chr(1) || 'p\\2', 'g'))"
+    t = f"regexp_replace({t}, '([\\p{{L}}\\p{{M}}_]){blanks}\\x01p', '\\1' || chr(2), 'g')"
+    t = (f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{M}}_\\x01\\x02])([\\p{{L}}\\p{{M}}_]*)\\x02', "
+         f"'\\1\\2 ' || chr(1) || 'p', 'g')")
     for _ in range(2):
         t = f"regexp_replace({t}, '([0-9])[.,:/]([0-9])', '\\1_\\2', 'g')"
     t = f"regexp_replace({t}, '([0-9][0-9_]*)', ' ' || chr(1) || 'n\\1 ', 'g')"
-    t = (f"regexp_replace({t}, '(\\x01n[0-9_]+)[\\t\\n\\v\\f\\r ]+({units})([^\\p{{L}}]|$)', "
+    t = (f"regexp_replace({t}, '(\\x01n[0-9_]+){blanks}({units})([^\\p{{L}}]|$)', "
          f"'\\1 ' || chr(1) || 'u\\2\\3', 'g')")
-    return f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\x01]+', ' ', 'g'))"
+    return f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\x01\\x02]+', ' ', 'g'))"
 
 
 OP6_SQL = f"""
-WITH i AS (SELECT DISTINCT item_id, string_split({_marked_sql('text')}, ' ') AS words FROM benchmark),
+WITH i0 AS (SELECT DISTINCT item_id, string_split({_marked_sql('text')}, ' ') AS ws,
+                   list_transform(regexp_extract_all(coalesce(text, ''),
+                       '[\\p{{Ll}}\\p{{N}},;:][\\t\\n\\v\\f\\r ]+(\\p{{Lu}}[\\p{{L}}\\p{{M}}_]*)', 1), lambda x: lower(x)) AS inside
+            FROM benchmark),
+iu AS (SELECT item_id, ws, inside, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM i0),
+iq AS (SELECT item_id, ws, pos, CASE WHEN starts_with(word, chr(1) || 'p')
+              AND NOT list_contains(inside, split_part(substr(word, 3), chr(2), 1)) AND ws[1] <> word
+              AND (len(list_filter(ws, lambda y: y = word)) < 2 OR list_contains(ws, substr(word, 3)))
+              THEN chr(1) || 'q' || substr(word, 3) ELSE word END AS word FROM iu),
+i AS (SELECT item_id, list(word ORDER BY pos) AS words FROM iq GROUP BY item_id, ws),
 iw AS (SELECT item_id, len(words) AS n, least({decontaminate.WINDOW}, len(words)) AS k, words,
               unnest(range(1, len(words) - least({decontaminate.WINDOW}, len(words)) + 2)) AS ipos
        FROM i WHERE len(words) >= {decontaminate.MIN_ITEM_WORDS}),
 w AS (SELECT item_id, ipos, k, list_slice(words, ipos, ipos + k - 1) AS win FROM iw),
-lit AS (SELECT item_id, ipos, k, win,
-               array_to_string(list_transform(win, lambda x: regexp_replace(x, '\x01([npu]).*', chr(1) || '\1')), ' ') AS tpl
+lit AS (SELECT item_id, ipos, k, win, array_to_string(list_transform(win, lambda x: regexp_replace(
+                   regexp_replace(x, '^\x01q', chr(1) || 'p'), '\x01([npu]).*', chr(1) || '\1')), ' ') AS tpl
         FROM w WHERE len(list_filter(win, lambda x: NOT starts_with(x, chr(1)))) * 2 >= k),
 cnt AS (SELECT item_id, count(DISTINCT ipos) AS item_windows FROM lit GROUP BY item_id),
 d AS (SELECT doc_id, string_split({_marked_sql('text')}, ' ') AS words FROM documents WHERE doc_id IS NOT NULL),
@@ -194,17 +207,21 @@ dw AS (SELECT doc_id, dpos, k, list_slice(words, dpos, dpos + k - 1) AS win FROM
 dt AS (SELECT *, array_to_string(list_transform(win, lambda x: regexp_replace(x, '\x01([npu]).*', chr(1) || '\1')), ' ') AS tpl
        FROM dw),
 m AS (SELECT dt.doc_id, lit.item_id, ipos, dpos - ipos AS shift, lit.win AS iwin, dt.win AS dwin
-      FROM dt JOIN lit ON dt.tpl = lit.tpl AND dt.k = lit.k),
+      FROM dt JOIN lit ON dt.tpl = lit.tpl AND dt.k = lit.k
+      WHERE len(list_filter(list_zip(lit.win, dt.win),
+                            lambda z: starts_with(z[1], chr(1) || 'q') AND substr(z[1], 3) <> substr(z[2], 3))) = 0),
 s AS (SELECT doc_id, item_id, shift, ipos, iwin[j] AS a, dwin[j] AS b
-      FROM m, range(1, {decontaminate.WINDOW} + 1) t(j) WHERE starts_with(iwin[j], chr(1))),
+      FROM m, range(1, {decontaminate.WINDOW} + 1) t(j)
+      WHERE starts_with(iwin[j], chr(1)) AND NOT starts_with(iwin[j], chr(1) || 'q')),
 bad AS (SELECT DISTINCT doc_id, item_id, shift FROM
         (SELECT doc_id, item_id, shift, a FROM s GROUP BY ALL HAVING count(DISTINCT b) > 1)),
-chg AS (SELECT doc_id, item_id, shift, bool_or(a <> b) AS changed FROM s GROUP BY ALL),
-ok AS (SELECT m.doc_id, m.item_id, m.shift, m.ipos, coalesce(chg.changed, false) AS changed
-       FROM m ANTI JOIN bad USING (doc_id, item_id, shift) LEFT JOIN chg USING (doc_id, item_id, shift))
+chg AS (SELECT doc_id, item_id, shift, ipos, bool_or(a <> b) AS changed FROM s GROUP BY ALL),
+ok AS (SELECT m.doc_id, m.item_id, m.ipos, chg.changed
+       FROM m ANTI JOIN bad USING (doc_id, item_id, shift) LEFT JOIN chg USING (doc_id, item_id, shift, ipos))
 SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, max(item_windows) AS item_windows,
        count(DISTINCT ipos) / max(item_windows) AS share,
-       CASE WHEN bool_and(changed) THEN 'reparameterised' ELSE 'verbatim' END AS kind
+       CASE WHEN count(DISTINCT ipos) FILTER (WHERE NOT changed) < count(DISTINCT ipos) FILTER (WHERE changed IS NOT NULL)
+            THEN 'reparameterised' ELSE 'verbatim' END AS kind
 FROM ok JOIN cnt USING (item_id) GROUP BY doc_id, item_id
 HAVING count(DISTINCT ipos) >= least({decontaminate.MIN_WINDOWS}, max(item_windows))
 """

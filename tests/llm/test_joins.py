@@ -288,6 +288,41 @@ def test_slot_heavy_and_short_items_match_by_equal_values(spark):
     assert {r.kind for r in got} == {"verbatim"}
 
 
+def test_names_at_sentence_starts_and_of_several_words(spark):
+    tom = "Tom has 5 apples. Tom eats 2 apples. Tom buys 7 plums. Tom sells 3 plums. How many does Tom have?"
+    sent = "The farmer sold 12 eggs to Anna on the first day. Then he walked home and gave 9 of them to his wife at the door."
+    items = spark.createDataFrame([(1, tom), (2, sent)], "item_id long, text string")
+    mary = tom.replace("Tom", "Mary")
+    other = tom.translate(str.maketrans("5273", "8946"))
+    docs = [(1, mary, {1: "reparameterised"}), (2, other.replace("Tom", "Mary"), {1: "reparameterised"}),
+            (3, f"Intro words here. {other.replace('Tom', 'Mary Ann')} And so on.", {1: "reparameterised"}),
+            (4, f"see {tom}", {1: "verbatim"}), (5, tom.upper(), {1: "verbatim"}),
+            (6, sent.replace("Anna", "Mary Ann").replace("12", "30").replace("9", "8"), {2: "reparameterised"}),
+            (7, sent, {2: "verbatim"}), (8, mary.replace("Mary eats", "John eats").replace("Mary sells", "Paul sells"), {}),
+            (9, "The farmer sold 12 eggs to Anna on. Later they walked home", {})]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    got = {}
+    for r in decontaminate.match(df, items).collect():
+        got.setdefault(r.doc_id, {})[r.item_id] = r.kind
+    assert got == {i: k for i, _, k in docs if k}
+
+
+def test_scripts_without_blanks(spark):
+    chinese = "小明有五个苹果他把其中两个送给了住在河边的老师然后又买了三个"
+    thai = "แม่น้ำที่ยาวที่สุดในประเทศไทยคือแม่น้ำอะไร"
+    items = spark.createDataFrame([(1, chinese), (2, thai)], "item_id long, text string")
+    docs = [(1, f"这里是前面的句子{chinese}后面还有别的话"), (2, f"ก่อนหน้านี้{thai}หลังจากนั้น"), (3, "小明有五个苹果"), (4, chinese[:10] + "别的")]
+    got = decontaminate.match(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(1, 1, "verbatim"), (2, 2, "verbatim")}
+
+
+def test_very_long_texts_of_capitals(spark):
+    capitals, plain = "WORD " * 40000, "some quiet words without any name " * 6000
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, capitals), (2, f"{plain}. {ITEM} {plain}"), (3, f"{capitals}. {ITEM}")], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.match(docs, items).collect()} == {2, 3}
+
+
 def test_no_items_or_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
