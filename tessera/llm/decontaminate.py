@@ -58,11 +58,11 @@ def marked(text: Column) -> Column:
     t = F.lower(F.regexp_replace(t, r"(?=\p{Lu})(?<![\p{L}\p{M}\p{N}_])", f"{MARK}p"))
     t = F.regexp_replace(t, rf"({MARK}p[\p{{L}}\p{{M}}_]*+){BLANKS}++(?={MARK}p)", f"$1{JOIN}")
     t = F.replace(t, F.lit(f"{JOIN}{MARK}p"), F.lit(JOIN))
-    for _ in range(2):
-        t = F.regexp_replace(t, r"([0-9])[.,:/]([0-9])", "$1_$2")
+    t = F.regexp_replace(t, "(?<=[0-9])[.,:/](?=[0-9])", "_")
     t = F.regexp_replace(t, r"([0-9][0-9_]*)", rf" {MARK}n$1 ")
     t = F.regexp_replace(t, rf"(\x01n[0-9_]+)\s+({'|'.join(UNITS.split())})([^\p{{L}}]|$)", rf"$1 {MARK}u$2$3")
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}_\x01\x02]+", " "))
+    # a single blank is not worth a match
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}_\x01\x02]{2,}|[^ \p{L}\p{M}\p{N}_\x01\x02]", " "))
 
 
 def item_names(text: Column) -> Column:
@@ -99,9 +99,9 @@ def _split(words: Column) -> Column:
     return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
 
 
-def window_hashes(words: Column, length: int) -> Column:
-    n = F.size(words) - F.lit(length - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, length))))
+def window_hash(words: Column, at: Column, length: int) -> Column:
+    """Hash of the ``length`` words from the place ``at`` (from 0) on."""
+    return F.xxhash64(*(F.get(words, at + i) for i in range(length)))
 
 
 def folded(words: Column) -> Column:
@@ -144,7 +144,8 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
          .filter(~F.col("exact")).unionByName(every.join(cut, "item_id", "left_semi")))
     counts = w.groupBy("item_id", "rule").agg(F.countDistinct("at").alias("item_windows"))
     key = F.when(F.col("exact"), F.col("item_window")).otherwise(F.transform("item_window", _item_template))
-    return w.select("item_id", "rule", "at", "length", F.xxhash64(key).alias("hash"), "item_window", "exact").join(
+    h = F.coalesce(*(F.when(F.col("length") == n, window_hash(F.col("key"), F.lit(0), n)) for n in range(1, window + 1)))
+    return w.withColumn("key", key).select("item_id", "rule", "at", "length", h.alias("hash"), "item_window", "exact").join(
         counts, ["item_id", "rule"])
 
 
@@ -158,10 +159,19 @@ def doc_hashes(docs: DataFrame, lengths: list[int], exact: list[int]) -> DataFra
     m = m.select("doc_id", "t", template(F.col("v")).alias("f"), "v")
     m = m.select("doc_id", _split(F.col("t")).alias("t"), F.when(F.col("f") != F.col("t"), _split(F.col("f"))).alias("f"),
                  F.when(F.col("v") != F.col("f"), _split(F.col("v"))).alias("v"))
-    forms = [(n, c) for n in lengths for c in ("t", "f", "v") if c != "v" or n in exact]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), window_hashes(F.col(c), n).alias("hashes"))
-                               for n, c in forms])).alias("w")
-    return m.select("doc_id", each).select("doc_id", "w.length", F.posexplode("w.hashes").alias("place", "hash"))
+    m = m.select("doc_id", F.explode(F.filter(F.array(
+        *(F.struct(F.col(c).alias("words"), F.lit(c != "v").alias("each")) for c in "tfv")),
+        lambda w: w["words"].isNotNull())).alias("w")).select("doc_id", "w.words", "w.each")
+    # one row a word; the array stays where it is and is read by position
+    m = m.select("doc_id", "each", "words", F.posexplode("words").alias("place", "word"))
+    spans = F.array(*[F.struct(F.lit(n).alias("length"), F.when(
+        (F.col("place") + n <= F.size("words")) & (F.col("each") | F.lit(n in exact)),
+        window_hash(F.col("words"), F.col("place"), n)).alias("hash")) for n in lengths])
+    if len(lengths) == 1:
+        out = m.select("doc_id", F.lit(lengths[0]).alias("length"), "place", F.get(spans, 0)["hash"].alias("hash"))
+    else:
+        out = m.select("doc_id", "place", F.inline(spans)).select("doc_id", "length", "place", "hash")
+    return out.filter(F.col("hash").isNotNull())
 
 
 def _consistent(aligned: DataFrame, enough: Column) -> DataFrame:
@@ -204,8 +214,8 @@ def match(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     lengths = {r["length"]: r["valued"] for r in wanted.groupBy("length").agg(
         F.max(valued).alias("valued")).collect()}                                       # at most ``window`` values
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keys = small_or_shuffled(wanted.select("length", "hash").distinct())
-    found = doc_hashes(texts, list(lengths) or [window], [n for n in lengths if lengths[n]]).join(keys, ["length", "hash"], "left_semi").distinct()
+    keys = small_or_shuffled(wanted.select("hash").distinct())   # hashes of unequal lengths differ
+    found = doc_hashes(texts, list(lengths) or [window], [n for n in lengths if lengths[n]]).join(keys, "hash", "left_semi").distinct()
     found = materialise(found, "benchmark-hits")
     rule = ["doc_id", "item_id", "rule"]
     pairs = found.join(wanted.select("item_id", "rule", "at", "length", "hash", "item_windows"), ["length", "hash"])
