@@ -1,4 +1,4 @@
-"""Metric-series jobs (ST6 batch form, ST5 batch twin).
+"""Metric-series jobs (ST6, ST5 batch twin).
 
 ``previous_row`` gives every sample the previous sample of its series
 without a window over the whole series: windows run per (series, time
@@ -50,7 +50,13 @@ def metric_rate(df: DataFrame, series: str = "series", ts: str = "ts", value: st
                 range_seconds: int = 300) -> DataFrame:
     """ST6: at every step, rate = sum of increases in the last ``range_`` /
     range seconds; irate = instant rate of the last sample in the range."""
-    inc = counter_increase(df, series, ts, value, tie)
+    return rate_windows(counter_increase(df, series, ts, value, tie), series, ts, tie, range_, step, range_seconds)
+
+
+def rate_windows(inc: DataFrame, series: str = "series", ts: str = "ts", tie: str = "event_id",
+                 range_: str = "5 minutes", step: str = "1 minute", range_seconds: int = 300) -> DataFrame:
+    """``rate`` and ``irate`` at every step from samples with their ``increase``
+    and ``irate``, whether ``counter_increase`` or the stream found them."""
     g = inc.groupBy(series, F.window(ts, range_, step).alias("w")).agg(
         F.count(F.lit(1)).alias("n_samples"),
         (F.sum("increase") / range_seconds).alias("rate"),

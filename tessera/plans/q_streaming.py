@@ -169,6 +169,14 @@ def metric_rate(spark, sf):
                     F.round("rate", 6).alias("rate"), F.round("irate", 6).alias("irate"))
 
 
+@register("stream_metric_rate", sql=ORACLE["metric_rate"])
+def stream_metric_rate(spark, sf):
+    """ST6 streamed: the result is that of ``metric_rate``."""
+    r = jobs.stream_metric_rate(_events_stream(spark, sf))
+    return r.select("series", F.date_format("window_start", TS_FMT_SPARK).alias("window_start"), "n_samples",
+                    F.round("rate", 6).alias("rate"), F.round("irate", 6).alias("irate"))
+
+
 @register("metric_ratio", sql=f"""
 WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS ws,
                   avg(CASE WHEN event_type = 'view' THEN value END) AS num,

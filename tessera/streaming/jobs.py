@@ -269,6 +269,58 @@ def sustained_alert(sdf: DataFrame, series: str, condition: F.Column, for_minute
     return sustained_windows(sdf.withWatermark(ts, watermark), series, condition, for_minutes, ts)
 
 
+# --------------------------------------------------------------------------- ST6
+INCREASE_SCHEMA = "series string, event_id long, t_us long, value double, increase double, irate double"
+INCREASE_STATE = "t_us array<long>, ids array<long>, vals array<double>"
+
+
+def _increase_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    kept = state.get if state.exists else ([], [], [])
+    old = pd.DataFrame({"t_us": list(kept[0]), "event_id": list(kept[1]), "value": list(kept[2])})
+    old = old.astype({"t_us": "int64", "event_id": "int64", "value": "float64"}).assign(new=False)
+    mark_us = state.getCurrentWatermarkMs() * 1000
+    new = [p.loc[p["t_us"] >= mark_us, ["t_us", "event_id", "value"]].assign(new=True) for p in pdfs]
+    rows = pd.concat([old, *new], ignore_index=True).sort_values(["t_us", "event_id"], kind="stable", ignore_index=True)
+    before = rows.shift(1)
+    gain = (rows["value"] - before["value"]).where(~(rows["value"] < before["value"]), rows["value"])
+    seconds = (rows["t_us"] - before["t_us"]) / 1e6
+    out = pd.DataFrame({"series": key[0], "event_id": rows["event_id"], "t_us": rows["t_us"], "value": rows["value"],
+                        "increase": gain, "irate": (gain / seconds).where(seconds > 0)})
+    # a sample that comes between two others changes the one after it
+    touched = rows["new"] | rows["new"].shift(1, fill_value=False)
+    first = max(int((rows["t_us"] < mark_us).sum()) - 1, 0)     # the last sample before the watermark stays
+    rest = rows.iloc[first:]
+    state.update((rest["t_us"].tolist(), rest["event_id"].tolist(), [None if v != v else v for v in rest["value"]]))
+    yield out[touched]
+
+
+def stream_counter_increase(sdf: DataFrame, series: str = "series", ts: str = "ts", value: str = "value",
+                            tie: str = "event_id", watermark: str = WATERMARK) -> DataFrame:
+    """ST6: per sample its increase and instant rate (``counter_increase``), at
+    once; a late sample inside the watermark is put in its place and the sample
+    after it emitted again, so the last version of every (series, sample)
+    equals the batch result (``read_latest``).  Samples before the watermark
+    and samples without a time are dropped.  State per series: the samples
+    since the watermark and the one before; it is never dropped, as the next
+    sample of an idle series needs it."""
+    rows = sdf.filter(F.col(ts).isNotNull()).select(
+        F.col(series).cast("string").alias("series"), F.col(tie).alias("event_id"), F.col(value).cast("double").alias("value"),
+        F.col(ts).alias("ts"), F.unix_micros(ts).alias("t_us"))
+    out = rows.withWatermark("ts", watermark).groupBy("series").applyInPandasWithState(
+        _increase_fn, INCREASE_SCHEMA, INCREASE_STATE, "update", GroupStateTimeout.NoTimeout)
+    null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select("series", "event_id", from_epoch_micros(F.col("t_us"), "timestamp").alias("ts"),
+                      null("value"), null("increase"), null("irate"))
+
+
+def stream_metric_rate(sdf: DataFrame, name: str = "rate", watermark: str = WATERMARK, **windows) -> DataFrame:
+    """ST6: ``rate`` and ``irate`` at every step of a streamed counter (columns
+    series, ts, value, event_id), from the last version of every increase."""
+    from tessera.operators.metrics import rate_windows
+    out = drain(stream_counter_increase(sdf, watermark=watermark), name, "update", write_batch)
+    return rate_windows(read_latest(sdf.sparkSession, out, ["series", "event_id"]), **windows)
+
+
 # --------------------------------------------------------------------------- ST7
 def metric_ratio(sdf: DataFrame, series: str, value: str, num: str, den: str, window: str = "5 minutes",
                  ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:

@@ -97,6 +97,33 @@ def test_alert_needs_every_minute(spark, zone):
     assert key(r) == key(twin) and [x.n_minutes for x in r.filter("firing").collect()] == [5]
 
 
+@pytest.mark.parametrize("batches", [1, 3, 17])
+def test_streamed_rate_equals_batch(spark, batches):
+    schema = "event_id long, ts timestamp, series string, value double"
+    values = [(7 * i * i) % 50 for i in range(68)]                       # with counter resets
+    rows = [(i, T0 + dt.timedelta(seconds=20 * i), None if i % 3 == 0 else "a", None if i == 31 else float(v))
+            for i, v in enumerate(values)]
+    late = [rows[i ^ 5] if (i ^ 5) < 68 else rows[i] for i in range(68)]   # out of order by up to five samples
+    late.insert(14, (900, T0 + dt.timedelta(seconds=200), "a", 3.0))     # a tie in time, told apart by its id
+    size = -(-len(late) // batches)
+    s = files(spark, [late[k:k + size] for k in range(0, len(late), size)], schema)
+    got = jobs.stream_metric_rate(s, f"rate{batches}")
+    twin = metrics.metric_rate(spark.createDataFrame(late, schema))
+    key = lambda df: {(x.series, x.window_start, x.n_samples, x.rate and round(x.rate, 9), x.irate and round(x.irate, 9))
+                      for x in df.collect()}
+    assert key(got) == key(twin) and got.count() > 20
+
+
+def test_samples_before_the_watermark_are_dropped(spark):
+    schema = "event_id long, ts timestamp, series string, value double"
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    s = files(spark, [[(1, at(0), "a", 1.0), (2, at(40), "a", 5.0)], [(3, at(41), "a", 6.0)], [(4, at(1), "a", 2.0), (5, None, "a", 9.0)],
+                      [(6, at(35), "a", 3.0)]], schema)
+    out = jobs.drain(jobs.stream_counter_increase(s), "late", "update", jobs.write_batch)
+    got = {r.event_id: r.increase for r in jobs.read_latest(spark, out, ["series", "event_id"]).collect()}
+    assert got == {1: None, 2: 2.0, 3: 1.0, 6: 2.0}
+
+
 def test_ratio_of_gauges_and_busy_share(spark):
     schema = "event_id long, ts timestamp, series string, value double"
     free, total = [(i, T0 + dt.timedelta(seconds=i), "free", 25.0) for i in range(10)], [(99, T0, "total", 100.0)]
