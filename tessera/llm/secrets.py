@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, materialise
-from tessera.llm.warc import small_or_shuffled
+from tessera.llm.warc import BROADCAST_ROWS, small_or_shuffled
 
 OPEN, CLOSE, LOST = "\u0002", "\u0003", "�"
 CONTEXT = 48                # characters of neighbouring text kept with a candidate
@@ -45,6 +45,7 @@ PLACEHOLDER = r"(?i)(changeme|your|example|xxxx|placeholder|dummy|sample|redacte
 FEATURES = ["n_chars", "transitions", "digits", "uppers", "marks", "distinct", "is_hex", "is_uuid", "known_format",
             "word_cover", "key_before", "assigned", "quoted", "harmless_near", "placeholder", "path_harmless"]
 THRESHOLD = 0.5
+TRAIN_PARTITIONS = 8        # of the labelled findings
 
 
 def _pieces(text: str) -> Column:
@@ -79,12 +80,15 @@ def letter_runs(candidate: Column) -> Column:
 
 
 def dictionary(docs: DataFrame, runs: DataFrame, text_col: str = "text",
-               min_count: int = MIN_WORD_COUNT) -> DataFrame:
+               min_count: int = MIN_WORD_COUNT, max_runs: int = BROADCAST_ROWS) -> DataFrame:
     """The letter runs (column ``word``) that are words of the texts, counted
-    over all of them."""
+    over all of them.  Runs too many to broadcast meet the counted words, so
+    occurrences are not shuffled."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_+/=-]+")).alias("word"))
-    return (words.join(small_or_shuffled(runs), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= min_count).select("word"))
+    if runs.limit(max_runs + 1).count() <= max_runs:
+        words, runs = words.join(F.broadcast(runs), "word", "left_semi"), None
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count).select("word")
+    return counted if runs is None else counted.join(runs, "word", "left_semi")
 
 
 def describe(cands: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -158,11 +162,13 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
 
 
 def train(described: DataFrame, trees: int = 20, depth: int = 6) -> PipelineModel:
-    """The forest over findings that carry ``label`` 0 or 1."""
+    """The forest over findings that carry ``label`` 0 or 1.  Rows are dealt by
+    their values and sorted inside a partition, so the same findings give the
+    same forest however their table was cut."""
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, labelCol="label", featuresCol="features")
     rows = ready.transform(described.select(F.col("label").cast("double"), *FEATURES)
-                           .orderBy("label", *FEATURES).coalesce(1))
+                           .repartition(TRAIN_PARTITIONS, "label", *FEATURES).sortWithinPartitions("label", *FEATURES))
     return PipelineModel([ready, forest.fit(rows)])
 
 

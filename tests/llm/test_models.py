@@ -168,3 +168,14 @@ def test_redaction_changes_nothing_else(spark):
 def test_secrets_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan(docs).collect() == []
+
+
+def test_dictionary_of_many_runs_and_forest_of_any_cut(spark):
+    docs = spark.createDataFrame([("alpha beta Beta beta gamma gamma",), ("gamma; ALPHA, alpha",), (None,), ("",)], "text string")
+    runs = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("delta",)], "word string")
+    for limit in (10, 2):       # broadcast, and counted before the join
+        assert {r.word for r in secrets.dictionary(docs, runs, max_runs=limit).collect()} == {"alpha", "beta", "gamma"}
+        assert secrets.dictionary(docs, runs, min_count=4, max_runs=limit).collect() == []
+    found = secrets.describe(secrets.labelled_findings(spark, 600), docs).cache()
+    forests = [secrets.train(found.repartition(n)).stages[1].toDebugString for n in (1, 5)]
+    assert forests[0].split("\n", 1)[1] == forests[1].split("\n", 1)[1]
