@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,47 +105,79 @@ def all_sessions(closed: DataFrame, events: DataFrame, keys: list[str], ts: str
 
 
 SESSION_SCHEMA = "event_id long, bot_id string, user_id string, t_us long, start_us long"
-SESSION_STATE = "last_us long, start_us long, event_ms long"
+SESSION_STATE = "bots array<string>, users array<string>, last_us array<long>, start_us array<long>, until_ms array<long>"
+# groups of keys that share one state row: a call handles many keys at once
+SESSION_GROUPS = 128
 
 
 def _session_fn(ttl_us: int):
+    columns = ["bot", "user", "last_us", "start_us", "until_ms"]
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        held = pd.DataFrame({c: pd.Series(v, dtype=t) for c, v, t in zip(
+            columns, state.get if state.exists else ([],) * 5, [object, object, "int64", "int64", "int64"])})
+        new = pd.DataFrame() if state.hasTimedOut else pd.concat([pd.DataFrame(), *pdfs], ignore_index=True)
+        if len(new):   # this group's accesses in one micro-batch
+            both = pd.MultiIndex.from_arrays([pd.concat([held["bot"], new["bot_id"]]), pd.concat([held["user"], new["user_id"]])])
+            code = pd.factorize(both)[0]
+            new = new.assign(code=code[len(held):]).sort_values(["code", "t_us", "event_id"], ignore_index=True)
+            at = new["code"].to_numpy()
+            t = new["t_us"].to_numpy(dtype="int64")
+            # what the state says of a row's key
+            slot = np.full(code.max() + 1, -1)
+            slot[code[:len(held)]] = np.arange(len(held))
+            known = slot[at] >= 0
+            last, start = (np.append(held[c].to_numpy(dtype="int64"), 0)[slot[at]] for c in ("last_us", "start_us"))
+            first = np.append(True, at[1:] != at[:-1])
+            # accesses come in the order of time, so the last before a row is that of the row before or of the state
+            before = np.where(first, last, np.maximum(np.append(0, t[:-1]), np.where(known, last, np.append(0, t[:-1]))))
+            opens = (first & ~known) | (t - before >= ttl_us)    # the key expired: a new session
+            starts = np.where(opens, t, start)
+            origin = np.maximum.accumulate(np.where(opens | first, np.arange(len(t)), 0))
+            starts = starts[origin]
+            end = np.append(first[1:], True)
+            # the watermark runs on the event-time column, so the timeout does too:
+            # the gaps may be measured on a wall clock of another zone
+            latest = new.groupby("code", sort=True)["event_ms"].max().to_numpy(dtype="int64")
+            until = np.maximum(latest + ttl_us // 1000, mark + 1)
+            was = slot[at[end]]
+            until = np.where(was >= 0, np.maximum(until, np.append(held["until_ms"].to_numpy(dtype="int64"), 0)[was]), until)
+            state_rows = pd.DataFrame({
+                "bot": new["bot_id"].to_numpy(dtype=object)[end], "user": new["user_id"].to_numpy(dtype=object)[end],
+                "last_us": np.where(known, np.maximum(t, last), t)[end], "start_us": starts[end], "until_ms": until})
+            held = held.drop(index=was[was >= 0])
+        held = held[held["until_ms"] >= mark]    # keys without an access whose time is up
+        if len(new):
+            held = pd.concat([held, state_rows], ignore_index=True)
+        if len(held):
+            text = lambda c: [None if x is None or x != x else x for x in held[c]]
+            state.update((text("bot"), text("user"), *(held[c].astype("int64").tolist() for c in columns[2:])))
+            state.setTimeoutTimestamp(max(int(held["until_ms"].min()), mark, 1))
+        else:
             state.remove()
-            return
-        last, start, event_ms = state.get if state.exists else (None, None, 0)
-        chunks = list(pdfs)  # this key's accesses in one micro-batch
-        if not chunks:
-            return
-        pdf = pd.concat(chunks).sort_values(["t_us", "event_id"])
-        starts = []
-        for t in pdf["t_us"].tolist():
-            if last is None or t - last >= ttl_us:   # the key expired: a new session
-                start = t
-            last = max(last, t) if last is not None else t
-            starts.append(start)
-        # the watermark runs on the event-time column, so the timeout does too:
-        # the gaps may be measured on a wall clock of another zone
-        event_ms = max(event_ms, int(pdf["event_ms"].max()))
-        state.update((last, start, event_ms))
-        state.setTimeoutTimestamp(max(event_ms + ttl_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "bot_id": key[0], "user_id": key[1],
-                            "t_us": pdf["t_us"].to_numpy(), "start_us": starts})
+        if len(new):
+            yield pd.DataFrame({"event_id": new["event_id"].to_numpy(), "bot_id": new["bot_id"], "user_id": new["user_id"],
+                                "t_us": t, "start_us": starts})
     return fn
 
 
 def stream_session_ids(sdf: DataFrame, keys: list[str], ts: str = "ts", ttl: int = FV.SESSION_TTL_SECONDS,
-                       watermark: str = WATERMARK, wall_clock: str | None = None) -> DataFrame:
+                       watermark: str = WATERMARK, wall_clock: str | None = None, groups: int = SESSION_GROUPS) -> DataFrame:
     """ST1 (per access): every access gets its (bot, user) session at once,
     like a key refreshed on each access that expires ``ttl`` seconds after
     the last one (a gap of exactly ``ttl`` starts a new session).  State per
-    key is two numbers and is dropped once the key has expired in event time.
+    key is a few numbers and is dropped once the key has expired in event time.
+    The keys are hashed into ``groups``, and one call does all keys of a group
+    in a micro-batch: calls do not grow with the number of keys.
     ``wall_clock`` names a ``timestamp_ntz`` column whose wall-clock time
     measures the gaps (the watermark itself needs the TIMESTAMP ``ts``)."""
     t_us = epoch_micros(F.col(wall_clock), "timestamp_ntz") if wall_clock else F.unix_micros(ts)
-    s = sdf.withWatermark(ts, watermark).select("event_id", *keys, ts, t_us.alias("t_us"),
-                                                F.unix_millis(ts).alias("event_ms"))
-    out = s.groupBy(*keys).applyInPandasWithState(
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group")
+    bot, user = keys
+    s = sdf.withWatermark(ts, watermark).select("event_id", F.col(bot).alias("bot_id"), F.col(user).alias("user_id"), group, ts,
+                                                t_us.alias("t_us"), F.unix_millis(ts).alias("event_ms"))
+    out = s.groupBy("_group").applyInPandasWithState(
         _session_fn(ttl * 1_000_000), SESSION_SCHEMA, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     start = from_epoch_micros(F.col("start_us"), "timestamp_ntz" if wall_clock else "timestamp")
     start_txt = F.date_format(start, "yyyy-MM-dd HH:mm:ss.SSSSSS")

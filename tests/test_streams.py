@@ -45,6 +45,19 @@ def test_sessions_over_batches_in_every_zone(spark, zone):
     assert got == twin and len(got) == 9
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_sessions_of_many_keys_share_a_call(spark, groups):
+    schema = "event_id long, bot_id string, user_id string, ts timestamp"
+    rows = [(i, None if i % 5 == 0 else f"b{i % 3}", None if i % 7 == 0 else str(i % 41), T0 + dt.timedelta(seconds=(i * 37) % 400 + 9 * i))
+            for i in range(900)]
+    s = files(spark, [rows[:300], rows[300:500], rows[500:]], schema)
+    out = spark.read.parquet(jobs.drain(jobs.stream_session_ids(s, ["bot_id", "user_id"], watermark="2 hours", groups=groups), "g"))
+    got = {r.event_id: r.session_start for r in out.collect()}
+    flat = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    twin = {r.event_id: r.session_start for r in chat.sessionize(flat, ["bot_id", "user_id"], "ts").collect()}
+    assert got == twin and 82 < len(set(got.values())) and len(got) == 900
+
+
 def test_history_carries_messages_between_batches(spark):
     schema = "conv_id long, turn long, role string, text string, ts timestamp"
     day = dt.timedelta(days=30)
