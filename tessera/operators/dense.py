@@ -5,13 +5,15 @@ Plan for ``dense_search(queries, points)``:
 1. payload filters are applied to ``points`` first (pushed into the scan);
    vectors that are NULL, empty or hold a NULL or non-finite component are left
    out on either side, and only vectors of equal length are compared;
-2. both sides are cut into blocks of about ``query_block`` and ``point_block``
-   rows by a hash of their keys, and a block is one row; every query block is
-   joined with every point block, by an equi-join on the point block number.
-   Query vectors never visit the driver, and the plan is the same for one
-   query and for millions;
-3. one ``mapInArrow`` scores a pair of blocks with a matrix product and keeps
-   ``k`` points per query (score >= threshold): no pair table is materialised;
+2. points and queries are dealt into groups by a hash of their keys; a group
+   of points meets every group of queries once, on one partition, the points
+   first.  A row is one vector: each is copied once per group of the other
+   side, and there are few groups, because a group of points has a bounded size
+   in bytes.  Query vectors never visit the driver, and the plan is the same
+   for one query and for millions;
+3. one ``mapInArrow`` holds the points of a group, lets the queries pass in
+   batches, scores ``query_block`` x ``point_block`` of them at a time with a
+   matrix product and keeps ``k`` points per query (score >= threshold);
 4. a per-query ``row_number() <= k`` (planned as WindowGroupLimit, partial
    before the shuffle) picks the global top-k.
 
@@ -35,8 +37,11 @@ from tessera.operators.lexical import top_k
 from tessera.operators.prep import payload_filter
 
 _SCORE_DECIMALS = 9
-# rows of a block; the score matrix of a pair is query_block x point_block doubles
+# the score matrix of a step is query_block x point_block doubles
 QUERY_BLOCK, POINT_BLOCK = 512, 4096
+# bytes of points, as doubles, that a task holds; groups that a smaller table is
+# dealt into, and meetings of groups that keep a cluster busy
+GROUP_BYTES, SPREAD, MEETINGS = 32 << 20, 8, 64
 
 
 def usable_vector(vec_col: str) -> Column:
@@ -66,13 +71,48 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, threshold: float | None)
     return rows[chosen], cols[chosen]
 
 
-def _blocks(df: DataFrame, keys: list[str], rows: int, name: str, members: F.Column) -> tuple[DataFrame, int]:
-    """``df`` as (block number, dim, members) rows of about ``rows`` members
-    each, all of one vector length."""
-    n = max(1, -(-df.count() // rows))
-    number = F.pmod(F.xxhash64(*keys, F.lit(name)), F.lit(n)).cast("int").alias(name)
-    return df.select(number, "dim", members.alias(f"{name}_rows")).groupBy(name, "dim").agg(
-        F.collect_list(f"{name}_rows").alias(f"{name}_rows")), n
+def _merged(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the first ``k`` of every row over several parts."""
+    rows, ids, scores = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    chosen = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[chosen], ids[chosen], scores[chosen]
+
+
+def _groups(n_queries: int, n_points: int, dim: int, query_block: int, point_block: int) -> tuple[int, int]:
+    """Numbers of query groups and of point groups."""
+    points = max(1, -(-n_points * 8 * max(1, dim) // GROUP_BYTES), min(SPREAD, -(-n_points // point_block)))
+    return max(1, min(-(-MEETINGS // points), -(-n_queries // query_block))), points
+
+
+def _meeting(queries: DataFrame, points: DataFrame, keys: list[str], point_key: str, groups: tuple[int, int],
+             order: list[str]) -> DataFrame:
+    """Rows of both sides, with equal columns, dealt so that a group of points
+    (``_side`` below 2) stands before the queries (``_side`` 2) of a group."""
+    g, h = groups
+    q = queries.withColumn("_i", F.pmod(F.xxhash64(*keys), F.lit(g)).cast("int")).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0), F.lit(h - 1))))
+    p = points.withColumn("_j", F.pmod(F.xxhash64(point_key), F.lit(h)).cast("int")).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+    both = q.withColumn("_side", F.lit(2)).unionByName(p, allowMissingColumns=True)
+    spot = ["dim", "_i", "_j"]
+    return both.repartition(*spot).sortWithinPartitions(*spot, "_side", *order)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """(meeting, side, rows) of every run of rows of one side."""
+    for b in batches:
+        spots = np.stack([b.column(c).to_numpy() for c in ("dim", "_i", "_j", "_side")])
+        edges = np.flatnonzero((spots[:, 1:] != spots[:, :-1]).any(axis=0)) + 1
+        for at, end in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]):
+            if at < end:
+                yield tuple(spots[:3, at].tolist()), int(spots[3, at]), b.slice(at, end - at)
+
+
+def _element(*columns: tuple[DataFrame, str]) -> str:
+    """The array type that all these vector columns keep their values in."""
+    return "array<float>" if all(dict(df.dtypes)[c] == "array<float>" for df, c in columns) else "array<double>"
 
 
 def stored(vectors: DataFrame, name: str) -> DataFrame:
@@ -91,33 +131,40 @@ def dense_candidates(queries: DataFrame, points: DataFrame, k: int, threshold: f
     """(keys, point_id, score, search_rank) for the top-k points of every
     query; ``keys`` name the query and are carried as they are."""
     keys = keys or ["query_id"]
-    q = queries.filter(usable_vector(qvec_col)).select(*keys, qvec_col, F.size(qvec_col).alias("dim"))
+    kind = _element((queries, qvec_col), (points, vec_col))
+    q = queries.filter(usable_vector(qvec_col)).select(*keys, F.col(qvec_col).cast(kind).alias("_vec"), F.size(qvec_col).alias("dim"))
     p = points.filter(usable_vector(vec_col)).select(
-        F.col(id_col).cast("long").alias("point_id"), vec_col, F.size(vec_col).alias("dim"))
-    q_blocks, _ = _blocks(q, keys, query_block, "q_block", F.struct(*keys, F.col(qvec_col).alias("vec")))
-    p_blocks, n_points = _blocks(p, ["point_id"], point_block, "p_block",
-                                 F.struct("point_id", F.col(vec_col).alias("vec")))
-    pairs = q_blocks.withColumn("p_block", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1)))).join(
-        p_blocks, ["p_block", "dim"])
+        F.col(id_col).cast("long").alias("_point"), F.col(vec_col).cast(kind).alias("_vec"), F.size(vec_col).alias("dim"))
+    size = p.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
+    groups = _groups(q.count(), size["n"], size["dim"] or 1, query_block, point_block)
     schema = T.StructType([*q.select(*keys).schema.fields, T.StructField("point_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qs = batch.column("q_block_rows").slice(i, 1).flatten()
-                ps = batch.column("p_block_rows").slice(i, 1).flatten()
-                q_col = {f.name: j for j, f in enumerate(qs.type)}
-                q_part, p_part = qs.flatten(), ps.flatten()
-                ids = p_part[0].to_numpy(zero_copy_only=False)
-                scores = np.round(_matrix(q_part[q_col["vec"]]) @ _matrix(p_part[1]).T, _SCORE_DECIMALS)
-                rows, cols = _best(scores, ids, k, threshold)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*(q_part[q_col[c]].take(at) for c in keys), pa.array(ids[cols]), pa.array(scores[rows, cols])],
-                    names=[*keys, "point_id", "score"])
-
-    found = pairs.select("q_block_rows", "p_block_rows").mapInArrow(run, schema)
+        at, held = None, []
+        for spot, side, rows in _runs(batches):
+            if spot != at:
+                at, held = spot, []
+            if side < 2:
+                held.append((rows.column("_point").to_numpy(), _matrix(rows.column("_vec"))))
+            elif held:
+                if len(held) > 1:
+                    held = [(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
+                ids, points = held[0]
+                for i in range(0, rows.num_rows, query_block):
+                    some = rows.slice(i, query_block)
+                    x, parts = _matrix(some.column("_vec")), []
+                    for j in range(0, len(ids), point_block):
+                        scores = np.round(x @ points[j:j + point_block].T, _SCORE_DECIMALS)
+                        r, c = _best(scores, ids[j:j + point_block], k, threshold)
+                        parts.append((r, ids[j + c], scores[r, c]))
+                    r, found, score = _merged(parts, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(some.column(c).take(pa.array(r)) for c in keys), pa.array(found), pa.array(score)],
+                        names=[*keys, "point_id", "score"])
+
+    met = _meeting(q, p.withColumn("_side", F.lit(1)), keys, "_point", groups, [])
+    found = met.select("dim", "_i", "_j", "_side", *keys, "_point", "_vec").mapInArrow(run, schema)
     return top_k(found, keys, [F.col("score").desc(), F.col("point_id")], k, "search_rank")
 
 

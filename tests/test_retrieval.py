@@ -90,3 +90,16 @@ def test_texts_are_never_broadcast(spark):
     from tessera.session import broadcast_if_small
     with pytest.raises(ValueError):
         broadcast_if_small(spark.createDataFrame([("x",)], "content string"))
+
+
+def test_no_row_of_a_vector_search_holds_many_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)).round(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:90])], "query_id long, query_vec array<double>")
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, embedding array<float>")
+    found = dense.dense_candidates(q, p, 3, None, query_block=8, point_block=16)
+    assert "collect_list" not in plan_of(found)
+    exact = np.round(x[:90] @ x.astype(np.float32).astype(float).T, 9)
+    want = {(i, j) for i in range(90) for j in sorted(range(300), key=lambda j: (-exact[i, j], j))[:3]}
+    assert {(r.query_id, r.point_id) for r in found.collect()} == want
+    assert dense._groups(10 ** 9, 10 ** 7, 64, 512, 4096)[1] * dense.GROUP_BYTES >= 10 ** 7 * 64 * 8
