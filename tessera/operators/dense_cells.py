@@ -7,10 +7,15 @@ cell also ends where the signs change.  A cell keeps its centre c
 and radius r: by Cauchy-Schwarz no point of it has a product with a query q
 above ``q.c + |q| r``.  The search has two rounds:
 
-1. every query scores the points of the few cells with the largest bounds; the
-   k-th score found (or the threshold, if that is larger) is its floor;
+1. every query scores the points of the few cells with the largest bounds (of
+   every group of cells); the k-th score found (or the threshold, if none is) is
+   its floor;
 2. a query is compared with a cell only if the cell's bound reaches the floor.
 
+In both rounds a group of whole cells, of a bounded size in bytes, meets the
+queries as in ``dense``: bounds, choice and scores of a query and a cell are
+made in one place, so no table of (query, cell) pairs is ever written.
+
 Nothing is approximate: the result, ties included, is that of
 ``dense.dense_candidates``.  How many cells are left out depends on the data
 (clustered points: most; isotropic noise: none, and the plain search is
@@ -29,13 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.dense import QUERY_BLOCK, _best, _matrix, usable_vector
+from tessera.operators.dense import POINT_BLOCK, QUERY_BLOCK, _best, _element, _groups, _matrix, _meeting, _merged, _runs, usable_vector
 from tessera.operators.lexical import top_k
 from tessera.sources.jsonl import scratch_path
 
 CELL_POINTS = 256
-# cells whose centres stand in one row
-CENTRE_BLOCK = 2048
 SEED_CELLS = 4
 # bytes of the sample that gives the directions, and the signs of an order key
 SAMPLE_BYTES, SIGNS = 8 << 20, 48
@@ -74,6 +77,7 @@ def write_cells(points: DataFrame, path: str, id_col: str = "point_id", vec_col:
     Vectors that are null, empty or hold a null or non-finite component are
     left out; vectors of unlike lengths never share a cell."""
     spark = points.sparkSession
+    kind = _element((points, vec_col))
     p = points.filter(usable_vector(vec_col)).select(
         F.col(id_col).cast("long").alias("point_id"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("vec"))
     dim, mean, directions = _directions(p)
@@ -121,6 +125,7 @@ def write_cells(points: DataFrame, path: str, id_col: str = "point_id", vec_col:
     ordered = (p.mapInArrow(keyed, "point_id long, dim int, vec array<double>, key long")
                .repartitionByRange("dim", "key", "point_id").sortWithinPartitions("dim", "key", "point_id"))
     cells = ordered.mapInArrow(cut, "dim int, n int, centre array<double>, radius double, point_ids array<long>, vectors array<double>")
+    cells = cells.withColumn("vectors", F.col("vectors").cast(kind))    # the values themselves, not more bytes
     cells.withColumn("cell", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
     return load_cells(spark, path)
 
@@ -129,55 +134,72 @@ def load_cells(spark: SparkSession, path: str) -> CellIndex:
     return CellIndex(spark.read.parquet(path))
 
 
-def _bounded(q: DataFrame, keys: list[str], index: CellIndex, parts: int, seeds: int | None) -> DataFrame:
-    """(keys, vec, cell, bound): per query the ``seeds`` best cells of each row
-    of centres, or, with none given, the cells whose bound reaches its floor."""
-    centre_rows = max(1, -(-index.cells.count() // CENTRE_BLOCK))
-    part = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-    members = [*keys, "vec", *([] if seeds else ["floor"])]
-    qs = q.groupBy(part(parts, *keys).alias("part"), "dim").agg(F.collect_list(F.struct(*members)).alias("qs"))
-    cs = index.centres.groupBy(part(centre_rows, "cell").alias("row"), "dim").agg(
-        F.collect_list(F.struct("cell", "centre", "radius")).alias("cs"))
-    schema = T.StructType([*q.select(*keys, "vec").schema.fields, T.StructField("cell", T.LongType()), T.StructField("bound", T.DoubleType())])
+def _compared(q: DataFrame, keys: list[str], index: CellIndex, groups: tuple[int, int], k: int, threshold: float | None,
+              seeds: int | None, query_block: int, count: bool = False) -> DataFrame:
+    """(keys, point_id, score): per query and group of cells the best ``k``
+    points of its ``seeds`` best cells or, with none given, of the cells whose
+    bound reaches its floor.  With ``count``: (n), numbers of chosen cells."""
+    kind = _element((index.cells, "vectors"), (q, "vec"))
+    floor = F.lit(None).cast("double") if seeds else F.col("floor")
+    queries = q.select(*keys, "dim", F.col("vec").cast(kind).alias("_vec"), floor.alias("_bound"))
+    centres = index.cells.select("dim", "cell", F.col("centre").alias("_centre"), F.col("radius").alias("_bound"), F.lit(0).alias("_side"))
+    members = index.cells.select("dim", "cell", "vectors", F.posexplode("point_ids").alias("_at", "_point")).select(
+        "dim", "cell", "_point", F.slice("vectors", F.col("_at") * F.col("dim") + 1, F.col("dim")).cast(kind).alias("_vec"), F.lit(1).alias("_side"))
+    met = _meeting(queries, centres.unionByName(members, allowMissingColumns=True), keys, "cell", groups, ["cell"])
+    scored = [*q.select(*keys).schema.fields, T.StructField("point_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    least = -np.finfo(np.float64).max if threshold is None else threshold
+
+    def one(x: np.ndarray, chosen: np.ndarray, points: np.ndarray, ids: np.ndarray, of: np.ndarray) -> list[tuple]:
+        """Best points of each of the queries ``x`` among its chosen cells."""
+        parts = []
+        wanted = np.flatnonzero(chosen.any(axis=0)[of])          # points of any chosen cell
+        for j in range(0, len(wanted), POINT_BLOCK):
+            some = wanted[j:j + POINT_BLOCK]
+            mine = chosen[:, of[some]]
+            asking = np.flatnonzero(mine.any(axis=1))
+            scores = np.where(mine[asking], np.round(x[asking] @ points[some].T, 9), -np.inf)
+            r, c = _best(scores, ids[some], k, least)
+            parts.append((asking[r], ids[some][c], scores[r, c]))
+        return parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                qs, cs = b.column("qs").slice(i, 1).flatten(), b.column("cs").slice(i, 1).flatten()
-                x, cells = _matrix(qs.field("vec")), cs.field("cell").to_numpy()
-                bound = x @ _matrix(cs.field("centre")).T
-                bound += np.sqrt((x ** 2).sum(axis=1))[:, None] * cs.field("radius").to_numpy()[None, :] + SLACK
+        at, cells, held, points = None, [], [], None
+        for spot, side, rows in _runs(batches):
+            if spot != at:
+                at, cells, held, points = spot, [], [], None
+            if side == 0:
+                cells.append((rows.column("cell").to_numpy(), _matrix(rows.column("_centre")), rows.column("_bound").to_numpy()))
+            elif side == 1:
+                held.append((rows.column("cell").to_numpy(), _matrix(rows.column("_vec")), rows.column("_point").to_numpy()))
+            elif cells:
+                if points is None:
+                    names, centres, radius = (np.concatenate(c) for c in zip(*cells))
+                    of, points, ids = (np.concatenate(c) for c in zip(*held))
+                    of, held = np.searchsorted(names, of), []
+                x = _matrix(rows.column("_vec"))
+                bound = x @ centres.T
+                bound += np.sqrt((x ** 2).sum(axis=1))[:, None] * radius[None, :] + SLACK
+                # queries that are near the same cells are compared together
+                near = np.argsort(bound.argmax(axis=1), kind="stable")
                 if seeds:
-                    rows, cols = _best(bound, cells, seeds, None)
+                    chosen = np.zeros(bound.shape, dtype=bool)
+                    chosen[_best(bound, names, seeds, None)] = True
                 else:
-                    rows, cols = np.nonzero(bound >= qs.field("floor").to_numpy()[:, None])
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*(qs.field(c).take(at) for c in (*keys, "vec")), pa.array(cells[cols]), pa.array(bound[rows, cols])],
-                    names=[*keys, "vec", "cell", "bound"])
-
-    return qs.join(cs, "dim").select("qs", "cs").mapInArrow(run, schema)
-
-
-def _compared(pairs: DataFrame, keys: list[str], index: CellIndex, parts: int, k: int, threshold: float | None) -> DataFrame:
-    """(keys, point_id, score): the best ``k`` points of each (query, cell)."""
-    asked = pairs.groupBy("cell", F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part")).agg(
-        F.collect_list(F.struct(*keys, "vec")).alias("qs"))
-    schema = T.StructType([*pairs.select(*keys).schema.fields, T.StructField("point_id", T.LongType()), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                qs = b.column("qs").slice(i, 1).flatten()
-                ids = b.column("point_ids").slice(i, 1).flatten().to_numpy()
-                points = b.column("vectors").slice(i, 1).flatten().to_numpy().reshape(len(ids), -1)
-                scores = np.round(_matrix(qs.field("vec")) @ points.T, 9)
-                rows, cols = _best(scores, ids, k, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [*(qs.field(c).take(pa.array(rows)) for c in keys), pa.array(ids[cols]), pa.array(scores[rows, cols])],
-                    names=[*keys, "point_id", "score"])
-
-    return asked.join(index.cells.select("cell", "point_ids", "vectors"), "cell").select("qs", "point_ids", "vectors").mapInArrow(run, schema)
+                    chosen = bound >= rows.column("_bound").to_numpy()[:, None]
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(chosen.sum())])], names=["n"])
+                    continue
+                for i in range(0, len(x), query_block):
+                    some = near[i:i + query_block]
+                    parts = one(x[some], chosen[some], points, ids, of)
+                    if parts:
+                        r, found, score = _merged(parts, k)
+                        yield pa.RecordBatch.from_arrays(
+                            [*(rows.column(c).take(pa.array(some[r])) for c in keys), pa.array(found), pa.array(score)],
+                            names=[*keys, "point_id", "score"])
+
+    return met.select("dim", "_i", "_j", "_side", *keys, "cell", "_point", "_bound", "_centre", "_vec").mapInArrow(
+        run, "n long" if count else T.StructType(scored))
 
 
 def search_cells(index: CellIndex, queries: DataFrame, k: int, threshold: float | None = None, keys: list[str] | None = None,
@@ -196,18 +218,19 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int, threshold: float
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    q = queries.filter(usable_vector(qvec_col)).select(*keys, F.col(qvec_col).cast("array<double>").alias("vec"),
+    q = queries.filter(usable_vector(qvec_col)).select(*keys, F.col(qvec_col).cast(_element((queries, qvec_col))).alias("vec"),
                                                        F.size(qvec_col).alias("dim"))
-    parts = max(1, -(-q.count() // query_block))
+    size = index.cells.agg(F.sum("n").alias("n"), F.max("dim").alias("dim")).first()
+    groups = _groups(q.count(), size["n"] or 0, size["dim"] or 1, query_block, POINT_BLOCK)
     order = [F.col("score").desc(), F.col("point_id")]
-    first = top_k(_bounded(q, keys, index, parts, seeds), keys, [F.desc("bound"), "cell"], seeds, "_seed").select(*keys, "vec", "cell")
-    ranked = top_k(_compared(first, keys, index, parts, k, threshold), keys, order, k)
+    ranked = top_k(_compared(q, keys, index, groups, k, threshold, seeds, query_block), keys, order, k)
     least = float("-inf") if threshold is None else float(threshold)
     floors = kept(ranked.filter(F.col("rank") == k).select(*(F.col(c).alias(f"_{c}") for c in keys), F.col("score").alias("floor")), "cell-floors")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     limited = q.join(floors, on, "left").select(*keys, "vec", "dim", F.coalesce("floor", F.lit(least)).alias("floor"))
-    chosen = kept(_bounded(limited, keys, index, parts, None).drop("bound"), "cell-pairs")
     if work is not None:
         every = q.groupBy("dim").count().join(index.cells.groupBy("dim").agg(F.count(F.lit(1)).alias("cells")), "dim")
-        work |= {"pairs": int(every.agg(F.sum(F.col("count") * F.col("cells"))).first()[0] or 0), "compared": chosen.count()}
-    return top_k(_compared(chosen, keys, index, parts, k, threshold), keys, order, k, "search_rank")
+        compared = _compared(limited, keys, index, groups, k, threshold, None, query_block, count=True)
+        work |= {"pairs": int(every.agg(F.sum(F.col("count") * F.col("cells"))).first()[0] or 0),
+                 "compared": int(compared.agg(F.sum("n")).first()[0] or 0)}
+    return top_k(_compared(limited, keys, index, groups, k, threshold, None, query_block), keys, order, k, "search_rank")

@@ -65,3 +65,18 @@ def test_empty_tables(spark):
     assert dense_cells.search_cells(index, q, 4).collect() == []
     full = dense_cells.write_cells(spark.createDataFrame([(1, [1.0])], P), scratch_path(spark, "cells"))
     assert dense_cells.search_cells(full, q.limit(0), 4).collect() == []
+
+
+def test_no_query_and_cell_pairs_are_kept(spark):
+    import glob
+
+    from tessera.session import checkpoint_dir
+    x = clustered(4, 10, 20, 6, spread=0.5)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], P)
+    q = spark.createDataFrame([(i % 50, v.tolist()) for i, v in enumerate(x[:60])], Q)
+    index = dense_cells.write_cells(p, scratch_path(spark, "cells"), cell_points=8)
+    before = glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/tessera-scratch/cell-pairs*")
+    got = dense_cells.search_cells(index, q, 4, query_block=7)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert rows(got) == rows(dense.dense_candidates(q, p, 4, None))
+    assert glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/tessera-scratch/cell-pairs*") == before
