@@ -121,13 +121,18 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return np.divide(v, norms, out=v.copy(), where=norms > 0)
 
 
+# rows of token lists that are summed at a time
+VECTOR_ROWS = 1024
+
+
 def _hashing_embed(df: DataFrame, id_col: str, text_col: str, dim: int, out_col: str) -> DataFrame:
     """Per row, no shuffle: the JVM makes the tokens, an Arrow function sums
     their cells into the L2-normalised vector; rows keep their partitioning
     and no join back is needed."""
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def vectors(toks: pa.Array) -> pa.Array:
-        v = unit_rows(token_vectors(toks, dim))
+        # some rows at a time: the work space is many times the tokens
+        v = np.concatenate([unit_rows(token_vectors(toks.slice(i, VECTOR_ROWS), dim)) for i in range(0, max(1, len(toks)), VECTOR_ROWS)])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.ravel()))
 
     return df.withColumn(out_col, vectors(tokens(prepare_text(text_col))))
