@@ -27,20 +27,23 @@ WATERMARK = "10 minutes"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, order: str, slices: int = 3,
-                 files_per_slice: int = 1) -> DataFrame:
+                 files_per_slice: int | None = None) -> DataFrame:
     """A driver table replayed as a file stream of ``slices`` micro-batches in
     the order of ``order`` (a numeric or timestamp column; NULLs come first).
 
     The table is written once as slices of equal ranges, one after the other,
     and read ``files_per_slice`` files at a time, so state and watermark pass
-    from batch to batch as in a live stream.
+    from batch to batch as in a live stream.  By default a slice has its share
+    of as many files as the table has read partitions, so that no task writes
+    or reads more of it than of the table itself.
     """
     return replay(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), order, slices, files_per_slice)
 
 
-def replay(df: DataFrame, order: str, slices: int = 3, files_per_slice: int = 1) -> DataFrame:
+def replay(df: DataFrame, order: str, slices: int = 3, files_per_slice: int | None = None) -> DataFrame:
     """``df`` as a file stream of ``slices`` micro-batches (see ``table_stream``)."""
     spark, kind = df.sparkSession, dict(df.dtypes)[order]
+    files = files_per_slice or max(1, -(-df.rdd.getNumPartitions() // slices))
     key = epoch_micros(F.col(order), kind) if kind.startswith("timestamp") else F.col(order).cast("long")
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // slices))
@@ -48,8 +51,11 @@ def replay(df: DataFrame, order: str, slices: int = 3, files_per_slice: int = 1)
     path = scratch_path(spark, "replay")
     for i in range(slices):
         # one job per slice: the file source takes files by their time
-        df.filter(part == i).repartition(files_per_slice).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_slice).parquet(path)
+        df.filter(part == i).repartition(files).write.mode("append").parquet(path)
+        # a slice of few rows may have left files out: a micro-batch is always one slice
+        for _ in range(files * (i + 1) - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(sdf: DataFrame, name: str, output_mode: str = "append",
