@@ -311,26 +311,49 @@ def sustained_alert(sdf: DataFrame, series: str, condition: F.Column, for_minute
 # --------------------------------------------------------------------------- ST6
 INCREASE_SCHEMA = "series string, event_id long, t_us long, value double, increase double, irate double"
 INCREASE_STATE = "t_us array<long>, ids array<long>, vals array<double>"
+# rows of one frame that a series gives back
+INCREASE_ROWS = 20_000
 
 
-def _increase_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kept = state.get if state.exists else ([], [], [])
-    old = pd.DataFrame({"t_us": list(kept[0]), "event_id": list(kept[1]), "value": list(kept[2])})
-    old = old.astype({"t_us": "int64", "event_id": "int64", "value": "float64"}).assign(new=False)
-    mark_us = state.getCurrentWatermarkMs() * 1000
-    new = [p.loc[p["t_us"] >= mark_us, ["t_us", "event_id", "value"]].assign(new=True) for p in pdfs]
-    rows = pd.concat([old, *new], ignore_index=True).sort_values(["t_us", "event_id"], kind="stable", ignore_index=True)
-    before = rows.shift(1)
-    gain = (rows["value"] - before["value"]).where(~(rows["value"] < before["value"]), rows["value"])
-    seconds = (rows["t_us"] - before["t_us"]) / 1e6
-    out = pd.DataFrame({"series": key[0], "event_id": rows["event_id"], "t_us": rows["t_us"], "value": rows["value"],
-                        "increase": gain, "irate": (gain / seconds).where(seconds > 0)})
-    # a sample that comes between two others changes the one after it
-    touched = rows["new"] | rows["new"].shift(1, fill_value=False)
-    first = max(int((rows["t_us"] < mark_us).sum()) - 1, 0)     # the last sample before the watermark stays
-    rest = rows.iloc[first:]
-    state.update((rest["t_us"].tolist(), rest["event_id"].tolist(), [None if v != v else v for v in rest["value"]]))
-    yield out[touched]
+def _increase_fn(delay_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark_us = state.getCurrentWatermarkMs() * 1000
+
+        def arrays(t, ids, vals) -> tuple:
+            ids, vals = pd.Series(ids, dtype=None if len(ids) else "int64"), pd.Series(vals, dtype="float64")
+            none = ids.isna().to_numpy()
+            return (np.asarray(t, dtype="int64"), none, ids.where(~none, 0).to_numpy(dtype="int64"), vals.to_numpy())
+
+        # numbers only: a frame of the stream is dropped once its columns are taken
+        parts = [arrays(*(list(v) for v in state.get))] if state.exists else [arrays([], [], [])]
+        n_old = len(parts[0][0])
+        for p in pdfs:
+            p = p[p["t_us"] >= mark_us]
+            parts.append(arrays(p["t_us"], p["event_id"], p["value"]))
+        t, none, ids, vals = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.lexsort((ids, none, t))
+        new = order >= n_old
+        t, none, ids, vals = t[order], none[order], ids[order], vals[order]
+        # a sample that comes between two others changes the one after it
+        touched = new.copy()
+        touched[1:] |= new[:-1]
+        # no later sample counts before this series' own watermark; the last before it stays
+        own_us = (int(t[-1]) // 1000 - delay_ms) * 1000 if len(t) else mark_us
+        first = max(int(np.searchsorted(t, max(mark_us, own_us))) - 1, 0)
+        state.update((t[first:].tolist(), [None if z else i for z, i in zip(none[first:].tolist(), ids[first:].tolist())],
+                      [None if v != v else v for v in vals[first:].tolist()]))
+        touched = np.flatnonzero(touched)
+        for i in range(0, len(touched), INCREASE_ROWS):
+            at = touched[i:i + INCREASE_ROWS]
+            before = np.where(at > 0, vals[at - 1], np.nan)
+            with np.errstate(all="ignore"):
+                gain = np.where(vals[at] < before, vals[at], vals[at] - before)
+                seconds = np.where(at > 0, (t[at] - t[at - 1]) / 1e6, 0.0)
+                rate = np.where(seconds > 0, gain / seconds, np.nan)
+            yield pd.DataFrame({"series": key[0], "event_id": pd.arrays.IntegerArray(ids[at], none[at]), "t_us": t[at], "value": vals[at],
+                                "increase": gain, "irate": rate})
+    return fn
 
 
 def stream_counter_increase(sdf: DataFrame, series: str = "series", ts: str = "ts", value: str = "value",
@@ -339,14 +362,19 @@ def stream_counter_increase(sdf: DataFrame, series: str = "series", ts: str = "t
     once; a late sample inside the watermark is put in its place and the sample
     after it emitted again, so the last version of every (series, sample)
     equals the batch result (``read_latest``).  Samples before the watermark
-    and samples without a time are dropped.  State per series: the samples
-    since the watermark and the one before; it is never dropped, as the next
-    sample of an idle series needs it."""
+    and samples without a time are dropped.  A call holds a series' samples of
+    one micro-batch as three numbers each.  State per series: the samples since
+    its own newest one less (somewhat more than) the watermark's delay, and the
+    one before; it is never dropped, as the next sample of an idle series needs
+    it."""
     rows = sdf.filter(F.col(ts).isNotNull()).select(
         F.col(series).cast("string").alias("series"), F.col(tie).alias("event_id"), F.col(value).cast("double").alias("value"),
         F.col(ts).alias("ts"), F.unix_micros(ts).alias("t_us"))
+    start = F.timestamp_seconds(F.lit(0))
+    delay = sdf.sparkSession.range(1).select(F.unix_millis(start + F.expr(f"INTERVAL {watermark}")) - F.unix_millis(start)).first()[0]
+    # more than the delay: a month of an interval counts as 31 days there
     out = rows.withWatermark("ts", watermark).groupBy("series").applyInPandasWithState(
-        _increase_fn, INCREASE_SCHEMA, INCREASE_STATE, "update", GroupStateTimeout.NoTimeout)
+        _increase_fn(delay + delay // 8), INCREASE_SCHEMA, INCREASE_STATE, "update", GroupStateTimeout.NoTimeout)
     null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return out.select("series", "event_id", from_epoch_micros(F.col("t_us"), "timestamp").alias("ts"),
                       null("value"), null("increase"), null("irate"))

@@ -137,6 +137,42 @@ def test_samples_before_the_watermark_are_dropped(spark):
     assert got == {1: None, 2: 2.0, 3: 1.0, 6: 2.0}
 
 
+def test_a_replayed_slice_is_dealt_over_files(spark):
+    df = spark.range(0, 4000, numPartitions=7).selectExpr("id", "cast(id as string) AS text")
+    # the second slice has one row, the third none of its own below the last
+    df = df.filter("id < 1333 or id = 2000 or id = 3999").repartition(7)
+    sdf = jobs.replay(df, "id")
+    sizes = {}
+
+    def seen(batch, batch_id, out):
+        sizes[batch_id] = sorted(r[0] for r in batch.select("id").collect()), batch.select(F.input_file_name()).distinct().count()
+
+    jobs.drain(sdf, "slices", foreach=seen)
+    ids = [sizes[i][0] for i in sorted(sizes)]
+    assert [len(x) for x in ids] == [1333, 1, 1] and ids[1:] == [[2000], [3999]] and sizes[0][1] == 3
+
+
+def test_increases_keep_only_the_samples_that_can_still_matter(spark):
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        exists, kept = False, None
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return 0
+
+        def update(self, kept):
+            self.kept = kept
+
+    state = State()
+    t = np.random.default_rng(0).permutation(100_000) * 1_000_000
+    frames = (pd.DataFrame({"t_us": t[i:i + 5000], "event_id": t[i:i + 5000], "value": 1.0 * (t[i:i + 5000] % 7)}) for i in range(0, 100_000, 5000))
+    out = list(jobs._increase_fn(600_000)(("s",), frames, state))
+    assert sum(map(len, out)) == 100_000 and max(map(len, out)) <= jobs.INCREASE_ROWS and len(state.kept[0]) == 602
+    assert out[0]["t_us"].tolist()[:2] == [0, 1_000_000] and out[0]["increase"].isna().sum() == 1
+
+
 def test_ratio_of_gauges_and_busy_share(spark):
     schema = "event_id long, ts timestamp, series string, value double"
     free, total = [(i, T0 + dt.timedelta(seconds=i), "free", 25.0) for i in range(10)], [(99, T0, "total", 100.0)]
