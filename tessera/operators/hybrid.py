@@ -74,8 +74,7 @@ def hybrid_search(queries: DataFrame, index: lexical.Bm25Index, doc_vectors: Dat
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    bm = kept(lexical.top_k(lexical.bm25_scores(index, queries, keys=keys), keys,
-                            [F.round("bm25_score", 9).desc(), F.col("doc_id")], bm25_k, "bm_rank"), "bm25-hits")
+    bm = kept(lexical.bm25_top_k(index, queries, bm25_k, keys=keys, rank_col="bm_rank"), "bm25-hits")
     vec = dense.dense_candidates(query_vectors, dense.stored(doc_vectors, "doc-vectors").withColumnRenamed("doc_id", "point_id"),
                                  limit, threshold, keys=keys)
     vec = kept(vec.select(*keys, F.col("point_id").alias("doc_id"), F.col("score").alias("vector_score"),

@@ -13,11 +13,16 @@ reads it for repeated searches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera import fixed_values as FV
 from tessera.functions.text import once, search_text, tokens
@@ -155,12 +160,98 @@ def top_k(df: DataFrame, part: str | list[str], order: list, k: int, rank_col: s
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+# cells of a dense matrix that ``bm25_top_k`` makes in a task
+MAX_CELLS = 4_000_000
+_NO_DOC = -(1 << 63)
+
+
+def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int, text_col: str = "query", keys: list[str] | None = None,
+               rank_col: str = "rank") -> DataFrame:
+    """(keys, doc_id, bm25_score, rank): the ``k`` best of ``bm25_scores`` per
+    query, scores compared at 9 decimals, ties by rising ``doc_id``.
+
+    While terms x queries are proven few, the postings of the query terms come
+    to a task in the order of their documents; some documents at a time are
+    multiplied with the table of query terms, and only the best ``k`` of every
+    query are kept: no row per (query, posting) or (query, document) is made.
+    Beyond that, or for ids that are no integers, ``bm25_scores`` is ranked.
+    """
+    from tessera.operators.dense import _best
+    keys = keys or ["query_id"]
+    order = [F.round("bm25_score", 9).desc(), F.col("doc_id")]
+    qt = query_terms(queries, text_col, keys)
+    probe = qt.limit(MAX_QUERY_TERMS + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length("term")).alias("chars"), F.count_distinct("term").alias("terms"),
+        F.count_distinct(F.struct(*keys)).alias("queries")).first()
+    if (probe["n"] > MAX_QUERY_TERMS or (probe["chars"] or 0) > MAX_TERM_CHARS or probe["terms"] * probe["queries"] > MAX_CELLS
+            or dict(index.terms.dtypes)["doc_id"] not in ("bigint", "int")):
+        return top_k(bm25_scores(index, queries, text_col, keys=keys), keys, order, k, rank_col)
+    asked = qt.select(*keys, "term", "qtf").collect()         # at most MAX_QUERY_TERMS short rows
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in asked}))}
+    names = list(dict.fromkeys(tuple(r[c] for c in keys) for r in asked))
+    number = {n: i for i, n in enumerate(names)}
+    counts = np.zeros((max(1, len(terms)), max(1, len(names))))
+    for r in asked:
+        counts[terms[r["term"]], number[tuple(r[c] for c in keys)]] = r["qtf"]
+    rows = max(1, MAX_CELLS // sum(counts.shape))
+    spark = index.terms.sparkSession
+    numbered = F.broadcast(spark.createDataFrame(list(terms.items()), "term string, _term int"))
+    tf_q = index.terms.join(numbered, "term")
+    df_q = F.broadcast(tf_q.groupBy("_term").agg(F.count(F.lit(1)).alias("df")))
+    post = tf_q.join(df_q, "_term").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).alias("doc_id"), "_term",
+                                           index.weight().alias("weight"))
+    if not index.hashed:
+        post = post.repartition("doc_id")
+    fields = [f for f in qt.schema.fields if f.name in keys]
+    fields = [next(f for f in fields if f.name == c) for c in keys]
+    schema = T.StructType([*fields, T.StructField("doc_id", T.LongType()), T.StructField("bm25_score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held = [], [np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"), np.zeros(0)]
+
+        def scored(doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+            nonlocal best
+            starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            at, ids = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc)))), doc[starts]
+            for i in range(0, len(ids), rows):
+                a, z = np.searchsorted(at, [i, i + rows])
+                n = min(rows, len(ids) - i)
+                held_terms = np.bincount((at[a:z] - i) * len(counts) + term[a:z], weights=weight[a:z], minlength=n * len(counts))
+                exact = (held_terms.reshape(n, -1) @ counts).T
+                score = np.where(exact > 0, np.round(exact, 9), -np.inf)
+                r, c = _best(score, ids[i:i + n], k, -np.finfo(np.float64).max)
+                r, found, _, exact = _ranked([*best, (r, ids[i:i + n][c], score[r, c], exact[r, c])])
+                best = [(r, found, _, exact)]
+
+        def _ranked(parts: list[tuple]) -> tuple:
+            r, found, score, exact = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((found, -score, r))
+            r, found, score, exact = r[order], found[order], score[order], exact[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            return r[first], found[first], score[first], exact[first]
+
+        for b in batches:
+            held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("doc_id", "_term", "weight"))]
+            if len(held[0]):
+                whole = int(np.searchsorted(held[0], held[0][-1]))     # the last document may go on in the next batch
+                if whole:
+                    scored(*(h[:whole] for h in held))
+                    held = [h[whole:] for h in held]
+        if len(held[0]):
+            scored(*held)
+        for r, found, _, exact in best:
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([names[i][j] for i in r.tolist()], to_arrow_type(f.dataType)) for j, f in enumerate(fields)),
+                 pa.array(found, mask=found == _NO_DOC), pa.array(exact)], names=schema.names)
+
+    return top_k(post.sortWithinPartitions("doc_id").mapInArrow(run, schema), keys, order, k, rank_col)
+
+
 def bm25_search(index: Bm25Index, queries: DataFrame, k: int = FV.BM25_TOP_K,
                 text_col: str = "query") -> DataFrame:
     """TK2: top-k BM25 hits per query, tie-break on doc_id."""
-    scored = bm25_scores(index, queries, text_col)
     # scores are compared at 9 decimals so duplicate documents tie exactly
-    hits = top_k(scored, "query_id", [F.round("bm25_score", 9).desc(), F.col("doc_id")], k)
+    hits = bm25_top_k(index, queries, k, text_col)
     return attach_documents(hits, index.docs)
 
 

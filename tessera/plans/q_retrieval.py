@@ -26,9 +26,7 @@ SELECT query_id, doc_id, round(score, 6) AS bm25_score, rank FROM r WHERE rank <
 def bm25_top5(spark, sf):
     """TK2 + JN1 + WN1: top-5 BM25 documents for every benchmark text."""
     idx = _index(spark, sf)
-    scored = lexical.bm25_scores(idx, T.bench_queries(T.table(spark, sf, "benchmark")))
-    hits = lexical.top_k(scored, "query_id",
-                         [F.round("bm25_score", 9).desc(), F.col("doc_id")], 5)
+    hits = lexical.bm25_top_k(idx, T.bench_queries(T.table(spark, sf, "benchmark")), 5)
     return hits.select("query_id", "doc_id", F.round("bm25_score", 6).alias("bm25_score"),
                        F.col("rank").cast("bigint").alias("rank"))
 

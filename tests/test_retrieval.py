@@ -8,6 +8,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.operators import dense, hybrid, lexical
 from tessera.sources.jsonl import scratch_path
 
@@ -103,3 +105,19 @@ def test_no_row_of_a_vector_search_holds_many_vectors(spark):
     want = {(i, j) for i in range(90) for j in sorted(range(300), key=lambda j: (-exact[i, j], j))[:3]}
     assert {(r.query_id, r.point_id) for r in found.collect()} == want
     assert dense._groups(10 ** 9, 10 ** 7, 64, 512, 4096)[1] * dense.GROUP_BYTES >= 10 ** 7 * 64 * 8
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 0])
+def test_best_documents_are_those_of_all_scores(spark, monkeypatch, cells):
+    monkeypatch.setattr(lexical, "MAX_CELLS", cells)
+    docs = spark.createDataFrame(DOCS + DOCS[:9] + [(None, "", "alpha w3", "s"), (99, "", "", "s")], DOC_SCHEMA).repartition(5)
+    queries = spark.createDataFrame([(1, "alpha w3 w3"), (2, "beta gamma"), (None, "alpha"), (4, "nothing"), (5, "")], "query_id long, query string")
+    index = lexical.build_bm25_index(docs)
+    key = lambda df: sorted((-1 if r.query_id is None else r.query_id, r["rank"], -1 if r.doc_id is None else r.doc_id,
+                             round(r.bm25_score, 9)) for r in df.collect())
+    order = [F.round("bm25_score", 9).desc(), F.col("doc_id")]
+    want = key(lexical.top_k(lexical.bm25_scores(index, queries), "query_id", order, 4))
+    got = lexical.bm25_top_k(index, queries, 4)
+    assert key(got) == want and len(want) == 12
+    assert ("MapInArrow" in plan_of(got)) == (cells > 0)
+    index.release()
