@@ -129,13 +129,18 @@ def _session_fn(ttl_us: int):
             code = pd.factorize(both)[0]
             new = new.assign(code=code[len(held):]).sort_values(["code", "t_us", "event_id"], ignore_index=True)
             at = new["code"].to_numpy()
-            t = new["t_us"].to_numpy(dtype="int64")
+            none = new["t_us"].isna().to_numpy()
+            t = new["t_us"].fillna(0).to_numpy(dtype="int64")
             # what the state says of a row's key
             slot = np.full(code.max() + 1, -1)
             slot[code[:len(held)]] = np.arange(len(held))
             known = slot[at] >= 0
             last, start = (np.append(held[c].to_numpy(dtype="int64"), 0)[slot[at]] for c in ("last_us", "start_us"))
             first = np.append(True, at[1:] != at[:-1])
+            # an access without a time, last of its key, is in the session of the one before
+            timed = np.maximum.accumulate(np.where(~none | first, np.arange(len(t)), 0))
+            t = np.where(none[timed], np.where(known, last, 0), t[timed])
+            lost = none[timed] & ~known
             # accesses come in the order of time, so the last before a row is that of the row before or of the state
             before = np.where(first, last, np.maximum(np.append(0, t[:-1]), np.where(known, last, np.append(0, t[:-1]))))
             opens = (first & ~known) | (t - before >= ttl_us)    # the key expired: a new session
@@ -145,13 +150,13 @@ def _session_fn(ttl_us: int):
             end = np.append(first[1:], True)
             # the watermark runs on the event-time column, so the timeout does too:
             # the gaps may be measured on a wall clock of another zone
-            latest = new.groupby("code", sort=True)["event_ms"].max().to_numpy(dtype="int64")
+            latest = new.groupby("code", sort=True)["event_ms"].max().fillna(0).to_numpy(dtype="int64")
             until = np.maximum(latest + ttl_us // 1000, mark + 1)
             was = slot[at[end]]
             until = np.where(was >= 0, np.maximum(until, np.append(held["until_ms"].to_numpy(dtype="int64"), 0)[was]), until)
             state_rows = pd.DataFrame({
                 "bot": new["bot_id"].to_numpy(dtype=object)[end], "user": new["user_id"].to_numpy(dtype=object)[end],
-                "last_us": np.where(known, np.maximum(t, last), t)[end], "start_us": starts[end], "until_ms": until})
+                "last_us": np.where(known, np.maximum(t, last), t)[end], "start_us": starts[end], "until_ms": until})[~lost[end]]
             held = held.drop(index=was[was >= 0])
         held = held[held["until_ms"] >= mark]    # keys without an access whose time is up
         if len(new):
@@ -164,7 +169,7 @@ def _session_fn(ttl_us: int):
             state.remove()
         if len(new):
             yield pd.DataFrame({"event_id": new["event_id"].to_numpy(), "bot_id": new["bot_id"], "user_id": new["user_id"],
-                                "t_us": t, "start_us": starts})
+                                "t_us": pd.arrays.IntegerArray(t, none), "start_us": pd.arrays.IntegerArray(starts, lost)})
     return fn
 
 

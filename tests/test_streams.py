@@ -58,6 +58,15 @@ def test_sessions_of_many_keys_share_a_call(spark, groups):
     assert got == twin and 82 < len(set(got.values())) and len(got) == 900
 
 
+def test_an_access_without_a_time_is_in_the_session_before(spark):
+    schema = "event_id long, bot_id string, user_id string, ts timestamp"
+    rows = [(1, "b", "u", T0), (2, "b", "u", None), (3, "b", "u", T0 + dt.timedelta(hours=1)), (4, "b", "v", T0), (5, "b", "w", None)]
+    s = files(spark, [rows, [(6, "b", "v", None)]], schema)
+    out = spark.read.parquet(jobs.drain(jobs.stream_session_ids(s, ["bot_id", "user_id"], groups=1), "n"))
+    got = {r.event_id: r.session_start and r.session_start[11:13] for r in out.collect()}
+    assert got == {1: "01", 2: "02", 3: "02", 4: "01", 5: None, 6: "01"}
+
+
 def test_history_carries_messages_between_batches(spark):
     schema = "conv_id long, turn long, role string, text string, ts timestamp"
     day = dt.timedelta(days=30)
