@@ -73,7 +73,7 @@ ARTICLE_WORDS = frozenset("article post entry content story title headline main
 # what may follow the name of a region in a class or id
 PLACE_WORDS = ARTICLE_WORDS | frozenset("""
 area bar block box button column container group holder icon inline inner item items left link links list listing outer
-panel primary region right row secondary section slot top bottom unit view wrap wrapper zone
+panel posts primary region right row secondary section slot top bottom unit view wrap wrapper zone
 """.split())
 # classes that tell the state or layout of an element instead of naming it
 STATE_FIRST = frozenset("no not has have with without hide show layout overflow backface".split())
