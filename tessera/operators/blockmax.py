@@ -41,9 +41,8 @@ SLACK = 1e-6
 
 @dataclass
 class BlockIndex:
-    postings: DataFrame      # term, block, doc_id, weight: ordered by term and falling weight
-    blocks: DataFrame        # term, block, n, max_weight, first_doc, last_doc
-    forward: DataFrame       # doc_id, term, weight
+    postings: DataFrame      # term, block, doc_id, impact: ordered by term and falling impact; weight = idf * impact
+    blocks: DataFrame        # term, block, n, idf, max_weight, first_doc, last_doc
 
     def work(self, chosen: DataFrame, qt: DataFrame) -> dict[str, int]:
         """Postings of all query terms, and those of the chosen blocks."""
@@ -52,32 +51,35 @@ class BlockIndex:
 
 
 def write_blocks(index: Bm25Index, path: str, block_rows: int = BLOCK_ROWS) -> BlockIndex:
-    """Write the block tables of ``index`` to ``path`` (a shared folder)."""
+    """Write the block tables of ``index`` to ``path`` (a shared folder).
+
+    Inside a term weights rise and fall with ``impact``, which needs no document
+    frequency: postings are not joined with frequencies, those are summed over
+    the blocks and stored with them."""
     if block_rows & (block_rows - 1):
         raise ValueError("block_rows must be a power of two")
-    weighted = index.postings.select("term", "doc_id", "weight")
-    ordered = weighted.repartitionByRange("term", F.desc("weight"), "doc_id").sortWithinPartitions(
-        "term", F.desc("weight"), "doc_id")
+    order = ["term", F.desc("impact"), "doc_id"]
+    ordered = index.terms.select("term", "doc_id", index.impact().alias("impact")).repartitionByRange(*order).sortWithinPartitions(*order)
     # ids count up inside a partition from a multiple of 2^33
     block = F.floor(F.monotonically_increasing_id() / block_rows).alias("block")
-    ordered.select("term", block, "doc_id", "weight").write.mode("overwrite").parquet(f"{path}/postings")
+    ordered.select("term", block, "doc_id", "impact").write.mode("overwrite").parquet(f"{path}/postings")
     spark = index.terms.sparkSession
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max("weight").alias("max_weight"),
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/postings").groupBy("term", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("impact").alias("impact"),
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    (blocks.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).withColumn("idf", index.idf())
+     .select("term", "block", "n", "idf", (F.col("idf") * F.col("impact")).alias("max_weight"), "first_doc", "last_doc")
+     .write.mode("overwrite").parquet(f"{path}/blocks"))
     return load_blocks(spark, path)
 
 
 def load_blocks(spark: SparkSession, path: str) -> BlockIndex:
-    postings = spark.read.parquet(f"{path}/postings")
-    return BlockIndex(postings, spark.read.parquet(f"{path}/blocks"), postings.select("doc_id", "term", "weight"))
+    return BlockIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/blocks"))
 
 
-def _exact(index: BlockIndex, candidates: DataFrame, qt: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact score of every candidate (keys, doc_id)."""
-    held = index.forward.join(qt.select("term").distinct(), "term", "left_semi")
-    return (held.join(candidates, "doc_id").join(qt.select(*keys, "term", "qtf"), [*keys, "term"])
+def _exact(held: DataFrame, candidates: DataFrame, qt: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact score of every candidate (keys, doc_id) from the postings of all query terms."""
+    return (held.select("term", "doc_id", "weight").join(candidates, "doc_id").join(qt.select(*keys, "term", "qtf"), [*keys, "term"])
             .groupBy(*keys, "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25_score")))
 
 
@@ -96,24 +98,27 @@ def search_blocks(index: BlockIndex, queries: DataFrame, k: int, text_col: str =
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    best = index.blocks.groupBy("term").agg(F.max("max_weight").alias("top"))
+    best = index.blocks.groupBy("term").agg(F.max("max_weight").alias("top"), F.first("idf").alias("idf"))
     w = Window.partitionBy(*keys).orderBy(F.desc("most"), "term")
     terms = query_terms(queries.dropna(subset=keys), text_col, keys).join(best, "term").withColumn("most", F.col("qtf") * F.col("top"))
     qt = kept(terms.withColumn("after", F.coalesce(F.sum("most").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
               .drop("top", "most"), "block-query-terms")
+    # the only read of all postings; the rounds read what it leaves
+    held = kept(index.postings.join(qt.select("term", "idf").distinct(), "term").select(
+        "term", "block", "doc_id", (F.col("idf") * F.col("impact")).alias("weight")), "block-held")
     bounds = qt.join(index.blocks.select("term", "block", "n", "max_weight"), "term").withColumn(
         "bound", F.col("qtf") * F.col("max_weight") + F.col("after"))
     order = [F.round("bm25_score", 9).desc(), F.col("doc_id")]
 
-    first = top_k(bounds, keys, [F.desc("bound"), "term", "block"], seeds, "_seed").select(*keys, "term", "block")
-    found = index.postings.join(first, ["term", "block"]).select(*keys, "doc_id").distinct()
-    ranked = top_k(_exact(index, found, qt, keys), keys, order, k)
+    first = kept(top_k(bounds, keys, [F.desc("bound"), "term", "block"], seeds, "_seed").select(*keys, "term", "block"), "block-seeds")
+    found = held.join(first, ["term", "block"]).select(*keys, "doc_id").distinct()
+    ranked = top_k(_exact(held, found, qt, keys), keys, order, k)
     floors = kept(ranked.filter(F.col("rank") == k).select(*keys, F.col("bm25_score").alias("floor")), "block-floors")
 
     floor = F.coalesce(F.col("floor"), F.lit(0.0)) - SLACK
     chosen = kept(bounds.join(floors, keys, "left").filter(F.col("bound") >= floor), "block-chosen")
     if work is not None:
         work |= index.work(chosen, qt)
-    candidates = (index.postings.join(chosen.select(*keys, "term", "block", "qtf", "after", "floor"), ["term", "block"])
+    candidates = (held.join(chosen.select(*keys, "term", "block", "qtf", "after", "floor"), ["term", "block"])
                   .filter(F.col("qtf") * F.col("weight") + F.col("after") >= floor).select(*keys, "doc_id").distinct())
-    return top_k(_exact(index, candidates, qt, keys), keys, order, k)
+    return top_k(_exact(held, candidates, qt, keys), keys, order, k)

@@ -43,12 +43,22 @@ class Bm25Index:
         """Free the memory that a freshly built term table holds."""
         self.terms.unpersist()
 
+    def idf(self) -> Column:
+        """Inverse document frequency from column df."""
+        return F.log(F.lit(1.0) + (F.lit(float(self.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+    def _norm(self) -> Column:
+        avgdl = self.avgdl if self.avgdl > 0 else 1.0
+        return F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("dl") / F.lit(avgdl))
+
+    def impact(self) -> Column:
+        """What a weight has besides ``idf``, from columns tf, dl: orders the
+        postings of a term as their weights do, without its df."""
+        return F.col("tf") * F.lit(self.k1 + 1.0) / (F.col("tf") + self._norm())
+
     def weight(self) -> Column:
         """Per-(term, doc) BM25 weight from columns tf, dl, df."""
-        idf = F.log(F.lit(1.0) + (F.lit(float(self.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        avgdl = self.avgdl if self.avgdl > 0 else 1.0
-        norm = F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("dl") / F.lit(avgdl))
-        return idf * F.col("tf") * F.lit(self.k1 + 1.0) / (F.col("tf") + norm)
+        return self.idf() * F.col("tf") * F.lit(self.k1 + 1.0) / (F.col("tf") + self._norm())
 
     @property
     def postings(self) -> DataFrame:

@@ -58,6 +58,19 @@ def test_blocks_of_a_term_are_ordered_by_weight(spark):
     index.release()
 
 
+def test_weights_come_from_the_blocks_without_a_join_of_postings(spark):
+    """Frequencies are summed over blocks (a term with many blocks, one without a neighbour) and kept with them."""
+    texts = ["hot " * (1 + i % 9) + f"x{i % 40}" for i in range(300)] + ["alone"]
+    index = lexical.build_bm25_index(spark.createDataFrame([(i, "", t, "s") for i, t in enumerate(texts)], DOC_SCHEMA))
+    blocks = blockmax.write_blocks(index, scratch_path(spark, "blocks"), 16)
+    idf = blocks.blocks.select("term", "idf").distinct()
+    assert idf.count() == index.terms.select("term").distinct().count()
+    got = {(r.term, r.doc_id): r.weight for r in blocks.postings.join(idf, "term").withColumn("weight", F.col("idf") * F.col("impact")).collect()}
+    want = {(r.term, r.doc_id): r.weight for r in index.postings.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    index.release()
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="no larger tables")
 def test_few_postings_are_read(spark):
     index = lexical.build_bm25_index(T.search_documents(T.table(spark, LARGE, "documents")))
