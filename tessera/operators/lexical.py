@@ -78,11 +78,24 @@ def require_any(docs: DataFrame) -> DataFrame:
                 .withColumn("source", F.coalesce(F.col("source"), F.lit("unknown"))))
 
 
-def corpus_terms(docs: DataFrame, text_col: str = "search_text") -> DataFrame:
+# Bytes of text that a task of the term table counts, on average.  Its two hash
+# maps (partial and final counts) take some 20 bytes for each of them.
+TASK_BYTES = 16_000_000
+
+
+def corpus_terms(docs: DataFrame, text_col: str = "search_text", n_bytes: int | None = None) -> DataFrame:
     """(doc_id, dl, term, tf): one row per distinct term of a document, hashed
     by ``doc_id``.  The exchange stands before the tokenising: a text is about
-    as large as its term rows, and the counts then need no further one."""
-    toks = docs.repartition("doc_id").select("doc_id", once(tokens(text_col)).alias("toks"))
+    as large as its term rows, and the counts then need no further one.  A text
+    is small beside the maps it is counted in, so the session's number of
+    partitions is raised where a task would get more than ``TASK_BYTES`` of
+    the ``n_bytes`` of all texts (summed here if not given)."""
+    if n_bytes is None:
+        n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0]
+    parts = -(-(n_bytes or 0) // TASK_BYTES)
+    few = parts <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.repartition("doc_id") if few else docs.repartition(parts, "doc_id")
+    toks = dealt.select("doc_id", once(tokens(text_col)).alias("toks"))
     exploded = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     return exploded.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -96,9 +109,9 @@ def build_bm25_index(docs: DataFrame, k1: float = FV.BM25_K1, b: float = FV.BM25
     encoder - the document vectors.
     """
     docs = require_any(docs).withColumn("search_text", search_text("question", "content"))
-    tf = corpus_terms(docs).persist(StorageLevel.MEMORY_AND_DISK)
     # corpus statistics are two aggregates read as scalars: N and total length
-    n_docs = docs.count()
+    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("search_text"))).first()
+    tf = corpus_terms(docs, n_bytes=n_bytes).persist(StorageLevel.MEMORY_AND_DISK)
     total = tf.agg(F.sum("tf")).first()[0] or 0
     avgdl = float(total) / n_docs if n_docs else 0.0
     return Bm25Index(terms=tf, n_docs=n_docs, avgdl=avgdl, docs=docs.drop("search_text"), k1=k1, b=b, hashed=True)

@@ -121,3 +121,19 @@ def test_best_documents_are_those_of_all_scores(spark, monkeypatch, cells):
     assert key(got) == want and len(want) == 12
     assert ("MapInArrow" in plan_of(got)) == (cells > 0)
     index.release()
+
+
+def test_a_task_of_the_term_table_gets_a_bounded_share_of_the_text(spark, monkeypatch):
+    """Repeated and null ids with one length merge, in few partitions as in many."""
+    docs = spark.createDataFrame(DOCS + DOCS[:9] + [(None, "", "alpha w3", "s"), (None, "", "beta w3", "s"), (99, "", "", "s")], DOC_SCHEMA)
+    read = lambda index: (index.n_docs, index.avgdl, sorted(map(str, index.terms.collect())), sorted(lexical.term_stats(index).collect()))
+    found = []
+    for task_bytes in (10 ** 9, 64):
+        monkeypatch.setattr(lexical, "TASK_BYTES", task_bytes)
+        index = lexical.build_bm25_index(docs)
+        found.append((read(index), index.terms.rdd.getNumPartitions()))
+        index.release()
+    size = sum(len(t.encode()) + 1 for _, _, t, _ in DOCS + DOCS[:9]) + len(" alpha w3 beta w3")
+    assert found[0][0] == found[1][0] and found[0][0][0] == 75
+    assert found[0][1] <= 8 < found[1][1] == -(-size // 64)
+    assert lexical.build_bm25_index(docs.limit(0)).terms.count() == 0
